@@ -190,3 +190,15 @@ def count_distinct_when(cond: Column, value: Column) -> Column:
 def sum0(c: Column) -> Column:
     """COALESCE(SUM(c), 0) keeping the decimal type."""
     return F.coalesce(F.sum(c), F.lit(0).cast("decimal(18,2)"))
+
+
+# --------------------------------------------------------------------------- ranks
+def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
+    """1-based position of each row within its key under ``order`` (ASC).
+
+    Used where a one-at-a-time rule runs over a batch (D4, D5): the rank says
+    how much of a budget was used before a row.  Planned as a window over the
+    key; the order columns must make the order total.
+    """
+    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return df.withColumn(out, F.row_number().over(w))
