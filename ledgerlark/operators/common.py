@@ -74,12 +74,14 @@ def top_n_by_key(df: DataFrame, key: str, order: Sequence[Column], n: int,
 
 
 # --------------------------------------------------------------------------- changes
-def unique_patch(patch: DataFrame, keys: Sequence[str], order_col: str | None,
+def unique_patch(patch: DataFrame, keys: Sequence[str], order_col,
                  cols: Sequence[str]) -> DataFrame:
-    """Make a change set unique per key: the last change by ``order_col`` wins."""
+    """Make a change set unique per key: the last change by ``order_col`` (a
+    column name or a list of them, later ones breaking ties) wins."""
     if order_col is None:
         return patch.select(*keys, *cols).dropDuplicates(list(keys))
-    tie = [Desc(order_col, nulls_first=False)]
+    names = [order_col] if isinstance(order_col, str) else list(order_col)
+    tie = [Desc(c, nulls_first=False) for c in names]
     return latest_by_key(patch, keys, tie, [*keys, *cols])
 
 
@@ -193,12 +195,73 @@ def sum0(c: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- ranks
-def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
-    """1-based position of each row within its key under ``order`` (ASC).
-
-    Used where a one-at-a-time rule runs over a batch (D4, D5): the rank says
-    how much of a budget was used before a row.  Planned as a window over the
-    key; the order columns must make the order total.
+def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
+                  flag: Column | None = None, inclusive: bool = False,
+                  partitions: int | None = None) -> DataFrame:
+    """For each row, how many rows of the same ``key`` with ``flag`` true come
+    before it under ``order`` (ASC; ``inclusive`` counts the row itself).
+
+    This is the one-at-a-time budget of D4/D5 done as a distributed prefix sum
+    that no hot key can pin to one task:
+
+    1. ``repartitionByRange(key, order)`` cuts the data into contiguous,
+       similarly sized ranges, so a key with a third of all rows spans many
+       partitions;
+    2. a vectorised Pandas pass numbers rows inside each partition (carrying
+       the count across Arrow batches);
+    3. per (partition, key) totals are tiny; a window over them, ordered by
+       partition id, gives each partition's offset for a key (that window has
+       at most one row per partition for a key);
+    4. offsets join back on (partition, key).
+
+    The locally numbered rows are checkpointed to ``spark.checkpoint.dir`` so
+    the two uses read one materialisation (stable partition ids, and a lost
+    executor recomputes from the checkpoint, not from the range shuffle).
+    ``order`` must make the order total (end with a unique column).
     """
-    w = Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return df.withColumn(out, F.row_number().over(w))
+    from ..session import checkpoint_dir  # local import: avoid a cycle
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f = (flag if flag is not None else F.lit(True))
+    x = (df.withColumn("__f", F.coalesce(f, F.lit(False)).cast("long"))
+         .repartitionByRange(n, F.col(key).asc_nulls_last(),
+                             *[F.col(c).asc_nulls_last() for c in order])
+         .sortWithinPartitions(F.col(key).asc_nulls_last(),
+                               *[F.col(c).asc_nulls_last() for c in order])
+         .withColumn("__pid", F.spark_partition_id()))
+    schema = T.StructType(x.schema.fields + [T.StructField("__loc", T.LongType(), False)])
+
+    def number(batches):
+        last, carry = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                yield pdf.assign(__loc=pd.Series(dtype="int64"))
+                continue
+            k = pdf[key].astype(object).where(pdf[key].notna(), "\0null")
+            grp = (k != k.shift()).cumsum()
+            cs = pdf["__f"].astype("int64").groupby(grp).cumsum()
+            if last is not None and k.iloc[0] == last:
+                cs = cs + (grp == 1).astype("int64") * carry
+            last, carry = k.iloc[-1], int(cs.iloc[-1])
+            yield pdf.assign(__loc=cs.astype("int64"))
+
+    loc = x.mapInPandas(number, schema).checkpoint(eager=True)
+    tot = loc.groupBy("__pid", key).agg(F.max("__loc").alias("__tot"))
+    w = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(F.col("__pid").alias("__opid"), F.col(key).alias("__okey"),
+                     F.coalesce(F.sum("__tot").over(w), F.lit(0)).alias("__off"))
+    j = loc.join(off, (F.col("__pid") == F.col("__opid")) & F.col(key).eqNullSafe(F.col("__okey")))
+    val = F.col("__loc") + F.col("__off")
+    if not inclusive:
+        val = val - F.col("__f")
+    return j.select(*df.columns, val.alias(out))
+
+
+def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
+    """1-based position of each row within its key under ``order`` (ASC), via
+    ``running_count`` so a hot key is spread over many tasks."""
+    return running_count(df, key, order, out, inclusive=True)

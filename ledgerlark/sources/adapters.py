@@ -136,7 +136,8 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "attempted_at": "l_shipdate",
     }, join=_LI_JOIN),
     Adapter("coupon_attempts", "lineitem", {
-        "attempt_id": "l_orderkey * 8 + l_linenumber",
+        # lineitem has no unique key of its own; these four columns are unique
+        "attempt_id": "CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))",
         "code": "CASE WHEN l_partkey % 50 = 7 THEN CONCAT('X', CAST(l_partkey AS STRING)) WHEN l_linenumber % 2 = 0 THEN CONCAT('c', CAST(l_partkey AS STRING)) ELSE CONCAT('C', CAST(l_partkey AS STRING)) END",
         "business_id": "o_custkey",
         "attempted_at": "l_shipdate",
@@ -273,7 +274,7 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
 
 # Types of change-set columns that are not domain tables in schemas.COLUMNS.
 EXTRA_TYPES: dict[str, dict[str, str]] = {
-    "coupon_attempts": {"attempt_id": "long", "code": "string", "business_id": "long", "attempted_at": "ts"},
+    "coupon_attempts": {"attempt_id": "string", "code": "string", "business_id": "long", "attempted_at": "ts"},
     "scans": {"scan_id": "long", "url_id": "string", "scanned_at": "ts"},
     "review_replies": {"review_id": "long", "business_id": "long", "reply": "string", "requested_at": "ts"},
     "review_surveys": {"review_id": "long", "business_id": "long", "areas": "string", "feedback": "string"},
