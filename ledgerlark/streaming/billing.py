@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.common import apply_patch, earliest_by_key, running_count
+from ..operators.common import apply_patch, running_count
 from ..operators.subscriptions import current_subscriptions
 from ..sources.schemas import schema
 
@@ -79,22 +79,28 @@ def derived_status() -> F.Column:
 
 def route_events(events: DataFrame):
     """T1 + T6: dedup by event id (earliest copy), keep known types with a
-    business.  Returns ``(clean, rejects)``; rejects counts by reason."""
-    cols = [c for c in events.columns]
-    first = earliest_by_key(events, ["event_id"], ["event_ts"], cols)
-    k = kind_col()
-    clean = first.withColumn("kind", k).where(F.col("kind").isNotNull() & F.col("business_id").isNotNull())
-    counts = events.agg(F.count(F.lit(1)).alias("n_all"),
-                        F.count_distinct("event_id").alias("n_ids"))
-    fk = first.withColumn("kind", k).agg(
+    business.  Returns ``(clean, rejects)``; rejects counts by reason.
+
+    One aggregate per event id gives both the kept copy (``min`` of a struct
+    led by event_ts) and the number of copies, so the reject counts need no
+    second pass over the raw events.
+    """
+    cols = list(events.columns)
+    packed = F.struct(F.col("event_ts").isNull().alias("__n"), F.col("event_ts").alias("__t"),
+                      *[F.col(c).alias(c) for c in cols if c != "event_id"])
+    g = events.groupBy("event_id").agg(F.min(packed).alias("__m"),
+                                       F.count(F.lit(1)).alias("__copies"))
+    first = g.select("event_id", *[F.col(f"__m.{c}").alias(c) for c in cols if c != "event_id"],
+                     "__copies").withColumn("kind", kind_col())
+    clean = first.where(F.col("kind").isNotNull() & F.col("business_id").isNotNull()) \
+        .drop("__copies").select(*cols, "kind")
+    rej = first.agg(
+        F.sum(F.col("__copies") - 1).alias("duplicate"),
         F.count(F.when(F.col("kind").isNull(), 1)).alias("unknown_type"),
-        F.count(F.when(F.col("kind").isNotNull() & F.col("business_id").isNull(), 1)).alias("no_business"))
-    rej = counts.crossJoin(fk).select(F.explode(F.array(
-        F.struct(F.lit("duplicate").alias("reason"),
-                 (F.col("n_all") - F.col("n_ids")).alias("events")),
-        F.struct(F.lit("unknown_type").alias("reason"), F.col("unknown_type").alias("events")),
-        F.struct(F.lit("no_business").alias("reason"), F.col("no_business").alias("events")),
-    )).alias("r")).select("r.reason", "r.events")
+        F.count(F.when(F.col("kind").isNotNull() & F.col("business_id").isNull(), 1)).alias("no_business"),
+    ).select(F.explode(F.array(*[
+        F.struct(F.lit(r).alias("reason"), F.coalesce(F.col(r), F.lit(0)).cast("long").alias("events"))
+        for r in ("duplicate", "unknown_type", "no_business")])).alias("r")).select("r.reason", "r.events")
     return clean, rej
 
 
