@@ -71,8 +71,8 @@ def q_billing_subscriptions(spark, sf_dir):
 @register("billing_business_status", EV_CTES + "SELECT * FROM st")
 def q_billing_business_status(spark, sf_dir):
     t = _t(spark, sf_dir)
-    _, status, _ = bl.fold_billing(t.billing_events, t.subscriptions)
-    return status
+    clean, _ = bl.route_events(t.billing_events)
+    return bl.business_status(clean)
 
 
 @register("propagate_status", EV_CTES + """
@@ -83,8 +83,9 @@ FROM businesses b LEFT JOIN st ON st.business_id = b.id
 """)
 def q_propagate_status(spark, sf_dir):
     t = _t(spark, sf_dir)
-    _, status, _ = bl.fold_billing(t.billing_events, t.subscriptions)
-    return bl.propagate_status(t.businesses, status).select("id", "subscription_status", "changed")
+    clean, _ = bl.route_events(t.billing_events)
+    return bl.propagate_status(t.businesses, bl.business_status(clean)).select(
+        "id", "subscription_status", "changed")
 
 
 @register("billing_rejects", EV_CTES + """
@@ -93,6 +94,36 @@ UNION ALL SELECT 'unknown_type', (SELECT COUNT(*) FROM ev WHERE kind IS NULL)
 UNION ALL SELECT 'no_business', (SELECT COUNT(*) FROM ev WHERE kind IS NOT NULL AND business_id IS NULL)
 """)
 def q_billing_rejects(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    _, _, rej = bl.fold_billing(t.billing_events, t.subscriptions)
-    return rej
+    return bl.route_events(_t(spark, sf_dir).billing_events)[1]
+
+
+@register("billing_events_from_json", """
+SELECT event_id, date_trunc('second', event_ts) AS event_ts, type, stripe_subscription_id,
+       stripe_customer_id, business_id, status, cancel_at_period_end, amount,
+       date_trunc('second', current_period_end) AS current_period_end, card_last4, card_brand
+FROM billing_events
+""")
+def q_billing_events_from_json(spark, sf_dir):
+    """Provider JSON bodies, rendered from the billing events in the
+    provider's nested shape (times as whole epoch seconds), parsed back by
+    ``parse_provider_events``."""
+    from pyspark.sql import functions as F
+    e = _t(spark, sf_dir).billing_events
+    is_sess = F.col("type").isin("checkout.session.completed", "invoice.payment_succeeded")
+    obj = F.struct(
+        F.when(is_sess, F.concat(F.lit("cs_"), F.col("event_id").cast("string")))
+        .otherwise(F.col("stripe_subscription_id")).alias("id"),
+        F.col("stripe_customer_id").alias("customer"),
+        F.when(is_sess, F.col("stripe_subscription_id")).alias("subscription"),
+        "status", "cancel_at_period_end",
+        F.unix_seconds("current_period_end").alias("current_period_end"),
+        F.when(F.col("business_id").isNotNull(),
+               F.create_map(F.lit("business_id"), F.col("business_id").cast("string"))).alias("metadata"),
+        F.struct(F.array(F.struct(F.struct(F.col("amount").alias("unit_amount")).alias("price")))
+                 .alias("data")).alias("items"),
+        F.struct(F.col("card_last4").alias("last4"), F.col("card_brand").alias("brand")).alias("card"))
+    raw = e.select(F.to_json(F.struct(
+        F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("id"), "type",
+        F.unix_seconds("event_ts").alias("created"),
+        F.struct(obj.alias("object")).alias("data"))).alias("body"))
+    return bl.parse_provider_events(raw)

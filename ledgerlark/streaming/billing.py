@@ -49,6 +49,57 @@ SUB_OUT = ["id", "business_id", "stripe_subscription_id", "stripe_customer_id",
            "cancel_at_period_end", "cancelled_at", "ended_at", "updated_at"]
 
 
+# Nested shape of a provider event as delivered to the webhook (the fields the
+# handlers read).  Times are epoch seconds; the price sits in items.data[0].
+PROVIDER_EVENT = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("type", T.StringType()),
+    T.StructField("created", T.LongType()),
+    T.StructField("data", T.StructType([T.StructField("object", T.StructType([
+        T.StructField("id", T.StringType()),
+        T.StructField("customer", T.StringType()),
+        T.StructField("subscription", T.StringType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("cancel_at_period_end", T.BooleanType()),
+        T.StructField("current_period_end", T.LongType()),
+        T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("items", T.StructType([T.StructField("data", T.ArrayType(T.StructType([
+            T.StructField("price", T.StructType([T.StructField("unit_amount", T.LongType())]))])))])),
+        T.StructField("card", T.StructType([T.StructField("last4", T.StringType()),
+                                            T.StructField("brand", T.StringType())])),
+    ]))])),
+])
+
+
+def parse_provider_events(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Raw JSON bodies -> the billing event schema.
+
+    ``from_json`` with a declared schema (no inference), epoch seconds through
+    ``timestamp_seconds``, the amount from ``items.data[0].price.unit_amount``.
+    The subscription id is the object id, except for checkout sessions and
+    invoices, which name it in ``subscription``; the business id is the
+    customer's metadata (``business_id`` or ``businessId``).
+    """
+    e = raw.select(F.from_json(F.col(body), PROVIDER_EVENT).alias("e"))
+    o = F.col("e.data.object")
+    sub = F.when(F.col("e.type").isin("checkout.session.completed", "invoice.payment_succeeded"),
+                 o["subscription"]).otherwise(o["id"])
+    md = o["metadata"]
+    return e.select(
+        F.regexp_extract(F.col("e.id"), r"(\d+)$", 1).cast("long").alias("event_id"),
+        F.timestamp_seconds(F.col("e.created")).alias("event_ts"),
+        F.col("e.type").alias("type"),
+        sub.alias("stripe_subscription_id"),
+        o["customer"].alias("stripe_customer_id"),
+        F.coalesce(md.getItem("business_id"), md.getItem("businessId")).cast("long").alias("business_id"),
+        o["status"].alias("status"),
+        o["cancel_at_period_end"].alias("cancel_at_period_end"),
+        o["items"]["data"].getItem(0)["price"]["unit_amount"].alias("amount"),
+        F.timestamp_seconds(o["current_period_end"]).alias("current_period_end"),
+        o["card"]["last4"].alias("card_last4"),
+        o["card"]["brand"].alias("card_brand"))
+
+
 def read_billing_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A stream of billing events from files with the declared schema.
 
@@ -168,11 +219,17 @@ def fold_billing(events: DataFrame, subscriptions: DataFrame | None = None):
         F.coalesce(F.col("last_delete"), F.col("b_ended_at")).alias("ended_at"),
         F.coalesce(F.col("last_app.event_ts"), F.col("b_updated_at")).alias("updated_at"),
     )
-    status = ev.groupBy("business_id").agg(
+    return snap, business_status(clean), rejects
+
+
+def business_status(clean: DataFrame) -> DataFrame:
+    """The status the last event (any subscription id) leaves on the
+    business: one ``max(struct(event_ts, event_id, status))`` per business."""
+    order = [F.col("event_ts"), F.col("event_id")]
+    return clean.withColumn("new_status", derived_status()).groupBy("business_id").agg(
         F.max(F.struct(*order, F.col("new_status").alias("st"))).alias("m")).select(
         "business_id", F.col("m.st").alias("subscription_status"),
         F.col("m.event_id").alias("last_event_id"))
-    return snap, status, rejects
 
 
 def subscriptions_placeholder(spark: SparkSession) -> DataFrame:
@@ -353,3 +410,24 @@ def fold_billing_stream(events: DataFrame, subscriptions: DataFrame | None = Non
 def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """T1 for a stream: drop repeated event ids seen within ``delay``."""
     return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def snapshot_writer(path: str):
+    """S4 for the stream: a ``foreachBatch`` function that writes each
+    micro-batch's changed business states to ``{path}/batch={id}``.
+
+    A replayed batch id rewrites the same folder, so the sink is idempotent;
+    readers take the latest row per business (``latest_states``).
+    """
+    def write(df: DataFrame, batch_id: int) -> None:
+        (df.where(F.col("record") == "state").withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+    return write
+
+
+def latest_states(spark: SparkSession, path: str) -> DataFrame:
+    """Current state per business from the snapshot folders (latest batch wins)."""
+    from ..operators.common import Desc, latest_by_key
+    df = spark.read.parquet(path)
+    cols = [c for c in df.columns if c not in ("batch",)]
+    return latest_by_key(df, ["business_id"], [Desc("batch_id", nulls_first=False)], cols)
