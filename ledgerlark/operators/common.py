@@ -265,3 +265,24 @@ def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str) -> Data
     """1-based position of each row within its key under ``order`` (ASC), via
     ``running_count`` so a hot key is spread over many tasks."""
     return running_count(df, key, order, out, inclusive=True)
+
+
+# --------------------------------------------------------------------------- joins
+def left_join_fact(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """``left LEFT JOIN right USING (on)`` for a small ``left`` and a large
+    ``right`` whose keys may be hot.
+
+    A plain left outer join cannot have its right side split by AQE's skew
+    handling, so one hot key would land in one task.  Written as an inner
+    join (either side may be split, or the small side broadcast after Spark's
+    size check) plus the left rows without partners (a ``left_anti`` against
+    the right side's distinct keys, a partial aggregate), the result is the
+    same rows.
+    """
+    inner = left.join(right, list(on), "inner")
+    keys = right.select(*on).distinct()
+    lonely = left.join(keys, list(on), "left_anti")
+    for f in right.schema.fields:
+        if f.name not in on:
+            lonely = lonely.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return inner.unionByName(lonely.select(*inner.columns))

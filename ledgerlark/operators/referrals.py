@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_of_lit, keyed_code, money_out, next_month_start
-from .common import apply_patch, earliest_by_key, sum0
+from .common import apply_patch, earliest_by_key, left_join_fact, sum0
 from .subscriptions import current_subscriptions
 
 DETAIL = ["id", "business_name", "owner_name", "email", "phone", "address",
@@ -137,8 +137,8 @@ def salesperson_referrals(referrals: DataFrame, businesses: DataFrame,
                "referred_business_id")
          .join(current_subscriptions(subscriptions).select(
              F.col("business_id").alias("referred_business_id"),
-             F.col("status").alias("subscription_status")), "referred_business_id", "left")
-         .join(e, ["referrer_id", "referred_business_id"], "left"))
+             F.col("status").alias("subscription_status")), "referred_business_id", "left"))
+    j = left_join_fact(j, e, ["referrer_id", "referred_business_id"])
     return j.select("referrer_id", "id", "referred_business", "subscription_status",
                     F.col("created_at").alias("referral_date"),
                     money_out(F.col("e_amount")).alias("commission_amount"), "payment_status")
@@ -220,7 +220,7 @@ def referral_rows(referrals: DataFrame, businesses: DataFrame, subscriptions: Da
     e = earnings.select(F.col("seller_id").alias("referrer_id"),
                         F.col("business_id").alias("referred_business_id"),
                         F.col("amount").alias("e_amount"))
-    j = j.join(e, ["referrer_id", "referred_business_id"], "left")
+    j = left_join_fact(j, e, ["referrer_id", "referred_business_id"])
     return j.select(
         "id", "referrer_id", "referred_business_id", "referred_business", "referred_email",
         referral_status_active_first(F.col("subscription_status"),
@@ -296,8 +296,8 @@ def salesperson_referral_payments(referrals: DataFrame, businesses: DataFrame,
                           F.col("created_at").alias("join_date"))
     p = payments.select(F.col("business_id").alias("referred_business_id"),
                         F.col("created_at").alias("last_payment"), "amount")
-    j = referrals.select("id", "referrer_id", "referred_business_id").join(
-        b, "referred_business_id").join(p, "referred_business_id", "left")
+    j = left_join_fact(referrals.select("id", "referrer_id", "referred_business_id").join(
+        b, "referred_business_id"), p, ["referred_business_id"])
     r = F.lit(rate).cast("decimal(5,2)")
     return j.groupBy("referrer_id", "id", "business_name", "owner_name", "status", "join_date",
                      "last_payment").agg(

@@ -1,9 +1,8 @@
 import datetime as dt
-import tempfile
 
 import pytest
 
-from ledgerlark.session import build_session
+from ledgerlark.session import build_session, checkpoint_dir
 from ledgerlark.sources.adapters import EXTRA_TYPES
 from ledgerlark.sources.schemas import COLUMNS, schema, spark_type
 
@@ -14,8 +13,7 @@ SF_CHECK = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", 4, app="ledgerlark-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerlark-test-ckpt-"))
+    checkpoint_dir(s)
     yield s
 
 
