@@ -1,5 +1,6 @@
 """Scalar helpers.  Each returns a Column built from Spark built-ins, so it
-stays inside whole-stage codegen."""
+stays inside whole-stage codegen.  Arguments are Columns; a plain Python value
+is taken as a literal (pass ``F.col(name)`` for a column)."""
 
 from __future__ import annotations
 

@@ -166,3 +166,14 @@ def test_f12_f14(spark):
                     next_month_start(F.col("t")).alias("n")).first()
     assert row["l"] == "American express ending in 4242"
     assert row["n"] == ts("2025-01-01 00:00:00")
+
+
+def test_text_helpers(spark):
+    from ledgerlark.functions.scalar import fixed2, keyed_code, keyed_id, us_date, usd
+    df = spark.createDataFrame([(D("-1234.5"), ts("2001-07-04 10:00:00"), 42)],
+                               "x decimal(18,2), t timestamp, i long")
+    x, t, i = F.col("x"), F.col("t"), F.col("i")
+    r = df.select(usd(x).alias("u"), fixed2(x).alias("f"), us_date(t).alias("d"),
+                  keyed_id(i).alias("k"), keyed_code(i).alias("c")).first()
+    assert (r["u"], r["f"], r["d"]) == ("-$1,234.50", "-1234.50", "7/4/2001")
+    assert len(r["k"]) == 15 and r["c"] == r["k"][:8].upper()
