@@ -77,8 +77,8 @@ def usd(x) -> Column:
 
 
 def fixed2(x) -> Column:
-    """two fixed decimals as text."""
-    return F.format_string("%.2f", col_or_lit(x).cast("decimal(38,2)"))
+    """two fixed decimals as text (exact: via decimal(38,2), half up)."""
+    return col_or_lit(x).cast("decimal(38,2)").cast("string")
 
 
 def full_match(c, pattern: str) -> Column:
