@@ -197,49 +197,51 @@ def sum0(c: Column) -> Column:
 # --------------------------------------------------------------------------- ranks
 def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
                   flag: Column | None = None, inclusive: bool = False,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, persist_input: bool = False) -> DataFrame:
     """For each row, how many rows of the same ``key`` with ``flag`` true come
     before it under ``order`` (ASC; ``inclusive`` counts the row itself).
 
-    This is the one-at-a-time budget of D4/D5 done as a distributed prefix sum
-    that no hot key can pin to one task:
-
-    1. ``repartitionByRange(key, order)`` cuts the data into contiguous,
-       similarly sized ranges, so a key with a third of all rows spans many
-       partitions;
-    2. a vectorised Pandas pass numbers rows inside each partition (carrying
-       the count across Arrow batches);
-    3. per (partition, key) totals are tiny; a window over them, ordered by
-       partition id, gives each partition's offset for a key (that window has
-       at most one row per partition for a key);
-    4. offsets join back on (partition, key).
-
-    The locally numbered rows are checkpointed to ``spark.checkpoint.dir`` so
-    the two uses read one materialisation (stable partition ids, and a lost
-    executor recomputes from the checkpoint, not from the range shuffle).
+    The one-at-a-time budget of D4/D5 and the billing fold's checkout epochs,
+    as a distributed prefix sum that no hot key can pin to one task:
+
+    1. ``repartitionByRange(key, order)`` cuts the rows into contiguous ranges
+       of similar size, so a key holding a third of all rows spans many
+       partitions (its sampling job reuses the upstream shuffle files; pass
+       ``persist_input=True`` when the input's last stage is costly to redo);
+    2. a vectorised Pandas pass numbers rows within each partition (carrying
+       the count across Arrow batches) and the result is written once as a
+       table under the shared ``spark.checkpoint.dir`` (lineage cut; a lost
+       executor re-reads it);
+    3. ranges are contiguous, so a key can continue into partition p only
+       from the partitions just before p that end with it.  A summary of one
+       row per partition (first key, last key, count of the last key) gives
+       every partition's offset for its first key;
+    4. that summary has exactly one row per partition, a proven bound, so it
+       is broadcast and the numbered rows are never shuffled again.
+
     ``order`` must make the order total (end with a unique column).
     """
-    from ..session import checkpoint_dir  # local import: avoid a cycle
+    from ..session import scratch_path  # local import: avoid a cycle
     import pandas as pd
+    from pyspark import StorageLevel
     from pyspark.sql import types as T
 
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     f = (flag if flag is not None else F.lit(True))
-    x = (df.withColumn("__f", F.coalesce(f, F.lit(False)).cast("long"))
-         .repartitionByRange(n, F.col(key).asc_nulls_last(),
-                             *[F.col(c).asc_nulls_last() for c in order])
-         .sortWithinPartitions(F.col(key).asc_nulls_last(),
-                               *[F.col(c).asc_nulls_last() for c in order])
+    src = df.withColumn("__f", F.coalesce(f, F.lit(False)).cast("long"))
+    if persist_input:
+        src = src.persist(StorageLevel.MEMORY_AND_DISK)
+    sort_cols = [F.col(key).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
+    x = (src.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
          .withColumn("__pid", F.spark_partition_id()))
-    schema = T.StructType(x.schema.fields + [T.StructField("__loc", T.LongType(), False)])
+    schema = T.StructType(x.schema.fields + [T.StructField("__loc", T.LongType(), False),
+                                              T.StructField("__edge", T.BooleanType(), False)])
 
     def number(batches):
-        last, carry = None, 0
+        last, carry, held, first = None, 0, None, True
         for pdf in batches:
             if pdf.empty:
-                yield pdf.assign(__loc=pd.Series(dtype="int64"))
                 continue
             k = pdf[key].astype(object).where(pdf[key].notna(), "\0null")
             grp = (k != k.shift()).cumsum()
@@ -247,15 +249,43 @@ def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
             if last is not None and k.iloc[0] == last:
                 cs = cs + (grp == 1).astype("int64") * carry
             last, carry = k.iloc[-1], int(cs.iloc[-1])
-            yield pdf.assign(__loc=cs.astype("int64"))
-
-    loc = x.mapInPandas(number, schema).checkpoint(eager=True)
-    tot = loc.groupBy("__pid", key).agg(F.max("__loc").alias("__tot"))
-    w = Window.partitionBy(key).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(F.col("__pid").alias("__opid"), F.col(key).alias("__okey"),
-                     F.coalesce(F.sum("__tot").over(w), F.lit(0)).alias("__off"))
-    j = loc.join(off, (F.col("__pid") == F.col("__opid")) & F.col(key).eqNullSafe(F.col("__okey")))
-    val = F.col("__loc") + F.col("__off")
+            edge = pd.Series(False, index=pdf.index)
+            if first:
+                edge.iloc[0], first = True, False
+            out = pdf.assign(__loc=cs.astype("int64"), __edge=edge)
+            if held is not None:
+                yield held
+            held = out
+        if held is not None:                    # the partition's last row is an edge too
+            held.iloc[-1, held.columns.get_loc("__edge")] = True
+            yield held
+
+    path = scratch_path(spark, "running-count")
+    x.mapInPandas(number, schema).write.parquet(path)
+    if persist_input:
+        src.unpersist()
+    loc = spark.read.parquet(path)
+
+    # one row per partition from its first and last rows (the __edge rows, at
+    # most two per partition): first key, last key, the last key's count there
+    pos = F.struct(F.col("__loc").alias("__l"), F.col(key).alias("__k"))
+    edges = loc.where(F.col("__edge")).select("__pid", key, "__loc", *order)
+    rank = F.struct(F.col(key).isNull(), F.col(key),
+                    *[F.struct(F.col(c).isNull(), F.col(c)) for c in order])
+    summ = edges.groupBy("__pid").agg(
+        F.min_by(F.col(key), rank).alias("__fk"),
+        F.max_by(pos, rank).alias("__last")).select(
+        "__pid", "__fk", F.col("__last.__k").alias("__lk"), F.col("__last.__l").alias("__ll"))
+    w_all = Window.orderBy("__pid")
+    w_key = Window.partitionBy("__lk").orderBy("__pid").rowsBetween(Window.unboundedPreceding, 0)
+    summ = summ.withColumn("__cum", F.sum("__ll").over(w_key))
+    off = summ.select(
+        F.col("__pid").alias("__opid"), F.col("__fk").alias("__okey"),
+        F.when(F.lag("__lk").over(w_all).eqNullSafe(F.col("__fk"))
+               & F.lag("__pid").over(w_all).isNotNull(),
+               F.lag("__cum").over(w_all)).otherwise(F.lit(0)).alias("__off"))
+    j = loc.join(F.broadcast(off), F.col("__pid") == F.col("__opid"), "left")
+    val = F.col("__loc") + F.when(F.col(key).eqNullSafe(F.col("__okey")), F.col("__off")).otherwise(F.lit(0))
     if not inclusive:
         val = val - F.col("__f")
     return j.select(*df.columns, val.alias(out))
