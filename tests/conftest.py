@@ -1,4 +1,5 @@
 import datetime as dt
+import tempfile
 
 import pytest
 
@@ -12,7 +13,8 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", 4, app="ledgerlark-tests")
+    s = build_session("local[4]", 4, app="ledgerlark-tests",
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="ledgerlark-wh-")})
     checkpoint_dir(s)
     yield s
 

@@ -40,3 +40,21 @@ def test_filters_reach_domain_parquet(spark):
     p = plan(finance.daily_revenue(d.payments, d.commissions, "1998-01-01", "1998-06-30"))
     assert "PushedFilters: [IsNotNull(created_at), GreaterThanOrEqual(created_at" in p
     assert "ReadSchema: struct<id:bigint,amount:decimal(18,2),created_at:timestamp>" in p
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from ledgerlark.operators import accounts as ac
+    from ledgerlark.sources.layout import read_table, write_business_tables
+    t = load_tables(spark, SF_SMALL)
+    names = write_business_tables(t, ["businesses", "payments"], 4, prefix="bkt_")
+    b, p = read_table(spark, names["businesses"]), read_table(spark, names["payments"])
+    lp = ac.latest_payments(p)
+    j = b.select("id", "business_name").join(lp, b["id"] == lp["business_id"])
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # force the co-located path
+    try:
+        pl = plan(j)
+        assert "SortMergeJoin" in pl and "Exchange" not in pl, pl
+        assert j.count() == t.payments.select("business_id").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
