@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import (as_of_lit, card_label, money_out, or_default,
                                 or_default_num, us_date, usd)
-from .common import (Desc, apply_patch, earliest_by_key, latest_by_key, patch_col,
-                     rank_in_key)
+from .common import Desc, apply_patch, earliest_by_key, latest_by_key, rank_in_key
 from .subscriptions import current_subscriptions
 
 PROFILE = ["id", "business_name", "owner_name", "email", "phone", "address",

@@ -316,3 +316,19 @@ def left_join_fact(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Data
         if f.name not in on:
             lonely = lonely.withColumn(f.name, F.lit(None).cast(f.dataType))
     return inner.unionByName(lonely.select(*inner.columns))
+
+
+# --------------------------------------------------------------------------- tenants
+def for_tenants(df: DataFrame, col: str, ids=None) -> DataFrame:
+    """The optional tenant filter of every report: rows whose ``col`` is one
+    of ``ids`` (all rows when ``ids`` is None).
+
+    Apply it to a report's inputs, on the column that carries the tenant
+    (``businesses.id``, ``payments.business_id``, ``referrals.referrer_id``,
+    ...).  It is a plain ``IN`` predicate, so it reaches the parquet scan as a
+    pushed filter, and a report keyed by the tenant gives the same rows for
+    those tenants as the all-tenant run.
+    """
+    if ids is None:
+        return df
+    return df.where(F.col(col).isin(list(ids)))

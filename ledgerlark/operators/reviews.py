@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import as_of_lit, ratio_round1
-from .common import apply_patch, patch_col, top_n_by_key
+from .common import apply_patch, top_n_by_key
 
 REVIEW_OUT = ["id", "business_id", "customer_name", "rating", "comment", "reply",
               "replied_at", "source", "created_at", "improvement_areas", "feedback"]

@@ -2,6 +2,8 @@
 
 import tempfile
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from conftest import SF_SMALL
@@ -58,3 +60,18 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert j.count() == t.payments.select("business_id").distinct().count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_tenant_filter_pushed_and_equal(spark):
+    from ledgerlark.operators.common import for_tenants
+    root = tempfile.mkdtemp(prefix="domain-")
+    t = load_tables(spark, SF_SMALL)
+    for name in ("reviews", "businesses"):
+        t[name].write.parquet(f"{root}/{name}")
+    d = read_domain_tables(spark, root)
+    ids = [3, 5, 8]
+    one = rv.review_stats(for_tenants(d.reviews, "business_id", ids), for_tenants(d.businesses, "id", ids))
+    p = plan(one)
+    assert "PushedFilters: [In(business_id, [3,5,8])]" in p or "In(business_id" in p, p
+    every = rv.review_stats(d.reviews, d.businesses).where(F.col("business_id").isin(ids))
+    assert one.exceptAll(every).count() == 0 and every.exceptAll(one).count() == 0
