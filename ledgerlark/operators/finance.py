@@ -87,8 +87,11 @@ def daily_revenue(payments: DataFrame, commissions: DataFrame, start, end,
     means its midnight, X20): transactions, revenue, commissions, net."""
     _check_fanout(fanout)
     p = payments.where(F.col("created_at").between(as_of_lit(start), as_of_lit(end)))
-    c = commissions.groupBy(F.col("payment_id").alias("id")).agg(
-        F.sum("amount").alias("c_sum"), F.count(F.lit(1)).alias("c_n"))
+    # only commissions of payments in the range are aggregated: a semi join on
+    # the in-range payment ids first (broadcast by AQE when that side is small)
+    c = (commissions.join(p.select(F.col("id").alias("payment_id")), "payment_id", "left_semi")
+         .groupBy(F.col("payment_id").alias("id")).agg(
+             F.sum("amount").alias("c_sum"), F.count(F.lit(1)).alias("c_n")))
     j = p.select("id", "amount", "created_at").join(c, "id", "left")
     zero = F.lit(0).cast("decimal(18,2)")
     if fanout == "aggregate":
