@@ -63,8 +63,8 @@ def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataF
         "max_uses", "is_active", "expires_at")
     u0 = redemption_counts(redemptions).select("coupon_id", F.col("uses").alias("u0"))
     pre = redemptions.select("coupon_id", "business_id").distinct().withColumn("pre_redeemed", F.lit(True))
-    a = (attempts.select("attempt_id", "code", "business_id", "attempted_at")
-         .join(c, F.upper(F.col("code")) == F.col("__code"), "left").drop("__code")
+    att = attempts.select("attempt_id", "code", "business_id", "attempted_at")
+    a = (att.join(c, F.upper(F.col("code")) == F.col("__code")).drop("__code")
          .join(u0, "coupon_id", "left")
          .join(pre, ["coupon_id", "business_id"], "left")
          .withColumn("u0", F.coalesce("u0", F.lit(0).cast("long")))
@@ -74,12 +74,11 @@ def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataF
             F.col("expires_at").isNull() | (F.col("expires_at") > F.col("attempted_at")))
     else:
         usable = F.lit(True)
-    found = a.where(F.col("coupon_id").isNotNull())
-    cand = found.where((F.col("coupon_type") == "trial") & ~F.col("pre_redeemed") & usable)
+    cand = a.where((F.col("coupon_type") == "trial") & ~F.col("pre_redeemed") & usable)
     firsts = earliest_by_key(cand, ["coupon_id", "business_id"],
                              ["attempted_at", "attempt_id"], ["coupon_id", "business_id", "attempt_id"]) \
         .select(F.col("attempt_id").alias("__first_id"), F.lit(True).alias("is_first"))
-    found = found.join(firsts, F.col("attempt_id") == F.col("__first_id"), "left") \
+    found = a.join(firsts, F.col("attempt_id") == F.col("__first_id"), "left") \
         .drop("__first_id").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
     ranked = running_count(found, "coupon_id", ["attempted_at", "business_id", "attempt_id"],
                            "firsts_before", flag=F.col("is_first"))
@@ -94,8 +93,9 @@ def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataF
         .otherwise("ok")
     decided = ranked.select("attempt_id", "business_id", "coupon_id", "coupon_type", "attempted_at",
                             uses.alias("uses_before"), reason.alias("reason"))
-    missing = a.where(F.col("coupon_id").isNull()).select(
-        "attempt_id", "business_id", "coupon_id", "coupon_type", "attempted_at",
+    missing = att.join(c.select("__code"), F.upper(F.col("code")) == F.col("__code"), "left_anti").select(
+        "attempt_id", "business_id", F.lit(None).cast("long").alias("coupon_id"),
+        F.lit(None).cast("string").alias("coupon_type"), "attempted_at",
         F.lit(None).cast("long").alias("uses_before"), F.lit("not_found").alias("reason"))
     out = decided.unionByName(missing)
     return out.withColumn("ok", F.col("reason") == "ok").withColumn(
