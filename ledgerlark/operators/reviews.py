@@ -70,12 +70,13 @@ def apply_replies(reviews: DataFrame, replies: DataFrame, as_of) -> DataFrame:
 
 def apply_surveys(reviews: DataFrame, surveys: DataFrame) -> DataFrame:
     """M7: survey answers (comma list of areas, feedback) onto a review, same
-    two-column match as M6."""
+    two-column match as M6; the last submitted survey per review wins."""
     p = surveys.select(F.col("review_id").alias("id"), "business_id",
-                       F.split(F.col("areas"), ",").alias("areas"), "feedback")
+                       F.split(F.col("areas"), ",").alias("areas"), "feedback", "submitted_at")
     return apply_patch(reviews, p, ["id", "business_id"],
                        {"improvement_areas": "areas", "feedback": "feedback"},
-                       patch_cols=["areas", "feedback"], flag="changed")
+                       order_col="submitted_at", patch_cols=["areas", "feedback", "submitted_at"],
+                       flag="changed")
 
 
 def ingest_reviews(reviews: DataFrame, new: DataFrame, businesses: DataFrame):

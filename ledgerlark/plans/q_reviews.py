@@ -72,7 +72,10 @@ SELECT r.id, r.business_id,
             ELSE array_to_string(string_split(s.areas, ','), ',') END AS areas_text,
        CASE WHEN s.review_id IS NULL THEN r.feedback ELSE s.feedback END AS feedback,
        s.review_id IS NOT NULL AS changed
-FROM reviews r LEFT JOIN review_surveys s ON s.review_id = r.id AND s.business_id = r.business_id
+FROM reviews r LEFT JOIN (
+  SELECT * FROM review_surveys
+  QUALIFY row_number() OVER (PARTITION BY review_id, business_id ORDER BY submitted_at DESC) = 1) s
+  ON s.review_id = r.id AND s.business_id = r.business_id
 """)
 def q_apply_surveys(spark, sf_dir):
     t = load_tables(spark, sf_dir)

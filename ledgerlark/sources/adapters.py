@@ -207,6 +207,7 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "business_id": "CASE WHEN event_id % 11 = 0 THEN user_id + 1 ELSE user_id END",
         "areas": "CASE WHEN event_id % 4 = 0 THEN NULL ELSE CONCAT('speed,', event_type) END",
         "feedback": "CONCAT('Feedback ', CAST(event_id AS STRING))",
+        "submitted_at": "ts + INTERVAL '2' HOUR",
     }, where="event_type = 'view'"),
     Adapter("new_reviews", _ORD, {
         "id": "o_orderkey",
@@ -277,7 +278,8 @@ EXTRA_TYPES: dict[str, dict[str, str]] = {
     "coupon_attempts": {"attempt_id": "string", "code": "string", "business_id": "long", "attempted_at": "ts"},
     "scans": {"scan_id": "long", "url_id": "string", "scanned_at": "ts"},
     "review_replies": {"review_id": "long", "business_id": "long", "reply": "string", "requested_at": "ts"},
-    "review_surveys": {"review_id": "long", "business_id": "long", "areas": "string", "feedback": "string"},
+    "review_surveys": {"review_id": "long", "business_id": "long", "areas": "string", "feedback": "string",
+                       "submitted_at": "ts"},
     "new_reviews": {"id": "long", "business_id": "long", "customer_name": "string", "rating": "int",
                     "comment": "string", "source": "string", "created_at": "ts"},
     "suspend_requests": {"business_id": "long", "requested_at": "ts"},

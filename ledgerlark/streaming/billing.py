@@ -395,9 +395,13 @@ def fold_billing_stream(events: DataFrame, subscriptions: DataFrame | None = Non
           .where(F.col("kind").isNotNull() & F.col("business_id").isNotNull())
           .withWatermark("event_ts", delay))
     if subscriptions is not None:
+        # the static side of a stream-static join is re-read every micro-batch:
+        # derive the current rows once and keep them for the query's lifetime
+        from pyspark import StorageLevel
         base = current_subscriptions(subscriptions)
         b = base.select(F.col("business_id").alias("__bid"), F.lit(True).alias("b_has"),
-                        *[F.col(c).alias(f"b_{c}") for c in _BASE_FIELDS])
+                        *[F.col(c).alias(f"b_{c}") for c in _BASE_FIELDS]).persist(
+            StorageLevel.MEMORY_AND_DISK)
         ev = ev.join(b, F.col("business_id") == F.col("__bid"), "left").drop("__bid")
     else:
         ev = ev.withColumn("b_has", F.lit(False))
