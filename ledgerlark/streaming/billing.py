@@ -435,3 +435,29 @@ def latest_states(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     cols = [c for c in df.columns if c not in ("batch",)]
     return latest_by_key(df, ["business_id"], [Desc("batch_id", nulls_first=False)], cols)
+
+
+def run_billing_stream(spark: SparkSession, source: str, out: str,
+                       subscriptions: DataFrame | None = None, delay: str = "1 day",
+                       fmt: str = "parquet", files_per_batch: int | None = None,
+                       available_now: bool = False, name: str = "billing-fold"):
+    """S2 -> T1-T7 -> S4 as one streaming query.
+
+    Reads billing events from ``source`` files, folds them per business
+    (``fold_billing_stream``) and writes each micro-batch's changed states to
+    ``{out}/batch=<id>`` (``snapshot_writer``); ``latest_states(spark, out)``
+    gives the current table.  The query's checkpoint lives under the shared
+    ``spark.checkpoint.dir``, so a restarted driver resumes where it stopped.
+    Returns the started ``StreamingQuery``.
+    """
+    from ..session import scratch_path
+    reader = spark.readStream.schema(schema("billing_events")).format(fmt)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    folded = fold_billing_stream(reader.load(source), subscriptions, delay)
+    w = (folded.writeStream.queryName(name).outputMode("update")
+         .foreachBatch(snapshot_writer(out))
+         .option("checkpointLocation", scratch_path(spark, f"stream-{name}")))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -12,7 +12,7 @@ from ledgerlark.sources import load_tables, read_domain_tables
 from ledgerlark.sources.schemas import schema
 from ledgerlark.sources.sinks import append_facts, as_json, write_snapshot
 from ledgerlark.streaming.billing import (dedup_events, fold_billing, fold_billing_stream,
-                                          latest_states, snapshot_writer)
+                                          latest_states, run_billing_stream, snapshot_writer)
 
 
 def test_append_partitioned_by_month_prunes(spark):
@@ -71,3 +71,21 @@ def test_stream_snapshot_writer_and_dedup(spark):
          .option("checkpointLocation", tempfile.mkdtemp(prefix="ck-")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert len(seen) == len(set(seen)) == e.count()
+
+
+def test_run_billing_stream_end_to_end(spark):
+    t = load_tables(spark, SF_SMALL)
+    e = t.billing_events
+    src = tempfile.mkdtemp(prefix="billing-src-") + "/in"
+    e.repartition(3).write.parquet(src)
+    out = tempfile.mkdtemp(prefix="billing-out-")
+    q = run_billing_stream(spark, src, out, t.subscriptions, "3650 days", files_per_batch=1,
+                           available_now=True, name="e2e")
+    q.awaitTermination()
+    got = {r["business_id"]: (r["status"], r["subscription_status"])
+           for r in latest_states(spark, out).collect()}
+    snap, status, _ = fold_billing(e, t.subscriptions)
+    snap = {r["business_id"]: r["status"] for r in snap.collect()}
+    status = {r["business_id"]: r["subscription_status"] for r in status.collect()}
+    assert {k: v[1] for k, v in got.items()} == status
+    assert all(v[0] == snap.get(k) for k, v in got.items())
