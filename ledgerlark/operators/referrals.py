@@ -25,6 +25,16 @@ def _one(c) -> Column:
     return F.greatest(F.coalesce(c, F.lit(0)), F.lit(1))
 
 
+def _with_zero_rows(agg: DataFrame, accounts: DataFrame | None, zeros: dict) -> DataFrame:
+    """Give every account in ``accounts`` (a frame with ``id``) a row, with
+    ``zeros`` filling the measures of accounts that have no referral."""
+    if accounts is None:
+        return agg
+    j = accounts.select(F.col("id").alias("referrer_id")).join(agg, "referrer_id", "left")
+    return j.select(*[F.coalesce(F.col(c), zeros[c]).alias(c) if c in zeros else F.col(c)
+                      for c in agg.columns])
+
+
 # ------------------------------------------------------------------ rules D1, D2
 def referral_status_active_first(sub_status: Column, onboarded: Column) -> Column:
     """Active subscription first, then onboarded -> pending_subscription,
@@ -193,9 +203,10 @@ def earnings_stats(businesses: DataFrame, referrals: DataFrame, earnings: DataFr
 
 # ------------------------------------------------------------------ dashboards
 def referral_totals(referrals: DataFrame, subscriptions: DataFrame,
-                    earnings: DataFrame) -> DataFrame:
+                    earnings: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """Per referrer: referrals, those whose business subscription is
-    active, and earnings of the (referrer, referred business) pairs."""
+    active, and earnings of the (referrer, referred business) pairs.  With
+    ``accounts`` every account gets a row, zeros when it has no referral."""
     s = current_subscriptions(subscriptions).select(
         F.col("business_id").alias("referred_business_id"), F.col("status").alias("s_status"))
     e = earnings.groupBy(F.col("seller_id").alias("referrer_id"),
@@ -204,10 +215,13 @@ def referral_totals(referrals: DataFrame, subscriptions: DataFrame,
     j = (referrals.select("id", "referrer_id", "referred_business_id")
          .join(s, "referred_business_id", "left")
          .join(e, ["referrer_id", "referred_business_id"], "left"))
-    return j.groupBy("referrer_id").agg(
+    agg = j.groupBy("referrer_id").agg(
         F.count_distinct("id").alias("total_referrals"),
         F.count_distinct(F.when(F.col("s_status") == "active", F.col("id"))).alias("active_referrals"),
         money_out(sum0(F.col("e_sum"))).alias("total_earnings"))
+    zero = F.lit(0).cast("long")
+    return _with_zero_rows(agg, accounts, {"total_referrals": zero, "active_referrals": zero,
+                                           "total_earnings": F.lit(0.0)})
 
 
 def referral_rows(referrals: DataFrame, businesses: DataFrame, subscriptions: DataFrame,
@@ -229,20 +243,25 @@ def referral_rows(referrals: DataFrame, businesses: DataFrame, subscriptions: Da
         "onboarding_completed", "subscription_status")
 
 
-def seller_totals(referrals: DataFrame, earnings: DataFrame, as_of) -> DataFrame:
+def seller_totals(referrals: DataFrame, earnings: DataFrame, as_of,
+                  sellers: DataFrame | None = None) -> DataFrame:
     """Per seller: referrals, active referrals (referral status), total
     and pending earnings through the referral, next payout date (first of
-    next month, midnight: F12)."""
+    next month, midnight: F12).  With ``sellers`` every seller gets a row,
+    zeros when it has no referral."""
     e = earnings.groupBy(F.col("referral_id").alias("id")).agg(
         F.sum("amount").alias("e_sum"),
         F.sum(F.when(F.col("status") == "pending", F.col("amount")).otherwise(0)).alias("e_pending"))
     j = referrals.select("id", "referrer_id", "status").join(e, "id", "left")
-    return j.groupBy("referrer_id").agg(
+    agg = j.groupBy("referrer_id").agg(
         F.count_distinct("id").alias("total_referrals"),
         F.count_distinct(F.when(F.col("status") == "active", F.col("id"))).alias("active_referrals"),
         money_out(sum0(F.col("e_sum"))).alias("total_earnings"),
-        money_out(sum0(F.col("e_pending"))).alias("pending_earnings"),
-    ).withColumn("next_payout_date", next_month_start(as_of_lit(as_of)))
+        money_out(sum0(F.col("e_pending"))).alias("pending_earnings"))
+    zero = F.lit(0).cast("long")
+    agg = _with_zero_rows(agg, sellers, {"total_referrals": zero, "active_referrals": zero,
+                                         "total_earnings": F.lit(0.0), "pending_earnings": F.lit(0.0)})
+    return agg.withColumn("next_payout_date", next_month_start(as_of_lit(as_of)))
 
 
 def seller_referrals(referrals: DataFrame, businesses: DataFrame, subscriptions: DataFrame,
@@ -269,21 +288,25 @@ def seller_payouts(earnings: DataFrame, referrals: DataFrame, businesses: DataFr
 
 
 def salesperson_totals(referrals: DataFrame, businesses: DataFrame, as_of,
-                       rate: float = 0.20) -> DataFrame:
+                       rate: float = 0.20, salespeople: DataFrame | None = None) -> DataFrame:
     """Per salesperson: commission recorded on referrals, active referred
     businesses (denormalised status), next payout = rate x subscription amount
-    of active referred businesses whose commission is unpaid."""
+    of active referred businesses whose commission is unpaid.  With
+    ``salespeople`` every salesperson gets a row, zeros when it has none."""
     b = businesses.select(F.col("id").alias("referred_business_id"),
                           F.col("subscription_status").alias("b_status"), "subscription_amount")
     j = referrals.join(b, "referred_business_id", "left")
     r = F.lit(rate).cast("decimal(5,2)")
     due = F.when((F.col("b_status") == "active") & (F.col("commission_paid") == F.lit(False)),
                  F.col("subscription_amount") * r).otherwise(F.lit(0))
-    return j.groupBy("referrer_id").agg(
+    agg = j.groupBy("referrer_id").agg(
         money_out(F.coalesce(F.sum("commission_amount"), F.lit(0))).alias("total_commission"),
         F.count_distinct(F.when(F.col("b_status") == "active", F.col("id"))).alias("active_referrals"),
-        money_out(F.coalesce(F.sum(due), F.lit(0))).alias("next_payout_amount"),
-    ).withColumn("next_payout_date", next_month_start(as_of_lit(as_of)))
+        money_out(F.coalesce(F.sum(due), F.lit(0))).alias("next_payout_amount"))
+    agg = _with_zero_rows(agg, salespeople, {"total_commission": F.lit(0.0),
+                                             "active_referrals": F.lit(0).cast("long"),
+                                             "next_payout_amount": F.lit(0.0)})
+    return agg.withColumn("next_payout_date", next_month_start(as_of_lit(as_of)))
 
 
 def salesperson_referral_payments(referrals: DataFrame, businesses: DataFrame,

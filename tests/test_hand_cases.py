@@ -177,3 +177,15 @@ def test_text_helpers(spark):
                   keyed_id(i).alias("k"), keyed_code(i).alias("c")).first()
     assert (r["u"], r["f"], r["d"]) == ("-$1,234.50", "-1234.50", "7/4/2001")
     assert len(r["k"]) == 15 and r["c"] == r["k"][:8].upper()
+
+
+def test_r20_r22_zero_rows(spark):
+    b = mk(spark, "businesses", [{"id": 1, "is_salesperson": True}])
+    r = mk(spark, "referrals", [])
+    e = mk(spark, "referral_earnings", [])
+    s = mk(spark, "subscriptions", [])
+    row = rf.referral_totals(r, s, e, b).first()
+    assert (row["referrer_id"], row["total_referrals"], row["total_earnings"]) == (1, 0, 0.0)
+    row = rf.seller_totals(r, e, "2024-12-31 00:00:00", sellers=b).first()
+    assert (row["total_referrals"], row["pending_earnings"]) == (0, 0.0)
+    assert row["next_payout_date"] == ts("2025-01-01 00:00:00")
