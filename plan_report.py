@@ -25,7 +25,7 @@ PATTERNS = {
     "window": r"\bWindow\b",
     "group_limit": r"WindowGroupLimit",
     "python": r"MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroupsInPandas",
-    "codegen": r"WholeStageCodegen",
+    "codegen": r"\*\(\d+\) ",
 }
 
 
@@ -49,16 +49,17 @@ def main(argv):
         widest = max((len(s.split(",")) for s in scans), default=0)
         rows.append((name, c, len(scans), widest))
     head = ("| query | shuffles | broadcasts | SMJ | BHJ | SHJ | nested loop | hash agg | sort agg "
-            "| window | group limit | python | scans | widest scan (cols) |")
+            "| window | group limit | python | codegen ops | scans | widest scan (cols) |")
     lines = ["# Physical plans", "",
              f"Final plans after AQE for every registered query at `{sf_dir}` on local[8] "
              "(`python plan_report.py`). Counts are operators in the executed plan; "
              "`running_count` queries show only the part after its written table.", "",
-             head, "|" + "---|" * 14]
+             head, "|" + "---|" * 15]
     for name, c, n_scans, widest in rows:
         lines.append(f"| {name} | {c['shuffle']} | {c['broadcast']} | {c['smj']} | {c['bhj']} | "
                      f"{c['shj']} | {c['nested_loop']} | {c['hash_agg']} | {c['sort_agg']} | "
-                     f"{c['window']} | {c['group_limit']} | {c['python']} | {n_scans} | {widest} |")
+                     f"{c['window']} | {c['group_limit']} | {c['python']} | {c['codegen']} | "
+                     f"{n_scans} | {widest} |")
     tot = Counter()
     for _, c, _, _ in rows:
         tot.update(c)
