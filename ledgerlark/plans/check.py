@@ -24,13 +24,16 @@ def duck_connect(sf_dir: str):
     return con
 
 
+STRICT = False   # True: floats compared at full precision (repr), not rounded
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6) + 0.0
+        return repr(v + 0.0) if STRICT else round(v, 6) + 0.0
     if isinstance(v, decimal.Decimal):
         return ("DEC", round(float(v), 6))
     if isinstance(v, dt.datetime):
