@@ -12,7 +12,7 @@ Order-based tables use ``as_of = 2001-08-01``; event-based ones ``2024-01-31``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,6 @@ class Adapter:
     where: str | None = None
     join: tuple[str, str] | None = None   # (driver table, ON condition)
     distinct: bool = False
-    extra: dict = field(default_factory=dict)
 
 
 _ORD = "orders"
@@ -124,17 +123,13 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "times_used": "CAST(p_size % 3 AS INT)",
         "expires_at": "CASE WHEN p_partkey % 4 = 0 THEN TIMESTAMP '2001-01-01 00:00:00' END",
     }),
-    # Attempts before 1998 are history (their distinct pairs are the redemptions);
-    # later ones are the batch D5 decides.
+    # FIXTURES.md's redemption_attempts (lineitem x orders), split in time:
+    # attempts before 1998 are history (their distinct pairs are the
+    # redemptions); later ones, with a typed code, are the batch D5 decides.
     Adapter("coupon_redemptions", "lineitem", {
         "coupon_id": "l_partkey",
         "business_id": "o_custkey",
     }, join=_LI_JOIN, where="l_shipdate < TIMESTAMP '1998-01-01 00:00:00'", distinct=True),
-    Adapter("redemption_attempts", "lineitem", {
-        "coupon_id": "l_partkey",
-        "business_id": "o_custkey",
-        "attempted_at": "l_shipdate",
-    }, join=_LI_JOIN),
     Adapter("coupon_attempts", "lineitem", {
         # lineitem has no unique key of its own; these four columns are unique
         "attempt_id": "CONCAT(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING))",

@@ -87,9 +87,6 @@ COLUMNS: dict[str, list[tuple[str, str]]] = {
         ("is_active", "bool"), ("expires_at", "ts"), ("created_at", "ts"),
     ],
     "coupon_redemptions": [("coupon_id", "long"), ("business_id", "long")],
-    "redemption_attempts": [
-        ("coupon_id", "long"), ("business_id", "long"), ("attempted_at", "ts"),
-    ],
     "verification_tokens": [
         ("business_id", "long"), ("token", "string"), ("type", "string"),
         ("expires_at", "ts"),
