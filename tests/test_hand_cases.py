@@ -189,3 +189,53 @@ def test_r20_r22_zero_rows(spark):
     row = rf.seller_totals(r, e, "2024-12-31 00:00:00", sellers=b).first()
     assert (row["total_referrals"], row["pending_earnings"]) == (0, 0.0)
     assert row["next_payout_date"] == ts("2025-01-01 00:00:00")
+
+
+def test_m9_qr_upsert_rules(spark):
+    from ledgerlark.operators import qr
+    q = mk(spark, "qr_codes", [{"id": 1, "business_id": 1, "type": "table", "url_id": "keep", "scans": 7},
+                               {"id": 2, "business_id": 2, "type": "table", "url_id": None, "scans": 3}])
+    ch = mk(spark, "qr_changes", [
+        {"change_id": 10, "business_id": 1, "type": "table", "url_id": "new1", "updated_at": ts("2024-01-02 00:00:00")},
+        {"change_id": 11, "business_id": 2, "type": "table", "url_id": None, "updated_at": ts("2024-01-02 00:00:00")},
+        {"change_id": 12, "business_id": 3, "type": "door", "url_id": "u3", "updated_at": ts("2024-01-02 00:00:00")}])
+    got = {(r["business_id"], r["type"]): r for r in qr.upsert_qr_codes(q, ch, "2024-01-31 00:00:00").collect()}
+    assert got[(1, "table")]["url_id"] == "keep" and got[(1, "table")]["scans"] == 7
+    assert got[(2, "table")]["url_id"] is not None and len(got[(2, "table")]["url_id"]) == 15
+    assert got[(3, "door")]["url_id"] == "u3" and got[(3, "door")]["scans"] == 0 and got[(3, "door")]["id"] == 12
+
+
+def test_m10_invalid_changes_skipped(spark):
+    bd = mk(spark, "bank_details", [{"business_id": 1, "transit_number": "11111", "bank_name": "old"}])
+    ch = mk(spark, "bank_changes", [
+        {"business_id": 1, "transit_number": "1234", "institution_number": "001", "account_number": "1234567",
+         "bank_name": "bad", "changed_at": ts("2024-01-01 00:00:00")},
+        {"business_id": 2, "transit_number": "12345", "institution_number": "001", "account_number": "1234567",
+         "bank_name": "good", "changed_at": ts("2024-01-01 00:00:00")}])
+    got = {r["business_id"]: r["bank_name"] for r in bank.upsert_bank_details(bd, ch, "2024-01-31").collect()}
+    assert got == {1: "old", 2: "good"}
+
+
+def test_m1_m3_referral_jobs(spark):
+    r = mk(spark, "referrals", [
+        {"id": 1, "referrer_id": 9, "referred_business_id": 2, "status": "pending"},
+        {"id": 2, "referrer_id": 9, "referred_business_id": 3, "status": "pending"},
+        {"id": 3, "referrer_id": 8, "referred_business_id": 2, "status": "active"}])
+    b = mk(spark, "businesses", [{"id": 2, "onboarding_completed": True}, {"id": 3, "onboarding_completed": False}])
+    got = {x["id"]: (x["status"], x["changed"]) for x in rf.activate_referrals(r, b).collect()}
+    assert got == {1: ("active", True), 2: ("pending", False), 3: ("active", False)}
+    p = mk(spark, "payments", [{"id": 5, "business_id": 2, "amount": D("100"), "created_at": ts("2020-03-09 00:00:00")}])
+    r2 = rf.activate_referrals(r, b).drop("changed")
+    e = rf.payment_earnings(p, r2).collect()
+    assert len(e) == 1 and e[0]["referral_id"] == 1 and e[0]["amount"] == D("75.00")
+    assert e[0]["month"] == ts("2020-03-01 00:00:00")
+
+
+def test_m20_codes_kept_and_unique(spark):
+    from ledgerlark.sources import load_tables
+    from conftest import SF_SMALL
+    t = load_tables(spark, SF_SMALL)
+    codes = rf.fill_referral_codes(t.businesses, "https://x")
+    assert rf.referral_code_collisions(codes).count() == 0
+    kept = codes.where("NOT generated").join(t.businesses.select("id", F.col("referral_code").alias("old")), "id")
+    assert kept.where("referral_code <> old").count() == 0
