@@ -71,3 +71,16 @@ def test_discount_batch_hot_coupon(spark):
     assert ok.select("business_id").distinct().count() == 40
     assert d.where("reason = 'ok'").agg(F.max("attempted_at")).first()[0] < \
         d.where("reason = 'max_uses'").agg(F.min("attempted_at")).first()[0]
+
+
+def test_left_join_fact_equals_left_join(spark):
+    from ledgerlark.operators.common import left_join_fact
+    left = spark.range(0, 50).select(F.col("id").alias("k"), (F.col("id") * 10).alias("lv"))
+    right = spark.range(0, 4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 40).alias("k"),   # key 7 is hot
+        F.col("id").alias("rv"))
+    got = left_join_fact(left, right, ["k"])
+    want = left.join(right, ["k"], "left")
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert got.where("rv IS NULL").count() == 10          # keys 40..49 have no partner
