@@ -239,3 +239,11 @@ def test_m20_codes_kept_and_unique(spark):
     assert rf.referral_code_collisions(codes).count() == 0
     kept = codes.where("NOT generated").join(t.businesses.select("id", F.col("referral_code").alias("old")), "id")
     assert kept.where("referral_code <> old").count() == 0
+
+
+def test_r4_filter_branches(spark):
+    r = mk(spark, "reviews", [{"id": i, "business_id": 1, "rating": x} for i, x in enumerate([1, 3, 4, 5])])
+    assert rv.reviews_by_sentiment(r, "positive").count() == 2
+    assert rv.reviews_by_sentiment(r, "negative").count() == 2
+    assert rv.reviews_by_sentiment(r, "anything").count() == 4
+    assert rv.reviews_by_sentiment(r, None).count() == 4

@@ -89,3 +89,17 @@ def test_run_billing_stream_end_to_end(spark):
     status = {r["business_id"]: r["subscription_status"] for r in status.collect()}
     assert {k: v[1] for k, v in got.items()} == status
     assert all(v[0] == snap.get(k) for k, v in got.items())
+
+
+def test_stream_from_json_files(spark):
+    from ledgerlark.streaming.billing import read_billing_events
+    t = load_tables(spark, SF_SMALL)
+    e = t.billing_events.where("business_id IS NOT NULL")
+    src = tempfile.mkdtemp(prefix="billing-json-") + "/in"
+    e.write.json(src)
+    seen = []
+    q = (read_billing_events(spark, src, fmt="json").writeStream
+         .foreachBatch(lambda df, i: seen.extend(r["event_id"] for r in df.select("event_id").collect()))
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="ck-")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(seen) == sorted(r["event_id"] for r in e.select("event_id").collect())
