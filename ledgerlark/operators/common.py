@@ -205,9 +205,11 @@ def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
     as a distributed prefix sum that no hot key can pin to one task:
 
     1. ``repartitionByRange(key, order)`` cuts the rows into contiguous ranges
-       of similar size, so a key holding a third of all rows spans many
-       partitions (its sampling job reuses the upstream shuffle files; pass
-       ``persist_input=True`` when the input's last stage is costly to redo);
+       of similar size (``spark.sql.shuffle.partitions`` of them, merged by AQE
+       when small, or ``partitions``), so a key holding a third of all rows
+       spans many partitions (its sampling job reuses the upstream shuffle
+       files; pass ``persist_input=True`` when the input's last stage is
+       costly to redo);
     2. a vectorised Pandas pass numbers rows within each partition (carrying
        the count across Arrow batches) and the result is written once as a
        table under the shared ``spark.checkpoint.dir`` (lineage cut; a lost
@@ -227,14 +229,16 @@ def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
     from pyspark.sql import types as T
 
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     f = (flag if flag is not None else F.lit(True))
     src = df.withColumn("__f", F.coalesce(f, F.lit(False)).cast("long"))
     if persist_input:
         src = src.persist(StorageLevel.MEMORY_AND_DISK)
     sort_cols = [F.col(key).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
-    x = (src.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
-         .withColumn("__pid", F.spark_partition_id()))
+    # without an explicit count AQE may merge small adjacent ranges; merged
+    # partitions stay contiguous and in order, which is all step 3 relies on
+    ranged = (src.repartitionByRange(partitions, *sort_cols) if partitions
+              else src.repartitionByRange(*sort_cols))
+    x = ranged.sortWithinPartitions(*sort_cols).withColumn("__pid", F.spark_partition_id())
     schema = T.StructType(x.schema.fields + [T.StructField("__loc", T.LongType(), False),
                                               T.StructField("__edge", T.BooleanType(), False)])
 
