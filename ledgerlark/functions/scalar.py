@@ -55,7 +55,8 @@ def card_label(brand, last4) -> Column:
     """'Brand ending in 1234' when both parts are present, else NULL."""
     brand, last4 = col_or_lit(brand), col_or_lit(last4)
     ok = (F.coalesce(brand, F.lit("")) != "") & (F.coalesce(last4, F.lit("")) != "")
-    return F.when(ok, F.concat(capitalize_first(brand), F.lit(" ending in "), last4))
+    from ..fixed import CARD_LABEL_JOIN
+    return F.when(ok, F.concat(capitalize_first(brand), F.lit(CARD_LABEL_JOIN), last4))
 
 
 def keyed_id(*parts, length: int = 15) -> Column:

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import (DEFAULT_PAYMENT_METHOD, INVOICE_NO_ADDRESS, INVOICE_NO_PAYMENT,
+                     INVOICE_NO_STATUS, TRIAL_DAYS, TRIAL_QUOTA)
 from ..functions.scalar import (as_of_lit, card_label, money_out, or_default,
                                 or_default_num, us_date, usd)
 from .common import Desc, apply_patch, earliest_by_key, latest_by_key, rank_in_key
@@ -130,10 +132,10 @@ def invoice_rows(businesses: DataFrame, subscriptions: DataFrame,
          .join(lp, "id", "left"))
     return j.select(
         F.col("id").alias("business_id"), "business_name", "email",
-        or_default(F.col("subscription_status"), "Inactive").alias("status_text"),
+        or_default(F.col("subscription_status"), INVOICE_NO_STATUS).alias("status_text"),
         usd(or_default_num(F.col("amount"), F.lit(0).cast("decimal(18,2)"))).alias("amount_text"),
-        F.coalesce(us_date(F.col("payment_date")), F.lit("N/A")).alias("last_payment_text"),
-        or_default(F.col("address"), "Not provided").alias("address_text"))
+        F.coalesce(us_date(F.col("payment_date")), F.lit(INVOICE_NO_PAYMENT)).alias("last_payment_text"),
+        or_default(F.col("address"), INVOICE_NO_ADDRESS).alias("address_text"))
 
 
 def subscription_status(businesses: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -148,7 +150,7 @@ def subscription_status(businesses: DataFrame, subscriptions: DataFrame) -> Data
         or_default(F.col("s_status"), "trial").alias("status"),
         F.coalesce(F.col("s_status") == "active", F.lit(False)).alias("is_subscribed"),
         or_default_num(F.col("trial_reviews_remaining"), F.lit(0)).alias("trial_reviews_left"),
-        (F.col("trial_started_at") + F.expr("INTERVAL 14 DAYS")).alias("trial_ends_at"),
+        (F.col("trial_started_at") + F.make_dt_interval(F.lit(TRIAL_DAYS))).alias("trial_ends_at"),
         F.col("current_period_end").alias("subscription_ends_at"),
         money_out(or_default_num(F.col("total_referral_earnings"),
                                  F.lit(0).cast("decimal(18,2)"))).alias("total_referral_earnings"),
@@ -317,7 +319,7 @@ def start_trials(businesses: DataFrame, requests: DataFrame, as_of) -> DataFrame
     """Trial start: quota 10 and trial_started_at = ``as_of``."""
     p = requests.select(F.col("business_id").alias("id")).distinct()
     return apply_patch(businesses, p, ["id"],
-                       {"trial_reviews_remaining": F.lit(10),
+                       {"trial_reviews_remaining": F.lit(TRIAL_QUOTA),
                         "trial_started_at": as_of_lit(as_of)}, patch_cols=[], flag="changed")
 
 
@@ -347,7 +349,7 @@ def complete_onboarding(businesses: DataFrame, subscriptions: DataFrame, request
                     {"onboarding_completed": F.lit(True)}, patch_cols=[], flag="changed")
     rows = last.select(*[
         (F.col("business_id") if c in ("id", "business_id") else
-         or_default(F.col("payment_method"), "credit_card") if c == "payment_method" else
+         or_default(F.col("payment_method"), DEFAULT_PAYMENT_METHOD) if c == "payment_method" else
          F.lit("active") if c == "status" else
          as_of_lit(as_of) if c in ("created_at", "updated_at") else
          F.lit(None)).cast(subscriptions.schema[c].dataType).alias(c)

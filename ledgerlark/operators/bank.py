@@ -5,15 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import BANK_RULES
 from ..functions.scalar import as_of_lit, full_match
 from .common import P, upsert
 
-# Fixed values from the reference: field patterns and their messages, in check order.
-BANK_RULES = [
-    ("transit_number", r"\d{5}", "Transit number must be 5 digits"),
-    ("institution_number", r"\d{3}", "Institution number must be 3 digits"),
-    ("account_number", r"\d{7,12}", "Account number must be 7-12 digits"),
-]
 BANK_FIELDS = ["account_holder_name", "transit_number", "institution_number",
                "account_number", "bank_name", "account_type"]
 

@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import COUPON_CODE_PATTERN
 from ..functions.scalar import as_of_lit, full_match
 from .common import Desc, apply_patch, earliest_by_key, latest_by_key, running_count
 
-# Fixed value from the reference: the coupon code format.
-COUPON_CODE_PATTERN = "[A-Z0-9]{4,16}"
 
 COUPON_COLS = ["id", "code", "description", "type", "value", "max_uses", "times_used",
                "is_active", "expires_at", "created_at"]

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import QR_ID_LENGTH, REVIEW_PATH
 from ..functions.scalar import as_of_lit, keyed_id
 from .common import P, T, earliest_by_key, upsert
 
 
 def review_url(base_url: str, url_id) -> F.Column:
     """``{base}/review/{url_id}``; NULL when the id is missing."""
-    return F.concat(F.lit(base_url), F.lit("/review/"), url_id)
+    return F.concat(F.lit(base_url), F.lit(REVIEW_PATH), url_id)
 
 
 def qr_codes_view(qr_codes: DataFrame, businesses: DataFrame, base_url: str) -> DataFrame:
@@ -43,7 +44,7 @@ def upsert_qr_codes(qr_codes: DataFrame, changes: DataFrame, as_of) -> DataFrame
     without one (or a new row) takes the change's proposed id, else a
     deterministic one from the key (F16).  ``scans`` is carried through; new
     rows start at 0.  The last change per key wins."""
-    gen = F.coalesce(P("url_id"), keyed_id(P("business_id"), P("type")))
+    gen = F.coalesce(P("url_id"), keyed_id(P("business_id"), P("type"), length=QR_ID_LENGTH))
     now = as_of_lit(as_of)
     ch = changes.select("business_id", "type", "url_id", "change_id", "updated_at")
     return upsert(

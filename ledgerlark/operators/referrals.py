@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import COMMISSION_RATE, FLAT_EARNING, REFERRAL_CODE_LENGTH, SIGNUP_PATH
 from ..functions.scalar import as_of_lit, keyed_code, money_out, next_month_start
 from .common import apply_patch, earliest_by_key, left_join_fact, sum0
 from .subscriptions import current_subscriptions
@@ -288,7 +289,7 @@ def seller_payouts(earnings: DataFrame, referrals: DataFrame, businesses: DataFr
 
 
 def salesperson_totals(referrals: DataFrame, businesses: DataFrame, as_of,
-                       rate: float = 0.20, salespeople: DataFrame | None = None) -> DataFrame:
+                       rate: float = COMMISSION_RATE, salespeople: DataFrame | None = None) -> DataFrame:
     """Per salesperson: commission recorded on referrals, active referred
     businesses (denormalised status), next payout = rate x subscription amount
     of active referred businesses whose commission is unpaid.  With
@@ -310,7 +311,7 @@ def salesperson_totals(referrals: DataFrame, businesses: DataFrame, as_of,
 
 
 def salesperson_referral_payments(referrals: DataFrame, businesses: DataFrame,
-                                  payments: DataFrame, rate: float = 0.20) -> DataFrame:
+                                  payments: DataFrame, rate: float = COMMISSION_RATE) -> DataFrame:
     """Referred businesses, one row per (referral, payment time): the
     payment time is a group key as in the reference; commission = rate x the
     payments at that time."""
@@ -340,7 +341,7 @@ def activate_referrals(referrals: DataFrame, businesses: DataFrame) -> DataFrame
 
 
 def monthly_earnings(referrals: DataFrame, subscriptions: DataFrame, earnings: DataFrame,
-                     month, as_of, rate: float = 0.20, unit_divisor: int = 1,
+                     month, as_of, rate: float = COMMISSION_RATE, unit_divisor: int = 1,
                      as_written: bool = False) -> DataFrame:
     """M2: one earning per active referral and its subscription: rate x the
     subscription amount (stored in cents; ``unit_divisor`` converts, X7).
@@ -368,7 +369,7 @@ def monthly_earnings(referrals: DataFrame, subscriptions: DataFrame, earnings: D
     return rows
 
 
-def payment_earnings(payments: DataFrame, referrals: DataFrame, flat: float = 75.0) -> DataFrame:
+def payment_earnings(payments: DataFrame, referrals: DataFrame, flat: float = FLAT_EARNING) -> DataFrame:
     """M3: a flat earning per payment for the payer's first active referral
     (lowest id; the reference takes an unordered first row), stamped with the
     payment's month.  The payment amount is ignored, as in the reference."""
@@ -387,10 +388,10 @@ def payment_earnings(payments: DataFrame, referrals: DataFrame, flat: float = 75
 def fill_referral_codes(businesses: DataFrame, base_url: str) -> DataFrame:
     """Keep existing referral codes; give the others a deterministic
     8-character code derived from the id (F17), and build the signup link."""
-    code = F.coalesce(F.col("referral_code"), keyed_code(F.col("id")))
+    code = F.coalesce(F.col("referral_code"), keyed_code(F.col("id"), length=REFERRAL_CODE_LENGTH))
     return businesses.select(
         "id", code.alias("referral_code"), F.col("referral_code").isNull().alias("generated"),
-        F.concat(F.lit(base_url), F.lit("/signup?ref="), code).alias("referral_link"))
+        F.concat(F.lit(base_url), F.lit(SIGNUP_PATH), code).alias("referral_link"))
 
 
 def referral_code_collisions(codes: DataFrame) -> DataFrame:

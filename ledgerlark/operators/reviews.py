@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import DEFAULT_REVIEW_SOURCE, POSITIVE_RATING, RECENT_REVIEWS
 from ..functions.scalar import as_of_lit, ratio_round1
 from .common import apply_patch, top_n_by_key
 
@@ -19,8 +20,8 @@ def review_stats(reviews: DataFrame, businesses: DataFrame | None = None) -> Dat
     business appears, with 0, 0, 0, NULL when it has no review."""
     agg = reviews.groupBy("business_id").agg(
         F.count(F.lit(1)).alias("total"),
-        F.count(F.when(F.col("rating") >= 4, 1)).alias("positive"),
-        F.count(F.when(F.col("rating") < 4, 1)).alias("negative"),
+        F.count(F.when(F.col("rating") >= POSITIVE_RATING, 1)).alias("positive"),
+        F.count(F.when(F.col("rating") < POSITIVE_RATING, 1)).alias("negative"),
         F.sum("rating").alias("_rsum"), F.count("rating").alias("_rn"))
     if businesses is not None:
         agg = businesses.select(F.col("id").alias("business_id")).join(agg, "business_id", "left")
@@ -33,7 +34,7 @@ def review_stats(reviews: DataFrame, businesses: DataFrame | None = None) -> Dat
         ratio_round1(F.col("_rsum"), F.col("_rn")).alias("average_rating"))
 
 
-def recent_reviews(reviews: DataFrame, n: int = 5) -> DataFrame:
+def recent_reviews(reviews: DataFrame, n: int = RECENT_REVIEWS) -> DataFrame:
     """R2: the ``n`` newest reviews per business (created_at DESC NULLS FIRST,
     id DESC to break ties)."""
     order = [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
@@ -51,9 +52,9 @@ def business_reviews(reviews: DataFrame) -> DataFrame:
 def reviews_by_sentiment(reviews: DataFrame, flt: str | None) -> DataFrame:
     """Positive (>= 4), negative (< 4), or every review for any other filter."""
     if flt == "positive":
-        reviews = reviews.where(F.col("rating") >= 4)
+        reviews = reviews.where(F.col("rating") >= POSITIVE_RATING)
     elif flt == "negative":
-        reviews = reviews.where(F.col("rating") < 4)
+        reviews = reviews.where(F.col("rating") < POSITIVE_RATING)
     return reviews.select(*REVIEW_OUT).orderBy(
         "business_id", F.col("created_at").desc_nulls_first(), F.col("id").desc())
 
@@ -86,7 +87,7 @@ def ingest_reviews(reviews: DataFrame, new: DataFrame, businesses: DataFrame):
     rows = new.select(
         *[F.col(c) if c in new.columns else F.lit(None).cast(reviews.schema[c].dataType).alias(c)
           for c in reviews.columns if c != "source"],
-        F.coalesce(F.col("source"), F.lit("direct")).alias("source")).select(*reviews.columns)
+        F.coalesce(F.col("source"), F.lit(DEFAULT_REVIEW_SOURCE)).alias("source")).select(*reviews.columns)
     receipts = rows.select(F.col("id").alias("review_id"), "business_id", "source").join(
         businesses.select(F.col("id").alias("business_id"), "google_review_link"),
         "business_id", "left")

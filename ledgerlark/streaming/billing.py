@@ -32,17 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..fixed import EVENT_KINDS
 from ..operators.common import apply_patch, running_count
 from ..operators.subscriptions import current_subscriptions
 from ..sources.schemas import schema
 
-# Fixed values from the reference: the provider event types it handles.
-EVENT_KINDS = {
-    "checkout.session.completed": "checkout",
-    "customer.subscription.updated": "updated",
-    "customer.subscription.deleted": "deleted",
-    "invoice.payment_succeeded": "paid",
-}
 
 SUB_OUT = ["id", "business_id", "stripe_subscription_id", "stripe_customer_id", "status",
            "amount", "current_period_end", "card_last4", "card_brand", "payment_method",
