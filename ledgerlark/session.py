@@ -59,6 +59,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return cur
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared filesystem path: "
+                             "a machine-local folder does not survive a lost executor")
         d = tempfile.mkdtemp(prefix="ledgerlark-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()
