@@ -118,3 +118,24 @@ def test_late_events_rejected_and_counted(spark):
     states, late = run_stream(spark, e, None, "1 day", files=[[0], [1], [2]])
     assert late == [3]
     assert states[1]["status"] == "active"
+
+
+def test_stream_commits_with_advancing_watermark(spark):
+    t = load_tables(spark, SF_SMALL)
+    e = t.billing_events.where("business_id IS NOT NULL")
+    rows = e.collect()
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["event_ts"], rows[i]["event_id"]))
+    n = max(1, len(order) // 6)
+    files = [order[i:i + n] for i in range(0, len(order), n)]         # chronological chunks
+    for f in files:
+        random.Random(len(f)).shuffle(f)                              # disorder inside a chunk
+    states, late = run_stream(spark, e, t.subscriptions, "1 day", files=files)
+    assert late == []
+    snap, status, _ = fold_billing(e, t.subscriptions)
+    snap = {r["business_id"]: r.asDict() for r in snap.collect()}
+    status = {r["business_id"]: r["subscription_status"] for r in status.collect()}
+    for bid, s in states.items():
+        assert s["subscription_status"] == status[bid]
+        if s["row_exists"]:
+            for c in SUB_OUT:
+                assert s[c] == snap[bid][c], (bid, c)
