@@ -247,3 +247,18 @@ def test_r4_filter_branches(spark):
     assert rv.reviews_by_sentiment(r, "negative").count() == 2
     assert rv.reviews_by_sentiment(r, "anything").count() == 4
     assert rv.reviews_by_sentiment(r, None).count() == 4
+
+
+def test_d5_strict_checks_active_and_expiry(spark):
+    c = mk(spark, "coupons", [
+        {"id": 1, "code": "OFF", "type": "trial", "value": 7, "max_uses": 5, "is_active": False},
+        {"id": 2, "code": "OLD", "type": "trial", "value": 7, "max_uses": 5, "is_active": True,
+         "expires_at": ts("2020-01-01 00:00:00")},
+        {"id": 3, "code": "OK", "type": "trial", "value": 7, "max_uses": 5, "is_active": True}])
+    red = mk(spark, "coupon_redemptions", [])
+    a = _attempts(spark, [("OFF", 10, "2020-02-01 00:00:00"), ("OLD", 10, "2020-02-01 00:00:00"),
+                          ("OK", 10, "2020-02-01 00:00:00")])
+    loose = {r["coupon_id"]: r["reason"] for r in cp.coupon_decisions(a, c, red).collect()}
+    strict = {r["coupon_id"]: r["reason"] for r in cp.coupon_decisions(a, c, red, strict=True).collect()}
+    assert loose == {1: "ok", 2: "ok", 3: "ok"}                  # as written: flags not checked (X17)
+    assert strict == {1: "inactive", 2: "expired", 3: "ok"}
