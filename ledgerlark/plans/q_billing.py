@@ -44,7 +44,7 @@ keys AS (SELECT business_id FROM cur_subs UNION SELECT business_id FROM lc)
 SELECT COALESCE(b.id, k.business_id) AS id, k.business_id,
   CASE WHEN lc.business_id IS NOT NULL THEN lc.stripe_subscription_id ELSE b.stripe_subscription_id END AS stripe_subscription_id,
   CASE WHEN lc.business_id IS NOT NULL THEN lc.stripe_customer_id ELSE b.stripe_customer_id END AS stripe_customer_id,
-  COALESCE(la.new_status, b.status) AS status,
+  CASE WHEN la.business_id IS NOT NULL THEN la.new_status ELSE b.status END AS status,
   CASE WHEN lc.business_id IS NOT NULL THEN lc.amount ELSE b.amount END AS amount,
   CASE WHEN lc.business_id IS NOT NULL THEN lc.current_period_end ELSE b.current_period_end END AS current_period_end,
   CASE WHEN lc.business_id IS NOT NULL THEN lc.card_last4 ELSE b.card_last4 END AS card_last4,

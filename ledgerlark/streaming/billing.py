@@ -201,7 +201,8 @@ def fold_billing(events: DataFrame, subscriptions: DataFrame | None = None):
         F.coalesce(F.col("b_business_id"), F.col("business_id")).alias("business_id"),
         pick("stripe_subscription_id", "stripe_subscription_id").alias("stripe_subscription_id"),
         pick("stripe_customer_id", "stripe_customer_id").alias("stripe_customer_id"),
-        F.coalesce(F.col("last_app.st"), F.col("b_status")).alias("status"),
+        F.when(F.col("last_app").isNotNull(), F.col("last_app.st"))
+        .otherwise(F.col("b_status")).alias("status"),
         pick("amount", "amount").alias("amount"),
         pick("current_period_end", "current_period_end").alias("current_period_end"),
         pick("card_last4", "card_last4").alias("card_last4"),
