@@ -328,7 +328,8 @@ def _fold_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
     late = []
     for r in rows:
         e = {"event_id": int(r["event_id"]), "event_ts": _ts(r["event_ts"]), "kind": r["kind"],
-             "status": _val(r["status"]), "cancel_at_period_end": bool(_val(r["cancel_at_period_end"])),
+             "status": _val(r["status"]), "cancel_at_period_end": None if _val(r["cancel_at_period_end"]) is None
+             else bool(_val(r["cancel_at_period_end"])),
              "stripe_subscription_id": _val(r["stripe_subscription_id"]),
              "stripe_customer_id": _val(r["stripe_customer_id"]), "amount": _val(r["amount"]),
              "current_period_end": _ts(r["current_period_end"]),
