@@ -329,10 +329,15 @@ def for_tenants(df: DataFrame, col: str, ids=None) -> DataFrame:
 
     Apply it to a report's inputs, on the column that carries the tenant
     (``businesses.id``, ``payments.business_id``, ``referrals.referrer_id``,
-    ...).  It is a plain ``IN`` predicate, so it reaches the parquet scan as a
-    pushed filter, and a report keyed by the tenant gives the same rows for
-    those tenants as the all-tenant run.
+    ...).  A short Python list becomes an ``IN`` predicate that reaches the
+    parquet scan as a pushed filter; a DataFrame of ids (first column) becomes
+    a semi join, broadcast by AQE only when its measured size allows.  A
+    report keyed by the tenant gives the same rows for those tenants as the
+    all-tenant run.
     """
     if ids is None:
         return df
+    if isinstance(ids, DataFrame):
+        keys = ids.select(F.col(ids.columns[0]).alias("__tenant")).distinct()
+        return df.join(keys, F.col(col) == F.col("__tenant"), "left_semi")
     return df.where(F.col(col).isin(list(ids)))

@@ -75,3 +75,12 @@ def test_tenant_filter_pushed_and_equal(spark):
     assert "PushedFilters: [In(business_id, [3,5,8])]" in p or "In(business_id" in p, p
     every = rv.review_stats(d.reviews, d.businesses).where(F.col("business_id").isin(ids))
     assert one.exceptAll(every).count() == 0 and every.exceptAll(one).count() == 0
+
+
+def test_tenant_filter_by_frame(spark):
+    from ledgerlark.operators.common import for_tenants
+    t = load_tables(spark, SF_SMALL)
+    ids = spark.createDataFrame([(3,), (5,), (8,), (5,)], "bid long")
+    a = for_tenants(t.reviews, "business_id", ids)
+    b = for_tenants(t.reviews, "business_id", [3, 5, 8])
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
