@@ -262,3 +262,17 @@ def test_d5_strict_checks_active_and_expiry(spark):
     strict = {r["coupon_id"]: r["reason"] for r in cp.coupon_decisions(a, c, red, strict=True).collect()}
     assert loose == {1: "ok", 2: "ok", 3: "ok"}                  # as written: flags not checked (X17)
     assert strict == {1: "inactive", 2: "expired", 3: "ok"}
+
+
+def test_x16_duplicate_subscriptions(spark):
+    from ledgerlark.operators.subscriptions import current_subscriptions
+    b = mk(spark, "businesses", [{"id": 1}])
+    s = mk(spark, "subscriptions", [{"id": 4, "business_id": 1, "status": "cancelled"},
+                                    {"id": 9, "business_id": 1, "status": "active"}])
+    p = mk(spark, "payments", [{"id": 1, "business_id": 1, "amount": D("50")}])
+    e = mk(spark, "referral_earnings", [])
+    assert current_subscriptions(s).first()["id"] == 9
+    agg = finance.financial_totals(b, s, p, e).first()
+    raw = finance.financial_totals(b, s, p, e, "as_written").first()
+    assert (agg["total_revenue"], agg["active_businesses"]) == (50.0, 1)
+    assert raw["total_revenue"] == 100.0                  # each subscription row repeats the payment
