@@ -60,8 +60,10 @@ def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataF
     c = coupons_by_code(coupons).select(
         F.col("id").alias("coupon_id"), F.col("code").alias("__code"), F.col("type").alias("coupon_type"),
         "max_uses", "is_active", "expires_at")
-    u0 = redemption_counts(redemptions).select("coupon_id", F.col("uses").alias("u0"))
-    pre = redemptions.select("coupon_id", "business_id").distinct().withColumn("pre_redeemed", F.lit(True))
+    # one pass over the redemptions: uses per (coupon, business) pair, then per coupon
+    pairs = redemptions.groupBy("coupon_id", "business_id").agg(F.count(F.lit(1)).alias("__n"))
+    u0 = pairs.groupBy("coupon_id").agg(F.sum("__n").alias("u0"))
+    pre = pairs.select("coupon_id", "business_id", F.lit(True).alias("pre_redeemed"))
     att = attempts.select("attempt_id", "code", "business_id", "attempted_at")
     a = (att.join(c, F.upper(F.col("code")) == F.col("__code")).drop("__code")
          .join(u0, "coupon_id", "left")
