@@ -103,3 +103,10 @@ def test_stream_from_json_files(spark):
          .option("checkpointLocation", tempfile.mkdtemp(prefix="ck-")).trigger(availableNow=True).start())
     q.awaitTermination()
     assert sorted(seen) == sorted(r["event_id"] for r in e.select("event_id").collect())
+
+
+def test_command_line_runner(spark):
+    from ledgerlark.__main__ import main
+    out = tempfile.mkdtemp(prefix="cli-") + "/r"
+    assert main(["monthly_financials", "--sf-dir", SF_SMALL, "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 12
