@@ -27,6 +27,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
@@ -35,14 +43,15 @@ def _signature(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id per linked id, as (id, component).
 
-    ``edges`` has two long columns; nulls and self links are ignored.
+    ``edges`` has two columns of one orderable type; nulls and self links are
+    ignored.
     Alternating large-star and small-star rounds: every round is an aggregate
     and a join on a node, so a hub's links are reduced map-side and its join
     partition can be split; each round's table is written.  Raises if
     ``max_rounds`` rounds do not converge (their number grows with the
     logarithm of the longest path).
     """
-    a, b = (F.col(f"`{c}`").cast("long") for c in edges.columns[:2])
+    a, b = (F.col(f"`{c}`") for c in edges.columns[:2])
     e = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where("u is not null and v is not null and u <> v").distinct(), "links")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, free_name, materialize
 
 RANK_BINS = 4096            # bins of the Pareto rank for the distributed prefix sum
 
@@ -47,7 +47,7 @@ def size_level(size: Column) -> Column:
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3,
                seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
-               source_col: str = "source") -> DataFrame:
+               source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Copies of every document in a mix of the sources by weight.
 
     A document's expected copies are its source's factor times its size level,
@@ -64,16 +64,16 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
     taken.  Null source: a source of its own, last in order.  Repeated rows
     are separate documents.  An empty table gives no rows.
 
-    Returns rid (row number), doc_id, source, size, source_size, target,
-    copies, taken.
+    Returns rid (``row_col``, or a row number), doc_id, source, size,
+    source_size, target, copies, taken.
     """
     text, src = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
     key = F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(f":{seed}:"),
                    F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     u = (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(2 ** 52)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("doc_id"),
-        src.alias("source"),
+        (F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("rid"),
+        F.col(f"`{id_col}`").alias("doc_id"), src.alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         u.alias("u"))
     rows = materialize(rows.withColumn("level", size_level(F.col("size"))), "mix-rows")
@@ -135,3 +135,14 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
             .select("rid", "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"),
                     F.col("target").cast("double").alias("target"), "copies",
                     (F.col("copies") * F.col("size")).alias("taken")))
+
+
+def mix_documents(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` as the mix has them: every row as often as it has copies."""
+    row = free_name(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
+    copies = (pareto_mix(numbered, row_col=row, **params).where("copies > 0")
+              .select(F.col("rid").alias(row), F.col("copies").alias(free_name(numbered, "copies"))))
+    times = F.explode(F.array_repeat(F.lit(0), F.col(copies.columns[1]).cast("int")))
+    return (numbered.join(copies, row).select(*[F.col(f"`{c}`") for c in docs.columns], times.alias(free_name(docs, "copy")))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

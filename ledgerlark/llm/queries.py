@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, shards, urls
+from . import dartminhash, decontam, language, mixing, shards, urls
 from .common import read_table
 
 #: listed URL rules (host, path, verdict), fixed by the query's contract
@@ -42,6 +42,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents: one row per document and item."""
+    return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the law ``bytes``."""
     placed = shards.byte_shards(read_table(spark, sf_dir, "documents"), SHARDS)
@@ -49,5 +54,12 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_language_id, op5_source_mix, op9_byte_shards)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document: class_id is the smallest doc_id."""
+    found = dartminhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_language_id, op5_source_mix, op8_decontaminate, op9_byte_shards,
+                                   op10_near_dedup)}
 ORACLES: dict[str, str] = {}

@@ -8,11 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 
 def byte_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
-                text_col: str = "text", overhead: int = 8) -> DataFrame:
+                text_col: str = "text", overhead: int = 8, row_col: str | None = None) -> DataFrame:
     """Put every row into one of ``shards`` contiguous shards of equal bytes.
 
     Rows are ordered by id (null first), then checksum.  A row's size is its
@@ -25,8 +25,8 @@ def byte_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
     partition's offset, a window inside the partition the rest.  A repeated id
     is spread by checksum and row number, so no range holds a hot key.
 
-    Returns id, size, text_crc32, shard (0-based), slot (0-based, gapless in
-    the shard) and row_index (global).  Repeated rows stay, one slot each; an
+    Returns rid (``row_col``, or a row number), doc_id, size, text_crc32, shard
+    (0-based), slot (0-based, gapless in the shard) and row_index (global).  Repeated rows stay, one slot each; an
     empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -36,7 +36,7 @@ def byte_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
         F.col(f"`{id_col}`").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("rid"))
+        (F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()).alias("rid"))
     key = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc_nulls_first(), F.col("rid")]
     rows = materialize(rows.repartitionByRange(parts, *key)
                        .withColumn("part", F.spark_partition_id()), "shard-rows")
@@ -61,5 +61,15 @@ def byte_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id",
                   F.lit(shards - 1)).cast("int")))
     firsts = placed.groupBy("shard").agg(F.min("row_index").alias("first"))
     return placed.join(firsts, "shard").select(
-        "doc_id", "size", "text_crc32", "shard",
+        "rid", "doc_id", "size", "text_crc32", "shard",
         (F.col("row_index") - F.col("first")).cast("long").alias("slot"), "row_index")
+
+
+def shard_documents(docs: DataFrame, shards: int = 24, **params) -> DataFrame:
+    """``docs`` with the columns shard and slot (under free names)."""
+    row = free_name(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "shard-docs")
+    place = byte_shards(numbered, shards, row_col=row, **params).select(
+        F.col("rid").alias(row), F.col("shard").alias(free_name(numbered, "shard")),
+        F.col("slot").alias(free_name(numbered, "slot")))
+    return numbered.join(place, row).drop(row)
