@@ -47,15 +47,15 @@ def train(rows: DataFrame, docs_per_lang: int = 2000, max_langs: int = 200,
              .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     words = materialize(words, "lang-words")
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
-    grams = [words.where(F.length("word") <= 40)
-             .select("lang", "n", F.explode(F.transform(
-                 F.sequence(F.lit(1), F.greatest(F.length(padded) - k + 1, F.lit(1))),
-                 lambda i, k=k: F.substring(padded, i, F.lit(k)))).alias("word"))
-             .groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.length("word") == k)
-             .select("lang", F.lit(k).alias("k"), "word", "n") for k in range(1, max_gram + 1)]
-    table = words.where("n > 1").select("lang", F.lit(0).alias("k"), "word", "n")
-    for g in grams:
-        table = table.unionByName(g)
+
+    def grams(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.substring(padded, i, F.lit(k)).alias("word")))
+    every = F.concat(*[grams(k) for k in range(1, max_gram + 1)])
+    table = (words.where("n > 1").select("lang", F.lit(0).alias("k"), "word", "n").unionByName(
+        words.where(F.length("word") <= 40).select("lang", "n", F.explode(every).alias("g"))
+        .where(F.length("g.word") == F.col("g.k"))
+        .groupBy("lang", F.col("g.k").alias("k"), F.col("g.word").alias("word")).agg(F.sum("n").alias("n"))))
     most = Window.partitionBy("lang", "k").orderBy(F.desc("n"), "word")
     top = (table.withColumn("r", F.row_number().over(most))
            .where(F.col("r") <= F.when(F.col("k") == 0, words_per_lang).otherwise(grams_per_size)).collect())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import WORD, free_name, materialize
 
 RANK_BINS = 4096            # bins of the Pareto rank for the distributed prefix sum
+CLOSING = 3                 # documents that may close a source's last gap
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -54,9 +55,9 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
     at most ``max_repeat``; the factor makes the expected words equal the
     source's target.  Whole copies are certain.  For the rest, documents are
     ranked by u/(1-u) divided by p/(1-p) (u from a hash of id and text, p the
-    fractional part) and taken while they fit into the words still missing; one
-    more document, the one nearest in size to the last gap, closes it if that
-    comes nearer to the target.
+    fractional part) and taken while they fit into the words still missing; a
+    few more documents, each the nearest in size to the gap left, close it as
+    far as that comes nearer to the target.
 
     Rows (id, source, size, hash; no text) are written once.  The prefix sums
     along the rank come from totals per (source, rank bin), so a source's
@@ -117,15 +118,24 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
            .where("run <= missing").select("rid", "s", "size"))
     extra = materialize(full.unionByName(cut), "mix-drawn")
 
-    got = extra.groupBy(F.col("s").alias("gs")).agg(F.sum("size").alias("got"))
-    gaps = (plan.groupBy("s").agg(F.first("missing").alias("missing"))
-            .join(got, F.col("s").eqNullSafe(F.col("gs")), "left")
-            .select(F.col("s").alias("ps"), (F.col("missing") - F.coalesce("got", F.lit(0))).alias("gap")))
-    spare = drawn.join(extra.select("rid"), "rid", "left_anti")
-    best = (spare.join(gaps, F.col("s").eqNullSafe(F.col("ps")))
-            .withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-            .groupBy("ps").agg(F.min(F.struct("off", "q", "rid")).alias("b")).select("b.rid"))
-    taken = extra.select("rid").unionByName(best).withColumn("one", F.lit(1))
+    # close what is missing with a few more documents, the nearest in size each
+    # time: at most CLOSING rows a source
+    spare = materialize(drawn.join(extra.select("rid"), "rid", "left_anti").select("rid", "s", "size", "q"), "mix-spare")
+    got, closing = extra.select("s", "size"), extra.select("rid").limit(0)
+    sums = materialize(got.groupBy(F.col("s").alias("gs")).agg(F.sum("size").alias("got")), "mix-got")
+    gaps = materialize(
+        plan.groupBy("s").agg(F.first("missing").alias("missing"))
+        .join(sums, F.col("s").eqNullSafe(F.col("gs")), "left")
+        .select(F.col("s").alias("ps"), (F.col("missing") - F.coalesce("got", F.lit(0))).alias("gap")), "mix-gaps")
+    for _ in range(CLOSING):
+        best = (spare.join(closing, "rid", "left_anti").join(gaps, F.col("s").eqNullSafe(F.col("ps")))
+                .withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
+                .groupBy("s").agg(F.min(F.struct("off", "q", "rid", "size")).alias("b")))
+        best = materialize(best.select("s", "b.rid", "b.size"), "mix-closing")
+        closing = closing.unionByName(best.select("rid"))
+        gaps = (gaps.join(best.select(F.col("s").alias("bs"), "size"), F.col("ps").eqNullSafe(F.col("bs")), "left")
+                .select("ps", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap")))
+    taken = extra.select("rid").unionByName(closing).withColumn("one", F.lit(1))
     counted = (rows.join(plan.select("s", "l", "whole"),
                          F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left")
                .join(taken, "rid", "left")

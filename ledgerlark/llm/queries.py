@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, language, mixing, shards, urls
+from . import dartminhash, decontam, embeddings, language, mixing, pii, ppm, shards, urls, wrapper
 from .common import read_table
 
 #: listed URL rules (host, path, verdict), fixed by the query's contract
@@ -35,6 +35,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", out.alias("held_out"), "lang_pred", "score"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.95."""
+    return embeddings.near_vectors(read_table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data and disclosing terms of every document."""
+    found = pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.span_text(pii.KINDS), 256).alias("base_sha256"),
+                        pii.span_text((*pii.KINDS, "term")).alias("spans"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -42,6 +55,19 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and byte-model scores of every document, learned from those not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = ppm.held_out(F.col("doc_id"))
+    scores = ppm.score_documents(docs, docs.where(~out))
+    return scores.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return wrapper.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents: one row per document and item."""
     return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -60,6 +86,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_language_id, op5_source_mix, op8_decontaminate, op9_byte_shards,
-                                   op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_rules, op2_language_id, op3_embedding_dedup, op4_personal_data, op5_source_mix, op6_lm_score, op7_page_text,
+    op8_decontaminate, op9_byte_shards, op10_near_dedup)}
 ORACLES: dict[str, str] = {}
