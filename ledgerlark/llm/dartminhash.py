@@ -129,8 +129,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
 
     Equal texts are one node from the start.  In each bucket of equal bands all
     texts are compared with the first one; where a bucket still holds several
-    components, all pairs between those are compared in tiles, so no candidate
-    is dropped and no bucket meets in one task.  Null, empty and blank texts
+    components, the others' texts are compared with the largest one's and with
+    each other in tiles, so no candidate is dropped and no bucket meets in one
+    task.  Null, empty and blank texts
     are each a class of their own (h and class_key null, class_id the doc_id).
     Texts without letters or digits link only to equal texts.  Repeated rows
     share a class; other columns are ignored; an empty table gives no rows.
@@ -185,16 +186,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     # buckets that hold several components after the first comparison
     group = F.coalesce("component", "h")
     split = shared.join(parts.withColumnRenamed("id", "h"), "h", "left").select("b", "h", group.alias("g"))
-    mixed = (split.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.count(F.lit(1)).alias("n"))
-             .where("g0 <> g1").select("b", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    mixed = materialize(split.join(mixed, "b"), "mixed")
+    sizes = split.groupBy("b", "g").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (sizes.groupBy("b").agg(F.max(F.struct("n", "g")).alias("most"), F.sum("n").alias("n"),
+                                    F.count(F.lit(1)).alias("groups")).where("groups > 1")
+             .select("b", F.col("most.g").alias("main"), F.ceil(F.col("most.n") / TILE).cast("int").alias("t"),
+                     F.ceil((F.col("n") - F.col("most.n")) / TILE).cast("int").alias("o")))
+    mixed = materialize(split.join(mixed, "b").withColumn("is_main", F.col("g") == F.col("main")).drop("main"), "mixed")
     if not mixed.isEmpty():
-        tile = F.pmod(F.xxhash64("h"), F.col("tiles")).cast("int")
-        spread = (mixed.withColumn("tile", tile)
-                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-                  .select("b", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"),
-                          "tile", "h", "g"))
-        more = (spread.join(items, "h").groupBy("b", "i", "j")
+        # the largest component's tiles meet the tiles of all others, and those each other
+        tile = F.pmod(F.xxhash64("h"), F.when(F.col("is_main"), F.col("t")).otherwise(F.col("o"))).cast("int")
+        keyed_tile = mixed.withColumn("tile", tile)
+        upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        names = ["b", "kind", "i", "j", "is_main", "tile", "h", "g"]
+        spread = (
+            keyed_tile.where("is_main").withColumn("j", upto("o")).withColumn("kind", F.lit(1))
+            .withColumn("i", F.col("tile")).select(names)
+            .unionByName(keyed_tile.where("not is_main").withColumn("i", upto("t")).withColumn("kind", F.lit(1))
+                         .withColumn("j", F.col("tile")).select(names))
+            .unionByName(keyed_tile.where("not is_main").withColumn("x", upto("o")).withColumn("kind", F.lit(0))
+                         .withColumn("i", F.least("tile", "x")).withColumn("j", F.greatest("tile", "x")).select(names)))
+        more = (spread.join(items, "h").groupBy("b", "kind", "i", "j")
                 .applyInArrow(_compare_tile(threshold), "u binary, v binary").distinct())
         links = links.unionByName(more)
         parts = connected_components(links)
@@ -236,17 +247,22 @@ def _compare_tile(threshold: float):
         component is not compared again."""
         ids, tiles = table.column("h").to_pylist(), table.column("tile").to_pylist()
         groups, items = table.column("g").to_pylist(), _lists(table, "items")
-        i, j = key[1].as_py(), key[2].as_py()
+        main = table.column("is_main").to_pylist()
+        kind, i, j = (k.as_py() for k in key[1:])
         root = {g: g for g in groups}
 
         def find(g):
             while root[g] != g:
                 g = root[g]
             return g
+        if kind:
+            left, right = [x for x in range(len(ids)) if main[x]], [x for x in range(len(ids)) if not main[x]]
+        else:
+            left, right = [x for x in range(len(ids)) if tiles[x] == i], [x for x in range(len(ids)) if tiles[x] == j]
         u, v = [], []
-        for x in range(len(ids)):
-            for y in range(x + 1, len(ids)):
-                if i != j and tiles[x] == tiles[y]:
+        for x in left:
+            for y in right:
+                if not kind and i == j and y <= x:
                     continue
                 gx, gy = find(groups[x]), find(groups[y])
                 small, large = sorted((len(items[x]), len(items[y])))
