@@ -66,8 +66,9 @@ def keyed_id(*parts, length: int = 15) -> Column:
 
 
 def keyed_code(*parts, length: int = 8) -> Column:
-    """deterministic upper-case code from a key."""
-    return F.upper(keyed_id(*parts, length=length))
+    """deterministic base-36 code from a key (60 bits of its hash)."""
+    bits = F.conv(keyed_id(*parts, length=15), 16, 10).cast("long")
+    return F.lpad(F.conv((bits % 36 ** length).cast("string"), 10, 36), length, "0")
 
 
 def usd(x) -> Column:

@@ -11,7 +11,7 @@ from ..fixed import (DEFAULT_PAYMENT_METHOD, INVOICE_NO_ADDRESS, INVOICE_NO_PAYM
                      INVOICE_NO_STATUS, TRIAL_DAYS, TRIAL_QUOTA)
 from ..functions.scalar import (as_of_lit, card_label, money_out, or_default,
                                 or_default_num, us_date, usd)
-from .common import Desc, apply_patch, earliest_by_key, latest_by_key, rank_in_key
+from .common import Desc, above_max, apply_patch, earliest_by_key, latest_by_key, rank_in_key
 from .subscriptions import current_subscriptions
 
 PROFILE = ["id", "business_name", "owner_name", "email", "phone", "address",
@@ -22,9 +22,10 @@ DETAIL = ["id", "business_name", "owner_name", "email", "phone", "address",
           "is_salesperson", "is_admin"]
 
 
-def _subs(subscriptions: DataFrame, *cols: str) -> DataFrame:
-    return current_subscriptions(subscriptions).select(
-        F.col("business_id").alias("id"), *cols)
+def _subs(subscriptions: DataFrame, col: str, name: str | None = None) -> DataFrame:
+    """(id, ``col`` as ``name``) of each business's current subscription."""
+    return current_subscriptions(subscriptions, col).select(
+        F.col("business_id").alias("id"), F.col(col).alias(name or col))
 
 
 def latest_payments(payments: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def _expired_status(status, period_end, as_of):
 def expire_cancelling(businesses: DataFrame, subscriptions: DataFrame, as_of) -> DataFrame:
     """Batch sweep: ``cancelling`` businesses whose period ended become
     ``pending``.  Returns the new businesses snapshot with a ``changed`` flag."""
-    j = businesses.join(_subs(subscriptions, F.col("current_period_end").alias("__cpe")),
+    j = businesses.join(_subs(subscriptions, "current_period_end", "__cpe"),
                         "id", "left")
     new = _expired_status(F.col("subscription_status"), F.col("__cpe"), as_of)
     changed = F.coalesce(new != F.col("subscription_status"), F.lit(False))
@@ -76,7 +77,7 @@ def business_list(businesses: DataFrame, subscriptions: DataFrame,
         money_out(F.col("amount")).alias("last_payment_amount"))
     return (businesses.where(F.col("is_admin") == F.lit(False))
             .select("id", "business_name", "owner_name", "email", "created_at")
-            .join(_subs(subscriptions, F.col("status").alias("subscription_status")), "id", "left")
+            .join(_subs(subscriptions, "status", "subscription_status"), "id", "left")
             .join(lp, "id", "left")
             .orderBy(F.col("created_at").desc_nulls_first(), F.col("id").desc()))
 
@@ -93,8 +94,9 @@ def business_detail_by_referral_status(businesses: DataFrame, subscriptions: Dat
     counted in total and by referral status; aggregated before the join (X15)."""
     zero = F.lit(0).cast("long")
     return (businesses.select(*DETAIL)
-            .join(_subs(subscriptions, F.col("status").alias("subscription_status"),
-                        "current_period_end"), "id", "left")
+            .join(current_subscriptions(subscriptions, "status", "current_period_end").select(
+                F.col("business_id").alias("id"), F.col("status").alias("subscription_status"),
+                "current_period_end"), "id", "left")
             .join(_referrals_as_referred(referrals), "id", "left")
             .withColumn("total_referrals", F.coalesce("total_referrals", zero))
             .withColumn("active_referrals", F.coalesce("active_referrals", zero)))
@@ -111,7 +113,7 @@ def business_detail(businesses: DataFrame, subscriptions: DataFrame, payments: D
         F.count_distinct("id").alias("total_referrals"))
     zero = F.lit(0).cast("long")
     j = (businesses.select(*DETAIL)
-         .join(_subs(subscriptions, F.col("status").alias("subscription_status")), "id", "left")
+         .join(_subs(subscriptions, "status", "subscription_status"), "id", "left")
          .join(lp, "id", "left").join(refs, "id", "left"))
     total = F.coalesce("total_referrals", zero)
     return j.select(*DETAIL, "subscription_status", "last_payment_amount", "last_payment_date",
@@ -121,28 +123,29 @@ def business_detail(businesses: DataFrame, subscriptions: DataFrame, payments: D
 
 
 def invoice_rows(businesses: DataFrame, subscriptions: DataFrame,
-                 payments: DataFrame) -> DataFrame:
+                 payments: DataFrame, as_of) -> DataFrame:
     """The data of an invoice per business: status or 'Inactive', latest
     amount as dollars (0 when none), last payment date or 'N/A', address or
-    'Not provided'.  Sending it is not built."""
+    'Not provided', and the invoice's own date, ``as_of``.  Sending it is not built."""
     lp = latest_payments(payments).select(F.col("business_id").alias("id"), "amount",
                                           F.col("created_at").alias("payment_date"))
     j = (businesses.select("id", "business_name", "email", "address")
-         .join(_subs(subscriptions, F.col("status").alias("subscription_status")), "id", "left")
+         .join(_subs(subscriptions, "status", "subscription_status"), "id", "left")
          .join(lp, "id", "left"))
     return j.select(
         F.col("id").alias("business_id"), "business_name", "email",
         or_default(F.col("subscription_status"), INVOICE_NO_STATUS).alias("status_text"),
         usd(or_default_num(F.col("amount"), F.lit(0).cast("decimal(18,2)"))).alias("amount_text"),
         F.coalesce(us_date(F.col("payment_date")), F.lit(INVOICE_NO_PAYMENT)).alias("last_payment_text"),
-        or_default(F.col("address"), INVOICE_NO_ADDRESS).alias("address_text"))
+        or_default(F.col("address"), INVOICE_NO_ADDRESS).alias("address_text"),
+        us_date(as_of_lit(as_of)).alias("invoice_date_text"))
 
 
 def subscription_status(businesses: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """The subscription card per business, flattened.  ``trial_ends_at``
     is trial start + 14 days (X12: the column is read, not dropped)."""
-    s = _subs(subscriptions, F.col("status").alias("s_status"), "stripe_subscription_id",
-              "current_period_end", "card_last4", "card_brand")
+    s = current_subscriptions(subscriptions, "status", "stripe_subscription_id", "current_period_end", "card_last4", "card_brand").select(
+        F.col("business_id").alias("id"), F.col("status").alias("s_status"), "stripe_subscription_id", "current_period_end", "card_last4", "card_brand")
     j = businesses.select("id", "trial_reviews_remaining", "trial_started_at",
                           "total_referral_earnings").join(s, "id", "left")
     return j.select(
@@ -194,7 +197,7 @@ def review_quota(businesses: DataFrame, subscriptions: DataFrame, attempts: Data
     businesses with attempts.
     """
     acct = businesses.select(F.col("id").alias("business_id"), "trial_reviews_remaining") \
-        .join(current_subscriptions(subscriptions).select("business_id", "status"),
+        .join(current_subscriptions(subscriptions, "status"),
               "business_id", "left")
     ranked = rank_in_key(attempts.select("attempt_id", "business_id", "attempted_at"),
                          "business_id", ["attempted_at", "attempt_id"], "rank")
@@ -231,6 +234,19 @@ def token_status(tokens: DataFrame, as_of) -> DataFrame:
     return tokens.select("token", "business_id", "type", kind.alias("kind"), state.alias("state"))
 
 
+def check_tokens(presented: DataFrame, tokens: DataFrame, as_of) -> DataFrame:
+    """D8 for tokens that requests present with an expected type: ``unknown``
+    (not stored), ``wrong_type``, ``expired`` or ``valid``, the first that
+    applies.  A token stored more than once counts with its latest expiry."""
+    stored = tokens.where(F.col("token").isNotNull()).groupBy("token").agg(
+        F.max(F.struct("expires_at", F.col("type").alias("stored_type"), F.lit(1).alias("known"))).alias("t"))
+    j = presented.join(stored.select("token", "t.*"), "token", "left")
+    state = (F.when(F.col("known").isNull(), "unknown")
+             .when(~F.col("stored_type").eqNullSafe(F.col("type")), "wrong_type")
+             .when(as_of_lit(as_of) > F.col("expires_at"), "expired").otherwise("valid"))
+    return j.select("request_id", "token", "type", state.alias("state"))
+
+
 def token_funnel(tokens: DataFrame, as_of) -> DataFrame:
     """D8 as a report: tokens per (type, state)."""
     return token_status(tokens, as_of).groupBy("type", "state").agg(
@@ -250,11 +266,12 @@ def attribute_referrals(signups: DataFrame, businesses: DataFrame) -> DataFrame:
         referral_code_owners(businesses), "referral_code", "left")
 
 
-def ingest_signups(businesses: DataFrame, signups: DataFrame):
+def ingest_signups(businesses: DataFrame, signups: DataFrame, referrals: DataFrame):
     """Sign-up batch.  The first signup per e-mail in the batch (by
     created_at, signup_id) is a candidate; candidates whose e-mail exists are
-    rejected.  Accepted rows become ``pending`` businesses (id = signup_id) and
-    a referral row when the code resolves (D9).  Returns ``(decisions,
+    rejected.  Accepted rows become ``pending`` businesses and a referral row
+    when the code resolves (D9); their ids are the signup ids above the largest
+    stored id of the table.  Returns ``(decisions,
     new_businesses, new_referrals)``; no password is read."""
     first = earliest_by_key(signups, ["email"], ["created_at", "signup_id"],
                             ["email", "signup_id"]).select(
@@ -271,8 +288,9 @@ def ingest_signups(businesses: DataFrame, signups: DataFrame):
                          reason.alias("reason"),
                          F.when(reason == "accepted", F.col("referrer_id")).alias("referrer_id"))
     acc = d.where(reason == "accepted")
+    new_id = above_max(businesses, F.col("signup_id"))
     new_b = acc.select(
-        *[(F.col("signup_id") if c == "id" else
+        *[(new_id if c == "id" else
            F.lit("pending") if c == "subscription_status" else
            F.coalesce(F.col("is_salesperson"), F.lit(False)) if c == "is_salesperson" else
            F.lit(False) if c in ("onboarding_completed", "email_verified") else
@@ -281,8 +299,8 @@ def ingest_signups(businesses: DataFrame, signups: DataFrame):
            F.lit(None)).cast(businesses.schema[c].dataType).alias(c)
           for c in businesses.columns])
     new_r = acc.where(F.col("referrer_id").isNotNull()).select(
-        F.col("signup_id").alias("id"), "referrer_id",
-        F.col("signup_id").alias("referred_business_id"), F.lit("pending").alias("status"),
+        above_max(referrals, F.col("signup_id")).alias("id"), "referrer_id",
+        new_id.alias("referred_business_id"), F.lit("pending").alias("status"),
         F.lit(False).alias("commission_paid"), F.lit(None).cast("decimal(18,2)").alias("commission_amount"),
         "created_at")
     return decisions, new_b, new_r
@@ -341,14 +359,16 @@ def complete_onboarding(businesses: DataFrame, subscriptions: DataFrame, request
                         as_of):
     """Onboarding completes and an ``active`` subscription row is added,
     payment method defaulting to credit_card (JS ``||``: '' counts as absent).
-    The new row's id is the business id (ids arrive with the data).  Returns
+    The new row's id lies above all stored ones, so it is the business's
+    current subscription from then on.  Returns
     ``(businesses, new_subscription_rows)``."""
     last = latest_by_key(requests, ["business_id"], [Desc("requested_at", nulls_first=False)],
                          ["business_id", "payment_method", "requested_at"])
     b = apply_patch(businesses, last.select(F.col("business_id").alias("id")), ["id"],
                     {"onboarding_completed": F.lit(True)}, patch_cols=[], flag="changed")
     rows = last.select(*[
-        (F.col("business_id") if c in ("id", "business_id") else
+        (above_max(subscriptions, F.col("business_id")) if c == "id" else
+         F.col("business_id") if c == "business_id" else
          or_default(F.col("payment_method"), DEFAULT_PAYMENT_METHOD) if c == "payment_method" else
          F.lit("active") if c == "status" else
          as_of_lit(as_of) if c in ("created_at", "updated_at") else

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 
 # --------------------------------------------------------------------------- order
@@ -171,6 +172,12 @@ def P(c: str) -> Column:
     return F.col(f"__p_{c}")
 
 
+def above_max(table: DataFrame, offset: Column, col: str = "id") -> Column:
+    """A new id: ``offset`` (positive, unique among the new rows) above the
+    largest id in ``table``, by a scalar subquery."""
+    return F.coalesce(table.agg(F.max(col)).scalar(), F.lit(0)) + offset
+
+
 # --------------------------------------------------------------------------- calendar
 def month_calendar(spark: SparkSession, as_of, months: int, col: str = "month") -> DataFrame:
     """The ``months`` month starts ending with the month of ``as_of``.
@@ -195,104 +202,51 @@ def sum0(c: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- ranks
+def order_slice(df: DataFrame, col: str, width: int) -> Column:
+    """Slices of ``width`` seconds (a time column) or units (a number) of an
+    order column: contiguous, in order, NULL for NULL."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (types.TimestampType, types.TimestampNTZType, types.DateType)):
+        return F.floor(F.unix_timestamp(F.col(col).cast("timestamp")) / width)
+    if isinstance(kind, types.NumericType):
+        return F.floor(F.col(col) / width)
+    raise TypeError(f"{col}: the first order column must be a time or a number")
+
+
 def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
                   flag: Column | None = None, inclusive: bool = False,
-                  partitions: int | None = None, persist_input: bool = False) -> DataFrame:
+                  width: int = 3600) -> DataFrame:
     """For each row, how many rows of the same ``key`` with ``flag`` true come
-    before it under ``order`` (ASC; ``inclusive`` counts the row itself).
+    before it under ``order`` (ASC, NULLs last; ``inclusive`` counts the row itself).
 
     The one-at-a-time budget of D4/D5 and the billing fold's checkout epochs,
-    as a distributed prefix sum that no hot key can pin to one task:
-
-    1. ``repartitionByRange(key, order)`` cuts the rows into contiguous ranges
-       of similar size (``spark.sql.shuffle.partitions`` of them, merged by AQE
-       when small, or ``partitions``), so a key holding a third of all rows
-       spans many partitions (its sampling job reuses the upstream shuffle
-       files; pass ``persist_input=True`` when the input's last stage is
-       costly to redo);
-    2. a vectorised Pandas pass numbers rows within each partition (carrying
-       the count across Arrow batches) and the result is written once as a
-       table under the shared ``spark.checkpoint.dir`` (lineage cut; a lost
-       executor re-reads it);
-    3. ranges are contiguous, so a key can continue into partition p only
-       from the partitions just before p that end with it.  A summary of one
-       row per partition (first key, last key, count of the last key) gives
-       every partition's offset for its first key;
-    4. that summary has exactly one row per partition, a proven bound, so it
-       is broadcast and the numbered rows are never shuffled again.
-
-    ``order`` must make the order total (end with a unique column).
+    as a prefix sum that no hot key can pin to one task:
+
+    1. the first order column cuts each key's rows into slices of ``width``
+       seconds or units;
+    2. a partial aggregate gives each slice's total, and a window over these
+       totals (a row per slice, not per row of the table) the count before it;
+    3. a window inside each (key, slice) adds the count within the slice.
+
+    All of it is one lazy plan of built-in operators: nothing is written, no
+    job runs while it is built, and values pass through untouched.  Choose
+    ``width`` so that a hot key's busiest slice fits one task.  ``order`` must
+    make the order total (end with a unique column).
     """
-    from ..session import scratch_path  # local import: avoid a cycle
-    import pandas as pd
-    from pyspark import StorageLevel
-    from pyspark.sql import types as T
-
-    spark = df.sparkSession
-    f = (flag if flag is not None else F.lit(True))
-    src = df.withColumn("__f", F.coalesce(f, F.lit(False)).cast("long"))
-    if persist_input:
-        src = src.persist(StorageLevel.MEMORY_AND_DISK)
-    sort_cols = [F.col(key).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in order]]
-    # without an explicit count AQE may merge small adjacent ranges; merged
-    # partitions stay contiguous and in order, which is all step 3 relies on
-    ranged = (src.repartitionByRange(partitions, *sort_cols) if partitions
-              else src.repartitionByRange(*sort_cols))
-    x = ranged.sortWithinPartitions(*sort_cols).withColumn("__pid", F.spark_partition_id())
-    schema = T.StructType(x.schema.fields + [T.StructField("__loc", T.LongType(), False),
-                                              T.StructField("__edge", T.BooleanType(), False)])
-
-    def number(batches):
-        last, carry, held, first = None, 0, None, True
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k = pdf[key].astype(object).where(pdf[key].notna(), "\0null")
-            grp = (k != k.shift()).cumsum()
-            cs = pdf["__f"].astype("int64").groupby(grp).cumsum()
-            if last is not None and k.iloc[0] == last:
-                cs = cs + (grp == 1).astype("int64") * carry
-            last, carry = k.iloc[-1], int(cs.iloc[-1])
-            edge = pd.Series(False, index=pdf.index)
-            if first:
-                edge.iloc[0], first = True, False
-            out = pdf.assign(__loc=cs.astype("int64"), __edge=edge)
-            if held is not None:
-                yield held
-            held = out
-        if held is not None:                    # the partition's last row is an edge too
-            held.iloc[-1, held.columns.get_loc("__edge")] = True
-            yield held
-
-    path = scratch_path(spark, "running-count")
-    x.mapInPandas(number, schema).write.parquet(path)
-    if persist_input:
-        src.unpersist()
-    loc = spark.read.parquet(path)
-
-    # one row per partition from its first and last rows (the __edge rows, at
-    # most two per partition): first key, last key, the last key's count there
-    pos = F.struct(F.col("__loc").alias("__l"), F.col(key).alias("__k"))
-    edges = loc.where(F.col("__edge")).select("__pid", key, "__loc", *order)
-    rank = F.struct(F.col(key).isNull(), F.col(key),
-                    *[F.struct(F.col(c).isNull(), F.col(c)) for c in order])
-    summ = edges.groupBy("__pid").agg(
-        F.min_by(F.col(key), rank).alias("__fk"),
-        F.max_by(pos, rank).alias("__last")).select(
-        "__pid", "__fk", F.col("__last.__k").alias("__lk"), F.col("__last.__l").alias("__ll"))
-    w_all = Window.orderBy("__pid")
-    w_key = Window.partitionBy("__lk").orderBy("__pid").rowsBetween(Window.unboundedPreceding, 0)
-    summ = summ.withColumn("__cum", F.sum("__ll").over(w_key))
-    off = summ.select(
-        F.col("__pid").alias("__opid"), F.col("__fk").alias("__okey"),
-        F.when(F.lag("__lk").over(w_all).eqNullSafe(F.col("__fk"))
-               & F.lag("__pid").over(w_all).isNotNull(),
-               F.lag("__cum").over(w_all)).otherwise(F.lit(0)).alias("__off"))
-    j = loc.join(F.broadcast(off), F.col("__pid") == F.col("__opid"), "left")
-    val = F.col("__loc") + F.when(F.col(key).eqNullSafe(F.col("__okey")), F.col("__off")).otherwise(F.lit(0))
-    if not inclusive:
-        val = val - F.col("__f")
-    return j.select(*df.columns, val.alias(out))
+    f = F.lit(True) if flag is None else flag
+    # structs compare NULLs as equal, so NULL keys and slices join to themselves
+    src = (df.withColumn("__f", F.coalesce(f, F.lit(False)).cast("long"))
+           .withColumn("__k", F.struct(F.col(key).alias("k")))
+           .withColumn("__s", F.struct(order_slice(df, order[0], width).alias("s"))))
+    slices = src.groupBy("__k", "__s").agg(F.sum("__f").alias("__n"))
+    earlier = Window.partitionBy("__k").orderBy(F.col("__s.s").asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    slices = slices.select("__k", "__s", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    within = Window.partitionBy("__k", "__s").orderBy(
+        *[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    j = src.withColumn("__in", F.sum("__f").over(within)).join(slices, ["__k", "__s"])
+    val = F.col("__before") + F.col("__in")
+    return j.select(*df.columns, (val if inclusive else val - F.col("__f")).alias(out))
 
 
 def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:

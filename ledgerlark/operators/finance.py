@@ -35,7 +35,7 @@ def financial_totals(businesses: DataFrame, subscriptions: DataFrame, payments:
     ear = earnings.groupBy(F.col("seller_id").alias("id")).agg(
         F.sum("amount").alias("com"), F.count(F.lit(1)).alias("n_ear"))
     if fanout == "aggregate":
-        subs = current_subscriptions(subscriptions).select(
+        subs = current_subscriptions(subscriptions, "status").select(
             F.col("business_id").alias("id"), (F.col("status") == "active").alias("active"),
             F.lit(1).cast("long").alias("n_sub"))
     else:
@@ -61,7 +61,7 @@ def financial_totals(businesses: DataFrame, subscriptions: DataFrame, payments:
 
 def monthly_financials(spark: SparkSession, payments: DataFrame, earnings: DataFrame,
                        as_of, months: int = 12) -> DataFrame:
-    """Revenue and commissions for the ``months`` months up to ``as_of``'s
+    """By month, revenue and commissions for the ``months`` months up to ``as_of``'s
     month, zero-filled.  The spine decides which months appear, so the facts
     are pruned to the spine's range before grouping."""
     cal = month_calendar(spark, as_of, months)
@@ -78,7 +78,7 @@ def monthly_financials(spark: SparkSession, payments: DataFrame, earnings: DataF
     return out.select(
         "month",
         money_out(F.coalesce("revenue", F.lit(0))).alias("revenue"),
-        money_out(F.coalesce("commissions", F.lit(0))).alias("commissions"))
+        money_out(F.coalesce("commissions", F.lit(0))).alias("commissions")).orderBy("month")
 
 
 def daily_revenue(payments: DataFrame, commissions: DataFrame, start, end,
@@ -105,12 +105,13 @@ def daily_revenue(payments: DataFrame, commissions: DataFrame, start, end,
              .agg(F.count_distinct("id").alias("transactions"),
                   money_out(sum0(rev)).alias("revenue"),
                   money_out(sum0(F.col("c_sum"))).alias("commissions"),
-                  money_out(sum0(net)).alias("net_revenue")))
+                  money_out(sum0(net)).alias("net_revenue"))
+             .orderBy(F.col("date").asc_nulls_last()))
 
 
 def commissions_report(businesses: DataFrame, referrals: DataFrame, commissions: DataFrame,
                        start, end) -> DataFrame:
-    """Per salesperson with commissions dated in [start, end]: referrals
+    """R19, highest commission first: per salesperson with commissions dated in [start, end]: referrals
     with such commissions, of those active (referred business's denormalised
     status), and the commission sum.  Salespeople without any drop out (X13)."""
     c = (commissions.where(F.col("created_at").between(as_of_lit(start), as_of_lit(end)))
@@ -127,4 +128,5 @@ def commissions_report(businesses: DataFrame, referrals: DataFrame, commissions:
              .agg(F.count_distinct("id").alias("total_referrals"),
                   F.count_distinct(F.when(F.col("r2_status") == "active", F.col("id")))
                   .alias("active_referrals"),
-                  money_out(sum0(F.col("c_sum"))).alias("total_commission")))
+                  money_out(sum0(F.col("c_sum"))).alias("total_commission"))
+             .orderBy(F.col("total_commission").desc_nulls_first(), "salesperson_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import QR_ID_LENGTH, REVIEW_PATH
 from ..functions.scalar import as_of_lit, keyed_id
-from .common import P, T, earliest_by_key, upsert
+from .common import P, T, above_max, earliest_by_key, upsert
 
 
 def review_url(base_url: str, url_id) -> F.Column:
@@ -43,13 +43,13 @@ def upsert_qr_codes(qr_codes: DataFrame, changes: DataFrame, as_of) -> DataFrame
     """M9: upsert on (business_id, type).  An existing url id is kept; a row
     without one (or a new row) takes the change's proposed id, else a
     deterministic one from the key (F16).  ``scans`` is carried through; new
-    rows start at 0.  The last change per key wins."""
+    rows start at 0 and take an id above all stored ones.  The last change per key wins."""
     gen = F.coalesce(P("url_id"), keyed_id(P("business_id"), P("type"), length=QR_ID_LENGTH))
     now = as_of_lit(as_of)
     ch = changes.select("business_id", "type", "url_id", "change_id", "updated_at")
     return upsert(
         qr_codes, ch, ["business_id", "type"],
         sets={"url_id": F.coalesce(T("url_id"), gen), "updated_at": now},
-        inserts={"id": P("change_id"), "url_id": gen, "scans": F.lit(0),
+        inserts={"id": above_max(qr_codes, P("change_id")), "url_id": gen, "scans": F.lit(0),
                  "created_at": now, "updated_at": now},
         order_col=["updated_at", "change_id"])

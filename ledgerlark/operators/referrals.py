@@ -8,6 +8,8 @@ The referrer key is ``referrer_id`` everywhere (X2).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ DETAIL = ["id", "business_name", "owner_name", "email", "phone", "address",
           "google_review_link", "referral_code", "created_at", "onboarding_completed",
           "is_salesperson", "is_admin"]
 _FANOUTS = ("aggregate", "as_written")
+CODE_ROUNDS = 2
+
+
+def newest_first(col: str, *more: str, tenant: str = "referrer_id") -> list[Column]:
+    """Order of a per-tenant list: tenant, then newest (NULL dates first, as
+    PostgreSQL sorts DESC), then id and ``more`` to break ties."""
+    return [F.col(tenant), F.col(col).desc_nulls_first(), F.col("id").desc(),
+            *[F.col(c).desc_nulls_first() for c in more]]
+
+
+def rate_lit(rate) -> Column:
+    """A rate as an exact decimal with its own digits (0.125 stays 0.125)."""
+    return F.lit(Decimal(str(rate)))
 
 
 def _one(c) -> Column:
@@ -57,7 +72,7 @@ def _referred(referrals: DataFrame, businesses: DataFrame, subscriptions: DataFr
               *bcols: str) -> DataFrame:
     """Referrals with the referred business's columns and current subscription status."""
     b = businesses.select(F.col("id").alias("referred_business_id"), *bcols)
-    s = current_subscriptions(subscriptions).select(
+    s = current_subscriptions(subscriptions, "status").select(
         F.col("business_id").alias("referred_business_id"),
         F.col("status").alias("subscription_status"))
     return referrals.join(b, "referred_business_id", "left").join(s, "referred_business_id", "left")
@@ -88,7 +103,7 @@ def salespeople_leaderboard(businesses: DataFrame, referrals: DataFrame,
         raise ValueError(fanout)
     sp = businesses.where(F.col("is_salesperson")).select("id", F.col("business_name").alias("name"))
     if fanout == "aggregate":
-        s = current_subscriptions(subscriptions).select(
+        s = current_subscriptions(subscriptions, "status").select(
             F.col("business_id").alias("referred_business_id"),
             (F.col("status") == "active").alias("s_active"), F.lit(1).alias("s_n"))
     else:
@@ -111,7 +126,7 @@ def salespeople_leaderboard(businesses: DataFrame, referrals: DataFrame,
                     F.coalesce("total_referrals", zero).alias("total_referrals"),
                     F.coalesce("active_referrals", zero).alias("active_referrals"),
                     money_out(F.coalesce(total, F.lit(0))).alias("total_commission"),
-                    "last_payout")
+                    "last_payout").orderBy(F.col("total_commission").desc_nulls_first(), "id")
 
 
 def salesperson_detail(businesses: DataFrame, referrals: DataFrame,
@@ -141,18 +156,20 @@ def salesperson_referrals(referrals: DataFrame, businesses: DataFrame,
     status, and every earning of the (seller, business) pair (two-key left join)."""
     e = earnings.select(F.col("seller_id").alias("referrer_id"),
                         F.col("business_id").alias("referred_business_id"),
-                        F.col("amount").alias("e_amount"), F.col("status").alias("payment_status"))
+                        F.col("id").alias("e_id"), F.col("amount").alias("e_amount"),
+                        F.col("status").alias("payment_status"))
     j = (referrals.select("id", "referrer_id", "referred_business_id", "created_at")
          .join(businesses.select(F.col("id").alias("referred_business_id"),
                                  F.col("business_name").alias("referred_business")),
                "referred_business_id")
-         .join(current_subscriptions(subscriptions).select(
+         .join(current_subscriptions(subscriptions, "status").select(
              F.col("business_id").alias("referred_business_id"),
              F.col("status").alias("subscription_status")), "referred_business_id", "left"))
     j = left_join_fact(j, e, ["referrer_id", "referred_business_id"])
     return j.select("referrer_id", "id", "referred_business", "subscription_status",
                     F.col("created_at").alias("referral_date"),
-                    money_out(F.col("e_amount")).alias("commission_amount"), "payment_status")
+                    money_out(F.col("e_amount")).alias("commission_amount"), "payment_status",
+                    F.col("e_id").alias("__e")).orderBy(*newest_first("referral_date", "__e")).drop("__e")
 
 
 def salesperson_payouts(earnings: DataFrame, businesses: DataFrame) -> DataFrame:
@@ -161,7 +178,8 @@ def salesperson_payouts(earnings: DataFrame, businesses: DataFrame) -> DataFrame
                                            F.col("business_name").alias("referred_business")),
                          "business_id").select(
         "seller_id", "id", money_out(F.col("amount")).alias("amount"), "status",
-        F.col("created_at").alias("payment_date"), "referred_business")
+        F.col("created_at").alias("payment_date"), "referred_business").orderBy(
+        *newest_first("payment_date", tenant="seller_id"))
 
 
 def earnings_stats(businesses: DataFrame, referrals: DataFrame, earnings: DataFrame,
@@ -173,7 +191,7 @@ def earnings_stats(businesses: DataFrame, referrals: DataFrame, earnings: DataFr
     if fanout not in _FANOUTS:
         raise ValueError(fanout)
     if fanout == "aggregate":
-        s = current_subscriptions(subscriptions).select(
+        s = current_subscriptions(subscriptions, "status").select(
             F.col("business_id").alias("referred_business_id"),
             (F.col("status") == "active").alias("s_active"), F.lit(1).alias("s_n"))
     else:
@@ -208,7 +226,7 @@ def referral_totals(referrals: DataFrame, subscriptions: DataFrame,
     """Per referrer: referrals, those whose business subscription is
     active, and earnings of the (referrer, referred business) pairs.  With
     ``accounts`` every account gets a row, zeros when it has no referral."""
-    s = current_subscriptions(subscriptions).select(
+    s = current_subscriptions(subscriptions, "status").select(
         F.col("business_id").alias("referred_business_id"), F.col("status").alias("s_status"))
     e = earnings.groupBy(F.col("seller_id").alias("referrer_id"),
                          F.col("business_id").alias("referred_business_id")).agg(
@@ -234,9 +252,9 @@ def referral_rows(referrals: DataFrame, businesses: DataFrame, subscriptions: Da
                   F.col("email").alias("referred_email"), "onboarding_completed")
     e = earnings.select(F.col("seller_id").alias("referrer_id"),
                         F.col("business_id").alias("referred_business_id"),
-                        F.col("amount").alias("e_amount"))
+                        F.col("id").alias("e_id"), F.col("amount").alias("e_amount"))
     j = left_join_fact(j, e, ["referrer_id", "referred_business_id"])
-    return j.select(
+    return j.orderBy(*newest_first("created_at", "e_id")).select(
         "id", "referrer_id", "referred_business_id", "referred_business", "referred_email",
         referral_status_active_first(F.col("subscription_status"),
                                      F.col("onboarding_completed")).alias("status"),
@@ -276,7 +294,8 @@ def seller_referrals(referrals: DataFrame, businesses: DataFrame, subscriptions:
                     referral_status_onboarding_first(F.col("subscription_status"),
                                                      F.col("onboarding_completed")).alias("status"),
                     F.col("created_at").alias("join_date"),
-                    money_out(F.coalesce("e_sum", F.lit(0))).alias("earnings"))
+                    money_out(F.coalesce("e_sum", F.lit(0))).alias("earnings")).orderBy(
+        *newest_first("join_date"))
 
 
 def seller_payouts(earnings: DataFrame, referrals: DataFrame, businesses: DataFrame) -> DataFrame:
@@ -285,7 +304,8 @@ def seller_payouts(earnings: DataFrame, referrals: DataFrame, businesses: DataFr
     b = businesses.select(F.col("id").alias("referred_business_id"), "business_name")
     return (earnings.join(r, "referral_id").join(b, "referred_business_id")
             .select("referrer_id", "id", money_out(F.col("amount")).alias("amount"), "status",
-                    F.col("created_at").alias("date"), "business_name"))
+                    F.col("created_at").alias("date"), "business_name")
+            .orderBy(*newest_first("date")))
 
 
 def salesperson_totals(referrals: DataFrame, businesses: DataFrame, as_of,
@@ -297,7 +317,7 @@ def salesperson_totals(referrals: DataFrame, businesses: DataFrame, as_of,
     b = businesses.select(F.col("id").alias("referred_business_id"),
                           F.col("subscription_status").alias("b_status"), "subscription_amount")
     j = referrals.join(b, "referred_business_id", "left")
-    r = F.lit(rate).cast("decimal(5,2)")
+    r = rate_lit(rate)
     due = F.when((F.col("b_status") == "active") & (F.col("commission_paid") == F.lit(False)),
                  F.col("subscription_amount") * r).otherwise(F.lit(0))
     agg = j.groupBy("referrer_id").agg(
@@ -322,10 +342,11 @@ def salesperson_referral_payments(referrals: DataFrame, businesses: DataFrame,
                         F.col("created_at").alias("last_payment"), "amount")
     j = left_join_fact(referrals.select("id", "referrer_id", "referred_business_id").join(
         b, "referred_business_id"), p, ["referred_business_id"])
-    r = F.lit(rate).cast("decimal(5,2)")
+    r = rate_lit(rate)
     return j.groupBy("referrer_id", "id", "business_name", "owner_name", "status", "join_date",
                      "last_payment").agg(
-        money_out(F.coalesce(F.sum(F.col("amount") * r), F.lit(0))).alias("commission"))
+        money_out(F.coalesce(F.sum(F.col("amount") * r), F.lit(0))).alias("commission")).orderBy(
+        *newest_first("join_date", "last_payment"))
 
 
 # ------------------------------------------------------------------ jobs
@@ -351,9 +372,9 @@ def monthly_earnings(referrals: DataFrame, subscriptions: DataFrame, earnings: D
     nothing (X21).  ``as_written`` joins every subscription row and appends
     unconditionally, as the reference does."""
     m = F.date_trunc("month", as_of_lit(month))
-    subs = subscriptions if as_written else current_subscriptions(subscriptions)
+    subs = subscriptions if as_written else current_subscriptions(subscriptions, "amount")
     s = subs.select(F.col("business_id").alias("referred_business_id"), F.col("amount").alias("s_amount"))
-    r = F.lit(rate).cast("decimal(5,2)")
+    r = rate_lit(rate)
     rows = (referrals.where(F.col("status") == "active")
             .select(F.col("id").alias("referral_id"), F.col("referrer_id").alias("seller_id"),
                     "referred_business_id")
@@ -387,9 +408,23 @@ def payment_earnings(payments: DataFrame, referrals: DataFrame, flat: float = FL
 
 def fill_referral_codes(businesses: DataFrame, base_url: str) -> DataFrame:
     """Keep existing referral codes; give the others a deterministic
-    8-character code derived from the id (F17), and build the signup link."""
-    code = F.coalesce(F.col("referral_code"), keyed_code(F.col("id"), length=REFERRAL_CODE_LENGTH))
-    return businesses.select(
+    8-character base-36 code derived from the id (F17), and build the signup
+    link.  A generated code that is taken, or that a lower id got in the same
+    round, is drawn again (``CODE_ROUNDS`` rounds; what still clashes then,
+    about one in 10^20 at a billion ids, keeps NULL rather than a shared code)."""
+    have = businesses.where(F.col("referral_code").isNotNull()).select("id", "referral_code")
+    need = businesses.where(F.col("referral_code").isNull()).select("id")
+    given = have.limit(0)
+    for attempt in range(CODE_ROUNDS):
+        drawn = need.withColumn("referral_code", keyed_code(F.col("id"), F.lit(attempt), length=REFERRAL_CODE_LENGTH))
+        taken = have.unionByName(given).select("referral_code").distinct()
+        won = (drawn.join(taken, "referral_code", "left_anti").groupBy("referral_code")
+               .agg(F.min("id").alias("id")).select("id", "referral_code"))
+        given = given.unionByName(won)
+        need = need.join(won, "id", "left_anti")
+    code = F.coalesce(F.col("referral_code"), F.col("__code"))
+    return businesses.select("id", "referral_code").join(
+        given.select("id", F.col("referral_code").alias("__code")), "id", "left").select(
         "id", code.alias("referral_code"), F.col("referral_code").isNull().alias("generated"),
         F.concat(F.lit(base_url), F.lit(SIGNUP_PATH), code).alias("referral_link"))
 

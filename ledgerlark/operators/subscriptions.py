@@ -10,9 +10,10 @@ from .common import Desc, latest_by_key
 SUB_COLS = [c for c, _ in COLUMNS["subscriptions"]]
 
 
-def current_subscriptions(subscriptions: DataFrame) -> DataFrame:
+def current_subscriptions(subscriptions: DataFrame, *cols: str) -> DataFrame:
     """One subscription per business (X16): the highest id, i.e. the latest
-    insert, since nothing in the source keeps the table unique per business."""
-    cols = [c for c in SUB_COLS if c in subscriptions.columns]
+    insert, since nothing in the source keeps the table unique per business.  Only
+    business_id and ``cols`` (default: all) are read and shuffled."""
+    cols = ["business_id", *cols] if cols else [c for c in SUB_COLS if c in subscriptions.columns]
     return latest_by_key(subscriptions.where("business_id IS NOT NULL"), ["business_id"],
                          [Desc("id", nulls_first=False)], cols)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..session import scratch_path
 from ..sources import load_tables
 from ..streaming import billing as bl
 from .q_finance import CUR_SUBS
@@ -41,7 +42,7 @@ fc AS (SELECT business_id, MIN(event_ts) AS t FROM app
        WHERE (kind = 'updated' AND COALESCE(cancel_at_period_end, false)) OR kind = 'deleted' GROUP BY 1),
 ld AS (SELECT business_id, MAX(event_ts) AS t FROM app WHERE kind = 'deleted' GROUP BY 1),
 keys AS (SELECT business_id FROM cur_subs UNION SELECT business_id FROM lc)
-SELECT COALESCE(b.id, k.business_id) AS id, k.business_id,
+SELECT COALESCE(b.id, k.business_id + (SELECT MAX(id) FROM cur_subs)) AS id, k.business_id,
   CASE WHEN lc.business_id IS NOT NULL THEN lc.stripe_subscription_id ELSE b.stripe_subscription_id END AS stripe_subscription_id,
   CASE WHEN lc.business_id IS NOT NULL THEN lc.stripe_customer_id ELSE b.stripe_customer_id END AS stripe_customer_id,
   CASE WHEN la.business_id IS NOT NULL THEN la.new_status ELSE b.status END AS status,
@@ -71,7 +72,7 @@ def q_billing_subscriptions(spark, sf_dir):
 @register("billing_business_status", EV_CTES + "SELECT * FROM st")
 def q_billing_business_status(spark, sf_dir):
     t = _t(spark, sf_dir)
-    clean, _ = bl.route_events(t.billing_events)
+    clean, _ = bl.route_events(t.billing_events.select(*bl.STATUS_COLS))
     return bl.business_status(clean)
 
 
@@ -83,7 +84,7 @@ FROM businesses b LEFT JOIN st ON st.business_id = b.id
 """)
 def q_propagate_status(spark, sf_dir):
     t = _t(spark, sf_dir)
-    clean, _ = bl.route_events(t.billing_events)
+    clean, _ = bl.route_events(t.billing_events.select(*bl.STATUS_COLS))
     return bl.propagate_status(t.businesses, bl.business_status(clean)).select(
         "id", "subscription_status", "changed")
 
@@ -100,7 +101,9 @@ def q_billing_rejects(spark, sf_dir):
 @register("billing_events_from_json", """
 SELECT event_id, date_trunc('second', event_ts) AS event_ts, type, stripe_subscription_id,
        stripe_customer_id, business_id, status, cancel_at_period_end, amount,
-       date_trunc('second', current_period_end) AS current_period_end, card_last4, card_brand
+       date_trunc('second', current_period_end) AS current_period_end,
+       CASE WHEN amount % 4 IS DISTINCT FROM 2 THEN card_last4 END AS card_last4,
+       CASE WHEN amount % 4 IS DISTINCT FROM 2 THEN card_brand END AS card_brand
 FROM billing_events
 """)
 def q_billing_events_from_json(spark, sf_dir):
@@ -108,7 +111,15 @@ def q_billing_events_from_json(spark, sf_dir):
     provider's nested shape (times as whole epoch seconds), parsed back by
     ``parse_provider_events``."""
     from pyspark.sql import functions as F
+    card_type = "struct<last4: string, brand: string>"
     e = _t(spark, sf_dir).billing_events
+    # the card is the payment method, the default source, or there is none
+    way, card = F.col("amount") % 4, F.struct(F.col("card_last4").alias("last4"), F.col("card_brand").alias("brand"))
+    method = (F.when(way == 1, F.struct(F.lit("link").alias("type"), F.lit(None).cast(card_type).alias("card")))
+              .when(way == 2, F.lit(None)).otherwise(F.struct(F.lit("card").alias("type"), card.alias("card"))))
+    source = F.struct(F.when(way == 1, "card").otherwise("bank_account").alias("object"),
+                      F.when(way == 1, F.col("card_last4")).otherwise("9999").alias("last4"),
+                      F.when(way == 1, F.col("card_brand")).alias("brand"))
     is_sess = F.col("type").isin("checkout.session.completed", "invoice.payment_succeeded")
     obj = F.struct(
         F.when(is_sess, F.concat(F.lit("cs_"), F.col("event_id").cast("string")))
@@ -121,9 +132,38 @@ def q_billing_events_from_json(spark, sf_dir):
                F.create_map(F.lit("business_id"), F.col("business_id").cast("string"))).alias("metadata"),
         F.struct(F.array(F.struct(F.struct(F.col("amount").alias("unit_amount")).alias("price")))
                  .alias("data")).alias("items"),
-        F.struct(F.col("card_last4").alias("last4"), F.col("card_brand").alias("brand")).alias("card"))
+        method.alias("default_payment_method"), source.alias("default_source"))
     raw = e.select(F.to_json(F.struct(
-        F.concat(F.lit("evt_"), F.col("event_id").cast("string")).alias("id"), "type",
+        F.col("event_id").alias("id"), "type",
         F.unix_seconds("event_ts").alias("created"),
         F.struct(obj.alias("object")).alias("data"))).alias("body"))
     return bl.parse_provider_events(raw)
+
+
+def _streamed(spark, sf_dir):
+    """The billing events as files, folded by the stream to the end; its output folder."""
+    t = _t(spark, sf_dir)
+    source, out, checkpoint = (scratch_path(spark, f"billing-{k}") for k in ("source", "out", "checkpoint"))
+    t.billing_events.repartition(3).write.parquet(source)
+    bl.run_billing_stream(spark, source, out, checkpoint, t.subscriptions, delay="3650 days",
+                          files_per_batch=2, available_now=True).awaitTermination()
+    return out
+
+
+@register("billing_stream_states", EV_CTES + "SELECT * FROM st")
+def q_billing_stream_states(spark, sf_dir):
+    """T1-T7 as a stream: the status that the last event leaves on each business."""
+    states = bl.latest_states(spark, _streamed(spark, sf_dir))
+    return states.select("business_id", "subscription_status", states["event_id"].alias("last_event_id"))
+
+
+@register("billing_stream_rejects", EV_CTES + """,
+raw AS (SELECT e.*, (SELECT MIN(x.kind) FROM ev x WHERE x.type = e.type) AS kind FROM billing_events e)
+SELECT 'unknown_type' AS reason, COUNT(*) AS events FROM raw WHERE kind IS NULL
+UNION ALL SELECT 'no_business', COUNT(*) FROM raw WHERE kind IS NOT NULL AND business_id IS NULL
+UNION ALL SELECT 'duplicate', COUNT(*) - COUNT(DISTINCT event_id) FROM raw
+          WHERE kind IS NOT NULL AND business_id IS NOT NULL
+""")
+def q_billing_stream_rejects(spark, sf_dir):
+    """Events the stream does not fold, by reason."""
+    return bl.stream_rejects(spark, _streamed(spark, sf_dir))

@@ -169,7 +169,7 @@ def q_resolve_scans_misses(spark, sf_dir):
 @register("upsert_qr_codes", f"""
 WITH ch AS (SELECT * FROM qr_changes
             QUALIFY row_number() OVER (PARTITION BY business_id, type ORDER BY updated_at DESC, change_id DESC) = 1)
-SELECT COALESCE(q.id, ch.change_id) AS id,
+SELECT COALESCE(q.id, ch.change_id + (SELECT MAX(id) FROM qr_codes)) AS id,
        COALESCE(q.business_id, ch.business_id) AS business_id, COALESCE(q.type, ch.type) AS type,
        CASE WHEN ch.business_id IS NULL THEN q.url_id
             ELSE COALESCE(q.url_id, ch.url_id,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -49,20 +50,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting must name a shared filesystem path; it is read
-    from the session.  Only when nothing is set (a local test run) is a local
-    folder made.  Registers the folder with the SparkContext once.
+    The setting must name a path that driver and executors share; it is read
+    from the session.  Only where it is unset, as in tests, a local folder is
+    made, with a warning.  Registers the folder with the SparkContext once.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared filesystem path: "
-                             "a machine-local folder does not survive a lost executor")
         d = tempfile.mkdtemp(prefix="ledgerlark-ckpt-")
+        warnings.warn("spark.checkpoint.dir is not set: using a folder of this machine, for tests only", stacklevel=2)
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir()
 

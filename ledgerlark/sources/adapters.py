@@ -28,6 +28,8 @@ class Adapter:
     where: str | None = None
     join: tuple[str, str] | None = None   # (driver table, ON condition)
     distinct: bool = False
+    # more rows of the same source: (columns that differ, WHERE)
+    also: tuple[dict[str, str], str] | None = None
 
 
 _ORD = "orders"
@@ -41,7 +43,8 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "email": "CONCAT('b', CAST(c_custkey AS STRING), '@example.com')",
         "address": "CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE CONCAT('Street ', CAST(c_custkey AS STRING)) END",
         "google_review_link": "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE CONCAT('https://example.com/r/', CAST(c_custkey AS STRING)) END",
-        "referral_code": "CASE WHEN c_custkey % 10 = 0 THEN CONCAT('REF', CAST(c_custkey AS STRING)) END",
+        # two salespeople share a code
+        "referral_code": "CASE WHEN c_custkey % 10 = 0 THEN CONCAT('REF', CAST(c_custkey - c_custkey % 20 AS STRING)) END",
         "is_salesperson": "c_custkey % 10 = 0",
         "is_admin": "CASE WHEN c_custkey % 97 = 1 THEN NULL ELSE c_custkey % 50 = 3 END",
         "onboarding_completed": "c_custkey % 3 <> 0",
@@ -64,12 +67,17 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "card_last4": "CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE '4242' END",
         "card_brand": "CASE WHEN c_custkey % 2 = 0 THEN 'visa' ELSE 'american express' END",
         "payment_method": "'card'",
-    }, where="c_custkey % 5 <> 4"),
+    }, where="c_custkey % 5 <> 4",
+        # a newer, second subscription of some businesses
+        also=({"id": "1000000 + c_custkey",
+               "status": "CASE c_custkey % 3 WHEN 0 THEN 'active' ELSE 'cancelled' END",
+               "amount": "5000 + c_custkey % 7",
+               "stripe_subscription_id": "CONCAT('sub_', CAST(c_custkey AS STRING), '_b')"}, "c_custkey % 6 = 2")),
     Adapter("payments", _ORD, {
         "id": "o_orderkey",
         "business_id": "o_custkey",
         "amount": "CAST(o_totalprice AS DECIMAL(18,2))",
-        "created_at": "o_orderdate",
+        "created_at": "CASE WHEN o_orderkey % 101 = 0 THEN NULL ELSE o_orderdate END",
     }, where="o_custkey % 11 <> 0"),
     Adapter("referrals", "customer", {
         "id": "c_custkey",
@@ -78,7 +86,7 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "status": "CASE WHEN c_custkey % 4 = 1 THEN 'pending' ELSE 'active' END",
         "commission_paid": "c_custkey % 2 = 0",
         "commission_amount": "CAST(c_custkey AS DECIMAL(18,2))",
-        "created_at": "TIMESTAMP '1996-01-01 00:00:00' + (c_custkey % 1000) * INTERVAL '1' DAY",
+        "created_at": "CASE WHEN c_custkey % 53 <> 1 THEN TIMESTAMP '1996-01-01 00:00:00' + (c_custkey % 1000) * INTERVAL '1' DAY END",
     }, where="c_custkey % 10 <> 0 AND c_custkey % 100 < 90"),
     Adapter("referral_earnings", _ORD, {
         "id": "o_orderkey",
@@ -87,8 +95,9 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "business_id": "o_custkey",
         "amount": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.2 AS DECIMAL(3,1)) AS DECIMAL(18,2))",
         "status": "CASE o_orderstatus WHEN 'P' THEN 'pending' ELSE 'paid' END",
+        "month": "CASE WHEN o_orderkey % 50 = 0 THEN TIMESTAMP '2001-08-01 00:00:00' ELSE DATE_TRUNC('month', CAST(o_orderdate AS TIMESTAMP)) END",
         "created_at": "o_orderdate",
-    }, where="o_custkey % 10 <> 0 AND o_orderkey % 3 = 0"),
+    }, where="o_custkey % 10 <> 0"),
     Adapter("commissions", "lineitem", {
         "payment_id": "l_orderkey",
         "referral_id": "o_custkey",
@@ -99,21 +108,22 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "id": "event_id",
         "business_id": "user_id",
         "customer_name": "CONCAT('Guest ', CAST(event_id AS STRING))",
-        "rating": "CAST(1 + event_id % 5 AS INT)",
+        "rating": "CASE WHEN event_id % 37 <> 0 THEN CAST(1 + event_id % 5 AS INT) END",
         "comment": "props",
         "source": "event_type",
-        "created_at": "ts",
+        "created_at": "CASE WHEN event_id % 41 <> 0 THEN ts END",
     }),
     Adapter("qr_changes", "events", {
         "change_id": "event_id",
         "business_id": "user_id",
         "type": "event_type",
-        "url_id": "CONCAT('u', CAST(event_id AS STRING))",
+        "url_id": "CASE WHEN event_id % 5 <> 0 THEN CONCAT('u', CAST(event_id AS STRING)) END",
         "updated_at": "ts",
     }),
     Adapter("coupons", "part", {
         "id": "p_partkey",
-        "code": "CONCAT('C', CAST(p_partkey AS STRING))",
+        # some coupons repeat their predecessor's code
+        "code": "CONCAT('C', CAST(p_partkey - CASE WHEN p_partkey % 30 = 0 THEN 1 ELSE 0 END AS STRING))",
         "type": "CASE WHEN p_size % 2 = 0 THEN 'trial' ELSE 'discount' END",
         "value": "p_size",
         "max_uses": "CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END",
@@ -154,10 +164,11 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "expires_at": "ts + CASE event_type WHEN 'signup' THEN 24 ELSE 1 END * INTERVAL '1' HOUR",
     }, where="event_type IN ('signup', 'view')"),
     Adapter("billing_events", "events", {
-        "event_id": "event_id",
+        # ids that end in letters or share their trailing digits
+        "event_id": "CONCAT('evt_', CAST(event_id AS STRING), CASE event_id % 3 WHEN 0 THEN 'Qx7' WHEN 1 THEN 'k' ELSE '' END)",
         "event_ts": "ts",
         "type": "CASE event_type WHEN 'signup' THEN 'checkout.session.completed' WHEN 'click' THEN 'customer.subscription.updated' WHEN 'error' THEN 'customer.subscription.deleted' WHEN 'purchase' THEN 'invoice.payment_succeeded' ELSE 'ignored.type' END",
-        "stripe_subscription_id": "CONCAT('sub_', CAST(user_id AS STRING))",
+        "stripe_subscription_id": "CONCAT('sub_', CAST(user_id AS STRING), CASE WHEN event_id % 4 = 1 THEN '_b' ELSE '' END)",
         "stripe_customer_id": "CONCAT('cus_', CAST(user_id AS STRING))",
         "business_id": "CASE WHEN user_id % 20 = 7 THEN NULL ELSE user_id END",
         "status": "CASE WHEN event_id % 7 = 0 THEN 'past_due' ELSE 'active' END",
@@ -166,7 +177,12 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
         "current_period_end": "ts + INTERVAL '30' DAY",
         "card_last4": "CASE WHEN event_id % 3 = 0 THEN NULL ELSE '4242' END",
         "card_brand": "CASE WHEN event_id % 2 = 0 THEN 'visa' ELSE 'mastercard' END",
-    }),
+    }, also=({}, "event_id % 40 = 0")),                    # events delivered twice
+    Adapter("presented_tokens", "events", {
+        "request_id": "event_id",
+        "token": "CONCAT('t', CAST(event_id AS STRING))",
+        "type": "CASE WHEN event_id % 5 = 0 THEN 'password_reset' ELSE 'email' END",
+    }, where="event_type IN ('signup', 'view', 'click')"),
     # ------------------------------------------------ change sets for the batch jobs
     Adapter("qr_codes", "customer", {
         "id": "c_custkey",
@@ -271,6 +287,7 @@ ADAPTERS: dict[str, Adapter] = {a.table: a for a in [
 # Types of change-set columns that are not domain tables in schemas.COLUMNS.
 EXTRA_TYPES: dict[str, dict[str, str]] = {
     "coupon_attempts": {"attempt_id": "string", "code": "string", "business_id": "long", "attempted_at": "ts"},
+    "presented_tokens": {"request_id": "long", "token": "string", "type": "string"},
     "scans": {"scan_id": "long", "url_id": "string", "scanned_at": "ts"},
     "review_replies": {"review_id": "long", "business_id": "long", "reply": "string", "requested_at": "ts"},
     "review_surveys": {"review_id": "long", "business_id": "long", "areas": "string", "feedback": "string",
@@ -300,11 +317,11 @@ def columns_of(table: str) -> list[tuple[str, str]]:
     return COLUMNS[table]
 
 
-def _exprs(table: str, cast_names: dict[str, str]) -> list[str]:
-    a = ADAPTERS[table]
+def _exprs(table: str, cast_names: dict[str, str], differing: dict[str, str] | None = None) -> list[str]:
+    cols = ADAPTERS[table].cols | (differing or {})
     out = []
     for name, short in columns_of(table):
-        src = a.cols.get(name, "NULL")
+        src = cols.get(name, "NULL")
         out.append(f"CAST({src} AS {cast_names[short]}) AS {name}")
     return out
 
@@ -316,9 +333,11 @@ def adapter_frame(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if a.join is not None:
         other, cond = a.join
         df = df.join(spark.read.parquet(f"{sf_dir}/{other}.parquet"), F.expr(cond), "inner")
-    if a.where:
-        df = df.where(a.where)
-    df = df.selectExpr(*_exprs(table, _SPARK_CAST))
+    rows = df.where(a.where) if a.where else df
+    rows = rows.selectExpr(*_exprs(table, _SPARK_CAST))
+    if a.also:
+        rows = rows.unionByName(df.where(a.also[1]).selectExpr(*_exprs(table, _SPARK_CAST, a.also[0])))
+    df = rows
     if a.distinct:
         df = df.distinct()
     return df
@@ -333,4 +352,7 @@ def adapter_sql(table: str) -> str:
         frm = f"{a.source} JOIN {a.join[0]} ON {a.join[1]}"
     where = f" WHERE {a.where}" if a.where else ""
     distinct = "DISTINCT " if a.distinct else ""
-    return f"SELECT {distinct}{sel} FROM {frm}{where}"
+    more = ""
+    if a.also:
+        more = f" UNION ALL SELECT {', '.join(_exprs(table, DUCK_TYPES, a.also[0]))} FROM {frm} WHERE {a.also[1]}"
+    return f"SELECT {distinct}{sel} FROM {frm}{where}{more}"

@@ -108,7 +108,7 @@ COLUMNS: dict[str, list[tuple[str, str]]] = {
         ("url_id", "string"), ("updated_at", "ts"),
     ],
     "billing_events": [
-        ("event_id", "long"), ("event_ts", "ts"), ("type", "string"),
+        ("event_id", "string"), ("event_ts", "ts"), ("type", "string"),
         ("stripe_subscription_id", "string"), ("stripe_customer_id", "string"),
         ("business_id", "long"), ("status", "string"), ("cancel_at_period_end", "bool"),
         ("amount", "long"), ("current_period_end", "ts"), ("card_last4", "string"),

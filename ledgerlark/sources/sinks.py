@@ -25,10 +25,10 @@ def append_facts(df: DataFrame, path: str, ts_col: str | None = None) -> None:
 def write_snapshot(df: DataFrame, path: str) -> str:
     """Write a full new snapshot of a changed table to ``path``.
 
-    ``path`` must be new (for a stream, key it by batch id so a replayed batch
-    rewrites the same files).  Returns the path for the caller to switch to.
+    ``path`` must be new: an existing one is an error, never overwritten.
+    Returns the path for the caller to switch to.
     """
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return path
 
 

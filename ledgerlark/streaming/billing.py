@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..fixed import EVENT_KINDS
-from ..operators.common import apply_patch, running_count
+from ..operators.common import Desc, above_max, apply_patch, latest_by_key, running_count
 from ..operators.subscriptions import current_subscriptions
 from ..sources.schemas import schema
 
@@ -43,6 +43,10 @@ SUB_OUT = ["id", "business_id", "stripe_subscription_id", "stripe_customer_id",
            "cancel_at_period_end", "cancelled_at", "ended_at", "updated_at"]
 
 
+# what the business status needs
+STATUS_COLS = ["event_id", "event_ts", "type", "business_id", "status", "cancel_at_period_end"]
+
+
 # Nested shape of a provider event as delivered to the webhook (the fields the
 # handlers read).  Times are epoch seconds; the price sits in items.data[0].
 PROVIDER_EVENT = T.StructType([
@@ -59,8 +63,13 @@ PROVIDER_EVENT = T.StructType([
         T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
         T.StructField("items", T.StructType([T.StructField("data", T.ArrayType(T.StructType([
             T.StructField("price", T.StructType([T.StructField("unit_amount", T.LongType())]))])))])),
-        T.StructField("card", T.StructType([T.StructField("last4", T.StringType()),
-                                            T.StructField("brand", T.StringType())])),
+        T.StructField("default_payment_method", T.StructType([
+            T.StructField("type", T.StringType()),
+            T.StructField("card", T.StructType([T.StructField("last4", T.StringType()),
+                                                T.StructField("brand", T.StringType())]))])),
+        T.StructField("default_source", T.StructType([
+            T.StructField("object", T.StringType()), T.StructField("last4", T.StringType()),
+            T.StructField("brand", T.StringType())])),
     ]))])),
 ])
 
@@ -72,7 +81,10 @@ def parse_provider_events(raw: DataFrame, body: str = "body") -> DataFrame:
     ``timestamp_seconds``, the amount from ``items.data[0].price.unit_amount``.
     The subscription id is the object id, except for checkout sessions and
     invoices, which name it in ``subscription``; the business id is the
-    customer's metadata (``business_id`` or ``businessId``).
+    customer's metadata (``business_id`` or ``businessId``); one that is no
+    number becomes NULL, so the event is counted as ``no_business``.  The event
+    id is kept as the provider writes it.  A checkout's card is chosen by
+    ``checkout_card`` (T2).
     """
     e = raw.select(F.from_json(F.col(body), PROVIDER_EVENT).alias("e"))
     o = F.col("e.data.object")
@@ -80,18 +92,26 @@ def parse_provider_events(raw: DataFrame, body: str = "body") -> DataFrame:
                  o["subscription"]).otherwise(o["id"])
     md = o["metadata"]
     return e.select(
-        F.regexp_extract(F.col("e.id"), r"(\d+)$", 1).cast("long").alias("event_id"),
+        F.col("e.id").alias("event_id"),
         F.timestamp_seconds(F.col("e.created")).alias("event_ts"),
         F.col("e.type").alias("type"),
         sub.alias("stripe_subscription_id"),
         o["customer"].alias("stripe_customer_id"),
-        F.coalesce(md.getItem("business_id"), md.getItem("businessId")).cast("long").alias("business_id"),
+        F.coalesce(md.getItem("business_id"), md.getItem("businessId")).try_cast("long").alias("business_id"),
         o["status"].alias("status"),
         o["cancel_at_period_end"].alias("cancel_at_period_end"),
         o["items"]["data"].getItem(0)["price"]["unit_amount"].alias("amount"),
         F.timestamp_seconds(o["current_period_end"]).alias("current_period_end"),
-        o["card"]["last4"].alias("card_last4"),
-        o["card"]["brand"].alias("card_brand"))
+        checkout_card(o)["last4"].alias("card_last4"),
+        checkout_card(o)["brand"].alias("card_brand"))
+
+
+def checkout_card(o: F.Column) -> F.Column:
+    """The card of the default payment method if that is a card, else the
+    customer's default source if that is a card, else NULL."""
+    method, source = o["default_payment_method"], o["default_source"]
+    return (F.when(method["type"] == "card", method["card"])
+            .when(source["object"] == "card", F.struct(source["last4"].alias("last4"), source["brand"].alias("brand"))))
 
 
 def read_billing_events(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -197,7 +217,7 @@ def fold_billing(events: DataFrame, subscriptions: DataFrame | None = None):
         return F.when(hco, F.col(f"co.{field}")).otherwise(F.col(f"b_{basecol}"))
 
     snap = j.select(
-        F.coalesce(F.col("b_id"), F.col("business_id")).alias("id"),
+        F.coalesce(F.col("b_id"), above_max(base, F.col("business_id"))).alias("id"),
         F.coalesce(F.col("b_business_id"), F.col("business_id")).alias("business_id"),
         pick("stripe_subscription_id", "stripe_subscription_id").alias("stripe_subscription_id"),
         pick("stripe_customer_id", "stripe_customer_id").alias("stripe_customer_id"),
@@ -252,7 +272,7 @@ def stream_output_schema() -> T.StructType:
     fields += [T.StructField(c, sub[c]) for c in SUB_OUT if c != "business_id"]
     fields += [T.StructField("row_exists", T.BooleanType()),
                T.StructField("subscription_status", T.StringType()),
-               T.StructField("event_id", T.LongType()),
+               T.StructField("event_id", T.StringType()),
                T.StructField("event_ts", T.TimestampType())]
     return T.StructType(fields)
 
@@ -286,12 +306,11 @@ def _apply(st: dict, e: dict) -> None:
         new = "cancelled"
     else:
         new = "cancelling" if (e["cancel_at_period_end"] and e["status"] == "active") else e["status"]
-    st["business_status"], st["last_event"] = new, e["event_id"]
+    st["business_status"], st["last_event"], st["last_ts"] = new, e["event_id"], ts
     row = st["row"]
     if kind == "checkout":
         if row is None:
             row = st["row"] = {k: None for k in _BASE_FIELDS}
-            row["id"] = st["business_id"]
         row.update(stripe_subscription_id=e["stripe_subscription_id"],
                    stripe_customer_id=e["stripe_customer_id"], status="active",
                    amount=e["amount"], current_period_end=e["current_period_end"],
@@ -318,26 +337,27 @@ def _fold_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
     if state.exists:
         st = json.loads(state.get[0])
     else:
-        st = {"business_id": business_id, "row": None, "business_status": None, "last_event": None,
+        st = {"business_id": business_id, "row": None, "business_status": None, "last_event": None, "last_ts": None,
               "horizon": None, "pending": []}
         if rows and _val(rows[0].get("b_has")):
             st["row"] = {k: _val(rows[0].get(f"b_{k}")) for k in _BASE_FIELDS}
             for k in ("current_period_end", "cancelled_at", "ended_at", "updated_at"):
                 st["row"][k] = _ts(st["row"][k])
     seen = {p["event_id"] for p in st["pending"]}
-    late = []
+    rejected = []
     for r in rows:
-        e = {"event_id": int(r["event_id"]), "event_ts": _ts(r["event_ts"]), "kind": r["kind"],
+        e = {"event_id": r["event_id"], "event_ts": _ts(r["event_ts"]), "kind": r["kind"],
              "status": _val(r["status"]), "cancel_at_period_end": None if _val(r["cancel_at_period_end"]) is None
              else bool(_val(r["cancel_at_period_end"])),
              "stripe_subscription_id": _val(r["stripe_subscription_id"]),
              "stripe_customer_id": _val(r["stripe_customer_id"]), "amount": _val(r["amount"]),
              "current_period_end": _ts(r["current_period_end"]),
              "card_last4": _val(r["card_last4"]), "card_brand": _val(r["card_brand"])}
-        if e["event_id"] in seen:
-            continue                                   # repeat inside the horizon
+        if e["event_id"] in seen:                      # repeat inside the horizon
+            rejected.append(("duplicate", e))
+            continue
         if st["horizon"] is not None and e["event_ts"] is not None and e["event_ts"] <= st["horizon"]:
-            late.append(e)                             # past the watermark: rejected, counted
+            rejected.append(("late", e))               # behind the watermark
             continue
         seen.add(e["event_id"])
         st["pending"].append(e)
@@ -360,14 +380,14 @@ def _fold_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
     row = view["row"]
     rec = {"record": "state", "business_id": business_id, "row_exists": row is not None,
            "subscription_status": view["business_status"], "event_id": view["last_event"],
-           "event_ts": None}
+           "event_ts": view["last_ts"]}
     for c in SUB_OUT:
         if c != "business_id":
             rec[c] = None if row is None else row.get(c)
     out.append(rec)
-    for e in late:
+    for reason, e in rejected:
         r = {c: None for c in rec}
-        r.update(record="late", business_id=business_id, event_id=e["event_id"], event_ts=e["event_ts"])
+        r.update(record=reason, business_id=business_id, event_id=e["event_id"], event_ts=e["event_ts"])
         out.append(r)
     pdf = pd.DataFrame(out)
     for c in ("current_period_end", "cancelled_at", "ended_at", "updated_at", "event_ts"):
@@ -384,12 +404,21 @@ def fold_billing_stream(events: DataFrame, subscriptions: DataFrame | None = Non
     seed each business's state.  State per business holds the folded row and
     the events not yet passed by the watermark, so out-of-order arrivals inside
     ``delay`` fold in (event_ts, event_id) order and the result equals the
-    batch fold; events at or before the folded horizon come out as
-    ``record = 'late'`` rows (T7).  State size is bounded by ``delay``.
+    batch fold.  Every event that is not folded comes out as a row whose
+    ``record`` says why: ``duplicate`` or ``late`` (T7: at or before the folded
+    horizon, repeats of folded events included), ``unknown_type``, ``no_time``
+    (no event time: it could never be ordered) or ``no_business``.  A new row's
+    ``id`` is NULL; ``latest_states`` sets it.  One business's events of a
+    micro-batch are folded by one task: bound the batch with the trigger.
     """
-    ev = (events.withColumn("kind", kind_col())
-          .where(F.col("kind").isNotNull() & F.col("business_id").isNotNull())
-          .withWatermark("event_ts", delay))
+    ev = events.withColumn("kind", kind_col())
+    why = (F.when(F.col("kind").isNull(), "unknown_type").when(F.col("business_id").isNull(), "no_business")
+           .when(F.col("event_ts").isNull(), "no_time"))
+    out = stream_output_schema()
+    rejects = ev.withColumn("record", why).where(F.col("record").isNotNull()).select(
+        *[(F.col(f.name) if f.name in ("record", "business_id", "event_id", "event_ts") else F.lit(None))
+          .cast(f.dataType).alias(f.name) for f in out.fields])
+    ev = ev.where(why.isNull()).withWatermark("event_ts", delay)
     if subscriptions is not None:
         # the static side of a stream-static join is re-read every micro-batch:
         # derive the current rows once and keep them for the query's lifetime
@@ -404,7 +433,7 @@ def fold_billing_stream(events: DataFrame, subscriptions: DataFrame | None = Non
         for c in _BASE_FIELDS:
             ev = ev.withColumn(f"b_{c}", F.lit(None).cast(schema("subscriptions")[c].dataType))
     return ev.groupBy("business_id").applyInPandasWithState(
-        _fold_group, stream_output_schema(), _STATE_SCHEMA, "update", "NoTimeout")
+        _fold_group, out, _STATE_SCHEMA, "update", "NoTimeout").unionByName(rejects)
 
 
 def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -414,46 +443,65 @@ def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def snapshot_writer(path: str):
     """S4 for the stream: a ``foreachBatch`` function that writes each
-    micro-batch's changed business states to ``{path}/batch={id}``.
+    micro-batch's changed business states to ``{path}/states/batch={id}`` and
+    the events it did not fold to ``{path}/rejects/batch={id}``.
 
-    A replayed batch id rewrites the same folder, so the sink is idempotent;
-    readers take the latest row per business (``latest_states``).
+    A replayed batch id rewrites the same folders, so the sink is idempotent.
     """
     def write(df: DataFrame, batch_id: int) -> None:
-        (df.where(F.col("record") == "state").withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
+        df.persist()                     # two folders from one fold; the source can be read again
+        try:
+            for part, rows in (("states", F.col("record") == "state"), ("rejects", F.col("record") != "state")):
+                df.where(rows).write.mode("overwrite").parquet(f"{path}/{part}/batch={batch_id}")
+        finally:
+            df.unpersist()
     return write
 
 
-def latest_states(spark: SparkSession, path: str) -> DataFrame:
-    """Current state per business from the snapshot folders (latest batch wins)."""
-    from ..operators.common import Desc, latest_by_key
-    df = spark.read.parquet(path)
-    cols = [c for c in df.columns if c not in ("batch",)]
-    return latest_by_key(df, ["business_id"], [Desc("batch_id", nulls_first=False)], cols)
+def latest_states(spark: SparkSession, path: str, subscriptions: DataFrame | None = None) -> DataFrame:
+    """Current state per business from the snapshot folders: the state after
+    the latest event, and of several the one written last (an older event that
+    arrived in between).  With ``subscriptions`` new rows get ids above its largest."""
+    df = spark.read.parquet(f"{path}/states")
+    latest = latest_by_key(df, ["business_id"], [Desc("event_ts", nulls_first=False), Desc("event_id", nulls_first=False),
+                                                 Desc("batch", nulls_first=False)], df.columns).drop("batch")
+    if subscriptions is None:
+        return latest
+    new = F.when(F.col("row_exists"), above_max(subscriptions, F.col("business_id")))
+    return latest.withColumn("id", F.coalesce(F.col("id"), new))
+
+
+def stream_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Events the stream did not fold, counted by reason."""
+    return spark.read.parquet(f"{path}/rejects").groupBy(F.col("record").alias("reason")).agg(
+        F.count(F.lit(1)).alias("events"))
+
+
+def compact_states(spark: SparkSession, path: str, new_path: str) -> None:
+    """Write the current states alone to ``new_path`` (batch 0), so that a
+    reader of a long stream need not read every batch ever written."""
+    latest_states(spark, path).write.parquet(f"{new_path}/states/batch=0")
 
 
-def run_billing_stream(spark: SparkSession, source: str, out: str,
+def run_billing_stream(spark: SparkSession, source: str, out: str, checkpoint: str,
                        subscriptions: DataFrame | None = None, delay: str = "1 day",
                        fmt: str = "parquet", files_per_batch: int | None = None,
                        available_now: bool = False, name: str = "billing-fold"):
     """S2 -> T1-T7 -> S4 as one streaming query.
 
     Reads billing events from ``source`` files, folds them per business
-    (``fold_billing_stream``) and writes each micro-batch's changed states to
-    ``{out}/batch=<id>`` (``snapshot_writer``); ``latest_states(spark, out)``
-    gives the current table.  The query's checkpoint lives under the shared
-    ``spark.checkpoint.dir``, so a restarted driver resumes where it stopped.
+    (``fold_billing_stream``) and writes changed states and rejects per
+    micro-batch (``snapshot_writer``); ``latest_states`` and ``stream_rejects``
+    read them.  ``checkpoint`` is the query's own folder on shared storage: a
+    restart with the same folder resumes after the last finished batch.
     Returns the started ``StreamingQuery``.
     """
-    from ..session import scratch_path
     reader = spark.readStream.schema(schema("billing_events")).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     folded = fold_billing_stream(reader.load(source), subscriptions, delay)
     w = (folded.writeStream.queryName(name).outputMode("update")
-         .foreachBatch(snapshot_writer(out))
-         .option("checkpointLocation", scratch_path(spark, f"stream-{name}")))
+         .foreachBatch(snapshot_writer(out)).option("checkpointLocation", checkpoint))
     if available_now:
         w = w.trigger(availableNow=True)
     return w.start()

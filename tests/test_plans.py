@@ -84,3 +84,15 @@ def test_tenant_filter_by_frame(spark):
     a = for_tenants(t.reviews, "business_id", ids)
     b = for_tenants(t.reviews, "business_id", [3, 5, 8])
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0 and a.count() > 0
+
+
+def test_public_listing_reads_three_subscription_columns(spark):
+    import re
+    import tempfile
+
+    from ledgerlark.operators import accounts as ac
+    t, path = load_tables(spark, SF_SMALL), tempfile.mkdtemp(prefix="subs-") + "/s"
+    t.subscriptions.write.parquet(path)
+    plan = ac.public_listing(t.businesses, spark.read.parquet(path), "2001-08-01 00:00:00")._jdf.queryExecution().toString()
+    schemas = [m for m in re.findall(r"ReadSchema: struct<([^>]*)>", plan) if "current_period_end" in m]
+    assert schemas and all({c.split(":")[0] for c in m.split(",")} == {"id", "business_id", "current_period_end"} for m in schemas)

@@ -17,7 +17,7 @@ def test_running_count_hot_key_matches_window(spark):
         F.when(F.col("id") % 5 < 2, F.lit(0)).otherwise(F.col("id") % 97).alias("k"),
         (F.col("id") % 13).alias("t"), F.col("id"),
         (F.col("id") % 3 == 0).alias("f"))
-    got = running_count(df, "k", ["t", "id"], "n", flag=F.col("f"), partitions=16)
+    got = running_count(df, "k", ["t", "id"], "n", flag=F.col("f"), width=3)
     w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("n", F.coalesce(F.sum(F.col("f").cast("long")).over(w), F.lit(0)))
     assert got.count() == 5000
@@ -84,3 +84,61 @@ def test_left_join_fact_equals_left_join(spark):
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert got.where("rv IS NULL").count() == 10          # keys 40..49 have no partner
+
+
+def test_running_count_keeps_values_and_keys(spark):
+    big = 2 ** 53
+    rows = [(big, ts("2020-01-01 00:00:00"), 1, big + 1), (big + 1, ts("2020-01-01 00:00:00"), 2, None),
+            (None, None, 3, big + 3), (None, ts("2020-01-01 02:00:00"), 4, big + 5), (big, ts("2020-01-01 00:59:59"), 5, 0)]
+    df = spark.createDataFrame(rows, "k long, t timestamp, id long, v long")
+    got = {r["id"]: (r["k"], r["v"], r["r"]) for r in rank_in_key(df, "k", ["t", "id"], "r").collect()}
+    assert got == {1: (big, big + 1, 1), 5: (big, 0, 2), 2: (big + 1, None, 1), 4: (None, big + 5, 1), 3: (None, big + 3, 2)}
+
+
+def test_new_subscription_row_is_the_current_one(spark):
+    from ledgerlark.operators import accounts as ac
+    from ledgerlark.operators.subscriptions import current_subscriptions
+    b = mk(spark, "businesses", [{"id": 5}])
+    s = mk(spark, "subscriptions", [{"id": 50, "business_id": 5, "status": "cancelled"}, {"id": 60, "business_id": 6}])
+    q = mk(spark, "onboarding_requests", [{"business_id": 5, "requested_at": ts("2020-01-01 00:00:00")}])
+    _, rows = ac.complete_onboarding(b, s, q, "2020-01-02 00:00:00")
+    now = current_subscriptions(s.unionByName(rows), "id", "status").where("business_id = 5").first()
+    assert (now["id"], now["status"]) == (65, "active")
+
+
+def test_referral_codes_do_not_clash(spark):
+    from ledgerlark.operators import referrals as rf
+    b = spark.range(1_000_000).select("id", F.lit(None).cast("string").alias("referral_code"))
+    codes = rf.fill_referral_codes(b, "x")
+    assert codes.where("referral_code IS NULL OR length(referral_code) <> 8").count() == 0
+    assert rf.referral_code_collisions(codes).count() == 0
+
+
+def test_rate_keeps_its_digits(spark):
+    from ledgerlark.operators import referrals as rf
+    r = mk(spark, "referrals", [{"id": 1, "referrer_id": 2, "referred_business_id": 3, "status": "active"}])
+    s = mk(spark, "subscriptions", [{"id": 1, "business_id": 3, "amount": 1000}])
+    out = rf.monthly_earnings(r, s, mk(spark, "referral_earnings", []), "2020-01-01", "2020-01-01 00:00:00", rate=0.125)
+    assert out.first()["amount"] == D("125.00")
+
+
+def test_reports_are_ordered(spark):
+    from ledgerlark.operators import referrals as rf
+    t = load_tables(spark, SF_SMALL)
+
+    def falling(rows, col, tenant=None):
+        key = [(r[tenant] if tenant else 0, r[col] is not None, -(r[col].timestamp() if hasattr(r[col], "timestamp") else r[col] or 0)) for r in rows]
+        assert key == sorted(key)
+    falling(rf.salespeople_leaderboard(t.businesses, t.referrals, t.subscriptions, t.referral_earnings).collect(), "total_commission")
+    falling(finance.commissions_report(t.businesses, t.referrals, t.commissions, "1998-01-01", "1998-06-30").collect(), "total_commission")
+    for rows, col, tenant in [
+            (rf.salesperson_referrals(t.referrals, t.businesses, t.subscriptions, t.referral_earnings), "referral_date", "referrer_id"),
+            (rf.salesperson_payouts(t.referral_earnings, t.businesses), "payment_date", "seller_id"),
+            (rf.referral_rows(t.referrals, t.businesses, t.subscriptions, t.referral_earnings), "created_at", "referrer_id"),
+            (rf.seller_referrals(t.referrals, t.businesses, t.subscriptions, t.referral_earnings), "join_date", "referrer_id"),
+            (rf.seller_payouts(t.referral_earnings, t.referrals, t.businesses), "date", "referrer_id"),
+            (rf.salesperson_referral_payments(t.referrals, t.businesses, t.payments), "join_date", "referrer_id")]:
+        falling(rows.collect(), col, tenant)
+    months = [r["month"] for r in finance.monthly_financials(spark, t.payments, t.referral_earnings, "1998-06-30 00:00:00").collect()]
+    days = [r["date"] for r in finance.daily_revenue(t.payments, t.commissions, "1998-01-01", "1998-06-30").collect()]
+    assert months == sorted(months) and days == sorted(days)
