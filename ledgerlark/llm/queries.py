@@ -89,4 +89,68 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_url_rules, op2_language_id, op3_embedding_dedup, op4_personal_data, op5_source_mix, op6_lm_score, op7_page_text,
     op8_decontaminate, op9_byte_shards, op10_near_dedup)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         embedding IS NOT NULL AND len(embedding) > 0 AND list_count(embedding) = len(embedding)
+           AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine
+  FROM embeddings),
+near AS (
+  SELECT a.vec_id AS x, b.vec_id AS y
+  FROM (FROM v WHERE fine) a JOIN (FROM v WHERE fine) b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM v
+  UNION
+  SELECT reach.x, near.y FROM reach JOIN near ON near.x = reach.y),
+part AS (SELECT x, MIN(y) AS low FROM reach GROUP BY x)
+SELECT vec_id, (SELECT COUNT(*) FROM near WHERE near.x = vec_id) AS n_links, low AS component_id, low = vec_id AS kept
+FROM v JOIN part ON part.x = vec_id
+""",
+    "op5_source_mix": """
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         (CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':mix:' || md5(COALESCE(text, ''))), 1, 13)
+               AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
+  FROM documents),
+leveled AS (SELECT *, CASE WHEN size > 0 THEN len(bin(size)) ELSE 0 END AS level FROM d),
+src AS (SELECT source, SUM(size) AS z,
+               [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+fill AS (SELECT *, (SUM(z) OVER () - COALESCE(SUM(3 * z) OVER before, 0))
+                   / (SUM(w) OVER () - COALESCE(SUM(w) OVER before, 0))::DOUBLE AS share
+         FROM src WINDOW before AS (ORDER BY 3 * z / w::DOUBLE, source NULLS LAST
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tgt AS (SELECT source, z, LEAST(3 * z, MAX(share) OVER () * w)::DOUBLE AS target FROM fill),
+lev AS (SELECT source, level, SUM(size) AS words FROM leveled WHERE level > 0 GROUP BY ALL),
+fac AS (SELECT l.*, t.target, (t.target - COALESCE(SUM(3 * words) OVER above, 0))
+               / (SUM(level * words) OVER (PARTITION BY l.source) - COALESCE(SUM(level * words) OVER above, 0)) AS f
+        FROM lev l JOIN tgt t ON t.source IS NOT DISTINCT FROM l.source
+        WINDOW above AS (PARTITION BY l.source ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cop AS (SELECT *, LEAST(3, MAX(f) OVER (PARTITION BY source) * level) AS m FROM fac),
+pl AS (SELECT *, floor(m + 1e-9) AS whole, GREATEST(m - floor(m + 1e-9), 0) AS p FROM cop),
+plan AS (SELECT *, target - SUM(whole * words) OVER (PARTITION BY source) AS missing FROM pl),
+drawn AS (SELECT d.doc_id, d.source, d.size, missing, (u / (1 - u)) / (p / (1 - p)) AS q
+          FROM leveled d JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.level = d.level WHERE p > 0),
+ran AS (SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= missing AS hit FROM drawn),
+gap0 AS (SELECT source, MAX(missing) - SUM(CASE WHEN hit THEN size ELSE 0 END) AS gap FROM ran GROUP BY source),
+one AS (SELECT r.* , gap - size AS rest FROM ran r JOIN gap0 g ON g.source IS NOT DISTINCT FROM r.source
+        WHERE NOT hit AND abs(size - gap) < gap
+        QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY abs(size - gap), q, doc_id) = 1),
+two AS (SELECT r.*, o.rest - r.size AS rest FROM ran r JOIN one o ON o.source IS NOT DISTINCT FROM r.source
+        WHERE NOT r.hit AND r.doc_id <> o.doc_id AND abs(r.size - o.rest) < o.rest
+        QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY abs(r.size - o.rest), r.q, r.doc_id) = 1),
+three AS (SELECT r.* FROM ran r JOIN one o ON o.source IS NOT DISTINCT FROM r.source
+          JOIN two t ON t.source IS NOT DISTINCT FROM r.source
+          WHERE NOT r.hit AND r.doc_id <> o.doc_id AND r.doc_id <> t.doc_id AND abs(r.size - t.rest) < t.rest
+          QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY abs(r.size - t.rest), r.q, r.doc_id) = 1),
+more AS (SELECT doc_id FROM ran WHERE hit UNION ALL SELECT doc_id FROM one
+         UNION ALL SELECT doc_id FROM two UNION ALL SELECT doc_id FROM three)
+SELECT d.doc_id, d.source, d.size, CAST(tgt.z AS BIGINT) AS source_size, tgt.target,
+       CAST(COALESCE(whole, 0) + (d.doc_id IN (FROM more))::INT AS BIGINT) AS copies,
+       CAST((COALESCE(whole, 0) + (d.doc_id IN (FROM more))::INT) * d.size AS BIGINT) AS taken
+FROM leveled d JOIN tgt ON tgt.source IS NOT DISTINCT FROM d.source
+LEFT JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.level = d.level
+""",
+}
