@@ -84,8 +84,8 @@ def business_list(businesses: DataFrame, subscriptions: DataFrame,
 
 def _referrals_as_referred(referrals: DataFrame) -> DataFrame:
     return referrals.groupBy(F.col("referred_business_id").alias("id")).agg(
-        F.count_distinct("id").alias("total_referrals"),
-        F.count_distinct(F.when(F.col("status") == "active", F.col("id"))).alias("active_referrals"))
+        F.count("id").alias("total_referrals"),
+        F.count(F.when(F.col("status") == "active", F.col("id"))).alias("active_referrals"))
 
 
 def business_detail_by_referral_status(businesses: DataFrame, subscriptions: DataFrame,
@@ -110,7 +110,7 @@ def business_detail(businesses: DataFrame, subscriptions: DataFrame, payments: D
         F.col("business_id").alias("id"), money_out(F.col("amount")).alias("last_payment_amount"),
         F.col("created_at").alias("last_payment_date"))
     refs = referrals.groupBy(F.col("referred_business_id").alias("id")).agg(
-        F.count_distinct("id").alias("total_referrals"))
+        F.count("id").alias("total_referrals"))
     zero = F.lit(0).cast("long")
     j = (businesses.select(*DETAIL)
          .join(_subs(subscriptions, "status", "subscription_status"), "id", "left")

@@ -54,8 +54,8 @@ def financial_totals(businesses: DataFrame, subscriptions: DataFrame, payments:
     return j.agg(
         money_out(sum0(rev)).alias("total_revenue"),
         money_out(sum0(com)).alias("total_commissions"),
-        F.count_distinct(F.when(F.col("active"), F.col("id"))).alias("active_businesses"),
-        F.count_distinct(F.when(F.col("is_salesperson"), F.col("id"))).alias("total_salespeople"),
+        F.count(F.when(F.col("active"), F.col("id"))).alias("active_businesses"),
+        F.count(F.when(F.col("is_salesperson"), F.col("id"))).alias("total_salespeople"),
     )
 
 
@@ -102,7 +102,7 @@ def daily_revenue(payments: DataFrame, commissions: DataFrame, start, end,
         rev = F.col("amount") * n
         net = F.col("amount") * n - F.coalesce("c_sum", zero)
     return (j.groupBy(F.date_trunc("day", "created_at").alias("date"))
-             .agg(F.count_distinct("id").alias("transactions"),
+             .agg(F.count("id").alias("transactions"),
                   money_out(sum0(rev)).alias("revenue"),
                   money_out(sum0(F.col("c_sum"))).alias("commissions"),
                   money_out(sum0(net)).alias("net_revenue"))
@@ -125,8 +125,8 @@ def commissions_report(businesses: DataFrame, referrals: DataFrame, commissions:
          .join(sp, F.col("referrer_id") == F.col("salesperson_id"))
          .join(referred, "referred_business_id", "left"))
     return (j.groupBy("salesperson_id", "salesperson")
-             .agg(F.count_distinct("id").alias("total_referrals"),
-                  F.count_distinct(F.when(F.col("r2_status") == "active", F.col("id")))
+             .agg(F.count("id").alias("total_referrals"),
+                  F.count(F.when(F.col("r2_status") == "active", F.col("id")))
                   .alias("active_referrals"),
                   money_out(sum0(F.col("c_sum"))).alias("total_commission"))
              .orderBy(F.col("total_commission").desc_nulls_first(), "salesperson_id"))

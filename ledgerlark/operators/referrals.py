@@ -113,7 +113,7 @@ def salespeople_leaderboard(businesses: DataFrame, referrals: DataFrame,
     r = (referrals.select("id", "referrer_id", "referred_business_id")
          .join(s, "referred_business_id", "left")
          .groupBy(F.col("referrer_id").alias("id")).agg(
-             F.count_distinct("id").alias("total_referrals"),
+             F.count("id").alias("total_referrals"),
              F.count_distinct(F.when(F.col("s_active"), F.col("referred_business_id")))
              .alias("active_referrals"),
              F.sum(_one(F.col("s_n"))).alias("rs_rows")))
@@ -139,9 +139,9 @@ def salesperson_detail(businesses: DataFrame, referrals: DataFrame,
     r = (referrals.select("id", "referrer_id", "referred_business_id")
          .join(r2, "referred_business_id", "left").join(c, "id", "left")
          .groupBy(F.col("referrer_id").alias("id")).agg(
-             F.count_distinct("id").alias("total_referrals"),
+             F.count("id").alias("total_referrals"),
              F.sum("c_sum").alias("total_commission"),
-             F.count_distinct(F.when(F.col("r2_status") == "active", F.col("id")))
+             F.count(F.when(F.col("r2_status") == "active", F.col("id")))
              .alias("active_referrals")))
     zero = F.lit(0).cast("long")
     return (businesses.where(F.col("is_salesperson")).select(*DETAIL).join(r, "id", "left")
@@ -201,8 +201,8 @@ def earnings_stats(businesses: DataFrame, referrals: DataFrame, earnings: DataFr
     r = (referrals.select("id", "referrer_id", "referred_business_id")
          .join(s, "referred_business_id", "left")
          .groupBy(F.col("referrer_id").alias("bid")).agg(
-             F.count_distinct("id").alias("n_ref"),
-             F.count_distinct(F.when(F.col("s_active"), F.col("id"))).alias("n_active"),
+             F.count("id").alias("n_ref"),
+             F.count(F.when(F.col("s_active"), F.col("id"))).alias("n_active"),
              F.sum(_one(F.col("s_n"))).alias("rs_rows")))
     e = earnings.groupBy(F.col("seller_id").alias("bid")).agg(
         F.sum("amount").alias("e_sum"),
@@ -235,8 +235,8 @@ def referral_totals(referrals: DataFrame, subscriptions: DataFrame,
          .join(s, "referred_business_id", "left")
          .join(e, ["referrer_id", "referred_business_id"], "left"))
     agg = j.groupBy("referrer_id").agg(
-        F.count_distinct("id").alias("total_referrals"),
-        F.count_distinct(F.when(F.col("s_status") == "active", F.col("id"))).alias("active_referrals"),
+        F.count("id").alias("total_referrals"),
+        F.count(F.when(F.col("s_status") == "active", F.col("id"))).alias("active_referrals"),
         money_out(sum0(F.col("e_sum"))).alias("total_earnings"))
     zero = F.lit(0).cast("long")
     return _with_zero_rows(agg, accounts, {"total_referrals": zero, "active_referrals": zero,
@@ -273,8 +273,8 @@ def seller_totals(referrals: DataFrame, earnings: DataFrame, as_of,
         F.sum(F.when(F.col("status") == "pending", F.col("amount")).otherwise(0)).alias("e_pending"))
     j = referrals.select("id", "referrer_id", "status").join(e, "id", "left")
     agg = j.groupBy("referrer_id").agg(
-        F.count_distinct("id").alias("total_referrals"),
-        F.count_distinct(F.when(F.col("status") == "active", F.col("id"))).alias("active_referrals"),
+        F.count("id").alias("total_referrals"),
+        F.count(F.when(F.col("status") == "active", F.col("id"))).alias("active_referrals"),
         money_out(sum0(F.col("e_sum"))).alias("total_earnings"),
         money_out(sum0(F.col("e_pending"))).alias("pending_earnings"))
     zero = F.lit(0).cast("long")
@@ -322,7 +322,7 @@ def salesperson_totals(referrals: DataFrame, businesses: DataFrame, as_of,
                  F.col("subscription_amount") * r).otherwise(F.lit(0))
     agg = j.groupBy("referrer_id").agg(
         money_out(F.coalesce(F.sum("commission_amount"), F.lit(0))).alias("total_commission"),
-        F.count_distinct(F.when(F.col("b_status") == "active", F.col("id"))).alias("active_referrals"),
+        F.count(F.when(F.col("b_status") == "active", F.col("id"))).alias("active_referrals"),
         money_out(F.coalesce(F.sum(due), F.lit(0))).alias("next_payout_amount"))
     agg = _with_zero_rows(agg, salespeople, {"total_commission": F.lit(0.0),
                                              "active_referrals": F.lit(0).cast("long"),

@@ -51,8 +51,7 @@ def main(argv):
             "| window | group limit | python | scans | widest scan (cols) |")
     lines = ["# Physical plans", "",
              f"Final plans after AQE for every registered query at `{sf_dir}` on local[8] "
-             "(`python plan_report.py`). Counts are operators in the executed plan; "
-             "`running_count` queries show only the part after its written table.", "",
+             "(`python plan_report.py`). Counts are operators in the executed plan.", "",
              head, "|" + "---|" * 14]
     for name, c, n_scans, widest in rows:
         lines.append(f"| {name} | {c['shuffle']} | {c['broadcast']} | {c['smj']} | {c['bhj']} | "
