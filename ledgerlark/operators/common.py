@@ -122,11 +122,6 @@ def apply_patch(target: DataFrame, patch: DataFrame, keys: Sequence[str],
     return j.select(*out_cols)
 
 
-def patch_col(name: str) -> Column:
-    """Reference a patch column inside ``apply_patch(sets=...)``."""
-    return F.col(f"__p_{name}")
-
-
 def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str],
            sets: dict[str, Column], inserts: dict[str, Column],
            order_col: str | None = None) -> DataFrame:
@@ -191,11 +186,6 @@ def month_calendar(spark: SparkSession, as_of, months: int, col: str = "month")
         F.explode(F.sequence(start, end, F.expr("INTERVAL 1 MONTH"))).alias(col))
 
 
-def count_distinct_when(cond: Column, value: Column) -> Column:
-    """COUNT(DISTINCT CASE WHEN cond THEN value END), exact."""
-    return F.count_distinct(F.when(cond, value))
-
-
 def sum0(c: Column) -> Column:
     """COALESCE(SUM(c), 0) keeping the decimal type."""
     return F.coalesce(F.sum(c), F.lit(0).cast("decimal(18,2)"))

@@ -34,11 +34,6 @@ def coupon_code_ok(code) -> F.Column:
     return full_match(code if not isinstance(code, str) else F.col(code), COUPON_CODE_PATTERN)
 
 
-def coupons_by_code(coupons: DataFrame) -> DataFrame:
-    """Code -> coupon; a code held twice resolves to the lowest id."""
-    return earliest_by_key(coupons, ["code"], ["id"], ["code", *[c for c in COUPON_COLS if c != "code"]])
-
-
 def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataFrame,
                      strict: bool = False) -> DataFrame:
     """D5 over a batch of attempts (attempt_id, code, business_id, attempted_at).
@@ -57,48 +52,46 @@ def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataF
     attempt sees are ``u0 + min(firsts before it, max_uses - u0)``.  The
     "firsts before" count is a distributed prefix sum (``running_count``).
     """
-    c = coupons_by_code(coupons).select(
+    checked = ["is_active", "expires_at"] if strict else []
+    c = earliest_by_key(coupons, ["code"], ["id"], ["code", "id", "type", "max_uses", *checked]).select(
         F.col("id").alias("coupon_id"), F.col("code").alias("__code"), F.col("type").alias("coupon_type"),
-        "max_uses", "is_active", "expires_at")
+        "max_uses", *checked)
     # one pass over the redemptions: uses per (coupon, business) pair, then per coupon
     pairs = redemptions.groupBy("coupon_id", "business_id").agg(F.count(F.lit(1)).alias("__n"))
     u0 = pairs.groupBy("coupon_id").agg(F.sum("__n").alias("u0"))
     pre = pairs.select("coupon_id", "business_id", F.lit(True).alias("pre_redeemed"))
     att = attempts.select("attempt_id", "code", "business_id", "attempted_at")
-    a = (att.join(c, F.upper(F.col("code")) == F.col("__code")).drop("__code")
+    a = (att.join(c, F.upper(F.col("code")) == F.col("__code"), "left").drop("code", "__code")
          .join(u0, "coupon_id", "left")
          .join(pre, ["coupon_id", "business_id"], "left")
          .withColumn("u0", F.coalesce("u0", F.lit(0).cast("long")))
          .withColumn("pre_redeemed", F.coalesce("pre_redeemed", F.lit(False))))
+    usable = F.lit(True)
     if strict:
         usable = (F.col("is_active") == F.lit(True)) & (
             F.col("expires_at").isNull() | (F.col("expires_at") > F.col("attempted_at")))
-    else:
-        usable = F.lit(True)
     cand = a.where((F.col("coupon_type") == "trial") & ~F.col("pre_redeemed") & usable)
-    firsts = earliest_by_key(cand, ["coupon_id", "business_id"],
-                             ["attempted_at", "attempt_id"], ["coupon_id", "business_id", "attempt_id"]) \
-        .select(F.col("attempt_id").alias("__first_id"), F.lit(True).alias("is_first"))
-    found = a.join(firsts, F.col("attempt_id") == F.col("__first_id"), "left") \
-        .drop("__first_id").withColumn("is_first", F.coalesce("is_first", F.lit(False)))
+    firsts = earliest_by_key(cand, ["coupon_id", "business_id"], ["attempted_at", "attempt_id"],
+                             ["coupon_id", "business_id", "attempt_id"]) \
+        .withColumnRenamed("attempt_id", "__first_id")
+    found = a.join(firsts, ["coupon_id", "business_id"], "left").withColumn(
+        "is_first", F.coalesce(F.col("attempt_id") == F.col("__first_id"), F.lit(False))).drop("__first_id")
     ranked = running_count(found, "coupon_id", ["attempted_at", "business_id", "attempt_id"],
                            "firsts_before", flag=F.col("is_first"))
     cap = F.greatest(F.col("max_uses") - F.col("u0"), F.lit(0))
     uses = F.when(F.col("max_uses").isNull(), F.col("u0") + F.col("firsts_before")).otherwise(
         F.col("u0") + F.least(F.col("firsts_before"), cap))
-    reason = F.when(F.lit(strict) & ~F.coalesce(F.col("is_active"), F.lit(False)), "inactive") \
-        .when(F.lit(strict) & F.col("expires_at").isNotNull() & (F.col("expires_at") <= F.col("attempted_at")), "expired") \
-        .when(F.col("max_uses").isNotNull() & (uses >= F.col("max_uses")), "max_uses") \
-        .when(F.col("pre_redeemed"), "already_used") \
-        .when((F.col("coupon_type") == "trial") & ~F.col("is_first"), "already_used") \
-        .otherwise("ok")
-    decided = ranked.select("attempt_id", "business_id", "coupon_id", "coupon_type", "attempted_at",
-                            uses.alias("uses_before"), reason.alias("reason"))
-    missing = att.join(c.select("__code"), F.upper(F.col("code")) == F.col("__code"), "left_anti").select(
-        "attempt_id", "business_id", F.lit(None).cast("long").alias("coupon_id"),
-        F.lit(None).cast("string").alias("coupon_type"), "attempted_at",
-        F.lit(None).cast("long").alias("uses_before"), F.lit("not_found").alias("reason"))
-    out = decided.unionByName(missing)
+    known = F.col("coupon_id").isNotNull()
+    reason = F.when(~known, "not_found")
+    if strict:
+        reason = reason.when(~F.coalesce(F.col("is_active"), F.lit(False)), "inactive").when(
+            F.col("expires_at").isNotNull() & (F.col("expires_at") <= F.col("attempted_at")), "expired")
+    reason = (reason.when(F.col("max_uses").isNotNull() & (uses >= F.col("max_uses")), "max_uses")
+              .when(F.col("pre_redeemed"), "already_used")
+              .when((F.col("coupon_type") == "trial") & ~F.col("is_first"), "already_used")
+              .otherwise("ok"))
+    out = ranked.select("attempt_id", "business_id", "coupon_id", "coupon_type", "attempted_at",
+                        F.when(known, uses).alias("uses_before"), reason.alias("reason"))
     return out.withColumn("ok", F.col("reason") == "ok").withColumn(
         "redeems", (F.col("reason") == "ok") & (F.col("coupon_type") == "trial"))
 

@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 
 from ..fixed import COMMISSION_RATE, FLAT_EARNING, REFERRAL_CODE_LENGTH, SIGNUP_PATH
 from ..functions.scalar import as_of_lit, keyed_code, money_out, next_month_start
+from .accounts import DETAIL
 from .common import apply_patch, earliest_by_key, left_join_fact, sum0
 from .subscriptions import current_subscriptions
 
-DETAIL = ["id", "business_name", "owner_name", "email", "phone", "address",
-          "google_review_link", "referral_code", "created_at", "onboarding_completed",
-          "is_salesperson", "is_admin"]
 _FANOUTS = ("aggregate", "as_written")
 CODE_ROUNDS = 2
 
