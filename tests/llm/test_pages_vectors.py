@@ -1,12 +1,15 @@
 """URL rules, page text, embeddings and the pipeline."""
 
+import collections
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import embeddings, queries, urls, wrapper
+from ledgerlark.llm import embeddings, mixing, queries, urls, wrapper
+from test_documents import plain_classes
 
 RULES = queries.URL_RULES
 
@@ -155,6 +158,24 @@ def test_pipeline_stages(spark):
     a, b, c, d, e = out.values()
     names = spark.read.parquet(f"{sf}/documents.parquet").columns
     assert all(x.columns == names for x in (a, b, c, d)) and e.columns == [*names, "shard", "slot"]
-    ids = [{r["doc_id"] for r in x.select("doc_id").collect()} for x in (a, b, c, d, e)]
-    assert ids[0] >= ids[1] >= ids[2] >= ids[3] == ids[4] and len(ids[0]) >= 195
-    assert d.count() == e.count()
+    rows = [{r["doc_id"]: r for r in x.collect()} for x in (spark.read.parquet(f"{sf}/documents.parquet"), a, b, c)]
+    # language: only texts without letters go, every table text has some
+    assert set(rows[1]) == {d for d, r in rows[0].items() if any(ch.isalpha() for ch in r["text"] or "")}
+    # near duplicates: the smallest id of each class of a plain comparison of all pairs
+    assert set(rows[2]) == set(plain_classes({d: r["text"] for d, r in rows[1].items()}).values())
+    # benchmark: no item is left word for word, and little else goes
+    flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", t.lower())) + " "
+    items = [flat(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    leaked = {d for d, r in rows[2].items() if any(i in flat(r["text"]) for i in items)}
+    assert leaked and not leaked & set(rows[3]) and len(rows[2]) - len(leaked) - len(rows[3]) <= 2
+    # mix: as many copies as the sampling says; shards: bytes cut at equal targets
+    copies = {r["doc_id"]: r["copies"] for r in mixing.pareto_mix(c).collect()}
+    told = collections.Counter(r["doc_id"] for r in d.collect())
+    assert told == collections.Counter({k: n for k, n in copies.items() if n})
+    cut = e.orderBy("doc_id", "shard", "slot").collect()
+    total, at = sum(len(r["text"].encode()) + 8 for r in cut), 0
+    for r in cut:
+        size = len(r["text"].encode()) + 8
+        assert r["shard"] == min(23, (2 * at + size) * 24 // (2 * total))
+        at += size
+    assert len(cut) == sum(told.values())
