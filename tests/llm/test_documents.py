@@ -151,8 +151,8 @@ def test_rare_words_are_joined(make_docs, monkeypatch):
     rows = [(1, "a b a", "en", "s"), (1, "a b a", "en", "s"), (2, "c", "en", "s")]
     got = ppm.score_documents(make_docs(rows), make_docs(rows[:1])).collect()
     assert sorted((r["doc_id"], r["n_known"]) for r in got) == [(1, 4), (1, 4), (2, 1)]
-    assert got[0]["base_score"] == pytest.approx(
-        2 * math.log10(2.1 / 4.4) + 2 * math.log10(1.1 / 4.4), rel=1e-9) or got[0]["doc_id"] == 2
+    first = 2 * math.log10(2.1 / 4.4) + 2 * math.log10(1.1 / 4.4)
+    assert all(r["base_score"] == pytest.approx(first) for r in got if r["doc_id"] == 1)
 
 
 def test_scores_odd_input(odd_docs, no_docs):
@@ -364,7 +364,7 @@ def test_chains_and_large_groups(make_docs):
 def test_near_duplicates_odd_input(odd_docs, no_docs):
     got = dartminhash.near_duplicates(odd_docs).collect()
     assert len(got) == 14 and {r["class_id"] for r in got if r["doc_id"] == 11} == {2}
-    assert [r["class_id"] for r in got if r["doc_id"] in (3, 4, 5)] .sort() == [3, 4, 5].sort()
+    assert sorted(r["class_id"] for r in got if r["doc_id"] in (3, 4, 5)) == [3, 4, 5]
     kept = dartminhash.drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
