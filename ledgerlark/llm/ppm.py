@@ -3,8 +3,8 @@
 A trie of byte contexts (orders 3 to 0) is counted over all training texts.
 A symbol's probability in a context is c / (n + q), with q distinct symbols; the
 escape q / (n + q) leads to the next shorter context, in which symbols already
-seen are excluded, and at last to equal shares.  A text's code length follows
-from the longest context kept at every byte.
+seen are excluded, and at last to equal shares.  No context and no symbol is
+left out: the trie is a table that grows with the training texts.
 """
 
 from __future__ import annotations
@@ -22,8 +22,7 @@ from .common import materialize
 
 ORDER = 3
 START, END = 0xFE, 0xFF     # bytes that no UTF-8 text has
-CONTEXTS = 2 ** 16          # an order's contexts with at least 1/CONTEXTS of all positions are kept
-GRAMS = 2 ** 20             # and of their symbols those with at least 1/GRAMS
+HELD = 2 ** 15              # the most frequent order-3 contexts are looked up in the task, the others joined
 FREQUENT = 2 ** 18          # words with at least 1/FREQUENT of all tokens are looked up in the task
 LONGEST = 64                # bytes of a word that may be among those
 HELD_WORDS = 400_000        # distinct words a task counts before it hands them on
@@ -93,51 +92,43 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """The kept contexts as rows of log10 probabilities of all 256 symbols."""
+    """Log10 probabilities of all 256 symbols in the order-3 contexts held, and
+    the counts of all shorter contexts."""
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """``counts``: for each order 0..ORDER codes (context and symbol) and counts."""
-        at, tables = [], []
-        for code, n in counts:
-            contexts, row = np.unique(code >> np.uint32(8), return_inverse=True)
-            table = np.zeros((len(contexts), 256))
-            table[row, code & np.uint32(255)] = n
-            at.append(contexts)
-            tables.append(table)
-        if not len(at[0]):
-            at[0], tables[0] = np.zeros(1, np.uint32), np.zeros((1, 256))
-        self.contexts, self._index = at, None
-        self.logs = np.concatenate([
-            self.predict(contexts[lo:lo + 4096], order, at, tables).astype(np.float32)
-            for order, contexts in enumerate(at) for lo in range(0, len(contexts), 4096)])
+        """``counts``: for each order 0..ORDER codes (context and symbol; sorted)
+        and counts.  Orders below ORDER must be whole."""
+        self.low = counts[:ORDER]
+        code, n = counts[ORDER]
+        self.contexts, row = np.unique(code >> np.uint32(8), return_inverse=True)
+        logs = [np.zeros((0, 256), np.float32)]
+        for lo in range(0, len(self.contexts), 4096):
+            part = self.contexts[lo:lo + 4096]
+            at = slice(*np.searchsorted(row, [lo, lo + len(part)]))
+            table = np.zeros((len(part), 256))
+            table[row[at] - lo, code[at] & np.uint32(255)] = n[at]
+            logs.append(self.predict(part, table).astype(np.float32))
+        self.logs = np.concatenate(logs)
+        self._index = None
 
     def __getstate__(self):
-        return {"contexts": self.contexts, "logs": self.logs, "_index": None}     # the index is rebuilt where it is used
+        return {**self.__dict__, "_index": None}     # the index is rebuilt where it is used
 
     @property
     def index(self) -> np.ndarray:
-        """Row of the longest kept context for each three bytes."""
+        """Row of each three bytes, -1 where they are not held."""
         if self._index is None:
-            index, base = np.zeros(1, np.int32), 0
-            for order, contexts in enumerate(self.contexts):
-                if order:                    # a context not kept stands for its suffix
-                    index = np.tile(index, 256)
-                index[contexts] = base + np.arange(len(contexts), dtype=np.int32)
-                base += len(contexts)
-            self._index = index
+            self._index = np.full(1 << 8 * ORDER, -1, np.int32)
+            self._index[self.contexts] = np.arange(len(self.contexts), dtype=np.int32)
         return self._index
 
-    @staticmethod
-    def predict(contexts, order, at, tables) -> np.ndarray:
+    def predict(self, contexts: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Log10 probabilities (context, symbol); ``table`` has the order-3 counts."""
         p = np.zeros((len(contexts), 256))
         left = np.ones((len(contexts), 1))               # the probability of the escapes so far
         seen = np.zeros((len(contexts), 256), dtype=bool)
-        for k in range(order, -1, -1):
-            if not len(at[k]):
-                continue
-            suffix = contexts & np.uint32((1 << 8 * k) - 1)
-            row = np.minimum(np.searchsorted(at[k], suffix), len(at[k]) - 1)
-            c = np.where((at[k][row] == suffix)[:, None] & ~seen, tables[k][row], 0.0)
+        for k in range(ORDER, -1, -1):
+            c = np.where(seen, 0.0, table if k == ORDER else self.shorter(contexts, k))
             n, q = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
             p += left * c / np.maximum(n + q, 1)
             left = left * np.where(q > 0, q / np.maximum(n + q, 1), 1.0)
@@ -146,32 +137,84 @@ class Trie:
         p += np.where(seen, 0.0, left / np.maximum(rest, 1))
         return np.log10(np.maximum(p, 1e-300))
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def shorter(self, contexts: np.ndarray, order: int) -> np.ndarray:
+        """Counts (context, symbol) of the contexts' suffixes."""
+        code, n = self.low[order]
+        suffix, row = np.unique(contexts & np.uint32((1 << 8 * order) - 1), return_inverse=True)
+        lo, hi = (np.searchsorted(code >> np.uint32(8), suffix, side) for side in ("left", "right"))
+        size = hi - lo
+        at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
+        table = np.zeros((len(suffix), 256))
+        table[np.repeat(np.arange(len(suffix)), size), code[at] & np.uint32(255)] = n[at]
+        return table[row]
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sums of the logs in held contexts, and by text and code of the other
+        grams: text, code, times)."""
         code, owner = byte_grams(texts)
-        logs = self.logs[self.index[code >> np.uint32(8)], code & np.uint32(255)]
-        return np.bincount(owner, weights=logs, minlength=len(texts))
+        row = self.index[code >> np.uint32(8)]
+        held = row >= 0
+        logs = np.where(held, self.logs[row, code & np.uint32(255)], 0.0) if len(self.logs) else np.zeros(len(code))
+        other, times = np.unique((owner[~held].astype(np.int64) << 32) | code[~held], return_counts=True)
+        return np.bincount(owner, weights=logs, minlength=len(texts)), other >> 32, other & (2 ** 32 - 1), times
 
 
-def learn_trie(counts: DataFrame) -> Trie:
-    """The trie from all counted grams.  Kept: contexts with at least 1/CONTEXTS
-    of an order's positions and symbols with at least 1/GRAMS, so at most
-    CONTEXTS rows and GRAMS counts of an order reach the driver, at any input."""
+def gram_counts(counts: DataFrame) -> DataFrame:
+    """All counted grams as (code, n)."""
     grams = (counts.where(F.length("key") == 5).where(F.substring("key", 1, 1) == F.lit(GRAM_MARK))
              .select(F.conv(F.hex(F.substring("key", 2, 4)), 16, 10).cast("long").alias("code"), "n"))
-    grams = materialize(grams, "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
+    return materialize(grams, "grams")
+
+
+def learn_trie(grams: DataFrame) -> Trie:
+    """The part of the trie that every task holds: all counts of the orders below
+    3 (three bytes, so at most 2^24 rows at any input) and the HELD most frequent
+    order-3 contexts with all their symbols.  The other contexts stay in
+    ``grams`` and are joined (``gram_logs``)."""
     kept = []
+    context = F.shiftright("code", 8)
     for order in range(ORDER + 1):
-        g = grams.groupBy(F.col("code").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("code", 8)
-        big = g.groupBy(context.alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") * CONTEXTS >= total)
-        g = g.where(F.col("n") * GRAMS >= total).join(big, context == F.col("context"), "left_semi").toArrow()
+        if order < ORDER:
+            g = grams.groupBy(F.col("code").bitwiseAND((1 << 8 * (order + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
+        else:
+            top = (grams.groupBy(context.alias("context")).agg(F.sum("n").alias("m"))
+                   .orderBy(F.col("m").desc(), "context").limit(HELD))
+            g = grams.join(F.broadcast(top), context == F.col("context"), "left_semi")
+        g = g.toArrow()
         code = g.column("code").to_numpy().astype(np.uint32)
         by = np.argsort(code)
         kept.append((code[by], g.column("n").to_numpy()[by]))
     return Trie(kept)
 
 
+def gram_logs(wanted: DataFrame, grams: DataFrame, shared) -> DataFrame:
+    """(code, log) of the codes ``wanted``: each context meets its counted
+    symbols (at most 256) in a join; one never seen backs off."""
+    context, symbol = F.shiftright("code", 8).alias("context"), F.col("code").bitwiseAND(255)
+    asked = wanted.select("code").distinct().groupBy(context).agg(F.collect_list(symbol).alias("asked"))
+    known = grams.groupBy(context).agg(F.collect_list(symbol).alias("symbols"), F.collect_list("n").alias("counts"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value[0]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                batch = whole.slice(lo, 2048)
+                contexts = batch.column("context").to_numpy().astype(np.uint32)
+
+                def flat(name):
+                    lists = batch.column(name)
+                    size = lists.value_lengths().fill_null(0).to_numpy()
+                    return np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(zero_copy_only=False)
+                table = np.zeros((len(contexts), 256))
+                row, seen = flat("symbols")
+                table[row, seen] = flat("counts")[1]
+                row, want = flat("asked")
+                logs = trie.predict(contexts, table)[row, want]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((contexts[row].astype(np.int64) << 8) | want), pa.array(logs)], names=["code", "log"])
+    return asked.join(known, "context", "left").mapInArrow(look, "code long, log double")
+
+
 def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every whole text, learned from all texts of ``train`` (column text).
 
@@ -181,9 +224,10 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     rows stay; without training texts every count is 0 and every symbol equally
     likely.  Other columns are ignored.
 
-    All words and grams of the training texts are counted.  Frequent words (a
-    bounded table) are looked up in the task; the others go to a join with all
-    counts on the word, in which no word is frequent.
+    All words and grams of the training texts are counted and all counts are
+    used.  Frequent words and the most frequent contexts (bounded tables) are
+    looked up in the task; the others go to joins with all counts, words on the
+    word and grams on the context, in which none is frequent.
     """
     spark = docs.sparkSession
     raw = train.select(F.col(f"`{text_col}`").alias("text"))
@@ -197,7 +241,8 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     distinct = v_words + (1 if ends else 0)
     top = words.where(F.col("n") * FREQUENT >= total).where(F.length("key") <= LONGEST).toArrow()
     frequent = {k: math.log10(n + 0.1) for k, n in zip(top.column("key").to_pylist(), top.column("n").to_pylist())}
-    shared = spark.sparkContext.broadcast((learn_trie(counts), frequent))        # both bounded
+    grams = gram_counts(counts)
+    shared = spark.sparkContext.broadcast((learn_trie(grams), frequent))         # both bounded
     end_log = math.log10(ends + 0.1)
     norm = math.log10(total + 0.1 * (distinct + 1))
 
@@ -228,26 +273,35 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
                     known.append(k)
                     ends_at.append(len(rare))
                 at = pa.array(ends_at, pa.int32())
+                score, text, code, times = trie.scores(texts[lo:hi])
+                grams_at = pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[lo:hi], pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
-                     pa.array(sums, pa.float64()), pa.array(trie.scores(texts[lo:hi])),
+                     pa.array(sums, pa.float64()), pa.array(score),
                      pa.ListArray.from_arrays(at, pa.array(rare, pa.binary())),
-                     pa.ListArray.from_arrays(at, pa.array(rare_n, pa.int64()))],
-                    names=["doc_id", "n_tokens", "known", "logs", "score", "rare", "rare_n"])
+                     pa.ListArray.from_arrays(at, pa.array(rare_n, pa.int64())),
+                     pa.ListArray.from_arrays(grams_at, pa.array(code, pa.int64())),
+                     pa.ListArray.from_arrays(grams_at, pa.array(times, pa.int64()))],
+                    names=["doc_id", "n_tokens", "known", "logs", "score", "rare", "rare_n", "grams", "grams_n"])
                 lo = hi
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     first = rows.mapInArrow(score, f"doc_id {kind}, n_tokens long, known long, logs double, score double, "
-                                   "rare array<binary>, rare_n array<long>")
+                                   "rare array<binary>, rare_n array<long>, grams array<long>, grams_n array<long>")
     first = materialize(first.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("t")).select(
         "row", F.col("t.rare").alias("key"), F.col("t.rare_n").alias("times"))
-    rest = (rare.join(words.withColumnRenamed("n", "c"), "key", "left").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"),
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("also")))
-    return (first.drop("rare", "rare_n").join(rest, "row", "left").select(
+    other = first.select("row", F.explode(F.arrays_zip("grams", "grams_n")).alias("t")).select(
+        "row", F.col("t.grams").alias("code"), F.col("t.grams_n").alias("times"))
+    rest = (rare.join(words.withColumnRenamed("n", "c"), "key", "left").select(
+        "row", (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"),
+        F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("also"), F.lit(0.0).alias("rest"))
+        .unionByName(other.join(gram_logs(other, grams, shared), "code").select(
+            "row", F.lit(0.0).alias("more"), F.lit(0).cast("long").alias("also"), (F.col("times") * F.col("log")).alias("rest")))
+        .groupBy("row").agg(F.sum("more").alias("more"), F.sum("also").alias("also"), F.sum("rest").alias("rest")))
+    return (first.drop("rare", "rare_n", "grams", "grams_n").join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-        "score"))
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score")))

@@ -155,6 +155,18 @@ def test_rare_words_are_joined(make_docs, monkeypatch):
     assert all(r["base_score"] == pytest.approx(first) for r in got if r["doc_id"] == 1)
 
 
+def test_rare_contexts_count_whole(make_docs, monkeypatch):
+    common = "the cat sat on the mat and the dog ran after the cat " * 30_000      # 1.6 MB
+    train = [common, "Ωμέγα žluťoučký", "Ωμέγα kůň"]                               # once among a million
+    rows = [(i, t, "en", "s") for i, t in enumerate([*train[1:], "Ωμέγα the cat", "žlutý kůň", "", None])]
+    learn = make_docs([(i, t, "en", "s") for i, t in enumerate(train)])
+    want = [plain_ppm(train, t or "") for _, t, _, _ in rows]
+    for held in (2 ** 15, 3, 1):
+        monkeypatch.setattr(ppm, "HELD", held, raising=False)  # small: most contexts are joined
+        got = {r["doc_id"]: r["score"] for r in ppm.score_documents(make_docs(rows), learn).collect()}
+        assert [got[i] for i in range(len(rows))] == pytest.approx(want, rel=1e-5)
+
+
 def test_scores_odd_input(odd_docs, no_docs):
     got = ppm.score_documents(odd_docs, odd_docs).collect()
     assert len(got) == 14 and all(math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in got)
