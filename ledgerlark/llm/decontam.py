@@ -2,8 +2,11 @@
 
 Item-sized windows of a document and the items themselves are embedded by the
 CGK random walk, which turns edit distance into Hamming distance; repeated
-bit-sampling of the embedded words finds candidate pairs, and an exact edit
-distance decides.
+bit-sampling of the embedded words finds candidate pairs.  That search misses
+the more, the longer the item and the more its edits, so it is completed by
+pieces: an item cut into one piece more than its allowed edits keeps one of them
+unedited in every passage that near.  An exact edit distance decides on all
+candidates, so no passage within the allowed edits is missed.
 """
 
 from __future__ import annotations
@@ -104,6 +107,22 @@ class Index:
         # pairs of words that a passage within the allowed edits must share with the item
         self.need = {k: max(1, k - 1 - 2 * allowed_edits(k, similarity)) for k in self.lengths}
         self.reach = {k: k + allowed_edits(k, similarity) for k in self.lengths}
+        self.grams = [np.unique(bigrams(w)) for _, w in self.items]
+        # pieces by their number of words: sorted hashes, the items and the pieces' places in them
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for k, (_, w) in enumerate(self.items):
+            parts = min(len(w), allowed_edits(len(w), similarity) + 1)
+            cut = [len(w) * j // parts for j in range(parts + 1)]
+            for lo, hi in zip(cut, cut[1:]):
+                cuts.setdefault(hi - lo, []).append((k, lo))
+        self.pieces = {}
+        for size, of in sorted(cuts.items()):
+            item, place = np.array(of).T
+            key = _grams(words, size)[start[item] + place]
+            by = np.argsort(key, kind="stable")
+            may = np.zeros(1 << 22, dtype=bool)
+            may[(key >> U(42)).astype(np.int64)] = True
+            self.pieces[size] = may, key[by], item[by], place[by]
 
     def search(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
         """Matches by document number: (item_id, edits, start), one per item found."""
@@ -119,12 +138,45 @@ class Index:
             rich = np.flatnonzero(upto[span:span + len(words)] - upto[:len(words)] >= self.need[n])
             for d in np.unique(np.searchsorted(offsets, rich, side="right") - 1):
                 lengths.setdefault(int(d), []).append(n)
-        found = {d: self.search_one(words[offsets[d]:offsets[d + 1]], of) for d, of in lengths.items()}
+        pieces = self.piece_hits(words, offsets)
+        found = {d: self.search_one(words[offsets[d]:offsets[d + 1]], lengths.get(d, []), pieces.get(d, []))
+                 for d in sorted({*lengths, *pieces})}
         return {d: hits for d, hits in found.items() if hits}
 
-    def search_one(self, words: np.ndarray, lengths: list[int]) -> list[tuple[int, int, int]]:
+    def piece_hits(self, words: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By document number, (item, place at which it would start) of every piece met."""
+        hits: dict[int, set[tuple[int, int]]] = {}
+        for size, (may, key, item, place) in self.pieces.items():
+            if len(words) < size:
+                continue
+            grams = _grams(words, size)
+            at = np.flatnonzero(may[(grams >> U(42)).astype(np.int64)])
+            lo, hi = (np.searchsorted(key, grams[at], side) for side in ("left", "right"))
+            at, lo, hi = at[hi > lo], lo[hi > lo], hi[hi > lo]
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            for p, d, a, b in zip(at.tolist(), doc.tolist(), lo.tolist(), hi.tolist()):
+                if p + size <= offsets[d + 1]:
+                    hits.setdefault(d, set()).update(
+                        zip(item[a:b].tolist(), (p - int(offsets[d]) - place[a:b]).tolist()))
+        return {d: sorted(of) for d, of in hits.items()}
+
+    def search_one(self, words: np.ndarray, lengths: list[int], pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         if len(words) < 2:
             return []
+        best = self.sampled(words, lengths)
+        pairs, tried = bigrams(words), {}
+        for k, start in pieces:
+            item_id, item = self.items[k]
+            if item_id in best and best[item_id][0] == 0:
+                continue
+            most = allowed_edits(len(item), self.similarity)
+            lo, hi = max(0, start - most), max(0, start + len(item) + most - 1)
+            if np.isin(pairs[lo:hi], self.grams[k]).sum() >= len(item) - 1 - 2 * most:
+                self.verify(words, k, start, best, tried)
+        return [(i, e, p) for i, (e, p) in sorted(best.items())]
+
+    def sampled(self, words: np.ndarray, lengths: list[int]) -> dict[int, tuple[int, int]]:
+        """(edits, start) by item_id of what the sampled walks find."""
         pairs, starts, sizes = bigrams(words), [], []
         for n in lengths:
             table = self.pairs[n]
@@ -138,7 +190,7 @@ class Index:
                 starts.append(ok)
                 sizes.append(np.full(len(ok), n))
         if not starts:
-            return []
+            return {}
         start, size, best, tried = np.concatenate(starts), np.concatenate(sizes), {}, {}
         for i in range(0, len(start), WINDOWS):
             s, n = start[i:i + WINDOWS], size[i:i + WINDOWS]
@@ -148,7 +200,7 @@ class Index:
             for w, r in zip(*np.nonzero(hi > lo)):
                 for k in self.key_item[lo[w, r]:hi[w, r]]:
                     self.verify(words, int(k), int(s[w]), best, tried)
-        return [(i, e, p) for i, (e, p) in sorted(best.items())]
+        return best
 
     def verify(self, words, k, start, best, tried) -> None:
         item_id, item = self.items[k]
@@ -164,7 +216,15 @@ class Index:
 
 
 def bigrams(words: np.ndarray) -> np.ndarray:
-    return _mix(words[:-1] * U(31) + words[1:])
+    return _grams(words, 2)
+
+
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each place on."""
+    key = words
+    for j in range(1, size):
+        key = _mix(key[:-1] * U(31) + words[j:])
+    return key
 
 
 def item_blocks(benchmark: DataFrame, block_items: int, id_col: str, text_col: str) -> Iterator[list]:
@@ -214,7 +274,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_000, te
     letters and digits.  ``params``: similarity (0.8), reps and bits of the
     search, min_words (5: shorter items name no document and match nothing).
     Windows that share too few word pairs with all items of their length cannot
-    be that near (q-gram bound) and are not embedded.  The items are taken in
+    be that near (q-gram bound) and are not embedded; with the pieces every passage
+    within the allowed edits is found, at any item length.  The items are taken in
     blocks of ``block_items``, each one broadcast; every row meets every block
     and no row is shuffled.  Null or empty texts and items match nothing;
     repeated items are each found.

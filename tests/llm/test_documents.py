@@ -278,6 +278,23 @@ def test_planted_passages_are_found(spark, make_docs):
     assert all(10_000 + i in kept for i in range(100)) and not kept & {i * 10 for i, _ in items}
 
 
+def test_every_length_and_edit_share_is_found(spark, make_docs):
+    rng = random.Random(8)
+    text = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+    lengths, shares, items, rows, planted = (5, 12, 25, 50, 100, 200), (0, 0.1, 0.2), [], [], collections.defaultdict(set)
+    for n in lengths:
+        for i in range(len(items), len(items) + 12):
+            items.append((i, text(n)))
+            for k, share in enumerate(shares):
+                got = edited(rng, items[i][1], int(share * n + 1e-9))
+                rows.append((i * 10 + k, " ".join(text(rng.randint(0, 40)) + got + text(rng.randint(0, 40))), "en", "s"))
+                planted[n, share].add((i * 10 + k, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.find_leaks(make_docs(rows), bench).collect()}
+    assert {c: len(got.keys() & p) / len(p) for c, p in planted.items()} == {c: 1.0 for c in planted}
+    assert all(e <= int(0.2 * len(items[i][1]) + 1e-9) for (_, i), e in got.items())
+
+
 def test_exact_passages_of_the_tables(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     flat = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
