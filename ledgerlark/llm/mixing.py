@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from .common import WORD, free_name, materialize
 
 RANK_BINS = 4096            # bins of the Pareto rank for the distributed prefix sum
-CLOSING = 3                 # documents that may close a source's last gap
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
@@ -46,6 +45,24 @@ def size_level(size: Column) -> Column:
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0).cast("long")
 
 
+def fitting(drawn: DataFrame) -> DataFrame:
+    """(rid, s, size) of the documents taken along the rank of each source until
+    the next one would overflow ``missing``; ``drawn``: rid, s, size, q, bin, missing."""
+    bins = drawn.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+    along = Window.partitionBy("s").orderBy("bin")
+    bins = (bins.withColumn("upto", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("below", F.col("upto") - F.col("words")))
+    # the bin in which a source's missing words run out
+    edge = bins.where("upto > missing").groupBy("s").agg(F.min(F.struct("bin", "below")).alias("e"))
+    edge = edge.select(F.col("s").alias("es"), "e.bin", "e.below").withColumnRenamed("bin", "ebin")
+    marked = (drawn.join(edge, F.col("s").eqNullSafe(F.col("es")), "left").drop("es"))
+    full = marked.where("ebin is null or bin < ebin").select("rid", "s", "size")
+    in_edge = Window.partitionBy("s").orderBy("q", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    cut = (marked.where("bin = ebin").withColumn("run", F.col("below") + F.sum("size").over(in_edge))
+           .where("run <= missing").select("rid", "s", "size"))
+    return full.unionByName(cut)
+
+
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3,
                seed: str = "mix", id_col: str = "doc_id", text_col: str = "text",
                source_col: str = "source", row_col: str | None = None) -> DataFrame:
@@ -55,9 +72,10 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
     at most ``max_repeat``; the factor makes the expected words equal the
     source's target.  Whole copies are certain.  For the rest, documents are
     ranked by u/(1-u) divided by p/(1-p) (u from a hash of id and text, p the
-    fractional part) and taken while they fit into the words still missing; a
-    few more documents, each the nearest in size to the gap left, close it as
-    far as that comes nearer to the target.
+    fractional part) and taken while they fit into the words still missing;
+    past one that does not fit, the order goes on with those of at most half
+    the gap left, round by round, until none is left.  Then documents nearest
+    in size to the gap close it as far as that comes nearer to the target.
 
     Rows (id, source, size, hash; no text) are written once.  The prefix sums
     along the rank come from totals per (source, rank bin), so a source's
@@ -104,38 +122,39 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
              .where("p > 0").withColumn("q", odds)
              .withColumn("bin", F.floor(F.lit(RANK_BINS) * F.col("q") / (1 + F.col("q"))))
              .select("rid", "s", "size", "q", "bin", "missing"))
-    bins = drawn.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
-    along = Window.partitionBy("s").orderBy("bin")
-    bins = (bins.withColumn("upto", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("below", F.col("upto") - F.col("words")))
-    # the bin in which a source's missing words run out
-    edge = bins.where("upto > missing").groupBy("s").agg(F.min(F.struct("bin", "below")).alias("e"))
-    edge = edge.select(F.col("s").alias("es"), "e.bin", "e.below").withColumnRenamed("bin", "ebin")
-    marked = (drawn.join(edge, F.col("s").eqNullSafe(F.col("es")), "left").drop("es"))
-    full = marked.where("ebin is null or bin < ebin").select("rid", "s", "size")
-    in_edge = Window.partitionBy("s").orderBy("q", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (marked.where("bin = ebin").withColumn("run", F.col("below") + F.sum("size").over(in_edge))
-           .where("run <= missing").select("rid", "s", "size"))
-    extra = materialize(full.unionByName(cut), "mix-drawn")
-
-    # close what is missing with a few more documents, the nearest in size each
-    # time: at most CLOSING rows a source
-    spare = materialize(drawn.join(extra.select("rid"), "rid", "left_anti").select("rid", "s", "size", "q"), "mix-spare")
-    got, closing = extra.select("s", "size"), extra.select("rid").limit(0)
-    sums = materialize(got.groupBy(F.col("s").alias("gs")).agg(F.sum("size").alias("got")), "mix-got")
-    gaps = materialize(
-        plan.groupBy("s").agg(F.first("missing").alias("missing"))
-        .join(sums, F.col("s").eqNullSafe(F.col("gs")), "left")
-        .select(F.col("s").alias("ps"), (F.col("missing") - F.coalesce("got", F.lit(0))).alias("gap")), "mix-gaps")
-    for _ in range(CLOSING):
-        best = (spare.join(closing, "rid", "left_anti").join(gaps, F.col("s").eqNullSafe(F.col("ps")))
+    # documents larger than all that is missing cannot fit and do not end the order
+    extra = materialize(fitting(drawn.where("size <= missing")), "mix-drawn")
+    spare = materialize(drawn.drop("missing").join(extra.select("rid"), "rid", "left_anti"), "mix-spare")
+    gaps = plan.groupBy(F.col("s").alias("ps")).agg(F.first("missing").alias("gap"))
+
+    def less(gaps: DataFrame, got: DataFrame) -> DataFrame:
+        sums = got.groupBy(F.col("s").alias("gs")).agg(F.sum("size").alias("got"))
+        return materialize(gaps.join(sums, F.col("ps").eqNullSafe(F.col("gs")), "left").select(
+            "ps", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")), "mix-gaps")
+    gaps = less(gaps, extra)
+
+    # the order goes on past a document that overflows, with those of at most
+    # half the gap: each round takes all of them or more than half the gap
+    while True:
+        small = (spare.join(gaps, F.col("s").eqNullSafe(F.col("ps")) & (2 * F.col("size") <= F.col("gap")))
+                 .drop("ps").withColumnRenamed("gap", "missing"))
+        more = materialize(fitting(small), "mix-more")
+        if more.isEmpty():
+            break
+        extra, spare = extra.unionByName(more), spare.join(more.select("rid"), "rid", "left_anti")
+        gaps = less(gaps, more)
+    # only larger ones are left: the nearest in size to the gap, while that
+    # comes nearer to the target; each but the last more than halves the gap
+    while True:
+        best = (spare.join(gaps, F.col("s").eqNullSafe(F.col("ps")))
                 .withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
                 .groupBy("s").agg(F.min(F.struct("off", "q", "rid", "size")).alias("b")))
-        best = materialize(best.select("s", "b.rid", "b.size"), "mix-closing")
-        closing = closing.unionByName(best.select("rid"))
-        gaps = (gaps.join(best.select(F.col("s").alias("bs"), "size"), F.col("ps").eqNullSafe(F.col("bs")), "left")
-                .select("ps", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap")))
-    taken = extra.select("rid").unionByName(closing).withColumn("one", F.lit(1))
+        best = materialize(best.select("b.rid", "s", "b.size"), "mix-closing")
+        if best.isEmpty():
+            break
+        extra, spare = extra.unionByName(best), spare.join(best.select("rid"), "rid", "left_anti")
+        gaps = less(gaps, best)
+    taken = extra.select("rid").withColumn("one", F.lit(1))
     counted = (rows.join(plan.select("s", "l", "whole"),
                          F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left")
                .join(taken, "rid", "left")

@@ -232,6 +232,16 @@ def test_mix_caps_a_small_source(make_docs):
     assert sum(r["taken"] for r in got) == 1040
 
 
+@pytest.mark.parametrize("long,short", [(50_000, 2_000), (500_000, 5_000)])
+def test_mix_goes_on_past_a_long_document(make_docs, long, short):
+    rows = [(0, "w " * long, "en", "b")] + [(1 + i, "w " * 100, "en", "b") for i in range(short)]
+    rows += [(10_000 + i, "w " * 2_000, "en", "a") for i in range(long * 2 // 10_000)]
+    for seed in ("1", "2", "3"):
+        got = mixing.pareto_mix(make_docs(rows), weights=(5, 1), max_repeat=10, seed=seed).where("source = 'b'").agg(
+            {"taken": "sum", "target": "max"}).first()
+        assert got[0] == pytest.approx(got[1], abs=51)
+
+
 def test_mix_odd_input(odd_docs, no_docs):
     got = mixing.pareto_mix(odd_docs).collect()
     assert len(got) == 14 and all(r["taken"] == 0 for r in got if r["size"] == 0)
