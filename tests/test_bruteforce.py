@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from conftest import mk
+from helpers_business import mk
 from ledgerlark.operators import accounts as ac, coupons as cp
 
 

@@ -4,7 +4,7 @@ from decimal import Decimal as D
 
 from pyspark.sql import functions as F
 
-from conftest import mk, ts
+from helpers_business import mk, ts
 from ledgerlark.functions.scalar import card_label, next_month_start
 from ledgerlark.operators import accounts as ac
 from ledgerlark.operators import bank, coupons as cp, finance, referrals as rf, reviews as rv
@@ -236,7 +236,7 @@ def test_m1_m3_referral_jobs(spark):
 
 def test_m20_codes_kept_and_unique(spark):
     from ledgerlark.sources import load_tables
-    from conftest import SF_SMALL
+    from helpers_business import SF_SMALL
     t = load_tables(spark, SF_SMALL)
     codes = rf.fill_referral_codes(t.businesses, "https://x")
     # stored codes may be shared; a generated one is no other business's

@@ -3,7 +3,7 @@ runs the same comparison at sf0.01)."""
 
 import pytest
 
-from conftest import SF_SMALL
+from helpers_business import SF_SMALL
 from ledgerlark.plans.check import compare, duck_connect
 from ledgerlark.plans.registry import all_queries
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
-from conftest import SF_SMALL
+from helpers_business import SF_SMALL
 from ledgerlark.operators import finance, reviews as rv
 from ledgerlark.plans.registry import all_queries
 from ledgerlark.sources import load_tables, read_domain_tables

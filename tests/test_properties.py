@@ -5,7 +5,7 @@ from decimal import Decimal as D
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, mk, ts
+from helpers_business import SF_SMALL, mk, ts
 from ledgerlark.operators import coupons as cp, finance, qr
 from ledgerlark.operators.common import rank_in_key, running_count
 from ledgerlark.sources import load_tables

@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL, mk, ts
+from helpers_business import SF_SMALL, mk, ts
 from ledgerlark.operators import accounts as ac
 from ledgerlark.sources import load_tables, read_domain_tables
 from ledgerlark.sources.schemas import schema

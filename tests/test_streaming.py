@@ -5,7 +5,7 @@ import tempfile
 
 import pytest
 
-from conftest import SF_SMALL, mk, ts
+from helpers_business import SF_SMALL, mk, ts
 from ledgerlark.sources import load_tables
 from ledgerlark.sources.schemas import schema
 from ledgerlark.streaming.billing import SUB_OUT, fold_billing, fold_billing_stream
