@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dartminhash, decontam, embeddings, language, mixing, pii, ppm, shards, urls, wrapper
+from . import (collocations, dartminhash, decontam, embeddings, language, lines, mixing, pii, ppm, shards, urls, variants,
+               wrapper)
 from .common import read_table
 
 #: listed URL rules (host, path, verdict), fixed by the query's contract
@@ -86,10 +87,119 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return variants.spelling_variants(read_table(spark, sf_dir, "documents"), typo_every=variants.TYPO_EVERY)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The highest-scoring phrases of every language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and a digest of the text that is left."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_rules, op2_language_id, op3_embedding_dedup, op4_personal_data, op5_source_mix, op6_lm_score, op7_page_text,
-    op8_decontaminate, op9_byte_shards, op10_near_dedup)}
+    op8_decontaminate, op9_byte_shards, op10_near_dedup, op11_spelling_variants, op12_collocations, op13_line_dedup)}
+#: crc32 of a text: a CTE ``crc_table(t)`` and the expression for a column
+CRC_TABLE = """
+crc_rows AS (SELECT i, list_reduce(list_concat([i::UBIGINT], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v
+             FROM range(256) r(i)),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM crc_rows)"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(octet_length(encode({text}))),
+                   lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::UBIGINT)),
+                   lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)::INT])), 4294967295::UBIGINT)"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": f"""
+WITH {CRC_TABLE},
+runs AS (SELECT CAST(doc_id AS VARCHAR) || ':' || run AS k, run, COUNT(*) AS n
+         FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                       '[a-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {crc32_sql('k')} AS h FROM runs, crc_table),
+words AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2)
+                      ELSE run END AS word, SUM(n)::BIGINT AS n FROM hashed GROUP BY 1),
+v AS (SELECT word, n FROM words WHERE length(word) >= 5 AND n >= 3),
+gone AS (SELECT DISTINCT word, left(word, i::INT) || substr(word, i::INT + 2) AS rest
+         FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+holes AS (SELECT word, left(word, i::INT) || '*' || substr(word, i::INT + 2) AS rest
+          FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT a.word AS x, b.word AS y FROM holes a JOIN holes b ON a.rest = b.rest AND a.word <> b.word
+         UNION SELECT g.word, v.word FROM gone g JOIN v ON v.word = g.rest
+         UNION SELECT v.word, g.word FROM gone g JOIN v ON v.word = g.rest),
+best AS (SELECT x, COUNT(*) AS n_near, arg_min(struct_pack(y := y, m := w.n), struct_pack(m := -w.n, y := encode(y))) AS b
+         FROM near JOIN v w ON w.word = y GROUP BY x),
+formed AS (SELECT v.word, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN b.m >= 2 * v.n THEN b.y END AS form,
+                  CASE WHEN b.m >= 2 * v.n THEN b.m END AS form_n FROM v LEFT JOIN best ON x = word),
+chain AS (SELECT word, COALESCE(form, word) AS root, form IS NOT NULL AS more FROM formed),
+up AS (WITH RECURSIVE r AS (
+         SELECT word, root, more, 0 AS hop FROM chain
+         UNION ALL SELECT r.word, c.root, c.more, hop + 1 FROM r JOIN chain c ON c.word = r.root WHERE r.more)
+       SELECT word, arg_max(root, hop) AS root FROM r GROUP BY word)
+SELECT formed.word, form, root, n, n_near, form_n FROM formed JOIN up ON up.word = formed.word
+""",
+    "op12_collocations": """
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, p, words
+  FROM (SELECT lang, p, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words
+        FROM (SELECT lang, unnest(parts) AS piece, generate_subscripts(parts, 1) + 100000000 * rid AS p
+              FROM (SELECT lang, row_number() OVER () AS rid,
+                           regexp_split_to_array(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[.,;:!?\\x0A-\\x0D]') AS parts FROM documents)))),
+w AS (SELECT lang, words[i] AS w1, words[i + 1] AS w2, words[i + 2] AS w3
+      FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces)),
+f1 AS (SELECT lang, w1, COUNT(*) AS c FROM w GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, COUNT(*) AS c FROM w WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, COUNT(*) AS c FROM w WHERE w3 IS NOT NULL GROUP BY ALL HAVING COUNT(*) >= 10),
+total AS (SELECT lang, SUM(c)::BIGINT AS n FROM f1 GROUP BY lang),
+cuts AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.c AS a, 1 AS cut_at, x.c AS l, y.c AS r
+         FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+         WHERE f2.c >= 10 AND NOT EXISTS (
+           SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.c >= 50 * f2.c)
+         AND NOT EXISTS (
+           SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.c >= 50 * f2.c)
+         UNION ALL
+         SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.c, 1, x.c, y.c
+         FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+         UNION ALL
+         SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.c, 2, x.c, y.c
+         FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+scored AS (SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts),
+left_over AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut_at) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+""",
+    "op13_line_dedup": """
+WITH l AS (SELECT doc_id, rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos
+           FROM (SELECT doc_id, row_number() OVER () AS rid, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents)),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM l),
+shared AS (SELECT k, MAX(doc_id) AS keeper FROM keyed WHERE length(k) >= 40
+           GROUP BY k HAVING COUNT(DISTINCT doc_id) >= 5)
+SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (keeper <> doc_id) AS n_dropped,
+       sha256(COALESCE(string_agg(line, chr(10) ORDER BY pos) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN shared ON shared.k = keyed.k GROUP BY doc_id, rid
+""",
+    "op9_byte_shards": f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, COALESCE(octet_length(encode(text)), 0) + 8 AS size, {crc32_sql('text')} AS c FROM documents, crc_table),
+placed AS (SELECT *, SUM(size) OVER along AS upto, row_number() OVER along AS nr, SUM(size) OVER () AS total FROM d
+           WINDOW along AS (ORDER BY doc_id NULLS FIRST, c NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, LEAST((2 * upto - size) * 24 // (2 * total), 23) AS shard FROM placed)
+SELECT doc_id, size, c::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard,
+       nr - MIN(nr) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM cut
+""",
     "op3_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
