@@ -56,7 +56,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told():
         for lang, words in counts.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang.decode()] * len(words)), pa.array([w.decode() for w in words]),
+                [pa.array([lang.decode()] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()),
                  pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
