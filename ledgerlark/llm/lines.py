@@ -54,6 +54,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_c
     shared = (places.select("a", "b", "doc").distinct().groupBy("a", "b")
               .agg(F.count(F.lit(1)).alias("held_by"), F.max("doc").alias("keeper"))
               .where(F.col("held_by") >= min_docs).drop("held_by"))
+    shared = materialize(shared, "shared-lines")        # its own shuffle, so that the join can split a hot line's places
     drop = places.join(shared, ["a", "b"]).where(~F.col("doc").eqNullSafe(F.col("keeper")))
     return drop.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
