@@ -25,8 +25,9 @@ START, END = 0xFE, 0xFF     # bytes that no UTF-8 text has
 HELD = 2 ** 15              # the most frequent order-3 contexts are looked up in the task, the others joined
 FREQUENT = 2 ** 18          # words with at least 1/FREQUENT of all tokens are looked up in the task
 LONGEST = 64                # bytes of a word that may be among those
-HELD_WORDS = 400_000        # distinct words a task counts before it hands them on
-HELD_BYTES = 4_000_000
+HELD_WORDS = 200_000        # distinct words, or grams, a task counts before it hands them on
+HELD_BYTES = 2 ** 19        # bytes of texts taken at a time (one text at least)
+BLOCK = 2 ** 18             # bytes of those whose grams are held at a time
 END_KEY = b"  "             # counts texts; words hold no space
 GRAM_MARK = b" "
 
@@ -36,57 +37,88 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def byte_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(4-byte codes of every symbol with its three predecessors, owner): START
-    pads a text's beginning and END closes it."""
+def byte_grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(4-byte codes of every symbol with its three predecessors, owner), block by
+    block: START pads a text's beginning and END closes it."""
     pad, stop = bytes([START]) * ORDER, bytes([END])
-    joined = np.frombuffer(b"".join(x for t in texts for x in (pad, t, stop)), dtype=np.uint8).astype(np.uint32)
-    sizes = np.array([len(t) + 1 for t in texts])
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    end = np.arange(len(owner)) + ORDER * (owner + 1)           # place of the symbol
-    code = (joined[end - 3] << 24) | (joined[end - 2] << 16) | (joined[end - 1] << 8) | joined[end]
-    return code, owner
+    joined = np.frombuffer(b"".join(x for t in texts for x in (pad, t, stop)), dtype=np.uint8)
+    begun = ORDER                                               # START bytes so far: three for each text
+    for lo in range(ORDER, len(joined), BLOCK):
+        b = joined[lo - ORDER:lo + BLOCK].astype(np.uint32)
+        mark = b[3:] == START
+        owner = (begun + np.cumsum(mark, dtype=np.int32)) // ORDER - 1
+        begun += int(mark.sum())
+        code = (b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:]
+        yield code[~mark], owner[~mark]
+
+
+def chunks(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The texts of a batch in UTF-8, as many at a time as HELD_BYTES hold."""
+    held, size = [], 0
+    for text in texts:
+        raw = (text.as_py() or "").encode()
+        if held and size + len(raw) > HELD_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw)
+    if held:
+        yield held
+
+
+class GramCounter:
+    """Counts of 4-byte codes, added up when they get many."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, texts: list[bytes]) -> None:
+        for code, _ in byte_grams(texts):
+            self.parts.append(np.unique(code, return_counts=True))
+            self.size += len(self.parts[-1][0])
+            if self.size > 4 * HELD_WORDS:
+                self.merge()
+
+    def merge(self) -> None:
+        code, at = np.unique(np.concatenate([c for c, _ in self.parts]), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate([n for _, n in self.parts])).astype(np.int64)
+        self.parts, self.size = [(code, n)], len(code)
+
+    def told(self) -> pa.RecordBatch:
+        """(GRAM_MARK + 4 bytes, n); starts anew."""
+        self.merge()
+        code, n = self.parts[0]
+        keys = np.empty((len(code), 5), np.uint8)
+        keys[:, 0], keys[:, 1:] = GRAM_MARK[0], code.astype(">u4").view(np.uint8).reshape(-1, 4)
+        ends = np.arange(len(code) + 1, dtype=np.int32) * 5
+        key = pa.Array.from_buffers(pa.binary(), len(code), [None, pa.py_buffer(ends), pa.py_buffer(keys)])
+        self.__init__()
+        return pa.RecordBatch.from_arrays([key, pa.array(n, pa.int64())], names=["key", "n"])
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts (key, n): words, GRAM_MARK + 4 bytes, and END_KEY."""
+    words: Counter = Counter()
+    grams = GramCounter()
+
     def told(counter: dict) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counter.keys()), pa.binary()),
                                            pa.array(list(counter.values()), pa.int64())], names=["key", "n"])
-    words: Counter = Counter()
-    grams = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    held: list[bytes] = []
-
-    def add_grams(grams, texts):
-        code, count = np.unique(byte_grams(texts)[0], return_counts=True)
-        code, at = np.unique(np.concatenate([grams[0], code]), return_inverse=True)
-        return code, np.bincount(at, weights=np.concatenate([grams[1], count])).astype(np.int64)
-
-    def gram_batch(grams):
-        keys = np.concatenate([np.full((len(grams[0]), 1), GRAM_MARK[0], np.uint8),
-                               grams[0].astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
-        return told(dict(zip((k.tobytes() for k in keys), grams[1].tolist())))
-
-    size = 0
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            raw = text.encode() if text else b""
-            words.update(raw.lower().split())
-            words[END_KEY] += 1
-            held.append(raw)
-            size += len(raw)
-            if size >= HELD_BYTES:
-                grams, held, size = add_grams(grams, held), [], 0
-                if len(grams[0]) > HELD_WORDS:
-                    yield gram_batch(grams)
-                    grams = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        for texts in chunks(batch.column("text")):
+            for raw in texts:
+                words.update(raw.lower().split())
+            words[END_KEY] += len(texts)
+            grams.add(texts)
+            if grams.size > 2 * HELD_WORDS:
+                grams.merge()
+                if grams.size > HELD_WORDS:
+                    yield grams.told()
             if len(words) > HELD_WORDS:
                 yield told(words)
                 words = Counter()
-    if held:
-        yield gram_batch(add_grams(grams, held))
-    elif len(grams[0]):
-        yield gram_batch(grams)
+    if grams.parts:
+        yield grams.told()
     if words:
         yield told(words)
 
@@ -109,18 +141,6 @@ class Trie:
             table[row[at] - lo, code[at] & np.uint32(255)] = n[at]
             logs.append(self.predict(part, table).astype(np.float32))
         self.logs = np.concatenate(logs)
-        self._index = None
-
-    def __getstate__(self):
-        return {**self.__dict__, "_index": None}     # the index is rebuilt where it is used
-
-    @property
-    def index(self) -> np.ndarray:
-        """Row of each three bytes, -1 where they are not held."""
-        if self._index is None:
-            self._index = np.full(1 << 8 * ORDER, -1, np.int32)
-            self._index[self.contexts] = np.arange(len(self.contexts), dtype=np.int32)
-        return self._index
 
     def predict(self, contexts: np.ndarray, table: np.ndarray) -> np.ndarray:
         """Log10 probabilities (context, symbol); ``table`` has the order-3 counts."""
@@ -151,12 +171,19 @@ class Trie:
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(sums of the logs in held contexts, and by text and code of the other
         grams: text, code, times)."""
-        code, owner = byte_grams(texts)
-        row = self.index[code >> np.uint32(8)]
-        held = row >= 0
-        logs = np.where(held, self.logs[row, code & np.uint32(255)], 0.0) if len(self.logs) else np.zeros(len(code))
-        other, times = np.unique((owner[~held].astype(np.int64) << 32) | code[~held], return_counts=True)
-        return np.bincount(owner, weights=logs, minlength=len(texts)), other >> 32, other & (2 ** 32 - 1), times
+        sums, other, times = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for code, owner in byte_grams(texts):
+            context = code >> np.uint32(8)
+            row = np.minimum(np.searchsorted(self.contexts, context), max(len(self.contexts) - 1, 0))
+            held = self.contexts[row] == context if len(self.contexts) else np.zeros(len(code), bool)
+            logs = self.logs[row[held], code[held] & np.uint32(255)]
+            sums += np.bincount(owner[held], weights=logs, minlength=len(texts))
+            keys, n = np.unique((owner[~held].astype(np.int64) << 32) | code[~held], return_counts=True)
+            other.append(keys)
+            times.append(n)
+        keys, at = np.unique(np.concatenate(other), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(times), minlength=len(keys)).astype(np.int64)
+        return sums, keys >> 32, keys & (2 ** 32 - 1), n
 
 
 def gram_counts(counts: DataFrame) -> DataFrame:
@@ -249,15 +276,10 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, logs = shared.value
         for batch in batches:
-            texts = [t.encode() if t else b"" for t in batch.column("text").to_pylist()]
             lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= HELD_BYTES):
-                    size += len(texts[hi])
-                    hi += 1
+            for texts in chunks(batch.column("text")):
                 sums, sizes, known, rare, rare_n, ends_at = [], [], [], [], [], [0]
-                for t in texts[lo:hi]:
+                for t in texts:
                     tokens = t.lower().split()
                     s, k = end_log, 1 if ends else 0
                     for w, n in Counter(tokens).items():
@@ -273,17 +295,17 @@ def score_documents(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
                     known.append(k)
                     ends_at.append(len(rare))
                 at = pa.array(ends_at, pa.int32())
-                score, text, code, times = trie.scores(texts[lo:hi])
-                grams_at = pa.array(np.searchsorted(text, np.arange(hi - lo + 1)).astype(np.int32))
+                score, text, code, times = trie.scores(texts)
+                grams_at = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[lo:hi], pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
+                    [batch.column("doc_id")[lo:lo + len(texts)], pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
                      pa.array(sums, pa.float64()), pa.array(score),
                      pa.ListArray.from_arrays(at, pa.array(rare, pa.binary())),
                      pa.ListArray.from_arrays(at, pa.array(rare_n, pa.int64())),
                      pa.ListArray.from_arrays(grams_at, pa.array(code, pa.int64())),
                      pa.ListArray.from_arrays(grams_at, pa.array(times, pa.int64()))],
                     names=["doc_id", "n_tokens", "known", "logs", "score", "rare", "rare_n", "grams", "grams_n"])
-                lo = hi
+                lo += len(texts)
 
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
