@@ -13,9 +13,9 @@ is held by any task.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,27 +25,46 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-STOP = re.compile(rb"[.,;:!?\x0A-\x0D]")
-SHARD_TOKENS = 1_000_000     # words of a shard: what a task holds at a time
-RANGE_GRAMS = 2_000_000     # n-gram occurrences a prefix range should have
-MERGE_ARCS = 2_000_000      # arcs a range gathers before it adds them up
-CUT = 256                   # parts into which a task cuts what it has at a time
+SHARD_TOKENS = 1_000_000    # words of a shard: what a task holds at a time
+RANGE_GRAMS = 2_500_000     # n-gram occurrences a prefix range should have
+MERGE_ARCS = 1_000_000      # arcs a range gathers before it adds them up
+CUT = 1024                  # parts into which a task cuts what it has at a time
 HELD_WORDS = 200_000        # distinct words a task counts before it hands them on
 UNKNOWN = "und"
 
+END = b"\xff"               # ends a piece; no UTF-8 text has this byte
+STOPS = b".,;:!?\x0A\x0B\x0C\x0D"
+LOWER = bytes.maketrans(STOPS + bytes(range(65, 91)), b"\n" * len(STOPS) + bytes(range(97, 123)))
+
 BLOB = "part long, automaton binary"
 
 
-def pieces(lang: str | None, text: str | None) -> tuple[bytes, list[list[bytes]]]:
-    """(language, words of every piece) of a text; A-Z in lower case."""
-    raw = text.encode().lower() if text else b""
-    return (UNKNOWN if lang is None else lang).encode(), [p for p in map(bytes.split, STOP.split(raw)) if p]
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text with END after every piece; A-Z in lower case."""
+    raw = text.encode() if text else b""
+    return (raw.translate(LOWER) + b"\n").replace(b"\n", b" " + END + b" ").split()
+
+
+def language(lang: str | None) -> bytes:
+    return (UNKNOWN if lang is None else lang).encode()
 
 
 def symbol(lang: bytes, word: bytes, seed: int) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang, seed)) or 1
 
 
+class Symbols(dict):
+    """Symbols of the words of a language met so far; END is 0."""
+
+    def __init__(self, lang: bytes, seed: int):
+        super().__init__({END: 0})
+        self.lang, self.seed = lang, seed
+
+    def __missing__(self, word: bytes) -> int:
+        s = self[word] = symbol(self.lang, word, self.seed)
+        return s
+
+
 # ---- words -----------------------------------------------------------------
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,16 +74,15 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def told():
         for lang, words in counts.items():
+            words.pop(END, None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang.decode()] * len(words), pa.string()), pa.array([w.decode() for w in words], pa.string()),
                  pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            lang, parts = pieces(lang, text.as_py())
-            words = counts.setdefault(lang, Counter())
+            words = counts.setdefault(language(lang), Counter())
             before = len(words)
-            for part in parts:
-                words.update(part)
+            words.update(words_of(text.as_py()))
             held += len(words) - before
             if held > HELD_WORDS:
                 yield from told()
@@ -92,6 +110,48 @@ def word_symbols(rows: DataFrame) -> tuple[DataFrame, int]:
 
 # ---- automata --------------------------------------------------------------
 
+class Grams(NamedTuple):
+    """N-grams of at most three symbols: rows of places in ``labels``, which are
+    sorted and begin with 0, the symbol for none; and their counts."""
+
+    labels: np.ndarray
+    rows: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def none(cls) -> Grams:
+        return cls(np.zeros(1, np.uint64), np.zeros((0, 3), np.int32), np.zeros(0, np.int64))
+
+    def part(self, at) -> Grams:
+        """Some of the n-grams, with the labels they use."""
+        rows = self.rows[at]
+        used = np.zeros(len(self.labels), bool)
+        used[0] = True
+        used[rows.reshape(-1)] = True
+        return Grams(self.labels[used], (np.cumsum(used, dtype=np.int32) - 1)[rows], self.counts[at])
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.labels[self.rows]
+
+
+def add_up(parts: list[Grams]) -> Grams:
+    """The union of several sets, sorted, with the sums of equal n-grams' counts."""
+    labels = np.unique(np.concatenate([p.labels for p in parts]))
+    rows = np.concatenate([np.searchsorted(labels, p.labels).astype(np.int32)[p.rows] for p in parts])
+    counts = np.concatenate([p.counts for p in parts])
+    if not len(rows):
+        return Grams.none()
+    if len(labels) <= 1 << 21:                       # three places fit 63 bits
+        wide = rows.astype(np.uint64)
+        order = np.argsort((wide[:, 0] << np.uint64(42)) | (wide[:, 1] << np.uint64(21)) | wide[:, 2])
+    else:
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+    rows = rows[order]
+    new = np.append(True, (rows[1:] != rows[:-1]).any(axis=1))
+    return Grams(labels, rows[new], np.add.reduceat(counts[order], np.flatnonzero(new)))
+
+
 class Automaton:
     """Weighted acyclic automaton of n-grams of at most three symbols.
 
@@ -106,14 +166,9 @@ class Automaton:
         self.labels, self.levels = labels, levels    # a level: starts of its states, label, weight, target of the arcs
 
     @classmethod
-    def build(cls, keys: np.ndarray, weights: np.ndarray) -> Automaton:
-        """From sorted distinct rows of three symbols (0: none) and their weights."""
-        labels, at = np.unique(keys, return_inverse=True)
-        return cls.build_ranked(labels, at.reshape(keys.shape), weights)
-
-    @classmethod
-    def build_ranked(cls, labels: np.ndarray, at: np.ndarray, weights: np.ndarray) -> Automaton:
-        """The same with symbols given as places in ``labels``, whose first is 0."""
+    def build(cls, grams: Grams) -> Automaton:
+        """From sorted distinct n-grams."""
+        labels, at, weights = grams
         n = len(at)
         first = np.arange(n) == 0
         new = [first]                                # whether a row begins a prefix of k symbols; sorted, so equal ones are neighbours
@@ -142,21 +197,21 @@ class Automaton:
                 target = below[np.cumsum(new[k]) - 1]
         return cls(labels, levels[::-1])
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams as rows of three symbols, weights), without those that weigh nothing."""
-        keys, weights = [], []
-        state, prefix = np.zeros(min(1, len(self.levels[0][0]) - 1), np.int64), np.zeros((1, 0), np.uint64)
-        prefix = prefix[:len(state)]
+    def grams(self) -> Grams:
+        """Its n-grams, without those that weigh nothing; not sorted."""
+        rows, weights = [], []
+        state = np.zeros(min(1, len(self.levels[0][0]) - 1), np.int64)
+        prefix = np.zeros((len(state), 0), np.int32)
         for k, (starts, label, weight, leads) in enumerate(self.levels):
             size = starts[state + 1] - starts[state]
             arcs = np.arange(size.sum()) + np.repeat(starts[state] - np.cumsum(size) + size, size)
-            prefix = np.concatenate([np.repeat(prefix, size, axis=0), self.labels[label[arcs]][:, None]], axis=1)
+            prefix = np.concatenate([np.repeat(prefix, size, axis=0), label[arcs][:, None].astype(np.int32)], axis=1)
             own = weight[arcs] != 0
-            keys.append(np.pad(prefix[own], ((0, 0), (0, 2 - k))))
+            rows.append(np.pad(prefix[own], ((0, 0), (0, 2 - k))))
             weights.append(weight[arcs][own])
             on = leads[arcs] >= 0
             state, prefix = leads[arcs][on], prefix[on]
-        return np.concatenate(keys), np.concatenate(weights)
+        return Grams(self.labels, np.concatenate(rows), np.concatenate(weights))
 
     def weigh(self, keys: np.ndarray) -> np.ndarray:
         """Composition with a list of n-grams: their weights, 0 where there is none."""
@@ -221,16 +276,6 @@ def _share(starts, label, weight, leads):
     return np.append(0, np.cumsum(size)).astype(np.int64), label[at], weight[at], leads[at], number
 
 
-def add_up(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted, equal ones as one with the sum of their weights."""
-    if not len(keys):
-        return keys, weights
-    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
-    keys, weights = keys[order], weights[order]
-    new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
-    return keys[new], np.add.reduceat(weights, np.flatnonzero(new))
-
-
 # ---- shards ----------------------------------------------------------------
 
 class Ranges:
@@ -239,118 +284,109 @@ class Ranges:
     their second and third symbol."""
 
     def __init__(self, count: int, hot: np.ndarray, parts: np.ndarray):
-        self.bits = max(0, (count - 1).bit_length())
         by = np.argsort(hot)
-        self.hot, self.parts = hot[by], parts[by]
-        self.first = (1 << self.bits) + np.cumsum(self.parts) - self.parts
-        self.total = (1 << self.bits) + int(self.parts.sum())
+        self.count, self.hot, self.parts = count, hot[by], parts[by]
+        self.first = count + np.cumsum(self.parts) - self.parts
+        self.total = count + int(self.parts.sum())
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
-        part = (keys[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+    def of(self, grams: Grams) -> np.ndarray:
+        part = (((grams.labels >> np.uint64(32)) * np.uint64(self.count)) >> np.uint64(32)).astype(np.int64)[grams.rows[:, 0]]
         if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, keys[:, 0]), len(self.hot) - 1)
+            at = np.minimum(np.searchsorted(self.hot, grams.labels), len(self.hot) - 1)
+            at = np.where(self.hot[at] == grams.labels, at, -1)[grams.rows[:, 0]]
+            many = np.flatnonzero(at >= 0)
+            at, keys = at[many], grams.labels[grams.rows[many, 1:]]
             with np.errstate(over="ignore"):
-                rest = (keys[:, 1] ^ (keys[:, 2] * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(32)
-            inner = (rest * self.parts[at].astype(np.uint64)) >> np.uint64(32)
-            part = np.where(self.hot[at] == keys[:, 0], self.first[at] + inner.astype(np.int64), part)
+                rest = (keys[:, 0] ^ (keys[:, 1] * np.uint64(0x9E3779B97F4A7C15))) >> np.uint64(32)
+            part[many] = self.first[at] + ((rest * self.parts[at].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
         return part
 
 
-def cut_up(keys: np.ndarray, weights: np.ndarray, ranges: Ranges, step: int) -> Iterator[pa.RecordBatch]:
+def cut_up(grams: Grams, ranges: Ranges, step: int) -> Iterator[pa.RecordBatch]:
     """Sorted n-grams as one automaton for each ``step`` ranges they fall into."""
-    part = ranges.of(keys) // step
+    part = ranges.of(grams) // step
     order = np.argsort(part, kind="stable")          # stays sorted by n-gram within a part
-    keys, weights, part = keys[order], weights[order], part[order]
+    part = part[order]
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
     for lo, hi in zip(cuts, np.append(cuts[1:], len(part))):
-        yield blob(int(part[lo]), keys[lo:hi], weights[lo:hi])
+        yield blob(int(part[lo]), grams.part(order[lo:hi]))
 
 
-def blob(part: int, keys: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
-    raw = Automaton.build(np.concatenate([np.zeros((1, 3), np.uint64), keys]), np.append(0, weights)).to_bytes()
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([raw], pa.binary())], names=["part", "automaton"])
+def blob(part: int, grams: Grams) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([Automaton.build(grams).to_bytes()], pa.binary())],
+                                      names=["part", "automaton"])
 
 
-def shard_grams(tokens: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams of two and three words and their counts, from a shard's
-    symbols in order and the piece each belongs to."""
+def shard_grams(tokens: np.ndarray) -> Grams:
+    """The n-grams of two and three words of a shard, sorted, from its symbols
+    in order; 0 ends a piece."""
     labels, at = np.unique(np.append(tokens, np.uint64(0)), return_inverse=True)
-    at = at[:-1].astype(np.uint64)                   # places among a shard's labels: under 21 bits each
-    two = piece[1:] == piece[:-1]
+    at = at.astype(np.uint64)                        # places among a shard's labels: under 21 bits each
+    two = (at[1:] > 0) & (at[:-1] > 0)
     three = two[1:] & two[:-1]
     pairs = (at[:-1][two] << np.uint64(42)) | (at[1:][two] << np.uint64(21))
     triples = (at[:-2][three] << np.uint64(42)) | (at[1:-1][three] << np.uint64(21)) | at[2:][three]
     code, n = np.unique(np.concatenate([pairs, triples]), return_counts=True)
-    mask = np.uint64((1 << 21) - 1)
-    return labels[np.stack([code >> np.uint64(42), (code >> np.uint64(21)) & mask, code & mask], axis=1).astype(np.int64)], n
+    rows = np.empty((len(code), 3), np.int32)
+    for k, shift in enumerate((42, 21, 0)):
+        rows[:, k] = (code >> np.uint64(shift)) & np.uint64((1 << 21) - 1)
+    return Grams(labels, rows, n)
 
 
 def shard_counter(seed: int, ranges: Ranges, step: int):
     """The task that turns (lang, text) into the automata of its shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, dict[bytes, int]] = {}
-        tokens, numbers, size, number, n_known = [], [], 0, 0, 0
-
-        def told():
-            yield from cut_up(*shard_grams(np.concatenate(tokens), np.concatenate(numbers)), ranges, step)
+        known: dict[bytes, Symbols] = {}
+        tokens, size = [], 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                lang, parts = pieces(lang, text.as_py())
-                if n_known > HELD_WORDS:
-                    known, n_known = {}, 0
-                cache = known.setdefault(lang, {})
-                for part in parts:
-                    number += 1
-                    for lo in range(0, len(part), SHARD_TOKENS):
-                        held = []
-                        for w in part[lo:lo + SHARD_TOKENS]:
-                            s = cache.get(w)
-                            if s is None:
-                                s = cache[w] = symbol(lang, w, seed)
-                                n_known += 1
-                            held.append(s)
-                        tokens.append(np.array(held, np.uint64))
-                        numbers.append(np.full(len(held), number))
-                        size += len(held)
-                        if size >= SHARD_TOKENS:
-                            yield from told()
-                            # a piece goes on in the next shard: its last two words are met there again,
-                            # and their own pair, which both shards have, is taken back
-                            last = np.concatenate(tokens[-2:])[-2:] if lo + SHARD_TOKENS < len(part) else None
-                            tokens, numbers, size = [], [], 0
-                            if last is not None:
-                                tokens, numbers, size = [last], [np.full(2, number)], 2
-                                yield from cut_up(np.append(last, np.uint64(0))[None], np.array([-1]), ranges, step)
+                if sum(map(len, known.values())) > HELD_WORDS:
+                    known = {}
+                lang = language(lang)
+                cache = known.setdefault(lang, Symbols(lang, seed))
+                words = words_of(text.as_py())
+                symbols = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+                for lo in range(0, len(symbols), SHARD_TOKENS):
+                    tokens.append(symbols[lo:lo + SHARD_TOKENS])
+                    size += len(tokens[-1])
+                    if size < SHARD_TOKENS:
+                        continue
+                    whole = np.concatenate(tokens)
+                    yield from cut_up(shard_grams(whole), ranges, step)
+                    tokens, size = [], 0
+                    if lo + SHARD_TOKENS < len(symbols):
+                        # a text goes on in the next shard: its last two words are met there again,
+                        # and their own pair, which both shards have, is taken back
+                        tokens, size = [whole[-2:]], 2
+                        if whole[-2:].all():
+                            pair = shard_grams(whole[-2:])
+                            yield from cut_up(pair._replace(counts=-pair.counts), ranges, step)
         if size:
-            yield from told()
+            yield from cut_up(shard_grams(np.concatenate(tokens)), ranges, step)
     return run
 
 
-def sums(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sums(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[Grams]:
     """The united n-grams of all automata of a group, MERGE_ARCS new arcs at a
     time beside the sum; if not ``whole``, each sum is handed on at once."""
-    none = np.zeros((0, 3), np.uint64), np.zeros(0, np.int64)
-    total, new, size = none, [], 0
-
-    def added():
-        return add_up(np.concatenate([total[0], *[k for k, _ in new]]), np.concatenate([total[1], *[w for _, w in new]]))
+    held, size = [Grams.none()], 0
     for batch in batches:
         for raw in batch.column("automaton"):
-            new.append(Automaton.from_bytes(raw.as_py()).rows())
-            size += len(new[-1][1])
+            held.append(Automaton.from_bytes(raw.as_py()).grams())
+            size += len(held[-1].counts)
             if size >= MERGE_ARCS:
-                total, new, size = added(), [], 0
+                held, size = [add_up(held)], 0
                 if not whole:
-                    yield total
-                    total = none
-    yield added()
+                    yield held[0]
+                    held = [Grams.none()]
+    yield add_up(held)
 
 
 def cut_finer(ranges: Ranges, step: int):
     """The task that cuts the automata of several ranges anew."""
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, weights in sums(batches, whole=False):
-            yield from cut_up(keys, weights, ranges, step)
+        for grams in sums(batches, whole=False):
+            yield from cut_up(grams, ranges, step)
     return run
 
 
@@ -358,9 +394,8 @@ def unite(least: int):
     """The task that unites the automata of one range and keeps what weighs at
     least ``least``."""
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, weights in sums(batches, whole=True):
-            often = weights >= least
-            yield blob(key[0].as_py(), keys[often], weights[often])
+        for grams in sums(batches, whole=True):
+            yield blob(key[0].as_py(), grams.part(grams.counts >= least))
     return run
 
 
@@ -388,24 +423,29 @@ def phrases_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The n-grams of united automata as (s1, s2, s3, a); s3 is 0 for two words."""
     for batch in batches:
         for raw in batch.column("automaton"):
-            keys, weights = Automaton.from_bytes(raw.as_py()).rows()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[:, k].copy().view(np.int64)) for k in range(3)] + [pa.array(weights)],
-                                             names=["s1", "s2", "s3", "a"])
+            grams = Automaton.from_bytes(raw.as_py()).grams()
+            yield pa.RecordBatch.from_arrays([pa.array(grams.labels[grams.rows[:, k]].view(np.int64)) for k in range(3)]
+                                             + [pa.array(grams.counts)], names=["s1", "s2", "s3", "a"])
 
 
 def look_up(parts: DataFrame, automata: DataFrame, ranges: Ranges) -> DataFrame:
     """(s1, s2, f) of the distinct pairs ``parts``: each goes to the range it
     starts in and runs through that range's automaton."""
+    def pairs(table) -> np.ndarray:
+        two = [table.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")]
+        return np.stack([*two, np.zeros(table.num_rows, np.uint64)], axis=1)
+
     def place(batches):
         for b in batches:
-            keys = np.stack([b.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")] + [np.zeros(b.num_rows, np.uint64)], axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranges.of(keys))], names=["s1", "s2", "part"])
+            keys = pairs(b)
+            labels, rows = np.unique(np.append(keys.reshape(-1), np.uint64(0)), return_inverse=True)
+            grams = Grams(labels, rows[:-1].reshape(keys.shape), np.zeros(len(keys), np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ranges.of(grams))], names=["s1", "s2", "part"])
 
     def compose(asked: pa.Table, held: pa.Table) -> pa.Table:
-        keys = np.stack([asked.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2")] + [np.zeros(asked.num_rows, np.uint64)], axis=1)
         f = np.zeros(asked.num_rows, np.int64)
         for raw in held.column("automaton"):
-            f += Automaton.from_bytes(raw.as_py()).weigh(keys)
+            f += Automaton.from_bytes(raw.as_py()).weigh(pairs(asked))
         return pa.table({"s1": asked.column("s1"), "s2": asked.column("s2"), "f": pa.array(f)})
     asked = parts.select("s1", "s2").distinct().mapInArrow(place, "s1 long, s2 long, part long")
     return asked.groupBy("part").cogroup(automata.groupBy("part")).applyInArrow(compose, "s1 long, s2 long, f long")

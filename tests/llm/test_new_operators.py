@@ -222,34 +222,27 @@ def test_collocations_equal_brute_force(spark, make_docs, monkeypatch, small):
         got = found_phrases(collocations.collocations(docs))
         assert got == want and any(x[0] == "und" for x in got)
         # the same tasks in this process, where the small values surely hold
-        words = sorted({(("und" if la is None else la), w.decode()) for _, t, la, _ in rows
-                        for p in collocations.pieces(la, t)[1] for w in p})
-        assert len({collocations.symbol(la.encode(), w.encode(), 0) for la, w in words}) == len(words)
-        total = sum(len(p) for _, t, la, _ in rows for p in collocations.pieces(la, t)[1])
         hot = np.array([collocations.symbol(b"en", b"a", 0), collocations.symbol(b"en", b"b", 0)], np.uint64)
-        ranges = collocations.Ranges(2 * total // 150, hot, np.array([5, 3]))
-        step = collocations.CUT
+        ranges = collocations.Ranges(40, hot, np.array([5, 3]))
         import pyarrow as pa
         table = pa.RecordBatch.from_pylist([{"lang": r[2], "text": r[1]} for r in rows])
-        blobs = list(collocations.shard_counter(0, ranges, step)(iter([table])))
         finer = collections.defaultdict(list)
-        for b in blobs:
+        for b in collocations.shard_counter(0, ranges, collocations.CUT)(iter([table])):
             for c in collocations.cut_finer(ranges, 1)((None,), iter([b])):
                 finer[c.column("part")[0].as_py()].append(c)
         counted = {}
         for part, group in finer.items():
             for b in collocations.unite(1)((pa.scalar(part),), iter(group)):
-                keys, weights = collocations.Automaton.from_bytes(b.column("automaton")[0].as_py()).rows()
-                assert (ranges.of(keys) == part).all()
-                counted |= dict(zip(map(tuple, keys.tolist()), weights.tolist()))
+                grams = collocations.Automaton.from_bytes(b.column("automaton")[0].as_py()).grams()
+                assert (ranges.of(grams) == part).all()
+                counted |= dict(zip(map(tuple, grams.keys.tolist()), grams.counts.tolist()))
         true = collections.Counter()
         for _, t, la, _ in rows:
-            lang, pieces = collocations.pieces(la, t)
-            for p in pieces:
-                s = [collocations.symbol(lang, w, 0) for w in p]
+            for p in re.split("[.,;:!?\x0A-\x0D]", (t or "").translate(ABC)):
+                s = [collocations.symbol(collocations.language(la), w.encode(), 0) for w in re.findall("[^\x20\x09]+", p)]
                 true.update((x, y, 0) for x, y in zip(s, s[1:]))
                 true.update(zip(s, s[1:], s[2:]))
-        assert counted == dict(true)
+        assert counted == dict(true) and len(finer) > 30
     else:
         assert found_phrases(collocations.collocations(docs)) == want
         assert found_phrases(collocations.collocations(docs, min_count=3, top=4)) == brute_collocations(
@@ -258,21 +251,32 @@ def test_collocations_equal_brute_force(spark, make_docs, monkeypatch, small):
 
 
 def test_automaton_keeps_counts_and_shares_states():
+    def grams(keys, counts):
+        labels, rows = np.unique(np.append(keys.reshape(-1), np.uint64(0)), return_inverse=True)
+        return collocations.Grams(labels, rows[:-1].reshape(-1, 3), counts)
+
+    def told(g):
+        return dict(zip(map(tuple, g.keys.tolist()), g.counts.tolist()))
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 6, (300, 3)).astype(np.uint64), axis=0)
     keys = keys[(keys[:, 0] > 0) & ((keys[:, 1] > 0) | (keys[:, 2] == 0))]
-    weights = rng.integers(1, 3, len(keys))
-    a = collocations.Automaton.from_bytes(collocations.Automaton.build(
-        np.concatenate([np.zeros((1, 3), np.uint64), keys]), np.append(0, weights)).to_bytes())
-    back, n = a.rows()
-    assert dict(zip(map(tuple, back.tolist()), n.tolist())) == dict(zip(map(tuple, keys.tolist()), weights.tolist()))
+    weights = rng.integers(-1, 3, len(keys))
+    weights[weights == 0] = 300
+    g = grams(keys, weights)
+    a = collocations.Automaton.from_bytes(collocations.Automaton.build(g).to_bytes())
+    assert told(a.grams()) == told(g)
     assert (a.weigh(keys) == weights).all()
     assert (a.weigh(np.array([[9, 1, 1], [1, 9, 0], [1, 1, 9]], np.uint64)) == 0).all()
-    same = np.array([[0, 0, 0], [1, 5, 6], [1, 5, 7], [2, 5, 6], [2, 5, 7], [3, 5, 6]], np.uint64)
-    b = collocations.Automaton.build(same, np.array([0, 1, 2, 1, 2, 1]))
+    other = grams(keys[::3] + np.array([1, 0, 0], np.uint64), np.arange(len(keys[::3])))
+    both = collections.Counter(told(g))
+    for k, n in told(other).items():
+        both[k] += n
+    assert told(collocations.add_up([collocations.Grams.none(), a.grams(), other])) == dict(both)
+    same = np.array([[1, 5, 6], [1, 5, 7], [2, 5, 6], [2, 5, 7], [3, 5, 6]], np.uint64)
+    b = collocations.Automaton.build(grams(same, np.array([1, 2, 1, 2, 1])))
     assert [len(level[0]) - 1 for level in b.levels] == [1, 2, 2]         # 1 and 2 go on in the same states
-    empty = collocations.Automaton.build(np.zeros((1, 3), np.uint64), np.zeros(1, np.int64))
-    assert len(empty.rows()[1]) == 0 and (empty.weigh(keys) == 0).all()
+    empty = collocations.Automaton.build(collocations.Grams.none())
+    assert len(empty.grams().counts) == 0 and (empty.weigh(keys) == 0).all()
 
 
 def test_collocations_odd_input(odd_docs, no_docs):
