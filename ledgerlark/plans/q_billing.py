@@ -8,10 +8,10 @@ from ..streaming import billing as bl
 from .q_finance import CUR_SUBS
 from .registry import register
 
-_LAST = "QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY event_ts DESC, event_id DESC) = 1"
+_LAST = "QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY event_ts DESC, COALESCE(event_id, '') DESC) = 1"
 EV_CTES = f"""
 WITH {CUR_SUBS},
-ev0 AS (SELECT * FROM billing_events QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY event_ts) = 1),
+ev0 AS (SELECT * FROM billing_events QUALIFY event_id IS NULL OR row_number() OVER (PARTITION BY event_id ORDER BY event_ts) = 1),
 ev AS (SELECT *, CASE type WHEN 'checkout.session.completed' THEN 'checkout'
                            WHEN 'customer.subscription.updated' THEN 'updated'
                            WHEN 'customer.subscription.deleted' THEN 'deleted'
@@ -21,7 +21,7 @@ ev1 AS (SELECT *,
                WHEN COALESCE(cancel_at_period_end, false) AND status = 'active' THEN 'cancelling'
                ELSE status END AS new_status,
           last_value(CASE WHEN kind = 'checkout' THEN stripe_subscription_id END IGNORE NULLS)
-            OVER (PARTITION BY business_id ORDER BY event_ts, event_id
+            OVER (PARTITION BY business_id ORDER BY event_ts, COALESCE(event_id, '')
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur_sub
         FROM ev WHERE kind IS NOT NULL AND business_id IS NOT NULL),
 st AS (SELECT business_id, new_status AS subscription_status, event_id AS last_event_id FROM ev1 {_LAST})
@@ -90,7 +90,7 @@ def q_propagate_status(spark, sf_dir):
 
 
 @register("billing_rejects", EV_CTES + """
-SELECT 'duplicate' AS reason, (SELECT COUNT(*) - COUNT(DISTINCT event_id) FROM billing_events) AS events
+SELECT 'duplicate' AS reason, (SELECT COUNT(event_id) - COUNT(DISTINCT event_id) FROM billing_events) AS events
 UNION ALL SELECT 'unknown_type', (SELECT COUNT(*) FROM ev WHERE kind IS NULL)
 UNION ALL SELECT 'no_business', (SELECT COUNT(*) FROM ev WHERE kind IS NOT NULL AND business_id IS NULL)
 """)
@@ -110,9 +110,13 @@ def q_billing_events_from_json(spark, sf_dir):
     """Provider JSON bodies, rendered from the billing events in the
     provider's nested shape (times as whole epoch seconds), parsed back by
     ``parse_provider_events``."""
+    return bl.parse_provider_events(_bodies(_t(spark, sf_dir).billing_events))
+
+
+def _bodies(e):
+    """The events as JSON bodies in the provider's nested shape."""
     from pyspark.sql import functions as F
     card_type = "struct<last4: string, brand: string>"
-    e = _t(spark, sf_dir).billing_events
     # the card is the payment method, the default source, or there is none
     way, card = F.col("amount") % 4, F.struct(F.col("card_last4").alias("last4"), F.col("card_brand").alias("brand"))
     method = (F.when(way == 1, F.struct(F.lit("link").alias("type"), F.lit(None).cast(card_type).alias("card")))
@@ -133,11 +137,39 @@ def q_billing_events_from_json(spark, sf_dir):
         F.struct(F.array(F.struct(F.struct(F.col("amount").alias("unit_amount")).alias("price")))
                  .alias("data")).alias("items"),
         method.alias("default_payment_method"), source.alias("default_source"))
-    raw = e.select(F.to_json(F.struct(
+    return e.select(F.to_json(F.struct(
         F.col("event_id").alias("id"), "type",
         F.unix_seconds("event_ts").alias("created"),
-        F.struct(obj.alias("object")).alias("data"))).alias("body"))
-    return bl.parse_provider_events(raw)
+        F.struct(obj.alias("object")).alias("data"))).alias("body"), "amount")
+
+
+# bodies cut off in the middle, of another shape or missing; bodies that name no event id
+_BAD = "CASE WHEN amount % 9 IN (4, 6, 7) THEN 'malformed' WHEN amount % 9 = 5 OR event_id IS NULL THEN 'no_id' ELSE 'ok' END"
+
+
+def _intake(spark, sf_dir):
+    from pyspark.sql import functions as F
+    e, bad = _t(spark, sf_dir).billing_events, F.col("amount") % 9
+    e = e.withColumn("event_id", F.when(F.coalesce(bad == 5, F.lit(False)), F.lit(None)).otherwise(F.col("event_id")))
+    raw = _bodies(e).select(F.when(bad == 4, F.expr("left(body, length(body) div 2)")).when(bad == 6, F.lit("[1, 2]"))
+                            .when(bad == 7, F.lit(None)).otherwise(F.col("body")).alias("body"))
+    return bl.intake_provider_events(raw)
+
+
+@register("billing_quarantine", f"SELECT {_BAD} AS reason, COUNT(*) AS bodies FROM billing_events GROUP BY 1 HAVING reason <> 'ok'")
+def q_billing_quarantine(spark, sf_dir):
+    """Bodies that are not folded, by reason."""
+    return _intake(spark, sf_dir)[1].groupBy("reason").agg({"bodies": "sum"}).withColumnRenamed("sum(bodies)", "bodies")
+
+
+@register("billing_intake_status", EV_CTES.replace("FROM billing_events QUALIFY",
+          f"FROM (SELECT *, {_BAD} AS reason FROM billing_events) WHERE reason = 'ok' QUALIFY") + "SELECT * FROM st")
+def q_billing_intake_status(spark, sf_dir):
+    """S2 -> T6: the statuses that the accepted bodies leave on the businesses."""
+    clean, _ = bl.route_events(_intake(spark, sf_dir)[0])
+    return bl.business_status(clean)
+
+
 
 
 def _streamed(spark, sf_dir):
@@ -161,7 +193,7 @@ def q_billing_stream_states(spark, sf_dir):
 raw AS (SELECT e.*, (SELECT MIN(x.kind) FROM ev x WHERE x.type = e.type) AS kind FROM billing_events e)
 SELECT 'unknown_type' AS reason, COUNT(*) AS events FROM raw WHERE kind IS NULL
 UNION ALL SELECT 'no_business', COUNT(*) FROM raw WHERE kind IS NOT NULL AND business_id IS NULL
-UNION ALL SELECT 'duplicate', COUNT(*) - COUNT(DISTINCT event_id) FROM raw
+UNION ALL SELECT 'duplicate', COUNT(event_id) - COUNT(DISTINCT event_id) FROM raw
           WHERE kind IS NOT NULL AND business_id IS NOT NULL
 """)
 def q_billing_stream_rejects(spark, sf_dir):

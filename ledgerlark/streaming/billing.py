@@ -18,16 +18,13 @@ Two folds, one answer:
   its subscription id.
 
 ``fold_billing`` is the batch form, a set of joins and aggregates;
-``fold_billing_stream`` is the Structured Streaming form with
-``applyInPandasWithState``; the tests check they agree.
+``fold_billing_stream`` is the Structured Streaming form with typed keyed state
+and timers (``keyed.BillingFold``); the tests check they agree.  An event without
+an id is an event of its own: NULL ids are never equal.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +33,7 @@ from ..fixed import EVENT_KINDS
 from ..operators.common import Desc, above_max, apply_patch, latest_by_key, running_count
 from ..operators.subscriptions import current_subscriptions
 from ..sources.schemas import schema
+from .keyed import BASE_FIELDS, EVENT_FIELDS, BillingFold
 
 
 SUB_OUT = ["id", "business_id", "stripe_subscription_id", "stripe_customer_id", "status",
@@ -86,7 +84,31 @@ def parse_provider_events(raw: DataFrame, body: str = "body") -> DataFrame:
     id is kept as the provider writes it.  A checkout's card is chosen by
     ``checkout_card`` (T2).
     """
-    e = raw.select(F.from_json(F.col(body), PROVIDER_EVENT).alias("e"))
+    return _event_columns(raw.select(F.from_json(F.col(body), PROVIDER_EVENT).alias("e")))
+
+
+def intake_provider_events(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """S2 with a quarantine: ``(events, quarantine)`` of raw JSON bodies.
+
+    A body that is no JSON object of the declared shape is ``malformed``
+    (``from_json`` keeps it in its corrupt-record column); one that names no
+    event id is ``no_id``.  Neither reaches the fold.  The quarantine has one row
+    per distinct body: its SHA-256 digest, the reason, the body and how often it
+    came.  All other bodies become events as in ``parse_provider_events``.
+    """
+    kept = F.col(body)
+    shape = T.StructType([*PROVIDER_EVENT.fields, T.StructField("_corrupt", T.StringType())])
+    e = raw.select(kept.alias("body"), F.from_json(kept, shape, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+    nothing = F.coalesce(F.col("e.id"), F.col("e.type"), F.col("e.created").cast("string")).isNull() & F.col("e.data").isNull()
+    e = e.withColumn("reason", F.when(F.col("e").isNull() | F.col("e._corrupt").isNotNull() | nothing, "malformed")
+                     .when(F.coalesce(F.trim("e.id"), F.lit("")) == "", "no_id"))
+    quarantine = e.where("reason is not null").groupBy(
+        F.sha2(F.coalesce("body", F.lit("")), 256).alias("digest"), "reason").agg(
+        F.first("body").alias("body"), F.count(F.lit(1)).alias("bodies"))
+    return _event_columns(e.where("reason is null").select("e")), quarantine
+
+
+def _event_columns(e: DataFrame) -> DataFrame:
     o = F.col("e.data.object")
     sub = F.when(F.col("e.type").isin("checkout.session.completed", "invoice.payment_succeeded"),
                  o["subscription"]).otherwise(o["id"])
@@ -146,6 +168,8 @@ def route_events(events: DataFrame):
     """T1 + T6: dedup by event id (earliest copy), keep known types with a
     business.  Returns ``(clean, rejects)``; rejects counts by reason.
 
+    Events without an id are not copies of each other; all are kept.
+
     One aggregate per event id gives both the kept copy (``min`` of a struct
     led by event_ts) and the number of copies, so the reject counts need no
     second pass over the raw events.
@@ -153,8 +177,9 @@ def route_events(events: DataFrame):
     cols = list(events.columns)
     packed = F.struct(F.col("event_ts").isNull().alias("__n"), F.col("event_ts").alias("__t"),
                       *[F.col(c).alias(c) for c in cols if c != "event_id"])
-    g = events.groupBy("event_id").agg(F.min(packed).alias("__m"),
-                                       F.count(F.lit(1)).alias("__copies"))
+    own = F.when(F.col("event_id").isNull(), F.monotonically_increasing_id())
+    g = events.withColumn("__own", own).groupBy("event_id", "__own").agg(F.min(packed).alias("__m"),
+                                                                         F.count(F.lit(1)).alias("__copies"))
     first = g.select("event_id", *[F.col(f"__m.{c}").alias(c) for c in cols if c != "event_id"],
                      "__copies").withColumn("kind", kind_col())
     clean = first.where(F.col("kind").isNotNull() & F.col("business_id").isNotNull()) \
@@ -180,7 +205,7 @@ def fold_billing(events: DataFrame, subscriptions: DataFrame | None = None):
     id is current.  Everything else is conditional aggregation per business.
     """
     clean, rejects = route_events(events)
-    ev = clean.withColumn("new_status", derived_status())
+    ev = clean.withColumn("new_status", derived_status()).withColumn("event_id", F.coalesce("event_id", F.lit("")))
     ev = running_count(ev, "business_id", ["event_ts", "event_id"], "epoch",
                        flag=F.col("kind") == "checkout", inclusive=True)
     co = ev.where(F.col("kind") == "checkout").select(
@@ -240,7 +265,7 @@ def fold_billing(events: DataFrame, subscriptions: DataFrame | None = None):
 def business_status(clean: DataFrame) -> DataFrame:
     """The status the last event (any subscription id) leaves on the
     business: one ``max(struct(event_ts, event_id, status))`` per business."""
-    order = [F.col("event_ts"), F.col("event_id")]
+    order = [F.col("event_ts"), F.coalesce("event_id", F.lit("")).alias("o"), F.col("event_id")]
     return clean.withColumn("new_status", derived_status()).groupBy("business_id").agg(
         F.max(F.struct(*order, F.col("new_status").alias("st"))).alias("m")).select(
         "business_id", F.col("m.st").alias("subscription_status"),
@@ -259,10 +284,8 @@ def propagate_status(businesses: DataFrame, status: DataFrame) -> DataFrame:
 
 
 # ============================================================== streaming form
-_STATE_SCHEMA = T.StructType([T.StructField("blob", T.StringType())])
-_BASE_FIELDS = ["id", "stripe_subscription_id", "stripe_customer_id", "status", "amount",
-                "current_period_end", "card_last4", "card_brand", "payment_method",
-                "cancel_at_period_end", "cancelled_at", "ended_at", "updated_at"]
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_output_schema() -> T.StructType:
@@ -273,30 +296,11 @@ def stream_output_schema() -> T.StructType:
     fields += [T.StructField("row_exists", T.BooleanType()),
                T.StructField("subscription_status", T.StringType()),
                T.StructField("event_id", T.StringType()),
-               T.StructField("event_ts", T.TimestampType())]
+               T.StructField("event_ts", T.TimestampType()),
+               T.StructField("waiting", T.IntegerType())]
     return T.StructType(fields)
 
 
-def _ts(v):
-    """pandas/py timestamp -> epoch microseconds (int) or None."""
-    if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NaT:
-        return None
-    return int(pd.Timestamp(v).value // 1000)
-
-
-def _val(v):
-    if v is None:
-        return None
-    try:
-        if pd.isna(v):
-            return None
-    except (TypeError, ValueError):
-        pass
-    if hasattr(v, "item"):
-        return v.item()
-    return v
-
-
 def _apply(st: dict, e: dict) -> None:
     """Apply one event to a business's state (the per-event rule, T2-T5)."""
     kind, ts = e["kind"], e["event_ts"]
@@ -310,7 +314,7 @@ def _apply(st: dict, e: dict) -> None:
     row = st["row"]
     if kind == "checkout":
         if row is None:
-            row = st["row"] = {k: None for k in _BASE_FIELDS}
+            row = st["row"] = dict.fromkeys(BASE_FIELDS)
         row.update(stripe_subscription_id=e["stripe_subscription_id"],
                    stripe_customer_id=e["stripe_customer_id"], status="active",
                    amount=e["amount"], current_period_end=e["current_period_end"],
@@ -330,87 +334,41 @@ def _apply(st: dict, e: dict) -> None:
         row["ended_at"] = ts
 
 
-def _fold_group(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    business_id = int(key[0])
-    wm = state.getCurrentWatermarkMs() * 1000
-    rows = [r for pdf in batches for r in pdf.to_dict("records")]
-    if state.exists:
-        st = json.loads(state.get[0])
-    else:
-        st = {"business_id": business_id, "row": None, "business_status": None, "last_event": None, "last_ts": None,
-              "horizon": None, "pending": []}
-        if rows and _val(rows[0].get("b_has")):
-            st["row"] = {k: _val(rows[0].get(f"b_{k}")) for k in _BASE_FIELDS}
-            for k in ("current_period_end", "cancelled_at", "ended_at", "updated_at"):
-                st["row"][k] = _ts(st["row"][k])
-    seen = {p["event_id"] for p in st["pending"]}
-    rejected = []
-    for r in rows:
-        e = {"event_id": r["event_id"], "event_ts": _ts(r["event_ts"]), "kind": r["kind"],
-             "status": _val(r["status"]), "cancel_at_period_end": None if _val(r["cancel_at_period_end"]) is None
-             else bool(_val(r["cancel_at_period_end"])),
-             "stripe_subscription_id": _val(r["stripe_subscription_id"]),
-             "stripe_customer_id": _val(r["stripe_customer_id"]), "amount": _val(r["amount"]),
-             "current_period_end": _ts(r["current_period_end"]),
-             "card_last4": _val(r["card_last4"]), "card_brand": _val(r["card_brand"])}
-        if e["event_id"] in seen:                      # repeat inside the horizon
-            rejected.append(("duplicate", e))
-            continue
-        if st["horizon"] is not None and e["event_ts"] is not None and e["event_ts"] <= st["horizon"]:
-            rejected.append(("late", e))               # behind the watermark
-            continue
-        seen.add(e["event_id"])
-        st["pending"].append(e)
-    st["pending"].sort(key=lambda x: (x["event_ts"] if x["event_ts"] is not None else -1, x["event_id"]))
-    # fold what the watermark has passed into the committed state
-    keep = []
-    for e in st["pending"]:
-        if wm > 0 and e["event_ts"] is not None and e["event_ts"] <= wm:
-            _apply(st, e)
-        else:
-            keep.append(e)
-    st["pending"] = keep
-    if wm > 0:
-        st["horizon"] = max(st["horizon"] or 0, wm)
-    view = json.loads(json.dumps(st))
-    for e in view["pending"]:
-        _apply(view, e)
-    state.update((json.dumps(st),))
-    out = []
-    row = view["row"]
-    rec = {"record": "state", "business_id": business_id, "row_exists": row is not None,
-           "subscription_status": view["business_status"], "event_id": view["last_event"],
-           "event_ts": view["last_ts"]}
-    for c in SUB_OUT:
-        if c != "business_id":
-            rec[c] = None if row is None else row.get(c)
-    out.append(rec)
-    for reason, e in rejected:
-        r = {c: None for c in rec}
-        r.update(record=reason, business_id=business_id, event_id=e["event_id"], event_ts=e["event_ts"])
-        out.append(r)
-    pdf = pd.DataFrame(out)
-    for c in ("current_period_end", "cancelled_at", "ended_at", "updated_at", "event_ts"):
-        pdf[c] = pd.to_datetime(pdf[c], unit="us", utc=True).dt.tz_localize(None)
-    yield pdf
+def _micros(df: DataFrame) -> DataFrame:
+    """Times as microseconds, as the keyed state holds them."""
+    timed = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampType)]
+    return df.select(*[(F.unix_micros(c) if c in timed else F.col(c)).alias(c) for c in df.columns])
+
+
+def milliseconds(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + interval {interval})")).first()[0]
 
 
 def fold_billing_stream(events: DataFrame, subscriptions: DataFrame | None = None,
-                        delay: str = "1 day") -> DataFrame:
+                        delay: str = "1 day", remember: str | None = None) -> DataFrame:
     """Streaming fold (T1-T7), output mode ``update``.
 
-    ``events`` is a streaming DataFrame with the billing event schema;
-    ``subscriptions`` a static table joined per event (stream-static join) to
-    seed each business's state.  State per business holds the folded row and
-    the events not yet passed by the watermark, so out-of-order arrivals inside
-    ``delay`` fold in (event_ts, event_id) order and the result equals the
-    batch fold.  Every event that is not folded comes out as a row whose
-    ``record`` says why: ``duplicate`` or ``late`` (T7: at or before the folded
-    horizon, repeats of folded events included), ``unknown_type``, ``no_time``
-    (no event time: it could never be ordered) or ``no_business``.  A new row's
-    ``id`` is NULL; ``latest_states`` sets it.  One business's events of a
-    micro-batch are folded by one task: bound the batch with the trigger.
+    ``events`` is a streaming DataFrame with the billing event schema; the
+    current rows of ``subscriptions`` are the state's initial values.  State per
+    business is typed (``keyed.BillingFold``): the folded row and the events not
+    yet passed by the watermark, so out-of-order arrivals inside ``delay`` fold
+    in (event_ts, event_id) order and the result equals the batch fold.  An
+    event-time timer folds what the watermark passes, also for a business
+    without new events; ``waiting`` tells how many of a state's events the
+    watermark has not passed.
+
+    Every event that is not folded comes out as a row whose ``record`` says
+    why: ``duplicate`` (T1: its id is among the business's waiting events or
+    those folded in the last ``remember``, by default ``delay``), ``late`` (T7:
+    at or before the folded horizon), ``unknown_type``, ``no_time`` (no event
+    time: it could never be ordered) or ``no_business``.  Events without an id
+    are never duplicates.  A new row's ``id`` is NULL; ``latest_states`` sets
+    it.  One business's events of a micro-batch are folded by one task: bound
+    the batch with the trigger.  Sets the session's state store to RocksDB,
+    which keyed state with timers needs.
     """
+    spark = events.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)
     ev = events.withColumn("kind", kind_col())
     why = (F.when(F.col("kind").isNull(), "unknown_type").when(F.col("business_id").isNull(), "no_business")
            .when(F.col("event_ts").isNull(), "no_time"))
@@ -418,22 +376,14 @@ def fold_billing_stream(events: DataFrame, subscriptions: DataFrame | None = Non
     rejects = ev.withColumn("record", why).where(F.col("record").isNotNull()).select(
         *[(F.col(f.name) if f.name in ("record", "business_id", "event_id", "event_ts") else F.lit(None))
           .cast(f.dataType).alias(f.name) for f in out.fields])
-    ev = ev.where(why.isNull()).withWatermark("event_ts", delay)
-    if subscriptions is not None:
-        # the static side of a stream-static join is re-read every micro-batch:
-        # derive the current rows once and keep them for the query's lifetime
-        from pyspark import StorageLevel
-        base = current_subscriptions(subscriptions)
-        b = base.select(F.col("business_id").alias("__bid"), F.lit(True).alias("b_has"),
-                        *[F.col(c).alias(f"b_{c}") for c in _BASE_FIELDS]).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        ev = ev.join(b, F.col("business_id") == F.col("__bid"), "left").drop("__bid")
-    else:
-        ev = ev.withColumn("b_has", F.lit(False))
-        for c in _BASE_FIELDS:
-            ev = ev.withColumn(f"b_{c}", F.lit(None).cast(schema("subscriptions")[c].dataType))
-    return ev.groupBy("business_id").applyInPandasWithState(
-        _fold_group, out, _STATE_SCHEMA, "update", "NoTimeout").unionByName(rejects)
+    # as microseconds the time is a plain number: late events reach the fold, which tells them
+    ev = _micros(ev.where(why.isNull()).withWatermark("event_ts", delay).select("business_id", *EVENT_FIELDS))
+    stored = current_subscriptions(subscriptions if subscriptions is not None else subscriptions_placeholder(spark))
+    initial = _micros(stored.select("business_id", *BASE_FIELDS)).select(
+        "business_id", *[F.col(c).alias(f"b_{c}") for c in BASE_FIELDS]).groupBy("business_id")
+    fold = BillingFold(_apply, out, milliseconds(spark, remember or delay))
+    return ev.groupBy("business_id").transformWithStateInPandas(
+        fold, out, "Update", "EventTime", initial).unionByName(rejects)
 
 
 def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -484,7 +434,7 @@ def compact_states(spark: SparkSession, path: str, new_path: str) -> None:
 
 
 def run_billing_stream(spark: SparkSession, source: str, out: str, checkpoint: str,
-                       subscriptions: DataFrame | None = None, delay: str = "1 day",
+                       subscriptions: DataFrame | None = None, delay: str = "1 day", remember: str | None = None,
                        fmt: str = "parquet", files_per_batch: int | None = None,
                        available_now: bool = False, name: str = "billing-fold"):
     """S2 -> T1-T7 -> S4 as one streaming query.
@@ -499,7 +449,7 @@ def run_billing_stream(spark: SparkSession, source: str, out: str, checkpoint: s
     reader = spark.readStream.schema(schema("billing_events")).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    folded = fold_billing_stream(reader.load(source), subscriptions, delay)
+    folded = fold_billing_stream(reader.load(source), subscriptions, delay, remember)
     w = (folded.writeStream.queryName(name).outputMode("update")
          .foreachBatch(snapshot_writer(out)).option("checkpointLocation", checkpoint))
     if available_now:
