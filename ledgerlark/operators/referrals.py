@@ -8,6 +8,7 @@ The referrer key is ``referrer_id`` everywhere (X2).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ..fixed import COMMISSION_RATE, FLAT_EARNING, REFERRAL_CODE_LENGTH, SIGNUP_PATH
 from ..functions.scalar import as_of_lit, keyed_code, money_out, next_month_start
+from ..session import scratch_path
 from .accounts import DETAIL
 from .common import apply_patch, earliest_by_key, left_join_fact, sum0
 from .subscriptions import current_subscriptions
 
 _FANOUTS = ("aggregate", "as_written")
-CODE_ROUNDS = 2
 
 
 def newest_first(col: str, *more: str, tenant: str = "referrer_id") -> list[Column]:
@@ -404,27 +405,63 @@ def payment_earnings(payments: DataFrame, referrals: DataFrame, flat: float = FL
         F.date_trunc("month", "created_at").alias("month"))
 
 
-def fill_referral_codes(businesses: DataFrame, base_url: str) -> DataFrame:
+def _drawn_code(business: Column, attempt: int) -> Column:
+    return keyed_code(business, F.lit(attempt), length=REFERRAL_CODE_LENGTH)
+
+
+def fill_referral_codes(businesses: DataFrame, base_url: str,
+                        draw: Callable[[Column, int], Column] = _drawn_code, max_rounds: int = 100) -> DataFrame:
     """Keep existing referral codes; give the others a deterministic
     8-character base-36 code derived from the id (F17), and build the signup
-    link.  A generated code that is taken, or that a lower id got in the same
-    round, is drawn again (``CODE_ROUNDS`` rounds; what still clashes then,
-    about one in 10^20 at a billion ids, keeps NULL rather than a shared code)."""
-    have = businesses.where(F.col("referral_code").isNotNull()).select("id", "referral_code")
-    need = businesses.where(F.col("referral_code").isNull()).select("id")
-    given = have.limit(0)
-    for attempt in range(CODE_ROUNDS):
-        drawn = need.withColumn("referral_code", keyed_code(F.col("id"), F.lit(attempt), length=REFERRAL_CODE_LENGTH))
-        taken = have.unionByName(given).select("referral_code").distinct()
-        won = (drawn.join(taken, "referral_code", "left_anti").groupBy("referral_code")
-               .agg(F.min("id").alias("id")).select("id", "referral_code"))
-        given = given.unionByName(won)
-        need = need.join(won, "id", "left_anti")
-    code = F.coalesce(F.col("referral_code"), F.col("__code"))
-    return businesses.select("id", "referral_code").join(
-        given.select("id", F.col("referral_code").alias("__code")), "id", "left").select(
-        "id", code.alias("referral_code"), F.col("referral_code").isNull().alias("generated"),
-        F.concat(F.lit(base_url), F.lit(SIGNUP_PATH), code).alias("referral_link"))
+    link.  No business is left without a code and no generated code is shared.
+
+    One aggregate over the codes finds those that clash: drawn by several
+    businesses, or stored already.  The lowest id keeps a code that is not
+    stored; the others draw again, round by round until none clashes, and each
+    round looks at their new codes alone.  Without a clash the result is a
+    projection of one scan.  ``draw`` makes the code of (id, attempt); one that
+    never gets free raises after ``max_rounds``.
+    """
+    stored, drawn = F.col("referral_code").isNotNull(), F.coalesce("referral_code", draw(F.col("id"), 0))
+    codes = businesses.select("id", drawn.alias("code"), stored.alias("stored"))
+
+    def losers(codes: DataFrame) -> DataFrame:
+        """(id, code) of the generated codes that must be drawn again."""
+        clash = codes.groupBy("code").agg(F.max("stored").alias("taken"), F.count(F.when(~F.col("stored"), 1)).alias("n"),
+                                          F.min(F.when(~F.col("stored"), F.col("id"))).alias("winner"))
+        clash = clash.where((F.col("n") > 1) | (F.col("taken") & (F.col("n") > 0)))
+        back = codes.where(~F.col("stored")).join(clash, "code").where(F.col("taken") | (F.col("id") != F.col("winner")))
+        return _written(back.select("id", "code"), "code-clashes")
+
+    again, given = losers(codes), None
+    settled = codes.join(again.select("id"), "id", "left_anti").select("code")
+    for attempt in range(1, max_rounds):
+        if again.isEmpty():
+            break
+        new = _written(again.select("id", draw(F.col("id"), attempt).alias("code")), "code-draws")
+        # all codes that others have, of those now drawn
+        held = settled if given is None else settled.unionByName(given.select("code"))
+        held = held.join(new.select("code").distinct(), "code", "left_semi").distinct()
+        tried = new.withColumn("stored", F.lit(False)).unionByName(
+            held.select(F.lit(None).cast(new.schema["id"].dataType).alias("id"), "code", F.lit(True).alias("stored")))
+        lost = losers(tried)
+        won = new.join(lost.select("id"), "id", "left_anti")
+        given = _written(won if given is None else given.unionByName(won), "codes-given")
+        again = lost
+    else:
+        raise RuntimeError(f"referral codes still clash after {max_rounds} draws")
+    code = drawn
+    if given is not None:
+        businesses = businesses.join(given.select("id", F.col("code").alias("__code")), "id", "left")
+        code = F.coalesce("referral_code", F.col("__code"), draw(F.col("id"), 0))
+    return businesses.select("id", code.alias("referral_code"), F.col("referral_code").isNull().alias("generated"),
+                             F.concat(F.lit(base_url), F.lit(SIGNUP_PATH), code).alias("referral_link"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def referral_code_collisions(codes: DataFrame) -> DataFrame:

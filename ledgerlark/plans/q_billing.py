@@ -153,7 +153,9 @@ def _intake(spark, sf_dir):
     e = e.withColumn("event_id", F.when(F.coalesce(bad == 5, F.lit(False)), F.lit(None)).otherwise(F.col("event_id")))
     raw = _bodies(e).select(F.when(bad == 4, F.expr("left(body, length(body) div 2)")).when(bad == 6, F.lit("[1, 2]"))
                             .when(bad == 7, F.lit(None)).otherwise(F.col("body")).alias("body"))
-    return bl.intake_provider_events(raw)
+    path = scratch_path(spark, "billing-bodies")          # bodies as they are delivered: files
+    raw.write.parquet(path)
+    return bl.intake_provider_events(spark.read.schema("body string").parquet(path))
 
 
 @register("billing_quarantine", f"SELECT {_BAD} AS reason, COUNT(*) AS bodies FROM billing_events GROUP BY 1 HAVING reason <> 'ok'")
