@@ -220,7 +220,7 @@ SELECT vec_id, (SELECT COUNT(*) FROM near WHERE near.x = vec_id) AS n_links, low
 FROM v JOIN part ON part.x = vec_id
 """,
     "op5_source_mix": """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
          (CAST('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), '') || ':mix:' || md5(COALESCE(text, ''))), 1, 13)
                AS BIGINT) + 0.5::DOUBLE) / 4503599627370496 AS u
@@ -243,20 +243,30 @@ pl AS (SELECT *, floor(m + 1e-9) AS whole, GREATEST(m - floor(m + 1e-9), 0) AS p
 plan AS (SELECT *, target - SUM(whole * words) OVER (PARTITION BY source) AS missing FROM pl),
 drawn AS (SELECT d.doc_id, d.source, d.size, missing, (u / (1 - u)) / (p / (1 - p)) AS q
           FROM leveled d JOIN plan ON plan.source IS NOT DISTINCT FROM d.source AND plan.level = d.level WHERE p > 0),
-ran AS (SELECT *, SUM(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING) <= missing AS hit FROM drawn),
-gap0 AS (SELECT source, MAX(missing) - SUM(CASE WHEN hit THEN size ELSE 0 END) AS gap FROM ran GROUP BY source),
-one AS (SELECT r.* , gap - size AS rest FROM ran r JOIN gap0 g ON g.source IS NOT DISTINCT FROM r.source
-        WHERE NOT hit AND abs(size - gap) < gap
-        QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY abs(size - gap), q, doc_id) = 1),
-two AS (SELECT r.*, o.rest - r.size AS rest FROM ran r JOIN one o ON o.source IS NOT DISTINCT FROM r.source
-        WHERE NOT r.hit AND r.doc_id <> o.doc_id AND abs(r.size - o.rest) < o.rest
-        QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY abs(r.size - o.rest), r.q, r.doc_id) = 1),
-three AS (SELECT r.* FROM ran r JOIN one o ON o.source IS NOT DISTINCT FROM r.source
-          JOIN two t ON t.source IS NOT DISTINCT FROM r.source
-          WHERE NOT r.hit AND r.doc_id <> o.doc_id AND r.doc_id <> t.doc_id AND abs(r.size - t.rest) < t.rest
-          QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY abs(r.size - t.rest), r.q, r.doc_id) = 1),
-more AS (SELECT doc_id FROM ran WHERE hit UNION ALL SELECT doc_id FROM one
-         UNION ALL SELECT doc_id FROM two UNION ALL SELECT doc_id FROM three)
+along AS (  -- along the order: first what fits, then round by round those of at most half the gap left
+  SELECT doc_id, source, size, q, missing::DOUBLE AS gap, 0 AS round, size <= missing AND
+         SUM(CASE WHEN size <= missing THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING)
+           <= missing AS hit FROM drawn
+  UNION ALL
+  SELECT doc_id, source, size, q, left_gap, round + 1, 2 * size <= left_gap AND
+         SUM(CASE WHEN 2 * size <= left_gap THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY q, doc_id ROWS UNBOUNDED PRECEDING)
+           <= left_gap
+  FROM (SELECT *, gap - SUM(CASE WHEN hit THEN size ELSE 0 END) OVER (PARTITION BY source) AS left_gap,
+               bool_or(hit) OVER (PARTITION BY source) AS went FROM along)
+  WHERE NOT hit AND (round = 0 OR went)),
+spare AS (SELECT d.doc_id, d.source, d.size, d.q,
+                 d.missing - SUM(CASE WHEN t.doc_id IS NULL THEN 0 ELSE d.size END) OVER (PARTITION BY d.source) AS gap, t.doc_id IS NULL AS free
+          FROM drawn d LEFT JOIN (SELECT doc_id FROM along WHERE hit) t ON t.doc_id = d.doc_id),
+closing AS (  -- then the one nearest in size to the gap, while that comes nearer to the target
+  SELECT doc_id, source, size, q, gap, abs(size - gap) < gap AND row_number() OVER (
+           PARTITION BY source, abs(size - gap) < gap ORDER BY abs(size - gap), q, doc_id) = 1 AS hit FROM spare WHERE free
+  UNION ALL
+  SELECT doc_id, source, size, q, left_gap, abs(size - left_gap) < left_gap AND row_number() OVER (
+           PARTITION BY source, abs(size - left_gap) < left_gap ORDER BY abs(size - left_gap), q, doc_id) = 1
+  FROM (SELECT *, gap - SUM(CASE WHEN hit THEN size ELSE 0 END) OVER (PARTITION BY source) AS left_gap,
+               bool_or(hit) OVER (PARTITION BY source) AS went FROM closing)
+  WHERE NOT hit AND went),
+more AS (SELECT doc_id FROM along WHERE hit UNION ALL SELECT doc_id FROM closing WHERE hit)
 SELECT d.doc_id, d.source, d.size, CAST(tgt.z AS BIGINT) AS source_size, tgt.target,
        CAST(COALESCE(whole, 0) + (d.doc_id IN (FROM more))::INT AS BIGINT) AS copies,
        CAST((COALESCE(whole, 0) + (d.doc_id IN (FROM more))::INT) * d.size AS BIGINT) AS taken
