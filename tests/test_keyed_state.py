@@ -61,7 +61,7 @@ def test_state_does_not_grow_with_processed_events(job):
     for k in (0, 1, 2):
         job.run([ev(f"e{t}", t, CO if i == k == 0 else PAID) for i, t in enumerate(days[28 * k:28 * k + 28])])
         sizes.append(job.state("events").count())
-    assert sizes[0] == 28 and max(sizes) <= 32, sizes         # a file's events and those of the last two days
+    assert max(sizes) <= 32 and sizes[2] <= sizes[1], sizes   # at most a file's events and those of the last two days
     row = job.state("folded").collect()[0]["value"]
     assert row["row_exists"] and row["stripe_subscription_id"] == "sub_a" and row["last_event"].startswith("e2024-0")
 
