@@ -11,7 +11,7 @@ from ..fixed import (DEFAULT_PAYMENT_METHOD, INVOICE_NO_ADDRESS, INVOICE_NO_PAYM
                      INVOICE_NO_STATUS, TRIAL_DAYS, TRIAL_QUOTA)
 from ..functions.scalar import (as_of_lit, card_label, money_out, or_default,
                                 or_default_num, us_date, usd)
-from .common import Desc, above_max, apply_patch, earliest_by_key, latest_by_key, rank_in_key
+from .common import Desc, above_max, apply_patch, distinct_ids, earliest_by_key, latest_by_key, rank_in_key
 from .subscriptions import current_subscriptions
 
 PROFILE = ["id", "business_name", "owner_name", "email", "phone", "address",
@@ -186,7 +186,7 @@ def subscription_access(businesses: DataFrame, subscriptions: DataFrame, as_of)
                     reason.alias("reason"))
 
 
-def review_quota(businesses: DataFrame, subscriptions: DataFrame, attempts: DataFrame):
+def review_quota(businesses: DataFrame, subscriptions: DataFrame, attempts: DataFrame, **slicing):
     """D4 + M15: a batch of review attempts against the trial quota.
 
     Subscribed (active / cancelling) businesses are unlimited.  Otherwise the
@@ -194,13 +194,14 @@ def review_quota(businesses: DataFrame, subscriptions: DataFrame, attempts: Data
     their rank is within the quota; a NULL or non-positive quota blocks (X19).
     Attempts for unknown businesses are ``unknown``.  Returns ``(decisions,
     balances)``; balances hold the new quota, max(q - passed, 0), for limited
-    businesses with attempts.
+    businesses with attempts.  ``slicing`` (slices, least, width) cuts a hot
+    business's attempts as in ``running_count``.
     """
     acct = businesses.select(F.col("id").alias("business_id"), "trial_reviews_remaining") \
         .join(current_subscriptions(subscriptions, "status"),
               "business_id", "left")
     ranked = rank_in_key(attempts.select("attempt_id", "business_id", "attempted_at"),
-                         "business_id", ["attempted_at", "attempt_id"], "rank")
+                         "business_id", ["attempted_at", "attempt_id"], "rank", **slicing)
     j = ranked.join(acct.withColumn("__known", F.lit(True)), "business_id", "left")
     q = F.coalesce(F.col("trial_reviews_remaining"), F.lit(0))
     unlimited = F.col("status").isin("active", "cancelling")
@@ -249,8 +250,8 @@ def check_tokens(presented: DataFrame, tokens: DataFrame, as_of) -> DataFrame:
 
 def token_funnel(tokens: DataFrame, as_of) -> DataFrame:
     """D8 as a report: tokens per (type, state)."""
-    return token_status(tokens, as_of).groupBy("type", "state").agg(
-        F.count(F.lit(1)).alias("tokens"), F.count_distinct("business_id").alias("businesses"))
+    return distinct_ids(token_status(tokens, as_of), ["type", "state"], "business_id", "businesses",
+                        {"tokens": F.count(F.lit(1))}).select("type", "state", "tokens", "businesses")
 
 
 def referral_code_owners(businesses: DataFrame) -> DataFrame:

@@ -203,9 +203,30 @@ def order_slice(df: DataFrame, col: str, width: int) -> Column:
     raise TypeError(f"{col}: the first order column must be a time or a number")
 
 
+def equal_slices(df: DataFrame, key: str, col: str, slices: int, least: int, out: str) -> DataFrame:
+    """``df`` with a slice number ``out`` for the rows of keys with more than
+    ``least`` rows: ``slices`` contiguous slices of about equal row counts along
+    ``col``, whatever its distribution; 0 for all other rows.
+
+    The bounds are ``approx_percentile`` sketches, merged map-side, so a hot
+    key's rows never meet; only the balance of the slices is approximate.  Rows
+    of one value share a slice.
+    """
+    v = F.col(col)
+    if isinstance(df.schema[col].dataType, (types.TimestampType, types.TimestampNTZType, types.DateType)):
+        v = F.unix_micros(v.cast("timestamp"))
+    cuts = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    bounds = df.groupBy(F.col(key).alias("__hot")).agg(
+        F.approx_percentile(v, cuts, F.lit(20 * slices)).alias("__bounds"), F.count(F.lit(1)).alias("__rows"))
+    bounds = bounds.where(F.col("__rows") > least).drop("__rows")
+    below = F.size(F.filter("__bounds", lambda b: b < v))
+    return df.join(bounds, F.col(key).eqNullSafe(F.col("__hot")), "left").withColumn(
+        out, F.when(F.col("__bounds").isNull() | v.isNull(), 0).otherwise(below)).drop("__hot", "__bounds")
+
+
 def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
                   flag: Column | None = None, inclusive: bool = False,
-                  width: int = 3600) -> DataFrame:
+                  width: int = 3600, slices: int = 1, least: int = 1_000_000) -> DataFrame:
     """For each row, how many rows of the same ``key`` with ``flag`` true come
     before it under ``order`` (ASC, NULLs last; ``inclusive`` counts the row itself).
 
@@ -220,29 +241,52 @@ def running_count(df: DataFrame, key: str, order: Sequence[str], out: str,
 
     All of it is one lazy plan of built-in operators: nothing is written, no
     job runs while it is built, and values pass through untouched.  Choose
-    ``width`` so that a hot key's busiest slice fits one task.  ``order`` must
-    make the order total (end with a unique column).
+    ``width`` so that a hot key's busiest slice fits one task; where a burst may
+    put a hot key's rows into few slices, ``slices`` > 1 cuts the keys of more
+    than ``least`` rows into that many slices of equal counts as well
+    (``equal_slices``: one more aggregate and a join on the hot keys).
+    ``order`` must make the order total (end with a unique column).
     """
     f = F.lit(True) if flag is None else flag
+    columns = df.columns
+    number = F.lit(0)
+    if slices > 1:
+        df, number = equal_slices(df, key, order[0], slices, least, "__e"), F.col("__e")
     # structs compare NULLs as equal, so NULL keys and slices join to themselves
     src = (df.withColumn("__f", F.coalesce(f, F.lit(False)).cast("long"))
            .withColumn("__k", F.struct(F.col(key).alias("k")))
-           .withColumn("__s", F.struct(order_slice(df, order[0], width).alias("s"))))
+           .withColumn("__s", F.struct(order_slice(df, order[0], width).alias("s"), number.alias("e"))))
     slices = src.groupBy("__k", "__s").agg(F.sum("__f").alias("__n"))
-    earlier = Window.partitionBy("__k").orderBy(F.col("__s.s").asc_nulls_last()).rowsBetween(
+    earlier = Window.partitionBy("__k").orderBy(F.col("__s.s").asc_nulls_last(), "__s.e").rowsBetween(
         Window.unboundedPreceding, -1)
     slices = slices.select("__k", "__s", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__k", "__s").orderBy(
         *[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     j = src.withColumn("__in", F.sum("__f").over(within)).join(slices, ["__k", "__s"])
     val = F.col("__before") + F.col("__in")
-    return j.select(*df.columns, (val if inclusive else val - F.col("__f")).alias(out))
+    return j.select(*columns, (val if inclusive else val - F.col("__f")).alias(out))
 
 
-def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str) -> DataFrame:
+def rank_in_key(df: DataFrame, key: str, order: Sequence[str], out: str, **slicing) -> DataFrame:
     """1-based position of each row within its key under ``order`` (ASC), via
     ``running_count`` so a hot key is spread over many tasks."""
-    return running_count(df, key, order, out, inclusive=True)
+    return running_count(df, key, order, out, inclusive=True, **slicing)
+
+
+def distinct_ids(df: DataFrame, keys: Sequence[str], col: str, out: str, aggs: dict[str, Column]) -> DataFrame:
+    """COUNT(DISTINCT ``col``) per key as exact bitmaps, with the sums of ``aggs``.
+
+    Rows are aggregated per (key, bitmap bucket), then the buckets' bit counts
+    are added: no ``Expand``, and a hot key's ids are spread by bucket.  A
+    bucket takes 4 KB for up to 32,768 neighbouring ids, so it is for few keys
+    over dense whole-number ids; many keys with scattered ids are better off
+    with a plain distinct count.  NULL ids are not counted.
+    """
+    id_ = F.col(col).cast("long")
+    part = df.groupBy(*keys, F.bitmap_bucket_number(id_).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(id_)).alias("__bits"), *[a.alias(n) for n, a in aggs.items()])
+    return part.groupBy(*keys).agg(F.sum(F.bitmap_count("__bits")).cast("long").alias(out),
+                                   *[F.sum(n).alias(n) for n in aggs])
 
 
 # --------------------------------------------------------------------------- joins

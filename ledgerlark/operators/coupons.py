@@ -35,7 +35,7 @@ def coupon_code_ok(code) -> F.Column:
 
 
 def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataFrame,
-                     strict: bool = False) -> DataFrame:
+                     strict: bool = False, **slicing) -> DataFrame:
     """D5 over a batch of attempts (attempt_id, code, business_id, attempted_at).
 
     Attempts are taken in (attempted_at, business_id, attempt_id) order per
@@ -50,7 +50,8 @@ def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataF
     are the first attempt of each (coupon, business) pair not redeemed
     before, and they succeed in order while uses remain, so the uses an
     attempt sees are ``u0 + min(firsts before it, max_uses - u0)``.  The
-    "firsts before" count is a distributed prefix sum (``running_count``).
+    "firsts before" count is a distributed prefix sum (``running_count``, whose
+    ``slices``, ``least`` and ``width`` may be given for bursts on one coupon).
     """
     checked = ["is_active", "expires_at"] if strict else []
     c = earliest_by_key(coupons, ["code"], ["id"], ["code", "id", "type", "max_uses", *checked]).select(
@@ -77,7 +78,7 @@ def coupon_decisions(attempts: DataFrame, coupons: DataFrame, redemptions: DataF
     found = a.join(firsts, ["coupon_id", "business_id"], "left").withColumn(
         "is_first", F.coalesce(F.col("attempt_id") == F.col("__first_id"), F.lit(False))).drop("__first_id")
     ranked = running_count(found, "coupon_id", ["attempted_at", "business_id", "attempt_id"],
-                           "firsts_before", flag=F.col("is_first"))
+                           "firsts_before", flag=F.col("is_first"), **slicing)
     cap = F.greatest(F.col("max_uses") - F.col("u0"), F.lit(0))
     uses = F.when(F.col("max_uses").isNull(), F.col("u0") + F.col("firsts_before")).otherwise(
         F.col("u0") + F.least(F.col("firsts_before"), cap))

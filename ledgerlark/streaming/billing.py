@@ -387,8 +387,11 @@ def fold_billing_stream(events: DataFrame, subscriptions: DataFrame | None = Non
 
 
 def dedup_events(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """T1 for a stream: drop repeated event ids seen within ``delay``."""
-    return events.withWatermark("event_ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """T1 for a stream that is not folded: drop repeated event ids seen within
+    ``delay``.  Events without an id are never equal and all stay.  The fold
+    itself tells and counts its repeats (``fold_billing_stream``)."""
+    named = events.where("event_id is not null").withWatermark("event_ts", delay)
+    return named.dropDuplicatesWithinWatermark(["event_id"]).unionByName(events.where("event_id is null"))
 
 
 def snapshot_writer(path: str):

@@ -27,6 +27,38 @@ def test_running_count_hot_key_matches_window(spark):
     assert ranks.select("id", "r").exceptAll(want_r.select("id", "r")).count() == 0
 
 
+def test_equal_slices_split_a_burst(spark):
+    """One key holds most rows, all within one hour and most within a second:
+    every slice stays under twice the mean, and the counts are those of a window."""
+    from ledgerlark.operators.common import equal_slices
+    start = F.unix_seconds(F.lit(ts("2020-01-01 00:00:00")))
+    df = spark.range(0, 20_000).select(
+        F.when(F.col("id") % 10 < 9, F.lit(7)).otherwise(F.col("id") % 50).alias("k"), F.col("id"),
+        F.timestamp_micros((start * 1_000_000 + F.when(F.col("id") % 3 == 0, F.col("id") * 150_000)
+                            .otherwise(F.col("id") * 50)).cast("long")).alias("t"), (F.col("id") % 3 == 0).alias("f"))
+    sizes = [r["count"] for r in equal_slices(df, "k", "t", 16, 1000, "e").where("k = 7").groupBy("e").count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = running_count(df, "k", ["t", "id"], "n", flag=F.col("f"), slices=16, least=1000)
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("n", F.coalesce(F.sum(F.col("f").cast("long")).over(w), F.lit(0)))
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 20_000
+    # rows of one value, null keys and null times
+    odd = spark.createDataFrame([(1, 5, i) for i in range(40)] + [(None, i, 100 + i) for i in range(40)] + [(1, None, 200)],
+                                "k long, t long, id long")
+    ranks = rank_in_key(odd, "k", ["t", "id"], "r", slices=4, least=10, width=1000)
+    want = odd.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "id")))
+    assert ranks.exceptAll(want.withColumn("r", F.col("r").cast("long"))).count() == 0 and ranks.count() == 81
+
+
+def test_distinct_ids_are_exact(spark):
+    from ledgerlark.operators.common import distinct_ids
+    df = spark.range(0, 90_000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 50_000 - 100).alias("v"))
+    got = distinct_ids(df, ["k"], "v", "ids", {"n": F.count(F.lit(1))})
+    want = df.groupBy("k").agg(F.count_distinct("v").alias("ids"), F.count(F.lit(1)).alias("n"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 3
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_count_null_keys(spark):
     df = spark.createDataFrame([(None, 1, 1), (None, 2, 2), (5, 1, 3)], "k long, t long, id long")
     got = {r["id"]: r["n"] for r in rank_in_key(df, "k", ["t", "id"], "n").collect()}
