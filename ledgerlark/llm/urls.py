@@ -30,11 +30,13 @@ def url_path(url: Column) -> Column:
 def url_tokens(url: Column) -> Column:
     """Sorted distinct tokens: words of the host (h:), of the path (p:) and of
     the query or fragment (q:); digits become one ``#``, so tokens are shapes
-    and words, not single page numbers."""
+    and words, not single page numbers.  A word of more than 64 characters is
+    its SHA-256 behind ``~``, so that long words stay apart."""
     def words(text: Column, mark: str) -> Column:
         shaped = F.regexp_replace(F.lower(text), r"[0-9]+", "#")
         parts = F.filter(F.split(shaped, r"[^\p{L}#]+"), lambda w: w != "")
-        return F.transform(parts, lambda w: F.concat(F.lit(mark), F.substring(w, 1, 64)))
+        return F.transform(parts, lambda w: F.concat(F.lit(mark), F.when(
+            F.length(w) > 64, F.concat(F.lit("~"), F.sha2(w, 256))).otherwise(w)))
     rest = F.coalesce(F.regexp_extract(url, r"://[^?#]*([?#](?s:.*))", 1), F.lit(""))
     return F.array_sort(F.array_distinct(F.concat(
         words(url_host(url), "h:"), words(url_path(url), "p:"), words(rest, "q:"))))

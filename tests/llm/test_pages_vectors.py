@@ -41,6 +41,15 @@ def test_mined_rules_block_token_combinations(spark):
     assert [v for *_, v in got] == ["block", "allow", "allow", "allow"]
 
 
+def test_long_url_words_stay_apart(spark):
+    same = "a" * 70
+    rows = spark.createDataFrame([(f"http://x.org/{same}b",), (f"http://x.org/{same}c",), (f"http://x.org/{same}b?{'q' * 64}",),
+                                  ("http://x.org/" + "long" * 30_000,), (None,)], "url string")
+    got = [r["t"] for r in rows.select(urls.url_tokens(F.col("url")).alias("t")).collect()]
+    assert got[0] != got[1] and set(got[0]) < set(got[2]) and "q:" + "q" * 64 in got[2]
+    assert all(len(t) <= 67 for ts in got if ts for t in ts) and not got[4]
+
+
 def test_mined_rules_match_brute_force(spark):
     rng = random.Random(4)
     rows = [(f"http://{rng.choice('abc')}.net/{rng.choice('pq')}/{rng.choice('xyz')}", rng.random()) for _ in range(600)]
