@@ -97,6 +97,74 @@ def test_articles_of_the_tables(spark):
         assert r["text"].endswith(docs[r["n"]]) and len(r["text"]) <= len(docs[r["n"]]) + 70
 
 
+NOTICE = "This site is run by Example Org, all rights kept."
+
+
+def story(i, layout=0):
+    inner = (f"<h2>Title {i}</h2><p>First {i} by <b>Ann</b></p><p>Second {i * 7}</p><div class='share-price-story'>Shares at {i}</div>"
+             f"<p>Third {i}</p><p>{NOTICE}</p>")
+    if layout:
+        return f"<html><body><section class=paper><div>{NOTICE}</div><div class=story>{inner}</div><div>Call us now</div></section></body></html>"
+    return (f"<html><body><div class=top>Acme portal</div><div class=post>{inner}<div class=foo>Kept by Acme</div></div>"
+            f"<p>Legal text</p></body></html>")
+
+
+def page_text(spark, rows, **params):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in wrapper.main_text(pages, **params).collect()}
+
+
+def test_constant_blocks_go_and_class_words_inside_names_stay(spark):
+    want = {i: f"Title {i} First {i} by Ann Second {i * 7} Shares at {i} Third {i}" for i in range(40)}
+    assert page_text(spark, [(i, f"http://h.net/{i}", story(i)) for i in range(8)]) == {i: want[i] for i in range(8)}
+    # two layouts, the rarer one on a quarter of the host; and the host dealt into many parts
+    rows = [(i, f"http://h.net/{i}", story(i, i % 4 == 0)) for i in range(40)]
+    assert page_text(spark, rows) == want == page_text(spark, rows, part=1500)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://h.net/{i}", story(min(i, 4))) for i in range(40)]
+    got = page_text(spark, rows)
+    assert all(got[i] == f"Title {min(i, 4)} First {min(i, 4)} by Ann Second {min(i, 4) * 7} Shares at {min(i, 4)} Third {min(i, 4)}"
+               for i in got)
+
+
+@pytest.mark.parametrize("name,noise", [("share-price-story", False), ("promotion law", True), ("site-header", True), ("ad", True),
+                                        ("reader", False), ("comment-list", True), ("cookie-recipe", False), ("related links", True)])
+def test_names_of_noise(name, noise):
+    assert wrapper.names_noise(name) is noise
+
+
+def walk(fold):
+    return [fold] + [x for kid in fold.kids for x in walk(kid)]
+
+
+def test_template_matches_all_pairs(spark):
+    """Text in a node is template where, aligned with every other page of its host, most show the same."""
+    rng = random.Random(7)
+    pages = []
+    for i in range(14):
+        blocks = ["<h1>Head</h1>" if rng.random() < 0.9 else "<h1>Head {i}</h1>"]
+        blocks += [f"<p>words {rng.random()}</p>" for _ in range(rng.randint(1, 4))]
+        blocks += ["<div class=x>Fixed</div>"] * (rng.random() < 0.9) + ["<ul><li>a</li></ul>"] * (rng.random() < 0.2)
+        pages.append("<body><div class=c>" + "".join(blocks).replace("{i}", str(i)) + "<div class=z>Bye</div></div></body>")
+    pages = sorted(set(pages))
+    folds = [wrapper.Fold([wrapper.parse(p)], "#root") for p in pages]
+    shown = []
+    for i, a in enumerate(folds):
+        votes, seen = {}, {}
+        for b in folds:
+            for x, y in wrapper.match(a, b)[1]:
+                if not x.kids:
+                    seen[id(x)] = seen.get(id(x), 0) + 1
+                    votes[id(x)] = votes.get(id(x), 0) + (x.text() == y.text())
+        leaves = [x for x in walk(a) if not x.kids]
+        kept = [x.text() for x in leaves if not (votes[id(x)] >= 3 and 2 * votes[id(x)] > seen[id(x)] and 2 * seen[id(x)] > len(folds))]
+        shown.append(" ".join(t for t in kept if t))
+    got = page_text(spark, [(i, f"http://h.net/{i}", p) for i, p in enumerate(pages)])
+    assert [got[i] for i in range(len(pages))] == shown
+
+
 def test_pages_odd_input(spark):
     rows = [(1, None, None), (2, "http://a.net/1", ""), (3, "http://a.net/2", "<p>open <b>tags"), (4, None, "plain < text &lt;b>"),
             (5, "x", "<!-- never closed"), (6, "http://b.net", "<div>" * 3000 + "deep" + "</div>" * 10),
