@@ -25,16 +25,17 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[1-9]|)"
 IP_PARTS = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 200                  # characters on either side of an entity that its terms are taken from
+WORD = r"\p{L}{3,}+"         # what counts as a term
 SPAN = "array<struct<start: int, end: int, value: string>>"
 
 
-def located(text: Column, pattern: str, guard: Column | None = None) -> Column:
+def located(text: Column, pattern: str | Column, guard: Column | None = None) -> Column:
     """Matches of ``pattern`` as structs (start, end, value) in code points.
 
     A match starts where the texts between matches and the matches before it end.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pattern = F.lit(pattern)
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("spans"))
 
@@ -47,7 +48,7 @@ def located(text: Column, pattern: str, guard: Column | None = None) -> Column:
     zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
                         lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     spans = F.aggregate(zipped, start, step, lambda acc: acc["spans"])
-    some = F.regexp_like(text, F.lit(pattern)) if guard is None else guard & F.regexp_like(text, F.lit(pattern))
+    some = F.regexp_like(text, pattern) if guard is None else guard & F.regexp_like(text, pattern)
     return F.when(some, spans).otherwise(F.array().cast(SPAN))
 
 
@@ -81,76 +82,65 @@ def entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.lower(value) if kind in ("email", "ip") else digits(value))
 
 
-def near_terms(text: Column, span: Column) -> Column:
-    """Words of three letters or more wholly within NEAR characters of ``span``,
-    as structs (start, end, value) in the text; value is lower-cased."""
-    low = F.greatest(span["start"] - NEAR - 1, F.lit(-1))          # one character more, to see a word's edge
-    before = F.when(low < 0, F.concat(F.lit(" "), F.substring(text, F.lit(1), span["start"]))).otherwise(
-        F.substring(text, low + 1, span["start"] - low))
-    after = F.concat(F.substring(text, span["end"] + 1, F.lit(NEAR + 1)),
-                     F.when(F.length(text) <= span["end"] + NEAR, F.lit(" ")).otherwise(F.lit("")))
-    shift = lambda found, by: F.transform(found, lambda w: F.struct(
-        (w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("value")))
-    return F.concat(shift(located(before, r"(?<=[^\p{L}])\p{L}{3,}+"), low),
-                    shift(located(after, r"(?<!\p{L})\p{L}{3,}+(?=[^\p{L}])"), span["end"]))
+def terms(text: Column) -> Column:
+    """The distinct words of three letters or more outside e-mail addresses, lower-cased."""
+    outside = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(WORD), 0))
 
 
 def find_personal_data(docs: DataFrame, share: float = 0.9, support: int = 3,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base spans and disclosing terms of every whole text.
 
-    A term t near an entity e discloses it if PMI(e; t) >= share * IC(e), with
-    PMI = log(n_et N / (n_e n_t)), IC = log(N / n_e), counts of documents over
-    the whole corpus, and if at least ``support`` documents show t near e.
-    Such terms are spans of kind ``term`` where they stand near that entity.
+    A term t discloses an entity e if PMI(e; t) >= share * IC(e), with
+    PMI = log(n_et N / (n_e n_t)), IC = log(N / n_e), all counts of whole
+    documents over the whole corpus, and if at least ``support`` documents hold
+    both.  Such terms are spans of kind ``term`` wherever they stand in a
+    document that holds the entity, outside e-mail addresses.
 
     Returns row, doc_id, the spans of each kind (arrays of start, end, value;
     code points, end exclusive) and ``term``.  Null texts count as empty, with
     no spans; repeated rows stay (each counts as a document); other columns are
     ignored; an empty table gives no rows.
 
-    The spans and the entities' surroundings are written once without the
-    texts.  Pairs of entity and term come from these bounded surroundings
-    only; all counts are partial aggregates per task, so frequent words and
-    entities meet nowhere row by row.
+    The spans are written once, with the texts of the documents that hold an
+    entity.  Pairs of entity and term are formed inside one document at a time,
+    for entities of ``support`` documents or more, and are counted map-side, so
+    frequent words and entities meet nowhere row by row.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    rows = rows.select("*", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
-    overlaps = lambda w: F.exists("email", lambda m: (m["start"] < w["end"]) & (m["end"] > w["start"]))
-
-    def surroundings(k: str) -> Column:
-        return F.transform(k, lambda m: F.struct(
-            entity(k, m["value"]).alias("entity"),
-            F.filter(near_terms(F.col("text"), m), lambda w: ~overlaps(w)).alias("terms")))
-    mentions = F.concat(*[surroundings(k) for k in KINDS])
+    def values(kind: str) -> Column:
+        return F.transform(kind, lambda m: entity(kind, m["value"]))
+    named = F.array_distinct(F.concat(*[values(k) for k in KINDS]))
     any_span = reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS])
-    kind = "array<struct<entity: string, terms: array<struct<start: int, end: int, value: string>>>>"
-    base = materialize(rows.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS,
-        F.when(any_span, mentions).otherwise(F.array().cast(kind)).alias("mentions")), "spans")
-
+    base = materialize(rows.select("*", *[c.alias(k) for k, c in base_spans(F.col("text")).items()]).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, named.alias("entities"),
+        F.when(any_span, F.col("text")).alias("text")), "spans")
+    holders = base.where(F.size("entities") > 0)
     total = base.count()
-    near = base.where(F.size("mentions") > 0).select("row", F.explode("mentions").alias("m")).select(
-        "row", "m.entity", F.explode("m.terms").alias("t"))
-    pairs = (base.where(F.size("mentions") > 0)
-             .select(F.explode(F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(
-                 m["terms"], lambda t: F.struct(m["entity"].alias("entity"), t["value"].alias("term"))))))).alias("p"))
-             .groupBy("p").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-             .select("p.entity", "p.term", "n_et"))
-    pairs = materialize(pairs, "term-pairs")
-    entities = (base.select(F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
-    words = (rows.select(F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}+"), 0))).alias("term"))
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+
+    mentions = holders.select("row", F.explode("entities").alias("entity"))
+    entities = materialize(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+                           .where((F.col("n_e") >= support) & (F.col("n_e") < total)), "entities")
+    known = mentions.join(entities, "entity").groupBy("row").agg(F.collect_set("entity").alias("known"))
+    occur = (holders.join(known, "row").select("row", "known", F.explode(terms(F.col("text"))).alias("value"))
+             .select("row", F.explode("known").alias("entity"), "value"))
+    pairs = occur.groupBy("entity", "value").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    words = (rows.select(F.explode(terms(F.col("text"))).alias("value"))
+             .groupBy("value").agg(F.count(F.lit(1)).alias("n_t")))
     pmi = F.log(F.col("n_et") * float(total) / (F.col("n_e") * F.col("n_t")))
-    telling = (pairs.join(words, "term").join(entities, "entity")
-               .where((F.col("n_e") < total) & (pmi >= share * F.log(float(total) / F.col("n_e"))))
-               .select("entity", F.col("term").alias("value")))
-    marked = (near.select("row", "entity", "t.start", "t.end", "t.value").join(telling, ["entity", "value"])
-              .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end", "value"))).alias("term")))
-    return base.drop("mentions").join(marked, "row", "left").withColumn(
+    telling = materialize(pairs.join(words, "value").join(entities, "entity")
+                          .where(pmi >= share * F.log(float(total) / F.col("n_e"))).select("entity", "value"), "telling")
+    told = (occur.join(telling, ["entity", "value"]).groupBy("row").agg(F.collect_set("value").alias("told")))
+    # the terms are letters only
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("told", "|"), F.lit(r")(?!\p{L})"))
+    lowered = lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value"))
+    inside = lambda w: F.exists("email", lambda m: (m["start"] < w["end"]) & (m["end"] > w["start"]))
+    spans = F.filter(F.transform(located(F.col("text"), pattern), lowered),
+                     lambda w: F.array_contains("told", w["value"]) & ~inside(w))
+    marked = holders.join(told, "row").select("row", spans.alias("term"))
+    return base.drop("entities", "text").join(marked, "row", "left").withColumn(
         "term", F.coalesce("term", F.array().cast(SPAN)))
 
 

@@ -100,6 +100,49 @@ def test_terms_that_disclose_an_entity(make_docs):
     assert clean[0] == "[term] [term] [email] about work [term] one" and clean[10] == "ask about work a"
 
 
+def plain_terms(texts, share=0.9, support=3):
+    """Telling terms of each text by counting every pair of entity and term."""
+    email, word = re.compile(PATTERNS["email"]), re.compile(r"[^\W\d_]{3,}")
+    held = [({m.group(0).lower() for m in email.finditer(t)}, set(word.findall(email.sub(" ", t).lower()))) for t in texts]
+    n = len(texts)
+    n_e = collections.Counter(e for es, _ in held for e in es)
+    n_t = collections.Counter(w for _, ws in held for w in ws)
+    n_et = collections.Counter((e, w) for es, ws in held for e in es for w in ws)
+    telling = {p for p, c in n_et.items() if c >= support and n_e[p[0]] < n and
+               math.log(c * n / (n_e[p[0]] * n_t[p[1]])) >= share * math.log(n / n_e[p[0]])}
+    return [sorted((m.start(), m.end(), m.group(0).lower()) for m in word.finditer(t)
+                   if any((e, m.group(0).lower()) in telling for e in es)
+                   and not any(x.start() < m.end() and x.end() > m.start() for x in email.finditer(t)))
+            for t, (es, _) in zip(texts, held)]
+
+
+def test_terms_match_all_pairs(make_docs):
+    rng = random.Random(9)
+    people = {"jo@ex.org": "zebra blue", "al@ex.org": "falcon", "Di@ex.org": "otter river"}
+    texts = []
+    for i in range(200):
+        words = [rng.choice("the and mail now work time house tree blue river sky".split()) for _ in range(rng.randint(5, 200))]
+        for mail, own in people.items():
+            if rng.random() < 0.1:
+                for w in [mail, *own.split(), own.split()[0].upper()]:
+                    words.insert(rng.randrange(len(words)), w)
+        texts.append(" ".join(words))
+    texts.append(("far " * 300) + "jo@ex.org zebra " + ("apart " * 300) + "Zebra zebras")
+    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, texts[0], texts[0]])]
+    got = {}
+    for r in pii.find_personal_data(make_docs(rows)).collect():
+        got[r["doc_id"]] = sorted((t["start"], t["end"], t["value"]) for t in r["term"])
+    want = plain_terms([t for _, t, _, _ in rows])
+    assert got == dict(enumerate(want)) and any(want) and len(want[200]) == 2
+
+
+def test_far_terms_are_found(make_docs):
+    rows = [(i, "mail jo@ex.org now " + "filler " * 80 + "zorbanik end", "en", "s") for i in range(4)]
+    rows += [(10 + i, "mail now filler end", "en", "s") for i in range(20)]
+    got = {r["doc_id"]: [t["value"] for t in r["term"]] for r in pii.find_personal_data(make_docs(rows)).collect()}
+    assert all(got[i] == (["zorbanik"] if i < 4 else []) for i in got)
+
+
 def test_personal_data_odd_input(odd_docs, no_docs):
     got = pii.find_personal_data(odd_docs).collect()
     assert len(got) == 14 and not any(r["email"] or r["phone"] or r["term"] for r in got)
