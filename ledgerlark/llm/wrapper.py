@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .urls import url_host
 
-PART = 4_000_000            # characters of pages that one task makes a wrapper of
+PART = 1_000_000            # characters of pages that one task makes a wrapper of
 FAN = 16                    # wrappers of one host that one task adds up
 ALIKE = 3                   # different pages that must show a text before it is template
 RARE = 0.01                 # a node on fewer of its parent's pages is no part of the wrapper
