@@ -254,9 +254,19 @@ def token_funnel(tokens: DataFrame, as_of) -> DataFrame:
                         {"tokens": F.count(F.lit(1))}).select("type", "state", "tokens", "businesses")
 
 
-def referral_code_owners(businesses: DataFrame) -> DataFrame:
-    """Code -> owner; a code held by several businesses maps to the lowest id."""
-    return earliest_by_key(businesses.where(F.col("referral_code").isNotNull()),
+def rows_named(rows: DataFrame, batch: DataFrame, col: str) -> DataFrame:
+    """The ``rows`` whose ``col`` occurs in ``batch``: a semi join before any
+    aggregate, so that of a large table only what a batch asks for is shuffled
+    (a small batch is broadcast once its size is measured; for large ones the
+    engine puts its own runtime filter before the shuffle)."""
+    return rows.join(batch.select(col).where(F.col(col).isNotNull()).distinct(), col, "left_semi")
+
+
+def referral_code_owners(businesses: DataFrame, batch: DataFrame | None = None) -> DataFrame:
+    """Code -> owner; a code held by several businesses maps to the lowest id.
+    With ``batch``, only the codes that occur in its ``referral_code``."""
+    coded = businesses.select("id", "referral_code").where(F.col("referral_code").isNotNull())
+    return earliest_by_key(coded if batch is None else rows_named(coded, batch, "referral_code"),
                            ["referral_code"], ["id"], ["referral_code", "id"]) \
         .select("referral_code", F.col("id").alias("referrer_id"))
 
@@ -264,7 +274,7 @@ def referral_code_owners(businesses: DataFrame) -> DataFrame:
 def attribute_referrals(signups: DataFrame, businesses: DataFrame) -> DataFrame:
     """Each signup's referral code to the referrer id; unknown code -> NULL."""
     return signups.select("signup_id", "referral_code").join(
-        referral_code_owners(businesses), "referral_code", "left")
+        referral_code_owners(businesses, signups), "referral_code", "left")
 
 
 def ingest_signups(businesses: DataFrame, signups: DataFrame, referrals: DataFrame):
@@ -277,10 +287,9 @@ def ingest_signups(businesses: DataFrame, signups: DataFrame, referrals: DataFra
     first = earliest_by_key(signups, ["email"], ["created_at", "signup_id"],
                             ["email", "signup_id"]).select(
         "email", F.col("signup_id").alias("__first"))
-    existing = businesses.select("email").where(F.col("email").isNotNull()).distinct() \
-        .withColumn("__exists", F.lit(True))
+    existing = rows_named(businesses.select("email"), signups, "email").distinct().withColumn("__exists", F.lit(True))
     d = (signups.join(first, "email", "left").join(existing, "email", "left")
-         .join(referral_code_owners(businesses), "referral_code", "left"))
+         .join(referral_code_owners(businesses, signups), "referral_code", "left"))
     reason = (F.when(F.col("email").isNull(), "missing_email")
               .when(F.col("__first") != F.col("signup_id"), "duplicate_in_batch")
               .when(F.col("__exists").isNotNull(), "email_exists")

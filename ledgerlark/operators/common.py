@@ -10,6 +10,7 @@ per map task).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -290,24 +291,44 @@ def distinct_ids(df: DataFrame, keys: Sequence[str], col: str, out: str, aggs: d
 
 
 # --------------------------------------------------------------------------- joins
-def left_join_fact(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+def heavy_keys(df: DataFrame, on: Sequence[str], least: int, top: int = 1000) -> Column:
+    """Into how many slices of about ``least`` rows the key of a row is to be
+    cut: 1 but for the keys of more than ``least`` rows in ``df``, told by a
+    frequent-items sketch of ``top`` items (one small row, merged map-side, as a
+    scalar subquery of the plan).
+
+    A key that the sketch names does occur in ``df``; its count is an estimate
+    and changes the number of slices only.
+    """
+    key = F.col(on[0]).cast("string") if len(on) == 1 else F.to_json(F.struct(*on))
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on])
+    found = df.where(known).select(key.alias("__key")).agg(
+        F.expr(f"approx_top_k(__key, {top}, {4 * top})").alias("__top"))
+    heavy = F.filter("__top", lambda x: x["item"].isNotNull() & (x["count"] > least))
+    slices = found.select(F.map_from_entries(F.transform(heavy, lambda x: F.struct(
+        x["item"].alias("key"), F.ceil(x["count"] / least).cast("int").alias("value")))).alias("__slices"))
+    return F.coalesce(F.element_at(slices.scalar(), key), F.lit(1))
+
+
+def left_join_fact(left: DataFrame, right: DataFrame, on: Sequence[str], least: int = 1_000_000) -> DataFrame:
     """``left LEFT JOIN right USING (on)`` for a small ``left`` and a large
     ``right`` whose keys may be hot.
 
     A plain left outer join cannot have its right side split by AQE's skew
-    handling, so one hot key would land in one task.  Written as an inner
-    join (either side may be split, or the small side broadcast after Spark's
-    size check) plus the left rows without partners (a ``left_anti`` against
-    the right side's distinct keys, a partial aggregate), the result is the
-    same rows.
+    handling, so one hot key would land in one task.  Here the keys of more than
+    ``least`` right rows are found by a sketch of the key columns, and only they
+    are cut into slices: their right rows by a hash of the row, their left rows
+    once per slice.  One outer join on (key, slice) then gives matched and
+    unmatched rows; a hot key has partners, so its empty slices are dropped.
     """
-    inner = left.join(right, list(on), "inner")
-    keys = right.select(*on).distinct()
-    lonely = left.join(keys, list(on), "left_anti")
-    for f in right.schema.fields:
-        if f.name not in on:
-            lonely = lonely.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return inner.unionByName(lonely.select(*inner.columns))
+    on, columns = list(on), [*on, *[c for c in (*left.columns, *right.columns) if c not in on]]
+    dealt = right.withColumn("__slices", heavy_keys(right, on, least)).withColumn(
+        "__slice", F.when(F.col("__slices") > 1, F.pmod(F.xxhash64(*right.columns), "__slices")).otherwise(0).cast("int")
+    ).drop("__slices").withColumn("__hit", F.lit(True))
+    spread = left.withColumn("__slices", heavy_keys(right, on, least)).withColumn(
+        "__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1)))
+    j = spread.join(dealt, [*on, "__slice"], "left")
+    return j.where(F.col("__hit").isNotNull() | (F.col("__slices") == 1)).select(*columns)
 
 
 # --------------------------------------------------------------------------- tenants

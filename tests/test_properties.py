@@ -174,3 +174,55 @@ def test_reports_are_ordered(spark):
     months = [r["month"] for r in finance.monthly_financials(spark, t.payments, t.referral_earnings, "1998-06-30 00:00:00").collect()]
     days = [r["date"] for r in finance.daily_revenue(t.payments, t.commissions, "1998-01-01", "1998-06-30").collect()]
     assert months == sorted(months) and days == sorted(days)
+
+
+def test_left_join_fact_slices_hot_keys_only(spark):
+    """Hot keys cut into slices give the plain join's rows, whether their left rows repeat or lack partners."""
+    from ledgerlark.operators.common import heavy_keys, left_join_fact
+    left = spark.createDataFrame([(1, "a", 7), (1, "b", 7), (2, "c", 7), (3, "d", 7), (None, "e", 7), (2, "f", None)],
+                                 "k int, name string, m int")
+    rows = [(1, 7, i, None if i % 3 else "x") for i in range(900)] + [(2, 7, 1, "y"), (2, 7, 1, "y"), (None, 7, 5, "z"), (9, 7, 5, "z")]
+    right = spark.createDataFrame(rows, "k int, m int, v int, t string")
+    for on in (["k"], ["k", "m"]):
+        r = right if len(on) == 2 else right.drop("m")
+        got, want = left_join_fact(left, r, on, least=100), left.join(r, on, "left")
+        assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        slices = {x["k"]: x["n"] for x in r.select("k", heavy_keys(r, on, 100).alias("n")).distinct().collect()}
+        assert slices[1] == 9 and slices[2] == slices[9] == 1
+    assert left_join_fact(left, right.limit(0), ["k", "m"]).count() == 6
+    p = left_join_fact(left, right, ["k", "m"])._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Join ") == 1
+
+
+def test_no_hot_task_in_left_join_fact(spark):
+    """A third of all rows under one key: no partition of the join holds more than twice its share."""
+    from ledgerlark.operators.common import left_join_fact
+    left = spark.range(2000).select(F.col("id").alias("k"))
+    right = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 1500).alias("k"),
+                                       F.col("id").alias("v"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+                                          "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        j = left_join_fact(left, right, ["k"], least=500)
+        sizes = [r["count"] for r in j.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    # two thirds of the left keys below 1500 have partners
+    assert sum(sizes) == 60_000 + 1000 and max(sizes) <= 2 * sum(sizes) / 8
+
+
+def test_signups_shuffle_only_what_the_batch_names(spark):
+    from ledgerlark.operators import accounts as ac
+    from ledgerlark.sources import load_tables
+    t = load_tables(spark, SF_SMALL)
+    few = t.signups.limit(5)
+    d = ac.attribute_referrals(few, t.businesses)
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
+    want = few.select("signup_id", "referral_code").join(ac.referral_code_owners(t.businesses), "referral_code", "left")
+    assert d.exceptAll(want).count() == 0 and want.exceptAll(d).count() == 0
