@@ -132,29 +132,33 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
         return materialize(gaps.join(sums, F.col("ps").eqNullSafe(F.col("gs")), "left").select(
             "ps", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")), "mix-gaps")
     gaps = less(gaps, extra)
+    closing = spare.select("rid", "s", "size").limit(0)         # what the rounds take: one anti-join in any round
+
+    def untaken() -> DataFrame:
+        return spare.join(closing.select("rid"), "rid", "left_anti")
 
     # the order goes on past a document that overflows, with those of at most
     # half the gap: each round takes all of them or more than half the gap
     while True:
-        small = (spare.join(gaps, F.col("s").eqNullSafe(F.col("ps")) & (2 * F.col("size") <= F.col("gap")))
+        small = (untaken().join(gaps, F.col("s").eqNullSafe(F.col("ps")) & (2 * F.col("size") <= F.col("gap")))
                  .drop("ps").withColumnRenamed("gap", "missing"))
         more = materialize(fitting(small), "mix-more")
         if more.isEmpty():
             break
-        extra, spare = extra.unionByName(more), spare.join(more.select("rid"), "rid", "left_anti")
+        closing = closing.unionByName(more)
         gaps = less(gaps, more)
     # only larger ones are left: the nearest in size to the gap, while that
     # comes nearer to the target; each but the last more than halves the gap
     while True:
-        best = (spare.join(gaps, F.col("s").eqNullSafe(F.col("ps")))
+        best = (untaken().join(gaps, F.col("s").eqNullSafe(F.col("ps")))
                 .withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
                 .groupBy("s").agg(F.min(F.struct("off", "q", "rid", "size")).alias("b")))
         best = materialize(best.select("b.rid", "s", "b.size"), "mix-closing")
         if best.isEmpty():
             break
-        extra, spare = extra.unionByName(best), spare.join(best.select("rid"), "rid", "left_anti")
+        closing = closing.unionByName(best)
         gaps = less(gaps, best)
-    taken = extra.select("rid").withColumn("one", F.lit(1))
+    taken = extra.unionByName(closing).select("rid").withColumn("one", F.lit(1))
     counted = (rows.join(plan.select("s", "l", "whole"),
                          F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left")
                .join(taken, "rid", "left")
