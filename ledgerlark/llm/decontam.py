@@ -173,7 +173,7 @@ class Index:
             lo, hi = max(0, start - most), max(0, start + len(item) + most - 1)
             if np.isin(pairs[lo:hi], self.grams[k]).sum() >= len(item) - 1 - 2 * most:
                 self.verify(words, k, start, best, tried)
-        return [(i, e, p) for i, (e, p) in sorted(best.items())]
+        return [(i, e, p) for i, (e, p) in sorted(best.items(), key=lambda hit: (hit[0] is None, hit[0] or 0))]
 
     def sampled(self, words: np.ndarray, lengths: list[int]) -> dict[int, tuple[int, int]]:
         """(edits, start) by item_id of what the sampled walks find."""
@@ -229,8 +229,8 @@ def _grams(words: np.ndarray, size: int) -> np.ndarray:
 
 def item_blocks(benchmark: DataFrame, block_items: int, id_col: str, text_col: str) -> Iterator[list]:
     """Items as (item_id, words), ``block_items`` at a time: the query set."""
-    words = (benchmark.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("text"))
-             .where("i is not null and text is not null").select("i", _words().alias("words")))
+    words = (benchmark.select(F.col(f"`{id_col}`").try_cast("bigint").alias("i"), F.col(f"`{text_col}`").alias("text"))
+             .where("text is not null").select("i", _words().alias("words")))
     block: list = []
     for row in words.toLocalIterator():
         block.append((row["i"], np.array(row["words"], dtype=np.int64).view(U)))
@@ -278,7 +278,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_000, te
     within the allowed edits is found, at any item length.  The items are taken in
     blocks of ``block_items``, each one broadcast; every row meets every block
     and no row is shuffled.  Null or empty texts and items match nothing;
-    repeated items are each found.
+    repeated items are each found.  Ids are taken as whole numbers; items whose
+    id is null or none are found too, together as the item null.
     """
     words = F.coalesce(_words(f"`{text_col}`"), F.array().cast("array<bigint>"))
     found = [matcher(docs.sparkSession, block, **params)(words)

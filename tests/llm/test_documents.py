@@ -452,3 +452,13 @@ def test_near_duplicates_odd_input(odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(11) == 0 and ids.count(2) == 1 and ids.count(3) == 1 and ids.count(None) == 1
     assert dartminhash.near_duplicates(no_docs).count() == 0 and dartminhash.drop_near_duplicates(no_docs).count() == 0
+
+
+def test_items_without_a_number_are_found(spark, make_docs):
+    item = "seven small ships sailed past the quiet harbour wall"
+    bench = spark.createDataFrame([(None, item), ("x7", item.replace("seven", "eight")), ("12", "one two three four five six"),
+                                   (None, None)], "item_id string, text string")
+    docs = make_docs([(1, f"before {item} after", "en", "a"), (2, "one two three four five six", "en", "a"), (3, "clean", "en", "a")])
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == {(1, None): 0, (2, 12): 0}
+    assert [r["doc_id"] for r in decontam.drop_leaks(docs, bench).collect()] == [3]
