@@ -21,23 +21,29 @@ from .common import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-CACHE = 200_000             # words a task keeps scores of
+CACHE_BYTES = 64 << 20      # scores of words that a task keeps
+PIECE = 512                 # n-grams of long words are taken by pieces of this many starts
 
 
-def train(rows: DataFrame, docs_per_lang: int = 2000, max_langs: int = 200,
-          words_per_lang: int = 20_000, grams_per_size: int = 5_000, max_gram: int = 4) -> dict:
+def train(rows: DataFrame, docs_per_lang: int = 2000, words_per_lang: int = 20_000,
+          grams_per_size: int = 5_000, max_gram: int = 4) -> dict:
     """Log frequencies of words and n-grams per language, as a bounded model.
 
     ``rows`` has doc_id, text and lang; rows with a null in any are left out.
     Learns from about ``docs_per_lang`` documents of each language, picked by a
-    hash of doc_id (a share of the language's count, so nothing is sorted), for
-    the ``max_langs`` most frequent languages, and keeps the most frequent
-    ``words_per_lang`` words seen twice or more and ``grams_per_size`` n-grams
-    of each length.  These parameters bound what reaches the driver.
+    hash of doc_id (a share of the language's count, so nothing is sorted), and
+    keeps each language's most frequent ``words_per_lang`` words seen twice or
+    more and ``grams_per_size`` n-grams of each length, of words of any length.
+    These parameters bound what reaches the driver per language; every language
+    is learned.
+
+    ``words`` and ``grams[k]`` map an entry to (numbers of its languages, log
+    frequencies there); ``unseen[k]`` (words: 0) has every language's log
+    frequency of an entry that it lacks.
     """
     rows = rows.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    sizes = (rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
-    model = {"langs": sorted(r["lang"] for r in sizes), "words": {}, "grams": {}, "max_gram": max_gram}
+    sizes = rows.groupBy("lang").count().collect()            # one row per language
+    model = {"langs": sorted(r["lang"] for r in sizes), "words": {}, "grams": {}, "unseen": {}, "max_gram": max_gram}
     if not sizes:
         return model
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))])
@@ -47,13 +53,15 @@ def train(rows: DataFrame, docs_per_lang: int = 2000, max_langs: int = 200,
              .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     words = materialize(words, "lang-words")
     padded = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(padded), F.lit(PIECE)),
+                         lambda i: F.substring(padded, i, F.lit(PIECE + max_gram - 1)))
 
     def grams(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - k + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.substring(padded, i, F.lit(k)).alias("word")))
+        starts = F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE)))
+        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.substring("piece", i, F.lit(k)).alias("word")))
     every = F.concat(*[grams(k) for k in range(1, max_gram + 1)])
     table = (words.where("n > 1").select("lang", F.lit(0).alias("k"), "word", "n").unionByName(
-        words.where(F.length("word") <= 40).select("lang", "n", F.explode(every).alias("g"))
+        words.select("lang", "n", F.explode(pieces).alias("piece")).select("lang", "n", F.explode(every).alias("g"))
         .where(F.length("g.word") == F.col("g.k"))
         .groupBy("lang", F.col("g.k").alias("k"), F.col("g.word").alias("word")).agg(F.sum("n").alias("n"))))
     most = Window.partitionBy("lang", "k").orderBy(F.desc("n"), "word")
@@ -61,14 +69,18 @@ def train(rows: DataFrame, docs_per_lang: int = 2000, max_langs: int = 200,
            .where(F.col("r") <= F.when(F.col("k") == 0, words_per_lang).otherwise(grams_per_size)).collect())
     at = {lang: i for i, lang in enumerate(model["langs"])}
     for k in range(max_gram + 1):
-        counts: dict[str, np.ndarray] = {}
+        counts: dict[str, list] = {}
         total = np.ones(len(at))
         for r in top:
             if r["k"] == k:
-                counts.setdefault(r["word"], np.zeros(len(at)))[at[r["lang"]]] = r["n"]
+                counts.setdefault(r["word"], []).append((at[r["lang"]], r["n"]))
                 total[at[r["lang"]]] += r["n"]
-        logs = {w: np.log((c + 0.5) / (total + 0.5 * (len(counts) + 1))).astype(np.float32)
-                for w, c in counts.items()}
+        below = total + 0.5 * (len(counts) + 1)
+        logs = {}
+        for w, found in counts.items():
+            langs, n = (np.array(x) for x in zip(*found))
+            logs[w] = langs.astype(np.int32), np.log((n + 0.5) / below[langs]).astype(np.float32)
+        model["unseen"][k] = np.log(0.5 / below).astype(np.float32)
         if k:
             model["grams"][k] = logs
         else:
@@ -81,36 +93,51 @@ class Scorer(dict):
 
     def __init__(self, model: dict):
         super().__init__()
-        self.model, self.rows = model, []
-        self.none = np.zeros(len(model["langs"]), dtype=np.float32)
+        self.model = model
+        self.size = len(model["langs"])
+        self.most = max(1, CACHE_BYTES // (8 * max(self.size, 1)))
+        self.scores = np.zeros((min(self.most, 1024), self.size))
+
+    def known(self, entry: str, k: int) -> np.ndarray | None:
+        """Log frequency of a word (k = 0) or k-gram in every language; None for one never seen."""
+        found = (self.model["grams"].get(k, {}) if k else self.model["words"]).get(entry)
+        if found is None:
+            return None
+        row = self.model["unseen"][k].copy()
+        row[found[0]] = found[1]
+        return row
 
     def score(self, word: str) -> np.ndarray:
-        known = self.model["words"].get(word)
-        if known is not None:
-            return known
+        row = self.known(word, 0)
+        if row is not None:
+            return row
         padded = f"<{word}>"
         for k in range(self.model["max_gram"], 0, -1):
-            grams = self.model["grams"].get(k, {})
-            found = [v for i in range(len(padded) - k + 1) if (v := grams.get(padded[i:i + k])) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return self.none
+            number, total = 0, np.zeros(self.size, dtype=np.float32)
+            for i in range(len(padded) - k + 1):
+                row = self.known(padded[i:i + k], k)
+                if row is not None:
+                    number, total = number + 1, total + row
+            if number:
+                return total / np.float32(number)
+        return np.zeros(self.size, dtype=np.float32)
 
     def __missing__(self, word: str) -> int:
-        self.rows.append(self.score(word))
-        self[word] = len(self.rows) - 1
-        return self[word]
+        at = len(self)
+        if at == len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[at] = self.score(word)
+        self[word] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or not self.model["langs"]:
+        if not words or not self.size:
             return UNKNOWN, 0.0
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.clear()
-            self.rows = []
-        at = [self[w] for w in words]
-        logs = np.fromiter(words.values(), dtype=np.float64, count=len(words)) @ np.array(
-            [self.rows[i] for i in at], dtype=np.float64)
+        at = np.fromiter((self[w] for w in words), dtype=np.int64, count=len(words))
+        logs = np.fromiter(words.values(), dtype=np.float64, count=len(words)) @ self.scores[at]
         best = int(np.argmax(logs))
         return self.model["langs"][best], 1.0 / math.fsum(np.exp(logs - logs[best]))
 

@@ -43,6 +43,44 @@ def test_language_unseen_words_back_off(spark, make_docs):
     assert scorer.predict("...") == ("und", 0.0) and scorer.predict(None) == ("und", 0.0)
 
 
+def test_language_learns_every_language(make_docs):
+    langs = [f"l{i:03}" for i in range(230)]
+    rows = [(i, f"{lang[1:].translate(str.maketrans('0123456789', 'abcdefghij'))}word " * 3, lang, "s")
+            for i, lang in enumerate(langs)]
+    model = language.train(make_docs(rows).select("doc_id", "text", "lang"))
+    scorer = language.Scorer(model)
+    assert model["langs"] == langs and [scorer.predict(t)[0] for _, t, _, _ in rows] == langs
+
+
+def test_language_grams_of_long_words(make_docs):
+    long = "".join(random.Random(3).choice("abcdefg") for _ in range(3 * language.PIECE + 17))
+    model = language.train(make_docs([(1, long, "xx", "s"), (2, "hij", "yy", "s")]).select("doc_id", "text", "lang"))
+    for k in range(1, 5):
+        n = collections.Counter(f"<{long}>"[i:i + k] for i in range(len(long) + 3 - k))
+        m = collections.Counter("<hij>"[i:i + k] for i in range(6 - k))
+        assert set(model["grams"][k]) == set(n) | set(m)
+        below = 1 + sum(n.values()) + 0.5 * (len(set(n) | set(m)) + 1)
+        for gram, (at, logs) in model["grams"][k].items():
+            if n[gram]:
+                assert logs[list(at).index(0)] == pytest.approx(math.log((n[gram] + 0.5) / below), rel=1e-5)
+
+
+def test_language_ties_go_to_the_first(make_docs):
+    rows = [(1, "same words here", "b", "s"), (2, "same words here", "a", "s"), (3, "other text there", "c", "s")]
+    scorer = language.Scorer(language.train(make_docs(rows).select("doc_id", "text", "lang")))
+    assert scorer.predict("same words")[0] == "a"
+
+
+def test_language_small_cache(make_docs, monkeypatch):
+    rows = [(1, "one two three four five", "a", "s"), (2, "six seven eight nine ten", "b", "s")] * 2
+    model = language.train(make_docs(rows).select("doc_id", "text", "lang"))
+    texts = ["one six two", "three four seven eight nine", "ten five", "five ten six"]
+    want = [language.Scorer(model).predict(t) for t in texts]
+    monkeypatch.setattr(language, "CACHE_BYTES", 64)
+    scorer = language.Scorer(model)
+    assert [scorer.predict(t) for t in texts] == want
+
+
 def test_language_odd_input(odd_docs, no_docs):
     got = [(r["doc_id"], r["lang_pred"]) for r in language.identify(odd_docs, odd_docs).collect()]
     assert len(got) == 14 and (3, "und") in got and (4, "und") in got and (6, "und") in got
