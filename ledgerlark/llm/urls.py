@@ -1,12 +1,15 @@
 """URL filter: fixed host and path rules, then association rules mined from labels.
 
 Frequent combinations of URL tokens that go with blocked pages are mined by
-Spark's FP-growth; rules that pass the support and confidence bounds are found
-for each URL through an inverted index on their rarest token.
+Spark's FP-growth; single tokens below its support, of which there may be many,
+are counted by an aggregate.  Rules that pass the support and confidence bounds
+are found for each URL through an inverted index on their rarest token.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,16 +58,23 @@ def listed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 
 
 def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5,
-               z: float = 3.0) -> DataFrame:
+               z: float = 3.0, min_pages: int = 20) -> DataFrame:
     """Token combinations that imply a blocked page: (tokens, confidence, support, anchor).
 
     ``labelled`` has url and block (boolean); rows with a null in either are
     left out.  All labelled rows are mined.  A rule must have the support and
     the confidence asked for, and its confidence must exceed the share of
     blocked pages also at its lower Wilson bound (``z`` deviations), which
-    drops rules that few pages support by chance.  The number of rules is
-    bounded by the support threshold, not by the input.  ``anchor`` is the
-    rule's rarest token.  No labelled rows: no rules.
+    drops rules that few pages support by chance.  The number of these rules is
+    bounded by the support threshold, not by the input.
+
+    A token on fewer blocked pages than that support is a rule by itself from
+    ``min_pages`` blocked pages on, however many rows there are, by the same
+    confidence and with more deviations the more tokens are tried: sqrt(2 ln m)
+    of them keep the rules that m tokens give by chance below one in all.
+    These rules grow with the input and stay a distributed table.
+
+    ``anchor`` is the rule's rarest token.  No labelled rows: no rules.
     """
     spark = labelled.sparkSession
     items = (labelled.where("url is not null and block is not null")
@@ -78,17 +88,29 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence:
         return empty
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence,
                      numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(items)
-    c, seen = F.col("confidence"), F.col("support") * n / F.col("confidence")     # pages with the rule's tokens
-    lower = ((c + z * z / (2 * seen) - z * F.sqrt(c * (1 - c) / seen + z * z / (4 * seen * seen)))
-             / (1 + z * z / seen))
+
+    def lower(z: float) -> Column:
+        c, seen = F.col("confidence"), F.col("support") * n / F.col("confidence")     # pages with the rule's tokens
+        return ((c + z * z / (2 * seen) - z * F.sqrt(c * (1 - c) / seen + z * z / (4 * seen * seen)))
+                / (1 + z * z / seen))
     rules = materialize(
-        model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).where(lower > blocked / n)
+        model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK))).where(lower(z) > blocked / n)
         .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
-    counts = (items.select(F.explode("items").alias("token")).groupBy("token").count())
-    return (rules.select("*", F.explode("tokens").alias("token")).join(counts, "token")
-            .groupBy("tokens", "confidence", "support")
-            .agg(F.min(F.struct("count", "token")).alias("a"))
-            .select("tokens", "confidence", "support", F.col("a.token").alias("anchor")))
+    counts = materialize(
+        items.select(F.explode("items").alias("token"), F.array_contains("items", BLOCK).alias("bad"))
+        .groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.count_if("bad").alias("bad")), "url-tokens")
+    mined = (rules.select("*", F.explode("tokens").alias("token")).join(counts, "token")
+             .groupBy("tokens", "confidence", "support")
+             .agg(F.min(F.struct("count", "token")).alias("a"))
+             .select("tokens", "confidence", "support", F.col("a.token").alias("anchor")))
+    rare = counts.where((F.col("token") != BLOCK) & (F.col("bad") >= min_pages) & (F.col("bad") < math.ceil(min_support * n)))
+    tried = rare.count()
+    if tried == 0:
+        return mined
+    single = (rare.select(F.array("token").alias("tokens"), (F.col("bad") / F.col("count")).alias("confidence"),
+                          (F.col("bad") / n).alias("support"), F.col("token").alias("anchor"))
+              .where((F.col("confidence") >= min_confidence) & (lower(max(z, math.sqrt(2 * math.log(tried)))) > blocked / n)))
+    return mined.unionByName(single)
 
 
 def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
@@ -106,7 +128,7 @@ def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]],
-               min_support: float = 0.005, min_confidence: float = 0.5,
+               min_support: float = 0.005, min_confidence: float = 0.5, min_pages: int = 20,
                id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Verdict for every row: the longest listed rule, else block where a mined
     rule fits, else allow.
@@ -120,7 +142,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str
     url = F.col("url")
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"))
     rows = rows.withColumn("tokens", F.coalesce(url_tokens(url), F.array().cast("array<string>")))
-    hits = match_rules(rows.select("tokens").distinct(), mine_rules(labelled, min_support, min_confidence))
+    hits = match_rules(rows.select("tokens").distinct(), mine_rules(
+        labelled, min_support, min_confidence, min_pages=min_pages))
     rows = rows.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"), "tokens")
     rule, listed = listed_rule(F.col("host"), F.col("path"), rules)
     return (rows.join(hits, "tokens", "left")

@@ -65,6 +65,44 @@ def test_mined_rules_match_brute_force(spark):
     assert any(set(r["tokens"]) == {"h:a", "p:p"} for r in mined)
 
 
+def test_a_rare_bad_host_is_mined(spark):
+    """25 blocked pages of one host among 20,000: far below the share that FP-growth takes."""
+    rows = [(f"http://good{'abcdefghij'[i % 10]}.net/{'pqrs'[i % 4]}", i % 50 == 0) for i in range(20_000)]
+    rows += [("http://rarebad.net/p", True)] * 25 + [("http://fewbad.net/p", True)] * 19
+    rows += [("http://half.net/p", i % 5 == 0) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "url string, block boolean")
+    mined = {tuple(r["tokens"]): r for r in urls.mine_rules(labelled).collect()}
+    assert list(mined) == [("h:rarebad",)] and mined[("h:rarebad",)]["anchor"] == "h:rarebad"
+    assert mined[("h:rarebad",)]["confidence"] == 1 and mined[("h:rarebad",)]["support"] == pytest.approx(25 / len(rows))
+    got = verdicts(spark, ["http://www.rarebad.net/x", "http://fewbad.net/p", "http://half.net/p", "http://gooda.net/p"], rows)
+    assert [v for *_, v in got] == ["block", "allow", "allow", "allow"]
+
+
+def test_chance_makes_no_rare_rules(spark):
+    """2,000 hosts of 100 pages, each page blocked by chance of 0.3: no host is."""
+    rng = random.Random(8)
+    name = [a + b + c for a in "abcdefghijklmn" for b in "abcdefghijkl" for c in "abcdefghijkl"][:2000]
+    rows = [(f"http://{host}.net/", rng.random() < 0.3) for host in name for _ in range(100)]
+    mined = urls.mine_rules(spark.createDataFrame(rows, "url string, block boolean"), min_confidence=0.3)
+    assert mined.count() == 0
+
+
+def test_verdicts_match_all_rules(spark):
+    """Every url's verdict against all mined rules, tried one by one; long and repeated urls and ties among them."""
+    rng = random.Random(5)
+    made = [f"http://{rng.choice('abcd')}.net/{rng.choice('pq')}/{rng.choice('xyz')}" for _ in range(800)]
+    labelled = [(u, rng.random() < (0.95 if "a.net/p" in u or "/z" in u else 0.1)) for u in made]
+    rules = urls.mine_rules(spark.createDataFrame(labelled, "url string, block boolean")).collect()
+    pages = made[:100] + made[:5] + ["http://a.net/p/" + "y" * 50_000, "http://c.net/z?" + "z/" * 20_000, None, "nothing"]
+    table = spark.createDataFrame([(i, u) for i, u in enumerate(pages)], "page_id long, url string")
+    tokens = {r["page_id"]: set(r["t"] or []) for r in table.select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    got = urls.judge_urls(table, spark.createDataFrame(labelled, "url string, block boolean"), []).collect()
+    assert len(got) == len(pages) and len(rules) > 3
+    for r in got:
+        fits = [(x["confidence"], x["support"], x["tokens"]) for x in rules if set(x["tokens"]) <= tokens[r["page_id"]]]
+        assert r["verdict"] == ("block" if fits else "allow") and r["matched"] == (max(fits)[2] if fits else None)
+
+
 def test_urls_empty(spark):
     assert verdicts(spark, []) == []
 
