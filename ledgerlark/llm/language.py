@@ -7,7 +7,6 @@ to one.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ from .common import materialize
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-CACHE_BYTES = 64 << 20      # scores of words that a task keeps
+CACHE, CACHE_BYTES = 200_000, 64 << 20     # words, and bytes of their scores, that a task keeps
 PIECE = 512                 # n-grams of long words are taken by pieces of this many starts
 
 
@@ -37,13 +36,14 @@ def train(rows: DataFrame, docs_per_lang: int = 2000, words_per_lang: int = 20_0
     These parameters bound what reaches the driver per language; every language
     is learned.
 
-    ``words`` and ``grams[k]`` map an entry to (numbers of its languages, log
-    frequencies there); ``unseen[k]`` (words: 0) has every language's log
-    frequency of an entry that it lacks.
+    ``words`` and ``grams[k]`` number the entries; ``logs[k]`` (words: 0) has
+    every language's log frequency of an entry that it lacks, then where each
+    entry's values start, the languages that have it, and what their log
+    frequency is above that of a lacking entry.
     """
     rows = rows.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
     sizes = rows.groupBy("lang").count().collect()            # one row per language
-    model = {"langs": sorted(r["lang"] for r in sizes), "words": {}, "grams": {}, "unseen": {}, "max_gram": max_gram}
+    model = {"langs": sorted(r["lang"] for r in sizes), "words": {}, "grams": {}, "logs": {}, "max_gram": max_gram}
     if not sizes:
         return model
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, docs_per_lang / r["count"]))])
@@ -76,70 +76,101 @@ def train(rows: DataFrame, docs_per_lang: int = 2000, words_per_lang: int = 20_0
                 counts.setdefault(r["word"], []).append((at[r["lang"]], r["n"]))
                 total[at[r["lang"]]] += r["n"]
         below = total + 0.5 * (len(counts) + 1)
-        logs = {}
-        for w, found in counts.items():
-            langs, n = (np.array(x) for x in zip(*found))
-            logs[w] = langs.astype(np.int32), np.log((n + 0.5) / below[langs]).astype(np.float32)
-        model["unseen"][k] = np.log(0.5 / below).astype(np.float32)
+        unseen = np.log(0.5 / below)
+        starts = np.cumsum([0, *map(len, counts.values())])
+        langs, n = np.array([x for found in counts.values() for x in found], dtype=np.int64).reshape(-1, 2).T
+        model["logs"][k] = unseen, starts, langs, np.log((n + 0.5) / below[langs]) - unseen[langs]
+        entries = {w: i for i, w in enumerate(counts)}
         if k:
-            model["grams"][k] = logs
+            model["grams"][k] = entries
         else:
-            model["words"] = logs
+            model["words"] = entries
     return model
 
 
 class Scorer(dict):
-    """Row numbers of words in a growing score matrix, filled on first use."""
+    """Predicts texts; keeps the row numbers of words in a growing score matrix."""
 
     def __init__(self, model: dict):
         super().__init__()
         self.model = model
         self.size = len(model["langs"])
-        self.most = max(1, CACHE_BYTES // (8 * max(self.size, 1)))
-        self.scores = np.zeros((min(self.most, 1024), self.size))
-
-    def known(self, entry: str, k: int) -> np.ndarray | None:
-        """Log frequency of a word (k = 0) or k-gram in every language; None for one never seen."""
-        found = (self.model["grams"].get(k, {}) if k else self.model["words"]).get(entry)
-        if found is None:
-            return None
-        row = self.model["unseen"][k].copy()
-        row[found[0]] = found[1]
-        return row
-
-    def score(self, word: str) -> np.ndarray:
-        row = self.known(word, 0)
-        if row is not None:
-            return row
-        padded = f"<{word}>"
+        self.most = max(1, min(CACHE, CACHE_BYTES // (8 * max(self.size, 1))))
+        self.scores = np.zeros((0, self.size))
+
+    def means(self, k: int, found: list[list[int]]) -> np.ndarray:
+        """Mean log frequency in every language of each list of entries of ``logs[k]``."""
+        unseen, starts, langs, above = self.model["logs"][k]
+        number = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        entry = np.fromiter((e for es in found for e in es), dtype=np.int64, count=int(number.sum()))
+        row = np.repeat(np.arange(len(found)), number)
+        first, width = starts[entry], starts[entry + 1] - starts[entry]
+        at = np.arange(int(width.sum())) + np.repeat(first - (np.cumsum(width) - width), width)
+        sums = np.bincount(np.repeat(row, width) * self.size + langs[at], weights=above[at], minlength=len(found) * self.size)
+        return unseen + sums.reshape(-1, self.size) / number[:, None]
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row per word: its log frequencies, or the mean of its longest known n-grams'."""
+        out = np.zeros((len(words), self.size))
+        entries = [self.model["words"].get(w) for w in words]
+        rows = [i for i, e in enumerate(entries) if e is not None]
+        if rows:
+            out[rows] = self.means(0, [[entries[i]] for i in rows])
+        left = [(i, f"<{words[i]}>") for i, e in enumerate(entries) if e is None]
         for k in range(self.model["max_gram"], 0, -1):
-            number, total = 0, np.zeros(self.size, dtype=np.float32)
-            for i in range(len(padded) - k + 1):
-                row = self.known(padded[i:i + k], k)
-                if row is not None:
-                    number, total = number + 1, total + row
-            if number:
-                return total / np.float32(number)
-        return np.zeros(self.size, dtype=np.float32)
-
-    def __missing__(self, word: str) -> int:
+            grams = self.model["grams"].get(k, {})
+            found = [[e for j in range(len(w) - k + 1) if (e := grams.get(w[j:j + k])) is not None] for _, w in left]
+            rows = [i for (i, _), es in zip(left, found) if es]
+            if rows:
+                out[rows] = self.means(k, [es for es in found if es])
+            left = [x for x, es in zip(left, found) if not es]
+        return out
+
+    def keep(self, words: list[str]) -> None:
+        """Scores the words that are not kept yet; drops the others first where there are too many."""
+        new = [w for w in dict.fromkeys(words) if w not in self]
+        if len(self) + len(new) > self.most:
+            self.clear()
+            new = list(dict.fromkeys(words))
         at = len(self)
-        if at == len(self.scores):
-            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[at] = self.score(word)
-        self[word] = at
-        return at
+        if at + len(new) > len(self.scores):
+            grown = np.zeros((max(at + len(new), 2 * len(self.scores)), self.size))
+            grown[:at] = self.scores[:at]
+            self.scores = grown
+        self.scores[at:at + len(new)] = self.score(new)
+        self.update(zip(new, range(at, at + len(new))))
+
+    def predict_all(self, texts) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        if not self.size:
+            return out
+        places, words, counts, starts = [], [], [], []
+
+        def settle() -> None:
+            self.keep(words)
+            at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+            logs = np.add.reduceat(self.scores[at] * np.array(counts, dtype=np.float64)[:, None], starts)
+            best = logs.argmax(axis=1)
+            share = 1.0 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+            for i, b, p in zip(places, best.tolist(), share.tolist()):
+                out[i] = self.model["langs"][b], p
+            for kept in (places, words, counts, starts):
+                kept.clear()
+        for i, text in enumerate(texts):
+            found = Counter(LETTERS.findall(text.lower())) if text else None
+            if found:
+                places.append(i)
+                starts.append(len(words))
+                words.extend(found)
+                counts.extend(found.values())
+                if len(words) >= self.most:
+                    settle()
+        if words:
+            settle()
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = Counter(LETTERS.findall(text.lower())) if text else None
-        if not words or not self.size:
-            return UNKNOWN, 0.0
-        if len(self) > self.most:
-            self.clear()
-        at = np.fromiter((self[w] for w in words), dtype=np.int64, count=len(words))
-        logs = np.fromiter(words.values(), dtype=np.float64, count=len(words)) @ self.scores[at]
-        best = int(np.argmax(logs))
-        return self.model["langs"][best], 1.0 / math.fsum(np.exp(logs - logs[best]))
+        return self.predict_all([text])[0]
 
 
 def predictor(spark, model: dict):
@@ -149,7 +180,7 @@ def predictor(spark, model: dict):
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang", "score"])
+            yield pd.DataFrame(scorer.predict_all(list(texts)), columns=["lang", "score"])
 
     # evaluated once per row, also where a filter uses it
     return F.pandas_udf(predict, "lang string, score double").asNondeterministic()

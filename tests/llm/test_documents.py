@@ -60,9 +60,10 @@ def test_language_grams_of_long_words(make_docs):
         m = collections.Counter("<hij>"[i:i + k] for i in range(6 - k))
         assert set(model["grams"][k]) == set(n) | set(m)
         below = 1 + sum(n.values()) + 0.5 * (len(set(n) | set(m)) + 1)
-        for gram, (at, logs) in model["grams"][k].items():
-            if n[gram]:
-                assert logs[list(at).index(0)] == pytest.approx(math.log((n[gram] + 0.5) / below), rel=1e-5)
+        unseen, starts, langs, above = model["logs"][k]
+        for gram, e in model["grams"][k].items():
+            mine = [unseen[0] + a for at, a in zip(langs[starts[e]:starts[e + 1]], above[starts[e]:starts[e + 1]]) if at == 0]
+            assert mine == ([pytest.approx(math.log((n[gram] + 0.5) / below))] if n[gram] else [])
 
 
 def test_language_ties_go_to_the_first(make_docs):
@@ -71,6 +72,28 @@ def test_language_ties_go_to_the_first(make_docs):
     assert scorer.predict("same words")[0] == "a"
 
 
+def test_language_matches_plain_backoff(make_docs, docs):
+    model = language.train(docs.where("doc_id % 3 = 0"))
+    logs = {k: {w: [model["logs"][k][0][i] + sum(
+                model["logs"][k][3][j] for j in range(model["logs"][k][1][e], model["logs"][k][1][e + 1])
+                if model["logs"][k][2][j] == i) for i in range(len(model["langs"]))] for w, e in names.items()}
+            for k, names in [(0, model["words"]), *model["grams"].items()]}
+
+    def plain(text):
+        sums = [0.0] * len(model["langs"])
+        words = language.LETTERS.findall((text or "").lower())
+        for w in words:
+            rows = [logs[0][w]] if w in logs[0] else next(
+                (f for k in range(4, 0, -1) if (f := [logs[k][g] for i in range(len(w) + 3 - k) if (g := f"<{w}>"[i:i + k]) in logs[k]])), [])
+            for i in range(len(sums)):
+                sums[i] += sum(r[i] for r in rows) / max(len(rows), 1)
+        best = max(range(len(sums)), key=lambda i: (sums[i], -i))
+        return (model["langs"][best], 1 / sum(math.exp(s - sums[best]) for s in sums)) if words else ("und", 0.0)
+    texts = [r["text"] for r in docs.select("text").limit(150).collect()] + ["", None, "zzqx", "3 4", "qzx " * 5 + "the"]
+    for got, want in zip(language.Scorer(model).predict_all(texts), map(plain, texts)):
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1])
+
+
 def test_language_small_cache(make_docs, monkeypatch):
     rows = [(1, "one two three four five", "a", "s"), (2, "six seven eight nine ten", "b", "s")] * 2
     model = language.train(make_docs(rows).select("doc_id", "text", "lang"))
