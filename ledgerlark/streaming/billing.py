@@ -231,7 +231,6 @@ def fold_billing(events: DataFrame, subscriptions: DataFrame | None = None):
         F.max(F.when(F.col("kind") == "deleted", F.col("event_ts"))).alias("last_delete"),
         F.max(F.when(is_co, F.struct(*order, "stripe_subscription_id", "stripe_customer_id", "amount",
                                      "current_period_end", "card_last4", "card_brand"))).alias("co"),
-        F.min(F.when(is_co, F.col("event_ts"))).alias("first_co_ts"),
     )
     b = base.select(*[F.col(c).alias(f"b_{c}") for c in base.columns], F.lit(True).alias("has_base"))
     j = b.join(agg, F.col("b_business_id") == F.col("business_id"), "full_outer")
@@ -242,7 +241,7 @@ def fold_billing(events: DataFrame, subscriptions: DataFrame | None = None):
         return F.when(hco, F.col(f"co.{field}")).otherwise(F.col(f"b_{basecol}"))
 
     snap = j.select(
-        F.coalesce(F.col("b_id"), above_max(base, F.col("business_id"))).alias("id"),
+        F.coalesce(F.col("b_id"), above_max(base if subscriptions is None else subscriptions, F.col("business_id"))).alias("id"),
         F.coalesce(F.col("b_business_id"), F.col("business_id")).alias("business_id"),
         pick("stripe_subscription_id", "stripe_subscription_id").alias("stripe_subscription_id"),
         pick("stripe_customer_id", "stripe_customer_id").alias("stripe_customer_id"),
