@@ -281,3 +281,13 @@ def test_x16_duplicate_subscriptions(spark):
     raw = finance.financial_totals(b, s, p, e, "as_written").first()
     assert (agg["total_revenue"], agg["active_businesses"]) == (50.0, 1)
     assert raw["total_revenue"] == 100.0                  # each subscription row repeats the payment
+
+
+def test_new_subscription_ids_pass_rows_without_a_business(spark):
+    """A stored row without a business is nobody's current row, but its id is taken."""
+    from ledgerlark.streaming.billing import fold_billing
+    stored = mk(spark, "subscriptions", [{"id": 5, "business_id": 1}, {"id": 90, "business_id": None}])
+    events = mk(spark, "billing_events", [{"event_id": "e1", "event_ts": ts("2024-01-01"), "business_id": 2,
+                                           "type": "checkout.session.completed", "stripe_subscription_id": "s2"}])
+    snap = {r["business_id"]: r["id"] for r in fold_billing(events, stored)[0].collect()}
+    assert snap == {1: 5, 2: 92}
