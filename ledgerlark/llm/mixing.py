@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .common import WORD, free_name, materialize
 
 RANK_BINS = 4096            # bins of the Pareto rank for the distributed prefix sum
@@ -45,22 +46,23 @@ def size_level(size: Column) -> Column:
     return F.when(size > 0, F.length(F.bin(size))).otherwise(0).cast("long")
 
 
-def fitting(drawn: DataFrame) -> DataFrame:
-    """(rid, s, size) of the documents taken along the rank of each source until
-    the next one would overflow ``missing``; ``drawn``: rid, s, size, q, bin, missing."""
-    bins = drawn.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
+def fitting(pool: DataFrame, fits: Column) -> DataFrame:
+    """``pool`` with ``taken``: of the documents that ``fits`` lets in, those along the rank of
+    their source until the next one would overflow ``missing``; ``pool``: rid, s, size, q, bin, missing."""
+    pool = pool.withColumn("fits", fits)
+    bins = pool.where("fits").groupBy("s", "bin").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
     along = Window.partitionBy("s").orderBy("bin")
     bins = (bins.withColumn("upto", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("below", F.col("upto") - F.col("words")))
     # the bin in which a source's missing words run out
     edge = bins.where("upto > missing").groupBy("s").agg(F.min(F.struct("bin", "below")).alias("e"))
     edge = edge.select(F.col("s").alias("es"), "e.bin", "e.below").withColumnRenamed("bin", "ebin")
-    marked = (drawn.join(edge, F.col("s").eqNullSafe(F.col("es")), "left").drop("es"))
-    full = marked.where("ebin is null or bin < ebin").select("rid", "s", "size")
+    marked = pool.join(edge, F.col("s").eqNullSafe(F.col("es")), "left").drop("es")
+    last = F.col("fits") & F.coalesce(F.col("bin") == F.col("ebin"), F.lit(False))
+    full = marked.where(~last).withColumn("taken", F.col("fits") & F.expr("ebin is null or bin < ebin"))
     in_edge = Window.partitionBy("s").orderBy("q", "rid").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (marked.where("bin = ebin").withColumn("run", F.col("below") + F.sum("size").over(in_edge))
-           .where("run <= missing").select("rid", "s", "size"))
-    return full.unionByName(cut)
+    cut = marked.where(last).withColumn("taken", F.col("below") + F.sum("size").over(in_edge) <= F.col("missing"))
+    return full.unionByName(cut).drop("fits", "ebin", "below")
 
 
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3,
@@ -122,38 +124,42 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat
              .where("p > 0").withColumn("q", odds)
              .withColumn("bin", F.floor(F.lit(RANK_BINS) * F.col("q") / (1 + F.col("q"))))
              .select("rid", "s", "size", "q", "bin", "missing"))
-    # documents larger than all that is missing cannot fit and do not end the order
-    extra = materialize(fitting(drawn.where("size <= missing")), "mix-drawn")
-    spare = materialize(drawn.drop("missing").join(extra.select("rid"), "rid", "left_anti"), "mix-spare")
-    gaps = plan.groupBy(F.col("s").alias("ps")).agg(F.first("missing").alias("gap"))
-
-    def less(gaps: DataFrame, got: DataFrame) -> DataFrame:
-        sums = got.groupBy(F.col("s").alias("gs")).agg(F.sum("size").alias("got"))
-        return materialize(gaps.join(sums, F.col("ps").eqNullSafe(F.col("gs")), "left").select(
-            "ps", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")), "mix-gaps")
-    gaps = less(gaps, extra)
+    folder, rounds = scratch_path(docs.sparkSession, "mix-drawn"), 0
+
+    def written(result: DataFrame) -> DataFrame:
+        """A round's documents, taken or not; every round reads the last one's alone."""
+        nonlocal rounds
+        path, rounds = f"{folder}/round={rounds}", rounds + 1
+        result.write.parquet(path)
+        return docs.sparkSession.read.schema(result.schema).parquet(path)
+
+    def left(result: DataFrame) -> DataFrame:
+        """What is not taken and below twice the gap: a gap only shrinks, so no others are asked for again."""
+        sums = result.where("taken").groupBy(F.col("s").alias("gs")).agg(F.sum("size").alias("got"))
+        return (result.where("not taken").join(sums, F.col("s").eqNullSafe(F.col("gs")), "left")
+                .withColumn("missing", F.col("missing") - F.coalesce("got", F.lit(0)))
+                .where("size < 2 * missing").drop("gs", "got", "taken"))
 
+    # documents larger than all that is missing cannot fit and do not end the order
+    result = written(fitting(drawn, F.col("size") <= F.col("missing")))
     # the order goes on past a document that overflows, with those of at most
     # half the gap: each round takes all of them or more than half the gap
     while True:
-        small = (spare.join(gaps, F.col("s").eqNullSafe(F.col("ps")) & (2 * F.col("size") <= F.col("gap")))
-                 .drop("ps").withColumnRenamed("gap", "missing"))
-        more = materialize(fitting(small), "mix-more")
-        if more.isEmpty():
+        result = written(fitting(left(result), 2 * F.col("size") <= F.col("missing")))
+        if result.where("taken").isEmpty():
             break
-        extra, spare = extra.unionByName(more), spare.join(more.select("rid"), "rid", "left_anti")
-        gaps = less(gaps, more)
     # only larger ones are left: the nearest in size to the gap, while that
     # comes nearer to the target; each but the last more than halves the gap
     while True:
-        best = (spare.join(gaps, F.col("s").eqNullSafe(F.col("ps")))
-                .withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-                .groupBy("s").agg(F.min(F.struct("off", "q", "rid", "size")).alias("b")))
-        best = materialize(best.select("b.rid", "s", "b.size"), "mix-closing")
-        if best.isEmpty():
+        pool = left(result)
+        off = F.abs(F.col("size") - F.col("missing"))
+        best = (pool.where(off < F.col("missing")).groupBy(F.col("s").alias("bs"))
+                .agg(F.min(F.struct(off.alias("off"), "q", "rid")).alias("b")).select("bs", F.col("b.rid").alias("brid")))
+        result = written(pool.join(best, F.col("s").eqNullSafe(F.col("bs"))).withColumn("taken", F.col("rid") == F.col("brid"))
+                         .drop("bs", "brid"))
+        if result.where("taken").isEmpty():
             break
-        extra, spare = extra.unionByName(best), spare.join(best.select("rid"), "rid", "left_anti")
-        gaps = less(gaps, best)
+    extra = docs.sparkSession.read.schema(result.schema).parquet(folder).where("taken")
     taken = extra.select("rid").withColumn("one", F.lit(1))
     counted = (rows.join(plan.select("s", "l", "whole"),
                          F.col("source").eqNullSafe(F.col("s")) & (F.col("level") == F.col("l")), "left")

@@ -346,6 +346,16 @@ def test_mix_goes_on_past_a_long_document(make_docs, long, short):
         assert got[0] == pytest.approx(got[1], abs=51)
 
 
+def test_mix_plan_does_not_grow_with_rounds(make_docs, capsys):
+    """Rounds write to one folder: what is taken is one scan, however many rounds there were."""
+    rows = [(i, "w " * (1 + i * 37 % 900), "en", "ab"[i % 2]) for i in range(400)]
+    mixed = mixing.pareto_mix(make_docs(rows), weights=(5, 1), max_repeat=10)
+    capsys.readouterr()
+    mixed.explain()
+    plan = capsys.readouterr().out
+    assert "Union" not in plan and "LeftAnti" not in plan and mixed.count() == 400
+
+
 def test_mix_odd_input(odd_docs, no_docs):
     got = mixing.pareto_mix(odd_docs).collect()
     assert len(got) == 14 and all(r["taken"] == 0 for r in got if r["size"] == 0)
