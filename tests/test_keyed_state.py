@@ -169,3 +169,14 @@ def test_scoped_upsert_rewrites_only_touched_partitions(spark):
     want = merge(t, ch).select(*t.columns)
     kinds = [F.col(c).cast("string") for c in t.columns]
     assert got.count() == want.count() and got.select(*kinds).exceptAll(want.select(*kinds)).count() == 0
+
+
+def test_only_businesses_with_events_cost_state(job, spark):
+    """Stored rows come with a business's first event, as they were when the stream first started."""
+    row = {"status": "active", "created_at": ts("2023-01-01 00:00:00"), "amount": 500}
+    base = mk(spark, "subscriptions", [{"id": i, "business_id": i, "stripe_subscription_id": f"sub_{i}", **row} for i in (1, 2, 3)])
+    first = job.run([ev("a", "2024-01-01 00:00:00", sub="sub_1")], base=base)
+    assert first[1]["id"] == 1 and first[1]["row_exists"] and job.state("folded").count() == 1
+    later = job.run([ev("b", "2024-01-01 01:00:00", sub="sub_2", bid=2)], base=None)
+    assert later[2]["id"] == 2 and later[2]["amount"] == 500 and later[2]["updated_at"] == ts("2024-01-01 01:00:00")
+    assert job.state("folded").count() == 2
