@@ -99,15 +99,24 @@ class Index:
                                            n[i:i + WINDOWS], bits) for i in range(0, len(n), WINDOWS)])
         order = np.argsort(keys.reshape(-1), kind="stable")
         self.keys, self.key_item = keys.reshape(-1)[order], order // reps
-        self.pairs = {k: np.unique(np.concatenate([bigrams(w) for _, w in self.items if len(w) == k]))
-                      for k in self.lengths}
-        every = np.unique(np.concatenate(list(self.pairs.values())))
+        counted = [np.unique(bigrams(w), return_counts=True) for _, w in self.items]
+        self.grams = [pair for pair, _ in counted]
+        # word pairs by length, and how often one of its items holds each at most
+        of_length: dict[int, list] = {}
+        for (_, w), pairs in zip(self.items, counted):
+            of_length.setdefault(len(w), []).append(pairs)
+        self.pairs = {k: _most_of(of_length[k]) for k in self.lengths}
+        table, most = (np.concatenate(of) for of in zip(*self.pairs.values()))
+        self.every, pair = np.unique(table, return_inverse=True)
+        order = np.argsort(pair, kind="stable")
+        self.pair_first = np.searchsorted(pair[order], np.arange(len(self.every) + 1))
+        self.pair_length = np.repeat(np.arange(len(self.lengths)), [len(t) for t, _ in self.pairs.values()])[order]
+        self.pair_most = most[order]
         self.bitmap = np.zeros(1 << 22, dtype=bool)         # may say yes too often, never no
-        self.bitmap[(every >> U(42)).astype(np.int64)] = True
+        self.bitmap[(self.every >> U(42)).astype(np.int64)] = True
         # pairs of words that a passage within the allowed edits must share with the item
         self.need = {k: max(1, k - 1 - 2 * allowed_edits(k, similarity)) for k in self.lengths}
         self.reach = {k: k + allowed_edits(k, similarity) for k in self.lengths}
-        self.grams = [np.unique(bigrams(w)) for _, w in self.items]
         # pieces by their number of words: sorted hashes, the items and the pieces' places in them
         cuts: dict[int, list[tuple[int, int]]] = {}
         for k, (_, w) in enumerate(self.items):
@@ -175,16 +184,31 @@ class Index:
                 self.verify(words, k, start, best, tried)
         return [(i, e, p) for i, (e, p) in sorted(best.items(), key=lambda hit: (hit[0] is None, hit[0] or 0))]
 
+    def near_lengths(self, pairs: np.ndarray, lengths: list[int]) -> list[int]:
+        """Those of ``lengths`` with enough of their items' pairs in the text, repeats as in ``most_shared``."""
+        if not lengths:
+            return []
+        at = np.minimum(np.searchsorted(self.every, pairs), len(self.every) - 1)
+        pair, times = np.unique(at[self.every[at] == pairs], return_counts=True)
+        first, size = self.pair_first[pair], self.pair_first[pair + 1] - self.pair_first[pair]
+        entry = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        shared = np.bincount(self.pair_length[entry], np.minimum(np.repeat(times, size), self.pair_most[entry]),
+                             len(self.lengths))
+        rich = {n for n, s in zip(self.lengths, shared) if s >= self.need[n]}
+        return [n for n in lengths if n in rich]
+
     def sampled(self, words: np.ndarray, lengths: list[int]) -> dict[int, tuple[int, int]]:
         """(edits, start) by item_id of what the sampled walks find."""
         pairs, starts, sizes = bigrams(words), [], []
-        for n in lengths:
-            table = self.pairs[n]
+        for n in self.near_lengths(pairs, lengths):
+            table, most = self.pairs[n]
             at = np.minimum(np.searchsorted(table, pairs), len(table) - 1)
-            upto = np.concatenate([[0], np.cumsum(table[at] == pairs)])
+            shared = table[at] == pairs
+            upto = np.concatenate([[0], np.cumsum(shared)])
             last = np.minimum(np.arange(len(words)) + self.reach[n] - 1, len(pairs))
             ok = np.flatnonzero(upto[last] - upto[np.minimum(np.arange(len(words)), len(pairs))] >= self.need[n])
-            if len(ok):                   # the passage may begin anywhere in such a stretch
+            if len(ok) and most_shared(np.flatnonzero(shared), at[shared], most, self.reach[n] - 1) >= self.need[n]:
+                # the passage may begin anywhere in such a stretch
                 ok = np.unique(np.minimum(ok[:, None] + np.arange(2 * allowed_edits(n, self.similarity) + 1)[None, :],
                                           len(words) - 1))
                 starts.append(ok)
@@ -215,6 +239,30 @@ class Index:
             best[item_id] = (edits, max(0, lo + end - len(item)))
 
 
+def _most_of(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of several (pairs, times), sorted, and the most times of each."""
+    pair, times = (np.concatenate(of) for of in zip(*counted))
+    order = np.lexsort((-times, pair))
+    table, first = np.unique(pair[order], return_index=True)
+    return table, times[order][first]
+
+
+def most_shared(place: np.ndarray, pair: np.ndarray, most: np.ndarray, span: int) -> int:
+    """The most pairs in ``span`` places on end, a pair counted up to most[pair] times.
+
+    A passage shares a pair with an item only as often as the item holds it, so
+    a few words repeated over and over share no more than one round of them.
+    """
+    order = np.argsort(pair, kind="stable")
+    place, pair = place[order], pair[order]
+    before = np.arange(len(pair)) - most[pair]
+    at = np.maximum(before, 0)
+    last = np.where((before >= 0) & (pair[at] == pair), place[at], -1)
+    # counted by the stretches that begin after the place most[pair] times before
+    begin = np.bincount(np.maximum(np.maximum(last, place - span) + 1, 0), minlength=int(place.max()) + 2)
+    return int(np.cumsum(begin - np.bincount(place + 1, minlength=len(begin))).max())
+
+
 def bigrams(words: np.ndarray) -> np.ndarray:
     return _grams(words, 2)
 
@@ -274,7 +322,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, block_items: int = 20_000, te
     letters and digits.  ``params``: similarity (0.8), reps and bits of the
     search, min_words (5: shorter items name no document and match nothing).
     Windows that share too few word pairs with all items of their length cannot
-    be that near (q-gram bound) and are not embedded; with the pieces every passage
+    be that near (q-gram bound) and are not embedded, nor are a text's windows of
+    a length if all share too few once a pair counts no more often than in an
+    item of that length; with the pieces every passage
     within the allowed edits is found, at any item length.  The items are taken in
     blocks of ``block_items``, each one broadcast; every row meets every block
     and no row is shuffled.  Null or empty texts and items match nothing;

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from ledgerlark.llm import dartminhash, decontam, language, mixing, pii, ppm, shards
@@ -428,6 +429,41 @@ def test_exact_passages_of_the_tables(spark, docs, texts):
     assert want <= got and len(got) <= len(want) + 2
 
 
+def _hashes(words):
+    return np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def test_repeated_words_are_not_embedded(monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+    items = [["of", "the", "in", "a"] + text(12) + ["the", "of"] + text(12) for _ in range(5)]
+    index = decontam.Index([(i, _hashes(w)) for i, w in enumerate(items)])
+    repeated = [["of", "the"] * 200, (text(30) + ["of", "the", "in", "a"] * 40) * 2, text(100) + ["the", "of"] * 30]
+    whole = text(20) + ["of", "the"] * 50 + items[3] + text(20)
+    embedded, embed = [], decontam.embed
+    monkeypatch.setattr(decontam, "embed", lambda *of: embedded.append(len(of[1])) or embed(*of))
+    docs = [_hashes(w) for w in repeated]
+    assert index.search(np.concatenate(docs), np.cumsum([0, *map(len, docs)])) == {} and embedded == []
+    found = index.search(_hashes(whole), np.array([0, len(whole)]))
+    assert found == {0: [(3, 0, 120)]} and embedded
+
+
+def test_few_words_as_by_brute_force():
+    rng = random.Random(6)
+    text = lambda words, n: [rng.choice(WORDS[:words]) for _ in range(n)]
+    matches = 0
+    for words in (2, 3, 5, 10) * 8:
+        items = [_hashes(text(words, rng.randint(5, 30))) for _ in range(8)]
+        docs = [np.concatenate([_hashes(text(words, rng.randint(2, 50)) + ["of", "the"] * rng.randint(0, 20)),
+                                rng.choice(items)[rng.randint(0, 2):], _hashes(text(words, 5))]) for _ in range(8)]
+        near = {(d, i): decontam.passage_edits(item, doc)[0] for d, doc in enumerate(docs) for i, item in enumerate(items)}
+        want = {c: e for c, e in near.items() if e <= decontam.allowed_edits(len(items[c[1]]), 0.8)}
+        found = decontam.Index(list(enumerate(items))).search(np.concatenate(docs), np.cumsum([0, *map(len, docs)]))
+        assert {(d, i): e for d, hits in found.items() for i, e, _ in hits} == want
+        matches += len(want)
+    assert matches > 100
+
+
 def test_decontamination_odd_input(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f"), (3, "the cat sat"), (4, "dem alten haus und warten")],
                                   "item_id long, text string")
